@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from .chat_format import op9_chat_format
+from .quality import op10_quality
+from .simhash import op3_simhash
 from .token_counts import op6_token_counts
 from .token_output import op1_token_output
 
 QUERIES = {
     "op1_token_output": op1_token_output,
+    "op3_simhash": op3_simhash,
     "op6_token_counts": op6_token_counts,
     "op9_chat_format": op9_chat_format,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL = {
