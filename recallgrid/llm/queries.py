@@ -3,20 +3,33 @@
 from __future__ import annotations
 
 from .chat_format import op9_chat_format
+from .decontaminate import op4_decontaminate
+from .licenses import OP7_SQL, op7_license_scan
+from .mixing import OP8_SQL, op8_mix_sources
+from .nearest import OP2_SQL, op2_nearest
 from .quality import op10_quality
 from .simhash import op3_simhash
+from .substrings import op5_substrings
 from .token_counts import op6_token_counts
 from .token_output import op1_token_output
 
 QUERIES = {
     "op1_token_output": op1_token_output,
+    "op2_nearest": op2_nearest,
     "op3_simhash": op3_simhash,
+    "op4_decontaminate": op4_decontaminate,
+    "op5_substrings": op5_substrings,
     "op6_token_counts": op6_token_counts,
+    "op7_license_scan": op7_license_scan,
+    "op8_mix_sources": op8_mix_sources,
     "op9_chat_format": op9_chat_format,
     "op10_quality": op10_quality,
 }
 
 ORACLE_SQL = {
+    "op2_nearest": OP2_SQL,
+    "op7_license_scan": OP7_SQL,
+    "op8_mix_sources": OP8_SQL,
     "op9_chat_format": r"""
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
