@@ -136,11 +136,12 @@ def _counts(items: Items, wanted: np.ndarray):
 
 
 FOUND = "doc_id long, item_id long, score double, begin long, stop long"
-#: Cells of alignment tables that are computed together.
-CELLS = 1 << 20
+#: Words of passages that are aligned together.
+TOGETHER = 1 << 14
 
 
-def _search(items: Items, seeds: list[np.ndarray], threshold: float):
+def _finder(items: Items, seeds: list[np.ndarray], threshold: float):
+    """A function from (number, text) pairs to rows (number, item_id, score, begin, stop)."""
     owner = np.concatenate([np.full(len(s), k) for k, s in enumerate(seeds)]) if seeds else np.empty(0, np.int64)
     place = np.concatenate(seeds) if seeds else np.empty(0, np.int64)
     code = np.concatenate([g[s] for g, s in zip(items.grams, seeds, strict=True)]) if seeds else np.empty(0, np.int64)
@@ -174,24 +175,46 @@ def _search(items: Items, seeds: list[np.ndarray], threshold: float):
         tail = align([own[k][::-1] for k in good], [parts[k][: stop[k]][::-1] for k in good])[1]
         return [(tasks[k][0], items.ids[tasks[k][1]], float(share[k]), tasks[k][2] + int(stop[k] - n), tasks[k][2] + int(stop[k])) for k, n in zip(good.tolist(), tail.tolist(), strict=True)]
 
+    def find(texts: Iterator[tuple[int, str]]) -> list[tuple]:
+        rows: list[tuple] = []
+        tasks: list[tuple] = []
+        cells = 0
+        for n, text in texts:
+            words = items.read(text)
+            for k, begin, stop in passages(words):
+                tasks.append((n, k, begin, words[begin:stop]))
+                cells += stop - begin
+                if cells >= TOGETHER:
+                    rows += solve(tasks)
+                    tasks, cells = [], 0
+        return rows + (solve(tasks) if tasks else [])
+
+    return find
+
+
+def _search(items: Items, seeds: list[np.ndarray], threshold: float):
+    find = _finder(items, seeds, threshold)
+    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[tuple] = []
-            tasks: list[tuple] = []
-            cells = 0
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = items.read(text)
-                for k, begin, stop in passages(words):
-                    tasks.append((doc_id, k, begin, words[begin:stop]))
-                    cells += stop - begin
-                    if cells >= CELLS // 64:
-                        rows += solve(tasks)
-                        tasks, cells = [], 0
-            if tasks:
-                rows += solve(tasks)
-            cols = zip(*rows, strict=True) if rows else ([],) * 5
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "score", "begin", "stop"])
+            rows = find(enumerate(b.column(1).to_pylist()))
+            n, *rest = zip(*rows, strict=True) if rows else ([],) * 5
+            cols = [b.column(0).take(pa.array(n, pa.int64())), *[pa.array(list(c), t) for c, t in zip(rest, kinds[1:], strict=True)]]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "item_id", "score", "begin", "stop"])
+
+    return run
+
+
+def _clean(items: Items, seeds: list[np.ndarray], threshold: float, place: int):
+    """Passes on the rows whose text, in column ``place``, holds no item."""
+    find = _finder(items, seeds, threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = np.ones(b.num_rows, bool)
+            keep[[r[0] for r in find(enumerate(t or "" for t in b.column(place).to_pylist()))]] = False
+            yield b.filter(pa.array(keep))
 
     return run
 
@@ -209,20 +232,34 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield rows
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, item_id, score, begin, stop) of every passage from word ``begin`` to ``stop`` that copies an item."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = [texts.sparkSession.createDataFrame([], FOUND)]
+def _prepared(texts: DataFrame, benchmark: DataFrame) -> Iterator[tuple[Items, list[np.ndarray]]]:
+    """Each block of test items, with the seeds that are rarest in all of (doc_id, text)."""
     for rows in _blocks(benchmark):
         items = Items(rows)
-        if not items.words:
-            continue
-        wanted = np.unique(np.concatenate(items.grams))
-        counted = texts.mapInArrow(_counts(items, wanted), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        documents = {r.gram: r.n for r in counted.collect()}  # a row per n-gram of the block at most
-        seeds = [rare_seeds(g, documents) for g in items.grams]
-        parts.append(texts.mapInArrow(_search(items, seeds, threshold), FOUND))
-    return reduce(DataFrame.unionByName, parts)
+        if items.words:
+            wanted = np.unique(np.concatenate(items.grams))
+            counted = texts.mapInArrow(_counts(items, wanted), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+            documents = {r.gram: r.n for r in counted.collect()}  # a row per n-gram of the block at most
+            yield items, [rare_seeds(g, documents) for g in items.grams]
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(doc_id, item_id, score, begin, stop) of every passage from word ``begin`` to ``stop`` that copies an item."""
+    texts = _texts(docs)
+    parts = [texts.mapInArrow(_search(items, seeds, threshold), FOUND) for items, seeds in _prepared(texts, benchmark)]
+    return reduce(DataFrame.unionByName, parts, docs.sparkSession.createDataFrame([], FOUND))
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The documents, with all their columns, that hold no test item; texts stay where they are read."""
+    kept = docs
+    for items, seeds in _prepared(_texts(docs), benchmark):
+        kept = kept.mapInArrow(_clean(items, seeds, threshold, docs.columns.index("text")), docs.schema)
+    return kept
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

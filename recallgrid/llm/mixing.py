@@ -14,7 +14,7 @@ within each range, so that no task gets the whole of a large leaf.
 
 Edge cases: a null domain, language or source is a value of its own and has weight 1 like
 every name without a given weight; null and empty texts have no tokens and join every
-epoch prefix; documents with equal ids are ordered by tokens; weights must be positive;
+epoch prefix; rows of a leaf with one doc_id go in together; weights must be positive;
 an empty table or a budget of zero gives no rows with tokens; other columns are ignored.
 """
 
@@ -71,28 +71,61 @@ def leaf_budgets(leaves: DataFrame, budget: float, max_epochs: int, weights: dic
     return leaves.alias("o").join(above.alias("a"), same).select("o.*", "a.budget")
 
 
-def mix(docs: DataFrame, domain: Column, fraction: float, max_epochs: int, weights: dict[str, dict[str, float]], seed: int = 7) -> DataFrame:
-    """(doc_id, domain, lang, source, tokens, copies) of the documents chosen for ``fraction`` of all tokens."""
+def order_key(epochs: Column, doc_id: Column, seed: int) -> Column:
+    """Place of a document in the seeded order of one epoch of its leaf."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), epochs.cast("string"), doc_id.cast("string")))
+
+
+def _sized(docs: DataFrame, domain: Column) -> DataFrame:
     name = lambda c: F.col(c).cast("string")
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), domain.alias("domain"), name("lang").alias("lang"), name("source").alias("source"), F.size(words(F.col("text"))).cast("long").alias("tokens"))
-    sized = written(sized, "mix-tokens")
-    leaves = written(sized.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")), "mix-leaves")
+    leaf = F.struct(domain.alias("domain"), name("lang").alias("lang"), name("source").alias("source"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), leaf.alias("leaf"), F.size(words(F.col("text"))).cast("long").alias("tokens"))
+
+
+def chosen(docs: DataFrame, domain: Column, fraction: float, max_epochs: int, weights: dict[str, dict[str, float]], seed: int = 7) -> DataFrame:
+    """(doc_id, leaf, tokens, epochs, key, upto, rest) of all documents: ``epochs`` whole ones, and one more where upto <= rest."""
+    sized = written(_sized(docs, domain), "mix-tokens")
+    leaves = written(sized.groupBy("leaf.domain", "leaf.lang", "leaf.source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")), "mix-leaves")
     total = leaves.agg(F.sum("tokens").alias("tokens"), F.sum("n").alias("n")).first()
     budget = float(int((total.tokens or 0) * fraction))
     shared = leaf_budgets(leaves, budget, max_epochs, weights)
     whole = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("long")
     plan = shared.select(F.struct(*LEVELS).alias("leaf"), "n", whole.alias("epochs"), (F.col("budget") - whole * F.col("tokens")).alias("rest"))
-    rows = sized.select("doc_id", F.struct(*LEVELS).alias("leaf"), F.col("tokens").alias("tokens"))
-    rows = hot_safe_lookup(rows, plan, "leaf", "n", total.n or 0)
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.col("doc_id").cast("string")))
-    ordered = rows.withColumn("key", key).withColumn("range", F.substring("key", 1, RANGE_DIGITS))
+    ordered = hot_safe_lookup(sized, plan, "leaf", "n", total.n or 0).withColumn("key", order_key(F.col("epochs"), F.col("doc_id"), seed))
+    ordered = ordered.withColumn("range", F.substring("key", 1, RANGE_DIGITS))
     ranges = ordered.groupBy("leaf", "range").agg(F.sum("tokens").alias("_sum"))
     earlier = W.partitionBy("leaf").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     ranges = ranges.select("leaf", "range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0).cast("long")).alias("before"))
-    within = W.partitionBy("leaf", "range").orderBy("key", "doc_id", "tokens").rowsBetween(W.unboundedPreceding, W.currentRow)
-    summed = ordered.join(ranges, ["leaf", "range"]).withColumn("upto", F.col("before") + F.sum("tokens").over(within))
+    within = W.partitionBy("leaf", "range").orderBy("key").rangeBetween(W.unboundedPreceding, W.currentRow)
+    return ordered.join(ranges, ["leaf", "range"]).withColumn("upto", F.col("before") + F.sum("tokens").over(within)).drop("range", "before")
+
+
+def mix(docs: DataFrame, domain: Column, fraction: float, max_epochs: int, weights: dict[str, dict[str, float]], seed: int = 7) -> DataFrame:
+    """(doc_id, domain, lang, source, tokens, copies) of the documents chosen for ``fraction`` of all tokens."""
     copies = F.col("epochs") + F.when(F.col("upto") <= F.col("rest"), 1).otherwise(0)
-    return summed.select("doc_id", "leaf.*", "tokens", copies.cast("long").alias("copies")).filter("copies > 0")
+    return chosen(docs, domain, fraction, max_epochs, weights, seed).select("doc_id", "leaf.*", "tokens", copies.cast("long").alias("copies")).filter("copies > 0")
+
+
+#: Leaves whose cut-offs are broadcast; with more, they are joined by a shuffle.
+BROADCAST_LEAVES = 100_000
+
+
+def mix_documents(docs: DataFrame, domain: Column, fraction: float, weights: dict[str, dict[str, float]], seed: int = 7) -> DataFrame:
+    """The documents themselves, with all their columns, for one epoch at most.
+
+    A leaf's prefix ends at a cut-off key, so whole texts are kept or dropped where they
+    are read, by a look at their leaf's cut-off, and are not shuffled.
+    """
+    picked = chosen(docs, domain, fraction, 1, weights, seed)
+    last = F.max(F.when(F.col("upto") <= F.col("rest"), F.col("key")))
+    cuts = written(picked.groupBy("leaf").agg(F.max("epochs").alias("_epochs"), last.alias("_last")), "mix-cuts")
+    cuts = cuts.withColumnRenamed("leaf", "_leaf")
+    if cuts.count() <= BROADCAST_LEAVES:
+        cuts = F.broadcast(cuts)
+    leaf = F.struct(domain.alias("domain"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
+    key = order_key(F.col("_epochs"), F.col("doc_id").cast("long"), seed)
+    joined = docs.join(cuts, leaf.eqNullSafe(F.col("_leaf")))
+    return joined.filter((F.col("_epochs") > 0) | (key <= F.col("_last"))).select(*[docs[c] for c in docs.columns])
 
 
 #: Parameters of the query and the pipeline stage.
@@ -146,7 +179,7 @@ OP8_SQL = f"""
         JOIN leaves l ON s.domain IS NOT DISTINCT FROM l.domain AND s.lang IS NOT DISTINCT FROM l.lang AND s.source IS NOT DISTINCT FROM l.source
         JOIN budget2 a ON s.domain IS NOT DISTINCT FROM a.domain AND s.lang IS NOT DISTINCT FROM a.lang AND s.source IS NOT DISTINCT FROM a.source),
     summed AS (
-        SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5(concat_ws(':', '{SEED}', CAST(epochs AS VARCHAR), CAST(doc_id AS VARCHAR))), doc_id, tokens
-            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM planned)
+        SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5(concat_ws(':', '{SEED}', CAST(epochs AS VARCHAR), CAST(doc_id AS VARCHAR)))
+            RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM planned)
     SELECT doc_id, domain, lang, source, tokens, CAST(epochs + CASE WHEN upto <= budget - epochs * leaf_tokens THEN 1 ELSE 0 END AS BIGINT) AS copies
     FROM summed WHERE copies > 0"""

@@ -220,6 +220,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return _texts(docs).mapInArrow(run, "doc_id long, score double")
 
 
+def good_documents(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
+    """The documents, with all their columns, that score ``threshold`` or more; texts stay where they are read."""
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.array([text_features(t or "") for t in b.column(place).to_pylist()], float).reshape(-1, len(FEATURES))
+            yield b.filter(pa.array(model.score(x) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 THRESHOLD = 0.3
 
 

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import hot_safe_lookup, table, written
@@ -271,6 +272,23 @@ def simhash_components(docs: DataFrame, plan: Plan = CONTRACT) -> DataFrame:
     return found.unionByName(prints.filter("doc_id IS NULL").withColumn("component_id", F.lit(None).cast("long")))
 
 
+def one_of_each(docs: DataFrame, plan: Plan = CONTRACT) -> DataFrame:
+    """The documents, with all their columns, that have the smallest doc_id of their component.
+
+    Of rows that share a doc_id the one with the smallest text stays; rows without a doc_id all stay.
+    """
+    found = written(simhash_components(docs.select("doc_id", "text"), plan).filter("doc_id IS NOT NULL"), "simhash-found")
+    per_id = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("first"))
+    kept = written(per_id.filter("first").select(F.col("doc_id").alias("_id"), F.col("n").alias("_n")), "simhash-kept")
+    named = docs.filter("doc_id IS NOT NULL").join(kept, F.col("doc_id").cast("long") == F.col("_id"))
+    single = named.filter("_n = 1")
+    rest = docs.filter("doc_id IS NULL")
+    if not kept.filter("_n > 1").isEmpty():
+        order = W.partitionBy("_id").orderBy("text")
+        single = single.unionByName(named.filter("_n > 1").withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r"))
+    return single.drop("_id", "_n").unionByName(rest)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("lo")), 16, "0").alias("fingerprint"), "component_id")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import open_fs, scratch_dir, table, tokenizer_path
-from .pieces import PieceCache, split_pieces
+from .pieces import split_pieces
 
 MAGIC = b"RGTOKEN1"
 HEAD = struct.Struct("<8sII")
@@ -127,28 +127,112 @@ class PackedReader:
         return np.concatenate(parts)[start - first * self.block :][:n]
 
 
+class Slots(dict):
+    """string -> place in ``values``; strings that are asked for the first time wait in ``new`` for their values."""
+
+    def __init__(self):
+        self.values: list[bytes] = []
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = place = len(self.values) + len(self.new)
+        self.new.append(key)
+        return place
+
+    def fill(self, values: list[bytes]) -> None:
+        self.values += values
+        self.new = []
+
+
+#: Punctuation that is a pre-token of its own after a word.
+CLOSING = (".", ",", ";", ":", "!", "?")
+
+
 class PieceEncoder:
-    """Whole texts to ids by the ``tokenizers`` library, which sees each distinct piece once per worker."""
+    """Whole texts to ids by the ``tokenizers`` library.
+
+    Texts are cut into pieces and these into the pre-tokens of the byte-level pattern,
+    within which alone the library merges. It encodes each distinct pre-token once, many
+    in one call with a special token between them; texts are put together from the
+    results. Texts that must go whole (see pieces.py) are encoded whole.
+    """
+
+    #: Pre-tokens and pieces that are kept; a full cache is emptied between portions of texts.
+    TOKENS, PIECES = 700_000, 400_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.specials = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
-        self.whole = lambda text: np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
-        self.pieces = PieceCache(lambda piece: self.whole(" " + piece), limit=300_000)
-
-    def encode(self, text: str) -> np.ndarray:
-        cut = split_pieces(text, self.specials)
-        if cut is None:
-            return np.frombuffer(self.whole(text), np.uint32)
-        return np.frombuffer(b"".join([self.whole(cut[0]), *map(self.pieces.__getitem__, cut[1])]), np.uint32)
+        special = {t.content: k for k, t in self.library.get_added_tokens_decoder().items()}
+        self.specials = tuple(special)
+        self.between = next(iter(special.items()), None)
+        # The byte-level pre-tokenizer's fixed pattern.
+        self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+        self.tokens, self.pieces = Slots(), Slots()
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _learn(self, tokens: list[str]) -> list[bytes]:
+        if not tokens:
+            return []
+        if self.between is None:
+            return [self._ids(t).tobytes() for t in tokens]
+        ids = self._ids(self.between[0].join(tokens))
+        cuts = (np.flatnonzero(ids == self.between[1]) * 4).tolist()
+        data = ids.tobytes()
+        return [data[s:e] for s, e in zip([0, *(c + 4 for c in cuts)], [*cuts, len(data)], strict=True)]
+
+    def _cut(self, piece: str) -> list[str]:
+        """Pre-tokens of a piece that follows a space; words of common letters need no pattern."""
+        word = piece[:-1] if piece[-1:] in CLOSING else piece
+        if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
+            return [" " + word, piece[-1]] if len(word) < len(piece) else [" " + word]
+        return self.pattern.findall(" " + piece)
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        tokens, pieces = self.tokens, self.pieces
+        if len(tokens.values) > self.TOKENS:
+            tokens = self.tokens = Slots()
+        if len(pieces.values) > self.PIECES:
+            pieces = self.pieces = Slots()
+        cuts = [split_pieces(t, self.specials) for t in texts]
+        token_slot, piece_slot = tokens.__getitem__, pieces.__getitem__
+        firsts = [list(map(token_slot, self.pattern.findall(c[0]))) if c else None for c in cuts]
+        rests = [list(map(piece_slot, c[1])) if c else None for c in cuts]
+        new = [list(map(token_slot, self._cut(p))) for p in pieces.new]
+        tokens.fill(self._learn(tokens.new))
+        value = tokens.values.__getitem__
+        pieces.fill([b"".join(map(value, part)) for part in new])
+        piece = pieces.values.__getitem__
+        return [self._ids(t) if f is None else np.frombuffer(b"".join([*map(value, f), *map(piece, r)]), np.uint32) for t, f, r in zip(texts, firsts, rests, strict=True)]
+
+
+#: Characters of text that are encoded together.
+TOGETHER = 1 << 21
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
+def _portions(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
+    """Rows of (doc_id, text) in portions of about TOGETHER characters."""
+    ids, texts, size = [], [], 0
+    for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+        ids.append(doc_id.as_py())
+        texts.append(text.as_py())
+        size += len(texts[-1])
+        if size >= TOGETHER:
+            yield ids, texts
+            ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 def write_token_files(docs: DataFrame, out_dir: str, path: str, vocab_size: int, end_id: int = 0, shard_bytes: int = 64 << 20) -> list[dict]:
     """Encode all rows of (doc_id, text) into files below ``out_dir``; returns the manifest, also kept there.
 
@@ -165,7 +249,7 @@ def write_token_files(docs: DataFrame, out_dir: str, path: str, vocab_size: int,
 
         if path not in _ENCODERS:
             _ENCODERS[path] = PieceEncoder(path)
-        encode, shard, writer = _ENCODERS[path].encode, TaskContext.get().partitionId(), None
+        encode_all, shard, writer = _ENCODERS[path].encode_all, TaskContext.get().partitionId(), None
         end = np.array([end_id], np.uint32)
         files, root = open_fs(out_dir)
         name, own = f"tokens-{shard:06d}.bin", f".{uuid.uuid4().hex}.tmp"
@@ -174,8 +258,9 @@ def write_token_files(docs: DataFrame, out_dir: str, path: str, vocab_size: int,
                 files.create_dir(root, recursive=True)
                 out = files.open_output_stream(f"{root}/{own}")
                 writer = PackedWriter(out, vocab_size)
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                writer.add(doc_id, np.concatenate([encode(text), end]))
+            for ids, texts in _portions(batch):
+                for doc_id, own in zip(ids, encode_all(texts), strict=True):
+                    writer.add(doc_id, np.concatenate([own, end]))
         if writer is not None:
             writer.close()
             out.close()
