@@ -259,8 +259,8 @@ def write_token_files(docs: DataFrame, out_dir: str, path: str, vocab_size: int,
                 out = files.open_output_stream(f"{root}/{own}")
                 writer = PackedWriter(out, vocab_size)
             for ids, texts in _portions(batch):
-                for doc_id, own in zip(ids, encode_all(texts), strict=True):
-                    writer.add(doc_id, np.concatenate([own, end]))
+                for doc_id, made in zip(ids, encode_all(texts), strict=True):
+                    writer.add(doc_id, np.concatenate([made, end]))
         if writer is not None:
             writer.close()
             out.close()
