@@ -1,8 +1,9 @@
 """Splitting of texts into pieces that a byte-level BPE vocabulary treats independently.
 
 The byte-level pre-tokenizer never joins characters across a space except that one
-space may lead a token. So a text without two spaces in a row can be cut before each
-space, and each distinct piece needs work once per worker; any other text goes whole.
+space may lead a token, and a line end between other characters is a token of its own. So
+a text whose spaces and line ends stand alone can be cut at each of them, and each
+distinct piece needs work once per worker; any other text goes whole.
 """
 
 from __future__ import annotations
@@ -25,9 +26,16 @@ class PieceCache(dict):
         return value
 
 
+#: White space that would tie pieces together.
+TIED = ("  ", " \n", "\n ", "\n\n")
+
+
 def split_pieces(text: str, specials: tuple[str, ...]) -> tuple[str, list[str]] | None:
-    """First piece and the others, each of which follows one space; None where the text must go whole."""
-    if "  " in text or any(s in text for s in specials):
+    """First piece and the others; None where the text must go whole.
+
+    A piece follows one space, or starts with the line end that precedes it.
+    """
+    if any(s in text for s in TIED) or any(s in text for s in specials):
         return None
-    first, *rest = text.split(" ")
+    first, *rest = text.replace("\n", " \n").split(" ")
     return first, rest

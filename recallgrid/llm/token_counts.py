@@ -56,7 +56,7 @@ class HeapBPE:
         # The byte-level pre-tokenizer's fixed pattern.
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self.by_token = PieceCache(self.merge_count)
-        self.by_piece = PieceCache(lambda piece: self.plain_count(" " + piece))
+        self.by_piece = PieceCache(lambda piece: self.plain_count(piece if piece[:1] == "\n" else " " + piece))
 
     def merge_count(self, token: str) -> int:
         """Symbols that are left when no adjacent pair of the pre-token can be merged."""

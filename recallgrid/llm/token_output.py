@@ -145,7 +145,12 @@ class Slots(dict):
 
 
 #: Punctuation that is a pre-token of its own after a word.
-CLOSING = (".", ",", ";", ":", "!", "?")
+CLOSING = frozenset(".,;:!?")
+
+
+def plain(word: str) -> bool:
+    """Whether the word is one pre-token by sight: letters that every Unicode version knows."""
+    return word.isalpha() and (word.isascii() or max(word) < "\u0250")
 
 
 class PieceEncoder:
@@ -158,14 +163,16 @@ class PieceEncoder:
     """
 
     #: Pre-tokens and pieces that are kept; a full cache is emptied between portions of texts.
-    TOKENS, PIECES = 700_000, 400_000
+    TOKENS, PIECES = 200_000, 800_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import regex
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.library = Tokenizer.from_file(path)
+        self.pre_tokenizer, self.bytes_only = self.library.pre_tokenizer, ByteLevel(add_prefix_space=False, use_regex=False)
         special = {t.content: k for k, t in self.library.get_added_tokens_decoder().items()}
         self.specials = tuple(special)
         self.between = next(iter(special.items()), None)
@@ -177,38 +184,52 @@ class PieceEncoder:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def _learn(self, tokens: list[str]) -> list[bytes]:
+        """The ids of pre-tokens; they need no cutting by the pattern again."""
         if not tokens:
             return []
         if self.between is None:
             return [self._ids(t).tobytes() for t in tokens]
+        self.library.pre_tokenizer = self.bytes_only
         ids = self._ids(self.between[0].join(tokens))
+        self.library.pre_tokenizer = self.pre_tokenizer
         cuts = (np.flatnonzero(ids == self.between[1]) * 4).tolist()
         data = ids.tobytes()
         return [data[s:e] for s, e in zip([0, *(c + 4 for c in cuts)], [*cuts, len(data)], strict=True)]
 
-    def _cut(self, piece: str) -> list[str]:
-        """Pre-tokens of a piece that follows a space; words of common letters need no pattern."""
-        word = piece[:-1] if piece[-1:] in CLOSING else piece
-        if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
-            return [" " + word, piece[-1]] if len(word) < len(piece) else [" " + word]
-        return self.pattern.findall(" " + piece)
+    def _fill(self, tokens: Slots, pieces: Slots) -> None:
+        """Values of the new pieces: a plain word is a pre-token, a closed one a word and its mark, others go by the pattern."""
+        words, closed, others = [], [], []
+        for place, piece in enumerate(pieces.new, len(pieces.values)):  # grows by the words of closed pieces
+            if plain(piece):
+                words.append((place, " " + piece))
+            elif piece[-1:] in CLOSING and plain(piece[:-1]):
+                closed.append((place, pieces[piece[:-1]], tokens[piece[-1]]))
+            else:
+                others.append((place, [tokens[t] for t in self.pattern.findall(piece if piece[:1] == "\n" else " " + piece)]))
+        learnt = self._learn([w for _, w in words] + tokens.new)
+        tokens.fill(learnt[len(words) :])
+        pieces.fill([b""] * len(pieces.new))
+        values, value = pieces.values, tokens.values.__getitem__
+        for (place, _), ids in zip(words, learnt, strict=False):
+            values[place] = ids
+        for place, word, mark in closed:
+            values[place] = values[word] + value(mark)
+        for place, parts in others:
+            values[place] = b"".join(map(value, parts))
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
+        if len(self.tokens.values) > self.TOKENS:
+            self.tokens = Slots()
+        if len(self.pieces.values) > self.PIECES:
+            self.pieces = Slots()
         tokens, pieces = self.tokens, self.pieces
-        if len(tokens.values) > self.TOKENS:
-            tokens = self.tokens = Slots()
-        if len(pieces.values) > self.PIECES:
-            pieces = self.pieces = Slots()
         cuts = [split_pieces(t, self.specials) for t in texts]
         token_slot, piece_slot = tokens.__getitem__, pieces.__getitem__
         firsts = [list(map(token_slot, self.pattern.findall(c[0]))) if c else None for c in cuts]
         rests = [list(map(piece_slot, c[1])) if c else None for c in cuts]
-        new = [list(map(token_slot, self._cut(p))) for p in pieces.new]
-        tokens.fill(self._learn(tokens.new))
-        value = tokens.values.__getitem__
-        pieces.fill([b"".join(map(value, part)) for part in new])
-        piece = pieces.values.__getitem__
+        self._fill(tokens, pieces)
+        value, piece = tokens.values.__getitem__, pieces.values.__getitem__
         return [self._ids(t) if f is None else np.frombuffer(b"".join([*map(value, f), *map(piece, r)]), np.uint32) for t, f, r in zip(texts, firsts, rests, strict=True)]
 
 
