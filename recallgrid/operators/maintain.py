@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from recallgrid.functions.vectors import rows_normalized, rows_topk
 
@@ -127,7 +128,7 @@ def amplification(before: Column, after: Column) -> Column:
     return F.when(before <= 0, (after > 0).cast("double")).otherwise(F.greatest(F.lit(0.0), (after - before) / before))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def json_bytes(texts: pd.Series) -> pd.Series:
     """Bytes of a JSON text in canonical form: sorted keys, no spaces, UTF-8."""
     return texts.map(lambda t: None if t is None else len(json.dumps(json.loads(t), sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()))

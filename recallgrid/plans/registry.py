@@ -42,7 +42,7 @@ def with_ctes(sql: str) -> str:
                 needed.add(name)
                 waiting.append(CTES[name])
     body = ", ".join(f"{n} AS ({s})" for n, s in CTES.items() if n in needed)
-    return (f"WITH {body} " if body else "") + sql
+    return (f"WITH RECURSIVE {body} " if body else "") + sql
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

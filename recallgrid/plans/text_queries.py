@@ -246,7 +246,7 @@ def candidate_votes(spark, d):
     return text_votes(spark, d)
 
 
-@query("candidate_fallback", """SELECT item_id AS query_id, event_id AS episode_id FROM (SELECT b.item_id, CAST(r.r_regionkey AS INTEGER) AS event_id FROM benchmark b, region r)""")
+@query("candidate_fallback", """SELECT item_id AS query_id, event_id AS episode_id FROM (SELECT b.item_id, CAST(r.r_regionkey AS BIGINT) AS event_id FROM benchmark b, region r)""")
 def candidate_fallback(spark, d):
     none = text_votes(spark, d).limit(0).select("query_id", "episode_id")
     queries = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
