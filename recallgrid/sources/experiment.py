@@ -1,0 +1,119 @@
+"""Configuration, ablation grids and run comparison on the driver; data stays in DataFrames."""
+
+from __future__ import annotations
+
+import hashlib
+import importlib.util
+import itertools
+import json
+import os
+import platform
+import re
+from copy import deepcopy
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+
+#: Defaults of the sections whose unknown keys are errors; fixed values.
+SECTIONS = {
+    "encoder": {"type": "hashing", "params": {}},
+    "graph": {"learningrate": 0.12, "temporallearningrate": 0.08, "decay": 0.001, "decayinterval": 100, "rule": "covariance", "maxdegree": 128, "normalizeafterwrite": True, "allownegativeedges": False, "hubpenalty": 0.5, "maxpairfeatures": 128, "edgecondition": "learned", "edgeseed": 0},
+    "retrieval": {"topk": 5, "candidatelimit": 500, "recurrencesteps": 2, "featuretopk": 128, "queryanchor": 1.0, "associationstrength": 0.65, "temporalstrength": 0.15, "exactweight": 0.65, "associativeweight": 0.3, "temporalweight": 0.05, "recencyweight": 0.0, "confidenceweight": 0.0, "threshold": 0.0, "normalizemessages": True, "use_signed_messages": False},
+    "salience": {"base": 0.5, "surpriseweight": 0.25, "taskweight": 0.15, "userweight": 0.2, "noveltyweight": 0.25, "redundancyweight": 0.15, "minimum": 0.05, "maximum": 2.0},
+}
+_ENV = re.compile(r"\$\{(\w+)(?::-([^}]*))?\}")
+
+
+def expand_env(value):
+    """``${NAME:-default}`` in any string of a nested configuration; a missing name without default is an error."""
+    if isinstance(value, dict):
+        return {k: expand_env(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [expand_env(v) for v in value]
+    if not isinstance(value, str):
+        return value
+
+    def one(m: re.Match) -> str:
+        if m[1] in os.environ:
+            return os.environ[m[1]]
+        if m[2] is None:
+            raise KeyError(m[1])
+        return m[2]
+
+    return _ENV.sub(one, value)
+
+
+def load_config(path: str) -> dict:
+    """A JSON or YAML file, expanded and filled with defaults."""
+    p = Path(path)
+    if p.suffix == ".json":
+        raw = json.loads(p.read_text())
+    elif p.suffix in (".yaml", ".yml"):
+        if importlib.util.find_spec("yaml") is None:
+            raise RuntimeError("reading YAML needs the yaml package")
+        import yaml
+
+        raw = yaml.safe_load(p.read_text())
+    else:
+        raise ValueError(f"unsupported configuration file: {p.suffix}")
+    return resolve(expand_env(raw or {}))
+
+
+def resolve(raw: dict) -> dict:
+    config = {"name": "unnamed", "seed": 0, "dataset": {}, "memory": {}, "generator": {"type": "none"}, "evaluation": {}, "outputdir": "runs/unnamed", "notes": ""} | {k: v for k, v in raw.items()}
+    memory = {"variant": "v1", "store": {"type": "memory"}} | dict(config["memory"])
+    for section, defaults in SECTIONS.items():
+        given = dict(memory.get(section, {}))
+        if unknown := set(given) - set(defaults):
+            raise ValueError(f"unknown keys in {section}: {', '.join(sorted(unknown))}")
+        memory[section] = deepcopy(defaults) | given
+    return config | {"memory": memory}
+
+
+def set_path(root: dict, path: str, value) -> None:
+    *above, last = path.split(".")
+    for name in above:
+        root = root.setdefault(name, {})
+    root[last] = value
+
+
+def overlay(base: dict, *fragments: dict) -> dict:
+    """Fragments laid over a configuration, key by key."""
+    out = deepcopy(base)
+    for f in fragments:
+        for k, v in f.items():
+            out[k] = overlay(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else deepcopy(v)
+    return out
+
+
+def ablation_configs(base: dict, factors: dict[str, list], paths: dict[str, str]) -> list[tuple[str, dict, list[str]]]:
+    """(name, configuration, factors without a path) for every combination of factor values."""
+    out = []
+    for values in itertools.product(*factors.values()):
+        config, missed = deepcopy(base), []
+        for factor, value in zip(factors, values, strict=True):
+            if factor in paths or "." in factor:
+                set_path(config, paths.get(factor, factor), value)
+            else:
+                missed.append(factor)
+        out.append(("-".join(map(str, values)), config, missed))
+    return out
+
+
+def ablation_grid(spark: SparkSession, factors: dict[str, list]) -> DataFrame:
+    """A row per combination, with its name; the factors are literals of a configuration."""
+    rows = [(*v, "-".join(map(str, v))) for v in itertools.product(*factors.values())]
+    kinds = ", ".join(f"{k} {'int' if isinstance(v[0], int) else 'string'}" for k, v in factors.items())
+    return spark.createDataFrame(rows, f"{kinds}, name string")
+
+
+def environment(config: dict) -> dict:
+    import pyspark
+
+    digest = hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()
+    return {"python": platform.python_version(), "pyspark": pyspark.__version__, "platform": platform.platform(), "config_sha256": digest}
+
+
+def doctor() -> dict[str, bool]:
+    """Which optional packages can be imported."""
+    return {n: importlib.util.find_spec(n) is not None for n in ("pyspark", "pandas", "numpy", "pyarrow", "yaml", "duckdb", "xxhash", "tokenizers", "regex")}
