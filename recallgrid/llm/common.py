@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recallgrid.functions.lineage import scratch_dir
+
 #: Bytes that separate words: space and 0x09-0x0D; everything else belongs to a word.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
@@ -27,16 +27,6 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder.
-
-    ``spark.checkpoint.dir`` is read from the session. Only where it is unset, as in
-    local tests, a folder beside the warehouse is used instead.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: it cuts lineage and survives lost executors.
 

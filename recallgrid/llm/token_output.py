@@ -26,11 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import open_fs, scratch_dir, table, tokenizer_path
-from .pieces import split_pieces
+from .pieces import TIED
 
 MAGIC = b"RGTOKEN1"
 HEAD = struct.Struct("<8sII")
@@ -163,7 +164,7 @@ class PieceEncoder:
     """
 
     #: Pre-tokens and pieces that are kept; a full cache is emptied between portions of texts.
-    TOKENS, PIECES = 200_000, 800_000
+    TOKENS, PIECES = 100_000, 450_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -217,41 +218,56 @@ class PieceEncoder:
         for place, parts in others:
             values[place] = b"".join(map(value, parts))
 
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and where each text's end.
+
+        Pieces are cut and numbered by Arrow, so that Python sees each distinct one of a
+        portion once, and ids are put together by numpy.
+        """
         if len(self.tokens.values) > self.TOKENS:
             self.tokens = Slots()
         if len(self.pieces.values) > self.PIECES:
             self.pieces = Slots()
         tokens, pieces = self.tokens, self.pieces
-        cuts = [split_pieces(t, self.specials) for t in texts]
-        token_slot, piece_slot = tokens.__getitem__, pieces.__getitem__
-        firsts = [list(map(token_slot, self.pattern.findall(c[0]))) if c else None for c in cuts]
-        rests = [list(map(piece_slot, c[1])) if c else None for c in cuts]
+        whole = np.zeros(len(texts), bool)
+        for mark in (*TIED, *self.specials):
+            whole |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        given = texts.filter(pa.array(whole)).to_pylist()
+        cut = pc.split_pattern(pc.replace_substring(pc.if_else(pa.array(whole), "", texts), "\n", " \n"), " ")
+        begin = cut.offsets.to_numpy()[:-1] - cut.offsets[0].as_py()
+        coded = cut.flatten().dictionary_encode()
+        place, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        # A text's first piece follows no space: it has a value of its own.
+        firsts = names.take(pa.array(place[begin])).to_pylist()
+        by_first = [None if w else [tokens[t] for t in self.pattern.findall(f)] for f, w in zip(firsts, whole.tolist(), strict=True)]
+        place[begin] = len(names) + np.arange(len(texts))
+        used = np.zeros(len(names), bool)
+        used[place[place < len(names)]] = True
+        slots = [pieces[p] if u else -1 for p, u in zip(names.to_pylist(), used.tolist(), strict=True)]
         self._fill(tokens, pieces)
-        value, piece = tokens.values.__getitem__, pieces.values.__getitem__
-        return [self._ids(t) if f is None else np.frombuffer(b"".join([*map(value, f), *map(piece, r)]), np.uint32) for t, f, r in zip(texts, firsts, rests, strict=True)]
+        value, rest = tokens.values.__getitem__, iter(given)
+        values = [pieces.values[k] if k >= 0 else b"" for k in slots]
+        values += [self._ids(next(rest)).tobytes() if f is None else b"".join(map(value, f)) for f in by_first]
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        at = np.cumsum(sizes) - sizes
+        n = sizes[place]
+        end = np.cumsum(n)
+        ids = np.frombuffer(b"".join(values), np.uint32)[np.repeat(at[place] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
+        return ids, end[np.append(begin[1:], len(place)) - 1]
 
 
 #: Characters of text that are encoded together.
-TOGETHER = 1 << 21
+TOGETHER = 1 << 22
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
-def _portions(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
-    """Rows of (doc_id, text) in portions of about TOGETHER characters."""
-    ids, texts, size = [], [], 0
-    for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-        ids.append(doc_id.as_py())
-        texts.append(text.as_py())
-        size += len(texts[-1])
-        if size >= TOGETHER:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
+def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of (doc_id, text) of about TOGETHER characters."""
+    ends = np.cumsum(pc.utf8_length(batch.column(1)).to_numpy().astype(np.int64)) // TOGETHER
+    cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), batch.num_rows]
+    return (batch.slice(s, e - s) for s, e in zip(cuts, cuts[1:], strict=False) if e > s)
 
 
 def write_token_files(docs: DataFrame, out_dir: str, path: str, vocab_size: int, end_id: int = 0, shard_bytes: int = 64 << 20) -> list[dict]:
@@ -271,7 +287,7 @@ def write_token_files(docs: DataFrame, out_dir: str, path: str, vocab_size: int,
         if path not in _ENCODERS:
             _ENCODERS[path] = PieceEncoder(path)
         encode_all, shard, writer = _ENCODERS[path].encode_all, TaskContext.get().partitionId(), None
-        end = np.array([end_id], np.uint32)
+        end = np.uint32(end_id)
         files, root = open_fs(out_dir)
         name, own = f"tokens-{shard:06d}.bin", f".{uuid.uuid4().hex}.tmp"
         for batch in batches:
@@ -279,9 +295,12 @@ def write_token_files(docs: DataFrame, out_dir: str, path: str, vocab_size: int,
                 files.create_dir(root, recursive=True)
                 out = files.open_output_stream(f"{root}/{own}")
                 writer = PackedWriter(out, vocab_size)
-            for ids, texts in _portions(batch):
-                for doc_id, made in zip(ids, encode_all(texts), strict=True):
-                    writer.add(doc_id, np.concatenate([made, end]))
+            for part in _portions(batch):
+                ids, ends = encode_all(part.column(1))
+                start = 0
+                for doc_id, stop in zip(part.column(0).to_pylist(), ends.tolist(), strict=True):
+                    writer.add(doc_id, np.append(ids[start:stop], end))
+                    start = stop
         if writer is not None:
             writer.close()
             out.close()
