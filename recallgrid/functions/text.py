@@ -51,7 +51,7 @@ def md5_bucket(feature: Column, dimension: int) -> Column:
 def normalize_answer(text: Column) -> Column:
     """Lower case, no ASCII punctuation, no articles, single spaces."""
     plain = F.regexp_replace(F.lower(text), r"[!-/:-@\[-`{-~]", "")
-    without = F.regexp_replace(plain, r"\b(a|an|the)\b", " ")
+    without = F.regexp_replace(plain, r"(?U)\b(a|an|the)\b", " ")  # word ends of any script
     return F.trim(F.regexp_replace(without, r"\s+", " "))
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from recallgrid.functions.lineage import settle
+
 from .graph import degrees
 
 FLOOR = 1e-12
@@ -71,11 +73,10 @@ def _sum(parts: list[DataFrame]) -> DataFrame:
 def recall(query: DataFrame, association: DataFrame, temporal: DataFrame, steps: int = 2, k: int = 128, anchor: float = 1.0, beta: float = 0.65, gamma: float = 0.15, hub: float = 0.5, threshold: float = 0.0, normalize: bool = True, signed: bool = False, extra=None) -> tuple[DataFrame, DataFrame]:
     """(final state, temporal state) after ``steps`` rounds; ``extra`` may add messages from a state.
 
-    Edges and states are read several times and so are kept (on disk where memory is short);
-    lineage is cut with checkpoint() every second step when there are more than two.
+    Edges and states are read several times and so are written, which also keeps plans small.
     """
-    a = scaled_edges(association, normalize).persist()
-    t = scaled_edges(temporal, normalize).persist()
+    a = settle(scaled_edges(association, normalize), "association")
+    t = settle(scaled_edges(temporal, normalize), "temporal")
     penalty = degrees(association).select("ns", F.col("src").alias("feature"), F.pow(1 + F.col("degree"), F.lit(hub)).alias("_p"))
     state, moved = query, []
     for step in range(steps):
@@ -84,9 +85,7 @@ def recall(query: DataFrame, association: DataFrame, temporal: DataFrame, steps:
         moved += both
         parts = [_scaled_by(query, anchor), assoc, *[_scaled_by(m, gamma) for m in both]]
         parts += extra(state) if extra else []
-        state = topk_normalize(_sum(parts), k, threshold, signed).persist()
-        if steps > 2 and step % 2 == 1:
-            state = state.checkpoint()
+        state = settle(topk_normalize(_sum(parts), k, threshold, signed), f"state{step}")
     if not moved:
         return query, query.limit(0)
     timed = _sum(moved)

@@ -14,7 +14,7 @@ from recallgrid.operators import maintain as M
 from recallgrid.operators import rank as K
 from recallgrid.operators import recall as R
 
-from .registry import cte, query, read
+from .registry import cte, query, read, shared
 
 KEEP = 8
 Q = lambda c, n=6: f"floor(({c}) * 1e{n} + 0.5) / 1e{n}"
@@ -25,10 +25,11 @@ def coded(spark, d, k=KEEP, **options):
     return read(spark, d, "embeddings").select("vec_id", "label", V.from_dense(F.col("embedding"), k, **options).alias("code"))
 
 
+@shared
 def codes(spark, d):
     """(ns, episode_id, seq, feature, w)."""
     rows = V.rows(coded(spark, d), "code", "vec_id", "label")
-    return rows.select(F.col("label").alias("ns"), F.col("vec_id").alias("episode_id"), F.col("vec_id").alias("seq"), "feature", "w").persist()
+    return rows.select(F.col("label").alias("ns"), F.col("vec_id").alias("episode_id"), F.col("vec_id").alias("seq"), "feature", "w")
 
 
 cte("entries", "SELECT vec_id, label, CAST(i - 1 AS INTEGER) AS feature, CAST(embedding[i] AS DOUBLE) AS x FROM (SELECT vec_id, label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
@@ -145,14 +146,16 @@ def writes(c):
     return GR.with_write_number(c).select("ns", "t").distinct()
 
 
+@shared
 def edges(spark, d, rule):
     c = codes(spark, d)
-    return GR.closed_form(GR.pair_deltas(c, rule), writes(c)).persist()
+    return GR.closed_form(GR.pair_deltas(c, rule), writes(c))
 
 
+@shared
 def temporal(spark, d):
     c = codes(spark, d)
-    return GR.closed_form(GR.temporal_deltas(c, ["ns"]), writes(c)).persist()
+    return GR.closed_form(GR.temporal_deltas(c, ["ns"]), writes(c))
 
 
 def shown(e, digits=9):
@@ -313,6 +316,7 @@ def state_topk_normalize(spark, d):
     return shown_state(R.topk_normalize(asked(spark, d), 4, 0.2, signed=True))
 
 
+@shared
 def recalled(spark, d, steps):
     return R.recall(asked(spark, d), edges(spark, d, "hebb"), temporal(spark, d), steps)
 
@@ -345,6 +349,7 @@ def edge_visits(spark, d):
 cte("index_t", "SELECT ns, episode_id, feature, w * 0.75 AS w FROM codes QUALIFY row_number() OVER (PARTITION BY ns, episode_id ORDER BY abs(w) DESC, feature) <= 6")
 
 
+@shared
 def index(spark, d):
     return GR.episode_index(codes(spark, d), 0.75, 6)
 
@@ -391,6 +396,7 @@ def contexts(spark, d):
     return rows.select(F.col("label").alias("ns"), F.col("vec_id").alias("episode_id"), "feature", "w")
 
 
+@shared
 def links(spark, d):
     return GR.context_graph(contexts(spark, d), codes(spark, d), 0.1, ["ns", "episode_id"], 32)
 
@@ -422,6 +428,7 @@ cte("completed", """SELECT ns, query_id, feature, v / sqrt(sum(v * v) OVER (PART
         SELECT * FROM summed1 UNION ALL SELECT ns, query_id, feature, 0.35 * v FROM fb UNION ALL SELECT ns, query_id, feature, 0.25 * v FROM cmsg) GROUP BY 1, 2, 3 HAVING sum(v) >= 0)""")
 
 
+@shared
 def completed(spark, d):
     """One step, with all episodes of a namespace taking part in the feedback."""
     return R.complete(asked(spark, d), edges(spark, d, "hebb"), temporal(spark, d), index(spark, d), cmsg(spark, d), top=1 << 30, steps=1)
@@ -440,6 +447,7 @@ cte("ranked_v1", f"""SELECT ns, query_id, episode_id, {Q('score')} AS score, row
     FROM (SELECT *, 0.65 * exact + 0.3 * associative + 0.05 * temporal AS score FROM parts_v1) QUALIFY rank <= 5""")
 
 
+@shared
 def ranked_v1(spark, d):
     """Top five other episodes of the namespace for every embedding."""
     query_state, c = asked(spark, d), codes(spark, d)

@@ -6,21 +6,44 @@ and gets the expressions it needs, in the order in which they were defined.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from recallgrid.functions.lineage import settle
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 CTES: dict[str, str] = {}
+_SHARED: dict = {}
+
+
+def shared(f):
+    """A table that several parts of one query use: made once for each query that is built, and written."""
+
+    @functools.wraps(f)
+    def once(spark, d, *args):
+        key = (f.__module__, f.__name__, d, *args)
+        if key not in _SHARED:
+            made = f(spark, d, *args)
+            _SHARED[key] = tuple(settle(x) for x in made) if isinstance(made, tuple) else settle(made)
+        return _SHARED[key]
+
+    return once
 
 
 def query(name: str, sql: str | None = None):
     """Registers a query function, with a final select over the named expressions."""
 
     def add(f):
-        QUERIES[name] = f
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            _SHARED.clear()
+            return f(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLE_SQL[name] = with_ctes(sql)
         return f

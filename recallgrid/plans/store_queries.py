@@ -104,8 +104,8 @@ def source_policy(spark, d):
     return read(spark, d, "documents").select("doc_id", G.checksum_for(F.col("text"), F.lit(None).cast("string"), F.col("doc_id") % 4 == 0).alias("checksum"))
 
 
-@query("corrections", """SELECT e.event_id AS episode_id, CASE WHEN n IS NULL THEN 'observed' ELSE 'superseded' END AS status, CASE WHEN n IS NULL THEN 1.0 ELSE 0.25 END AS confidence,
-    CASE WHEN n IS NULL THEN 1.0 ELSE greatest(0.0, 1.0 - 0.35 * n) END AS authority, superseded_by
+@query("corrections", """SELECT e.event_id AS episode_id, CASE WHEN n IS NULL THEN 'observed' ELSE 'superseded' END AS status, CAST(CASE WHEN n IS NULL THEN 1.0 ELSE 0.25 END AS DOUBLE) AS confidence,
+    CAST(CASE WHEN n IS NULL THEN 1.0 ELSE greatest(0.0, 1.0 - 0.35 * n) END AS DOUBLE) AS authority, superseded_by
     FROM events e LEFT JOIN (SELECT event_id - (event_id % 7) AS old_id, count(*) AS n, max(event_id) AS superseded_by FROM events WHERE event_type = 'error' AND event_id % 7 <> 0 GROUP BY 1) c ON c.old_id = e.event_id""")
 def corrections(spark, d):
     ev = read(spark, d, "events")
@@ -226,7 +226,7 @@ def inject_prompt(spark, d):
 
 # --- metrics ----------------------------------------------------------------------------------------
 
-cte("plain", r"SELECT conv_id, turn, text, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g')) AS n FROM conversations")
+cte("plain", r"SELECT conv_id, turn, text, array_to_string(list_filter(string_split_regex(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '\s+'), lambda w: w NOT IN ('', 'a', 'an', 'the')), ' ') AS n FROM conversations")
 cte("pairs_t", "SELECT a.conv_id, a.n AS p, b.n AS a FROM plain a JOIN plain b ON b.conv_id = a.conv_id AND b.turn = 1 WHERE a.turn = 0")
 
 
