@@ -12,7 +12,7 @@ EXACT, ASSOCIATIVE, TEMPORAL = 0.65, 0.30, 0.05
 def recency_score(ts: Column, as_of: Column, half_life_days: float = 30.0) -> Column:
     """Halves every ``half_life_days``; 0 for a missing time, 1 for one in the future."""
     age = F.greatest(F.lit(0.0), (as_of.cast("timestamp").cast("double") - ts.cast("timestamp").cast("double")) / 86400.0)
-    return F.coalesce(F.pow(F.lit(2.0), -age / max(half_life_days, 1e-6)), F.lit(0.0))
+    return F.when(ts.isNotNull(), F.pow(F.lit(2.0), -age / max(half_life_days, 1e-6))).otherwise(0.0)
 
 
 def score_parts(candidates: DataFrame, codes: DataFrame, states: dict[str, DataFrame]) -> DataFrame:
