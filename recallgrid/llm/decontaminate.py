@@ -1,8 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 One pass over all documents counts how many contain each word n-gram of the test items.
-In every run of SPREAD neighbouring n-grams of an item, the rarest one becomes a seed, so
-that any copied run of a few words holds a seed however common a passage is. A second
+Those that are not much more frequent than an item's median one become its seeds, and in
+every run of SPREAD neighbouring n-grams the rarest one, so that any copied run of a few
+words holds a seed however common a passage is. A second
 pass finds the seeds, joins passages to items where seeds agree on the shift between the
 two, and aligns the words of passage and item locally (match +2, mismatch and gap -1).
 The score is the alignment's share of the item's best possible one; pairs from
@@ -33,6 +34,8 @@ from .common import table
 
 #: Words of an n-gram, and neighbouring n-grams of which the rarest is a seed.
 GRAM, SPREAD = 3, 4
+#: N-grams of an item that are more frequent than this many times its median one are no seeds, unless the rarest nearby.
+COMMON = 8
 #: Characters of test items that go to the tasks together.
 BLOCK_CHARS = 8_000_000
 #: Shifts this far apart belong to different passages.
@@ -94,12 +97,17 @@ class Items:
 
 
 def rare_seeds(grams: np.ndarray, documents: dict[int, int]) -> np.ndarray:
-    """Places of the seeds of one item: the rarest of each SPREAD neighbouring n-grams."""
+    """Places of the seeds of one item: n-grams no more than COMMON times as frequent as its median one, and the rarest of each SPREAD neighbours.
+
+    The first kind covers edited copies, whose unbroken n-grams are a little more frequent
+    than the broken ones; the second leaves no stretch of the item without a seed.
+    """
     counts = np.array([documents.get(int(g), 0) for g in grams])
+    usual = np.flatnonzero(counts <= COMMON * max(1, np.sort(counts)[(len(counts) - 1) // 2]))
     if len(counts) <= SPREAD:
-        return np.flatnonzero(counts == counts.min())
+        return np.union1d(usual, np.flatnonzero(counts == counts.min()))
     view = np.lib.stride_tricks.sliding_window_view(counts, SPREAD)
-    return np.unique(view.argmin(axis=1) + np.arange(len(view)))
+    return np.union1d(usual, view.argmin(axis=1) + np.arange(len(view)))
 
 
 def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

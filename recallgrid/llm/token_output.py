@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,21 +129,50 @@ class PackedReader:
         return np.concatenate(parts)[start - first * self.block :][:n]
 
 
-class Slots(dict):
-    """string -> place in ``values``; strings that are asked for the first time wait in ``new`` for their values."""
+class IdTable:
+    """Ids of strings, found by 128-bit digests in sorted arrays: about 40 bytes a string instead of 250 in a dict."""
 
     def __init__(self):
-        self.values: list[bytes] = []
-        self.new: list[str] = []
-
-    def __missing__(self, key: str) -> int:
-        self[key] = place = len(self.values) + len(self.new)
-        self.new.append(key)
-        return place
-
-    def fill(self, values: list[bytes]) -> None:
-        self.values += values
-        self.new = []
+        self.runs: list[np.ndarray] = []  # sorted by digest; columns: digest (2), place, number of ids
+        self.ids = np.empty(1 << 16, np.uint32)
+        self.n_ids = self.n = 0
+
+    @staticmethod
+    def digests(names: list[str]) -> np.ndarray:
+        digest = xxhash.xxh3_128_digest
+        return np.frombuffer(b"".join([digest(x.encode()) for x in names]), np.uint64).reshape(-1, 2)
+
+    def find(self, digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, number of ids) of each digest; a place of -1 where it is not known."""
+        place, size = np.full(len(digests), -1, np.int64), np.zeros(len(digests), np.int64)
+        for run in self.runs:
+            k = np.minimum(np.searchsorted(run[:, 0], digests[:, 0]), len(run) - 1)
+            same = (run[k, 0] == digests[:, 0]) & (run[k, 1] == digests[:, 1])
+            place[same], size[same] = run[k[same], 2].astype(np.int64), run[k[same], 3].astype(np.int64)
+        return place, size
+
+    def put(self, values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Appends ids; gives their places and numbers."""
+        size = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        new = np.frombuffer(b"".join(values), np.uint32)
+        if self.n_ids + len(new) > len(self.ids):
+            grown = np.empty(max(2 * len(self.ids), self.n_ids + len(new)), np.uint32)
+            grown[: self.n_ids] = self.ids[: self.n_ids]
+            self.ids = grown
+        self.ids[self.n_ids : self.n_ids + len(new)] = new
+        place = self.n_ids + np.cumsum(size) - size
+        self.n_ids += len(new)
+        return place, size
+
+    def add(self, digests: np.ndarray, values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        place, size = self.put(values)
+        if len(digests):
+            run = np.column_stack([digests, place.astype(np.uint64), size.astype(np.uint64)])
+            self.n += len(run)
+            while self.runs and len(self.runs[-1]) < 2 * len(run):  # sizes double, so runs are few
+                run = np.concatenate([self.runs.pop(), run])
+            self.runs.append(run[np.argsort(run[:, 0], kind="stable")])
+        return place, size
 
 
 #: Punctuation that is a pre-token of its own after a word.
@@ -163,8 +193,8 @@ class PieceEncoder:
     results. Texts that must go whole (see pieces.py) are encoded whole.
     """
 
-    #: Pre-tokens and pieces that are kept; a full cache is emptied between portions of texts.
-    TOKENS, PIECES = 100_000, 450_000
+    #: Strings that a table keeps; a full table is emptied between portions of texts.
+    KEPT = 500_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -179,7 +209,7 @@ class PieceEncoder:
         self.between = next(iter(special.items()), None)
         # The byte-level pre-tokenizer's fixed pattern.
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-        self.tokens, self.pieces = Slots(), Slots()
+        self.tokens, self.pieces = IdTable(), IdTable()
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
@@ -197,26 +227,25 @@ class PieceEncoder:
         data = ids.tobytes()
         return [data[s:e] for s, e in zip([0, *(c + 4 for c in cuts)], [*cuts, len(data)], strict=True)]
 
-    def _fill(self, tokens: Slots, pieces: Slots) -> None:
-        """Values of the new pieces: a plain word is a pre-token, a closed one a word and its mark, others go by the pattern."""
-        words, closed, others = [], [], []
-        for place, piece in enumerate(pieces.new, len(pieces.values)):  # grows by the words of closed pieces
-            if plain(piece):
-                words.append((place, " " + piece))
-            elif piece[-1:] in CLOSING and plain(piece[:-1]):
-                closed.append((place, pieces[piece[:-1]], tokens[piece[-1]]))
-            else:
-                others.append((place, [tokens[t] for t in self.pattern.findall(piece if piece[:1] == "\n" else " " + piece)]))
-        learnt = self._learn([w for _, w in words] + tokens.new)
-        tokens.fill(learnt[len(words) :])
-        pieces.fill([b""] * len(pieces.new))
-        values, value = pieces.values, tokens.values.__getitem__
-        for (place, _), ids in zip(words, learnt, strict=False):
-            values[place] = ids
-        for place, word, mark in closed:
-            values[place] = values[word] + value(mark)
-        for place, parts in others:
-            values[place] = b"".join(map(value, parts))
+    def _cut(self, piece: str) -> list[str]:
+        """Pre-tokens of a piece that follows a space or starts with a line end."""
+        if plain(piece):
+            return [" " + piece]
+        if piece[-1:] in CLOSING and plain(piece[:-1]):
+            return [" " + piece[:-1], piece[-1]]
+        return self.pattern.findall(piece if piece[:1] == "\n" else " " + piece)
+
+    def _values(self, cuts: list[list[str]]) -> list[bytes]:
+        """The ids of strings that are cut into pre-tokens."""
+        names = list({t for cut in cuts for t in cut})
+        digests = self.tokens.digests(names)
+        place, size = self.tokens.find(digests)
+        new = np.flatnonzero(place < 0)
+        place[new], size[new] = self.tokens.add(digests[new], self._learn([names[k] for k in new.tolist()]))
+        data = self.tokens.ids[: self.tokens.n_ids].tobytes() if len(names) > 1 << 14 else self.tokens.ids
+        get = (lambda s, n: data[4 * s : 4 * (s + n)]) if isinstance(data, bytes) else (lambda s, n: data[s : s + n].tobytes())
+        known = {t: get(s, n) for t, s, n in zip(names, place.tolist(), size.tolist(), strict=True)}
+        return [b"".join([known[t] for t in cut]) for cut in cuts]
 
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and where each text's end.
@@ -224,40 +253,38 @@ class PieceEncoder:
         Pieces are cut and numbered by Arrow, so that Python sees each distinct one of a
         portion once, and ids are put together by numpy.
         """
-        if len(self.tokens.values) > self.TOKENS:
-            self.tokens = Slots()
-        if len(self.pieces.values) > self.PIECES:
-            self.pieces = Slots()
-        tokens, pieces = self.tokens, self.pieces
+        if self.tokens.n > self.KEPT:
+            self.tokens = IdTable()
+        if self.pieces.n > self.KEPT:
+            self.pieces = IdTable()
         whole = np.zeros(len(texts), bool)
         for mark in (*TIED, *self.specials):
             whole |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
-        given = texts.filter(pa.array(whole)).to_pylist()
+        given = iter(texts.filter(pa.array(whole)).to_pylist())
         cut = pc.split_pattern(pc.replace_substring(pc.if_else(pa.array(whole), "", texts), "\n", " \n"), " ")
         begin = cut.offsets.to_numpy()[:-1] - cut.offsets[0].as_py()
         coded = cut.flatten().dictionary_encode()
-        place, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        piece, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
         # A text's first piece follows no space: it has a value of its own.
-        firsts = names.take(pa.array(place[begin])).to_pylist()
-        by_first = [None if w else [tokens[t] for t in self.pattern.findall(f)] for f, w in zip(firsts, whole.tolist(), strict=True)]
-        place[begin] = len(names) + np.arange(len(texts))
-        used = np.zeros(len(names), bool)
-        used[place[place < len(names)]] = True
-        slots = [pieces[p] if u else -1 for p, u in zip(names.to_pylist(), used.tolist(), strict=True)]
-        self._fill(tokens, pieces)
-        value, rest = tokens.values.__getitem__, iter(given)
-        values = [pieces.values[k] if k >= 0 else b"" for k in slots]
-        values += [self._ids(next(rest)).tobytes() if f is None else b"".join(map(value, f)) for f in by_first]
-        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        at = np.cumsum(sizes) - sizes
-        n = sizes[place]
+        firsts = self._values([self.pattern.findall(names[k]) for k in piece[begin].tolist()])
+        firsts = [self._ids(next(given)).tobytes() if w else f for f, w in zip(firsts, whole.tolist(), strict=True)]
+        digests = self.pieces.digests(names)
+        at, size = self.pieces.find(digests)
+        new = np.flatnonzero(at < 0)
+        at[new], size[new] = self.pieces.add(digests[new], self._values([self._cut(names[k]) for k in new.tolist()]))
+        kept = self.pieces.n_ids
+        first_at, first_size = self.pieces.put(firsts)
+        self.pieces.n_ids = kept  # they are no pieces: the next ones overwrite them
+        at, size = np.concatenate([at, first_at]), np.concatenate([size, first_size])
+        piece[begin] = len(names) + np.arange(len(texts))
+        n = size[piece]
         end = np.cumsum(n)
-        ids = np.frombuffer(b"".join(values), np.uint32)[np.repeat(at[place] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
-        return ids, end[np.append(begin[1:], len(place)) - 1]
+        ids = self.pieces.ids[np.repeat(at[piece] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
+        return ids, end[np.append(begin[1:], len(piece)) - 1]
 
 
 #: Characters of text that are encoded together.
-TOGETHER = 1 << 22
+TOGETHER = 1 << 20
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -301,6 +328,7 @@ def write_token_files(docs: DataFrame, out_dir: str, path: str, vocab_size: int,
                 for doc_id, stop in zip(part.column(0).to_pylist(), ends.tolist(), strict=True):
                     writer.add(doc_id, np.append(ids[start:stop], end))
                     start = stop
+                pa.default_memory_pool().release_unused()
         if writer is not None:
             writer.close()
             out.close()
