@@ -214,7 +214,7 @@ def edge_decay(spark, d):
     return shown(GR.decayed(edges(spark, d, "hebb"), 0.05))
 
 
-cte("pruned_t", f"SELECT * FROM hebb_edges_t QUALIFY row_number() OVER (PARTITION BY ns, src ORDER BY {Q('abs(w)', 12)} DESC, dst) <= 6")
+cte("pruned_t", f"SELECT * FROM (SELECT ns, src, dst, {Q('w', 12)} AS w FROM hebb_edges_t) QUALIFY row_number() OVER (PARTITION BY ns, src ORDER BY abs(w) DESC, dst) <= 6")
 
 
 def pruned(spark, d):
@@ -547,14 +547,14 @@ def prototype_average(spark, d):
     return M.prototypes(members, codes(spark, d), 12).withColumn("w", quantize(F.col("w")))
 
 
-@query("similar_pairs", f"SELECT ns, a, b FROM dots WHERE {Q('dot')} >= 0.6")
+@query("similar_pairs", f"SELECT ns, a, b FROM dots WHERE {Q('dot')} >= 0.35")
 def similar_pairs(spark, d):
-    return dots(spark, d).join(read(spark, d, "embeddings").select(F.col("vec_id").alias("a"), F.col("label").alias("ns")), "a").filter(quantize(F.col("dot")) >= 0.6).select("ns", "a", "b")
+    return dots(spark, d).join(read(spark, d, "embeddings").select(F.col("vec_id").alias("a"), F.col("label").alias("ns")), "a").filter(quantize(F.col("dot")) >= 0.35).select("ns", "a", "b")
 
 
 @query("consolidate")
 def consolidate(spark, d):
-    return M.greedy_groups(codes(spark, d), 0.6, 2)
+    return M.greedy_groups(codes(spark, d), 0.35, 2)
 
 
 def numpy_codes(vectors: np.ndarray, k: int = KEEP) -> np.ndarray:
