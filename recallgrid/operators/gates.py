@@ -153,12 +153,37 @@ def births(scored: DataFrame, slots: int, threshold: float = 0.75) -> DataFrame:
     return born.withColumn("slot", F.row_number().over(W.partitionBy("ns").orderBy("seq")) - 1).filter(F.col("slot") < slots)
 
 
-def maturation(births_: DataFrame, hits: DataFrame, needed: int = 3) -> DataFrame:
-    """(feature_id, verified_hits, false_hits, status) from hit rows (feature_id, helpful)."""
-    counts = hits.groupBy("feature_id").agg(F.sum(F.col("helpful").cast("long")).alias("verified_hits"), F.sum((~F.col("helpful")).cast("long")).alias("false_hits"))
-    joined = births_.select("feature_id").join(counts, "feature_id", "left").fillna(0, ["verified_hits", "false_hits"])
-    status = F.when(F.col("verified_hits") >= needed, "mature").when(F.col("false_hits") >= needed, "pruned").otherwise("immature")
-    return joined.withColumn("status", status)
+def maturation(hits: DataFrame, needed: int = 3, authority: float = 0.10) -> DataFrame:
+    """(feature_id, verified_hits, false_hits, maturity, authority, status) after ordered hits (feature_id, seq, helpful).
+
+    A stream sorted by feature and seq is folded; authority stays within 0 and 1.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["feature_id", "verified_hits", "false_hits", "maturity", "authority", "status"]
+        now = None
+        for p in parts:
+            done = []
+            for feature, helpful in zip(p["feature_id"], p["helpful"], strict=True):
+                if now is None or now[0] != feature:
+                    done += [now] if now else []
+                    now = [feature, 0, 0, 0.0, authority, "immature"]
+                if helpful:
+                    now[1] += 1
+                    now[3], now[4] = min(1.0, now[3] + 1.0 / max(1, needed)), min(1.0, now[4] + 0.25)
+                else:
+                    now[2] += 1
+                    now[4] = max(0.0, now[4] - 0.25)
+                if now[1] >= needed:
+                    now[5] = "mature"
+                if now[2] > now[1] + 2:
+                    now[4], now[5] = 0.0, "pruned"
+            yield pd.DataFrame(done, columns=columns)
+        yield pd.DataFrame([now] if now else [], columns=columns)
+
+    kind = hits.schema["feature_id"].dataType.simpleString()
+    ordered = hits.select("feature_id", "seq", "helpful").repartition("feature_id").sortWithinPartitions("feature_id", "seq")
+    return ordered.mapInPandas(run, f"feature_id {kind}, verified_hits long, false_hits long, maturity double, authority double, status string")
 
 
 def status(meta: Column) -> Column:

@@ -76,11 +76,11 @@ def greedy_groups(codes: DataFrame, threshold: float, least: int) -> DataFrame:
         ns_now, used, seed, group = None, set(), None, []
 
         def close():
-            if seed is None or len(group) + 1 < least:
+            if seed is None or seed in used:
                 return []
             used.add(seed)
-            used.update(group)
-            return [(ns_now, seed, x) for x in [seed, *group]]
+            used.update(group)  # taken even where the group is too small to keep
+            return [(ns_now, seed, x) for x in [seed, *group]] if len(group) + 1 >= least else []
 
         for p in parts:
             done = []

@@ -57,11 +57,16 @@ def access_record(episodes: DataFrame, results: DataFrame, as_of: Column) -> Dat
     return joined.withColumn("access_count", F.col("access_count") + F.coalesce("_hits", F.lit(0).cast("long"))).withColumn("last_access", F.when(F.col("_hits").isNotNull(), as_of).otherwise(F.col("last_access"))).drop("_hits")
 
 
-def after_use(results: DataFrame, helpful: bool = True) -> DataFrame:
-    """(episode_id, confidence and authority changes) from rank (from 1) and has_checksum."""
-    share = 1.0 / F.col("rank") if helpful else F.lit(1.0)
-    up, trust = (0.02, 0.01) if helpful else (-0.10, -0.05)
-    return results.groupBy("episode_id").agg(F.sum(up * share).alias("confidence_change"), F.sum(F.when(F.col("has_checksum") if helpful else F.lit(True), trust * share).otherwise(0.0)).alias("authority_change"))
+def after_use(results: DataFrame, verified: bool | None = None) -> DataFrame:
+    """(episode_id, confidence and authority changes) from rank (from 1) and has_checksum.
+
+    Verified results, or without a verdict those with a checksum, gain by rank; failed ones lose.
+    """
+    if verified is False:
+        return results.groupBy("episode_id").agg(F.sum(F.lit(-0.10)).alias("confidence_change"), F.sum(F.lit(-0.05)).alias("authority_change"))
+    good = F.lit(True) if verified else F.col("has_checksum")
+    gain = lambda most: F.sum(F.when(good, most * (1.0 / F.col("rank"))).otherwise(0.0))
+    return results.groupBy("episode_id").agg(gain(0.02).alias("confidence_change"), gain(0.01).alias("authority_change"))
 
 
 # Fixed texts of the prompt.

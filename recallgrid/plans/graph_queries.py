@@ -497,7 +497,7 @@ def retrieve_v2(spark, d):
     return K.ranked(scored, 5).select("ns", "query_id", "episode_id", "score", "rank")
 
 
-@query("after_use_feedback", f"SELECT episode_id, {Q('sum(0.02 * (1.0 / rank))')} AS confidence_change, {Q('sum(CASE WHEN episode_id % 3 <> 0 THEN 0.01 * (1.0 / rank) ELSE 0.0 END)')} AS authority_change FROM ranked_v1 GROUP BY episode_id")
+@query("after_use_feedback", f"SELECT episode_id, {Q('sum(CASE WHEN episode_id % 3 <> 0 THEN 0.02 * (1.0 / rank) ELSE 0.0 END)')} AS confidence_change, {Q('sum(CASE WHEN episode_id % 3 <> 0 THEN 0.01 * (1.0 / rank) ELSE 0.0 END)')} AS authority_change FROM ranked_v1 GROUP BY episode_id")
 def after_use_feedback(spark, d):
     out = K.after_use(ranked_v1(spark, d).withColumn("has_checksum", F.col("episode_id") % 3 != 0))
     return out.select("episode_id", quantize(F.col("confidence_change")).alias("confidence_change"), quantize(F.col("authority_change")).alias("authority_change"))

@@ -85,11 +85,18 @@ def birth_slots(spark, d):
     return G.births(scored, 4, 0.5).select(F.col("ns").alias("user_id"), F.col("seq").alias("event_id"), "slot")
 
 
-@query("maturation", """SELECT user_id AS feature_id, count(*) FILTER (WHERE value > 20) AS verified_hits, count(*) FILTER (WHERE value <= 20) AS false_hits,
-    CASE WHEN count(*) FILTER (WHERE value > 20) >= 30 THEN 'mature' WHEN count(*) FILTER (WHERE value <= 20) >= 30 THEN 'pruned' ELSE 'immature' END AS status FROM events GROUP BY user_id""")
+cte("hit_rows", "SELECT user_id AS f, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, value > 20 AS h FROM events")
+cte("mature_t", """SELECT f, k, CAST(h AS BIGINT) AS v, CAST(NOT h AS BIGINT) AS x, CASE WHEN h THEN 0.35 ELSE 0.0 END :: DOUBLE AS a, 'immature' AS s FROM hit_rows WHERE k = 1
+    UNION ALL SELECT n.f, n.k, m.v + CAST(n.h AS BIGINT), m.x + CAST(NOT n.h AS BIGINT),
+        CASE WHEN m.x + CAST(NOT n.h AS BIGINT) > m.v + CAST(n.h AS BIGINT) + 2 THEN 0.0 WHEN n.h THEN least(1.0, m.a + 0.25) ELSE greatest(0.0, m.a - 0.25) END :: DOUBLE,
+        CASE WHEN m.x + CAST(NOT n.h AS BIGINT) > m.v + CAST(n.h AS BIGINT) + 2 THEN 'pruned' WHEN m.v + CAST(n.h AS BIGINT) >= 3 THEN 'mature' ELSE m.s END
+    FROM mature_t m JOIN hit_rows n ON n.f = m.f AND n.k = m.k + 1""")
+
+
+@query("maturation", f"SELECT f AS feature_id, v AS verified_hits, x AS false_hits, {Q('least(1.0, v / 3.0)')} AS maturity, {Q('a')} AS authority, s AS status FROM mature_t QUALIFY row_number() OVER (PARTITION BY f ORDER BY k DESC) = 1")
 def maturation(spark, d):
-    ev = read(spark, d, "events").select(F.col("user_id").alias("feature_id"), (F.col("value") > 20).alias("helpful"))
-    return G.maturation(ev.select("feature_id").distinct(), ev, 30)
+    out = G.maturation(read(spark, d, "events").select(F.col("user_id").alias("feature_id"), F.col("event_id").alias("seq"), (F.col("value") > 20).alias("helpful")))
+    return out.withColumn("maturity", quantize(F.col("maturity"))).withColumn("authority", quantize(F.col("authority")))
 
 
 @query("status_authority", f"SELECT event_id, CASE WHEN event_type = 'view' THEN 'rejected' WHEN is_error THEN 'hypothetical' ELSE 'observed' END AS status, {Q('CASE WHEN is_error THEN 0.0 ELSE greatest(0.0, 1.0 - k / 200) END')} AS authority FROM meta")

@@ -68,6 +68,18 @@ def test_greedy_groups(spark):
     assert got == {(0, 0), (0, 1), (0, 3), (2, 2), (2, 4)}
 
 
+def test_small_groups_use_up_their_members(spark):
+    rows = [(0, s, f, w) for s, code in enumerate([{1: 1.0}, {1: 0.9, 2: 0.9}, {2: 1.0}, {2: 1.0}]) for f, w in code.items()]
+    codes = spark.createDataFrame(rows, "ns int, seq long, feature int, w double")
+    assert M.greedy_groups(codes, 0.8, 3).count() == 0  # 0 takes 1; 2 and 3 are too few
+
+
+def test_maturation(spark):
+    hits = [("a", k, True) for k in range(3)] + [("b", k, False) for k in range(3)] + [("c", 0, True)]
+    got = {r.feature_id: (r.verified_hits, r.false_hits, round(r.authority, 3), r.status) for r in G.maturation(spark.createDataFrame(hits, "feature_id string, seq int, helpful boolean")).collect()}
+    assert got == {"a": (3, 0, 0.85, "mature"), "b": (0, 3, 0.0, "pruned"), "c": (1, 0, 0.35, "immature")}
+
+
 def test_retrieval_metrics(spark):
     results = spark.createDataFrame([("q", 1, "a"), ("q", 2, "x"), ("q", 3, "b")], "query_id string, rank int, episode_id string")
     gold = spark.createDataFrame([("q", "a"), ("q", "b")], "query_id string, episode_id string")
@@ -113,7 +125,8 @@ def test_recency_and_feedback(spark):
     assert value(spark, K.recency_score(F.lit(None).cast("timestamp"), at("2024-01-31"))) == 0.0
     used = spark.createDataFrame([("e", 1, True), ("e", 2, False)], "episode_id string, rank int, has_checksum boolean")
     row = K.after_use(used).first()
-    assert row.confidence_change == pytest.approx(0.03) and row.authority_change == pytest.approx(0.01)
+    assert row.confidence_change == pytest.approx(0.02) and row.authority_change == pytest.approx(0.01)
+    assert K.after_use(used, verified=False).first().confidence_change == pytest.approx(-0.2)
 
 
 def test_inject(spark):
