@@ -26,13 +26,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import hot_safe_lookup, table, written
 from .components import connected_components
+from .similar import SIMILAR, one_of_each, shingle_hashes  # noqa: F401
 
 #: Fingerprints of a bucket that are compared in one go; larger buckets are dealt out again.
 BUCKET = 4096
@@ -53,8 +52,6 @@ class Plan:
 
 #: Every pair within 3 of 64 bits meets: 3 // 2 = 1.
 CONTRACT = Plan(3, 64, 3, ((0, 32), (32, 32)), ((0, 16), (16, 16)))
-#: For five-word shingles and a similarity of 0.8 or more, see README; segments overlap by half.
-SIMILAR = Plan(5, 128, 24, tuple((12 * k, 24) for k in range(10)), tuple((10 * k, 24) for k in range(10)))
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -65,20 +62,6 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_hashes(text: str, width: int) -> np.ndarray:
-    """XXH64 (seed 42) of each run of ``width`` words, A-Z lower-cased, joined by spaces."""
-    tokens = text.encode().lower().split()  # bytes: splits at space and 0x09-0x0D only, lowers A-Z only
-    if not tokens:
-        return np.empty(0, np.uint64)
-    joined, digest = b" ".join(tokens), xxhash.xxh64_intdigest
-    if len(tokens) <= width:
-        return np.array([digest(joined, 42)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    spans = zip(starts[: len(tokens) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
-    return np.array([digest(joined[s:e], 42) for s, e in spans], np.uint64)
-
-
 def fingerprint(text: str, plan: Plan) -> tuple[int, int]:
     """Upper and lower 64 bits; the upper ones are 0 for a 64-bit plan."""
     hashes = shingle_hashes(text, plan.shingle)
@@ -272,23 +255,6 @@ def simhash_components(docs: DataFrame, plan: Plan = CONTRACT) -> DataFrame:
     return found.unionByName(prints.filter("doc_id IS NULL").withColumn("component_id", F.lit(None).cast("long")))
 
 
-def one_of_each(docs: DataFrame, plan: Plan = CONTRACT) -> DataFrame:
-    """The documents, with all their columns, that have the smallest doc_id of their component.
-
-    Of rows that share a doc_id the one with the smallest text stays; rows without a doc_id all stay.
-    """
-    found = written(simhash_components(docs.select("doc_id", "text"), plan).filter("doc_id IS NOT NULL"), "simhash-found")
-    per_id = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("first"))
-    kept = written(per_id.filter("first").select(F.col("doc_id").alias("_id"), F.col("n").alias("_n")), "simhash-kept")
-    named = docs.filter("doc_id IS NOT NULL").join(kept, F.col("doc_id").cast("long") == F.col("_id"))
-    single = named.filter("_n = 1")
-    rest = docs.filter("doc_id IS NULL")
-    if not kept.filter("_n > 1").isEmpty():
-        order = W.partitionBy("_id").orderBy("text")
-        single = single.unionByName(named.filter("_n > 1").withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r"))
-    return single.drop("_id", "_n").unionByName(rest)
-
-
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("lo")), 16, "0").alias("fingerprint"), "component_id")
