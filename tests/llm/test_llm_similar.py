@@ -1,9 +1,18 @@
 """Near-duplicate removal against brute-force five-word Jaccard similarity."""
 
+import random
+
 import numpy as np
 
+from recallgrid.llm import simhash as S
 from recallgrid.llm import similar as N
 
+SCHEMA = "doc_id long, text string, lang string"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "en") for i, t in rows], SCHEMA)
+
 
 def test_recall_of_the_bands():
     rng, met = np.random.default_rng(1), 0
@@ -12,3 +21,11 @@ def test_recall_of_the_bands():
         b = np.concatenate([a[:80], rng.integers(0, 2**63, 10, dtype=np.uint64)])  # 80 of 100
         met += bool((N.band_keys(a, N.SIMILAR) == N.band_keys(b, N.SIMILAR)).any())
     assert met >= 298
+
+
+def test_short_texts_and_empty_ones_stay_apart(spark):
+    rng = random.Random(3)
+    short = [(k, " ".join(f"s{rng.randrange(10**6)}" for _ in range(6))) for k in range(10, 300)]
+    rows = [(1, None), (2, ""), (3, " \n"), *short]
+    assert {r.doc_id for r in S.one_of_each(frame(spark, rows), S.SIMILAR).collect()} == {1, *range(10, 300)}
+    assert S.one_of_each(frame(spark, rows).limit(0), S.SIMILAR).count() == 0
