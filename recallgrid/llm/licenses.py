@@ -2,12 +2,10 @@
 
 Texts are cut into lower-case words of a-z and 0-9 and five-word shingles. Overlapping
 windows (twice the longest template, at half that stride, so every copy of a template
-lies wholly in one) are reduced to those of their shingles that any template has. MinHash
-signatures of BANDS bands of ROWS values each retrieve templates by an equality join on
-band values; a Jaccard similarity of 0.5 collides with probability
-1 - (1 - 0.5 ** ROWS) ** BANDS > 0.998, one of 0.8 with one over 1 - 1e-10. For each pair
-retrieved, the share of the template's shingles that the window holds is computed
-exactly, and CONTAINED is asked for.
+lies wholly in one) are reduced to those of their shingles that any template has. An
+equality join on the shingle gives each window the shingles of each template by itself,
+so neighbouring notices do not hide one another; the share of the template's shingles
+that the window holds is exact, and CONTAINED is asked for.
 
 The templates go into the plan as literals, in blocks of at most BLOCK_SHINGLES shingles;
 more templates take further passes. Only windows with template shingles leave the scan.
@@ -29,7 +27,6 @@ from pyspark.sql import functions as F
 from .common import table
 
 WIDTH, CONTAINED = 5, 0.8
-BANDS, ROWS = 24, 2
 BLOCK_SHINGLES = 5_000
 
 #: Short notices by SPDX identifier; fixed values.
@@ -62,12 +59,6 @@ def _hashes(text: Column) -> Column:
     return F.transform(scan_words(text), lambda w: F.xxhash64(w))
 
 
-def _bands(shingles: Column) -> Column:
-    """The band values of a set of shingles."""
-    least = lambda i: F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, F.lit(i))))
-    return F.array(*[F.xxhash64(F.lit(b), *[least(b * ROWS + r) for r in range(ROWS)]) for b in range(BANDS)])
-
-
 def _template_rows(templates: DataFrame) -> list:
     """(template_id, words, shingles) of each template that has words; template texts are the bounded side."""
     words = templates.select("template_id", _hashes(F.col("text")).alias("h")).filter(F.size("h") > 0)
@@ -80,40 +71,38 @@ def _among(placed: Column, known: list[int]) -> Column:
     return F.filter(placed, lambda x: x["s"].isin(known))
 
 
-def _scan_block(docs: DataFrame, rows: list, contained: float) -> DataFrame:
+def _scan_block(docs: DataFrame, rows: list, stride: int, contained: float) -> DataFrame:
     spark = docs.sparkSession
     known: dict[int, set[int]] = {}
     for r in rows:
         known.setdefault(r.width, set()).update(r.s)
-    stride = max(r.n for r in rows)
     hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), _hashes(F.col("text")).alias("h"))
     # (place, shingle) of shingles that some template has.
     placed = lambda w: F.transform(_shingles(F.col("h"), w), lambda s, i: F.struct(i.alias("place"), s.alias("s")))
     found = F.concat(*[_among(placed(w), sorted(own)) for w, own in known.items()])
     hits = hashed.select("doc_id", "tk", F.explode(found).alias("x")).select("doc_id", "tk", F.col("x.place").alias("place"), F.col("x.s").alias("s"))
-    first = F.floor(F.col("place") / stride)
-    windows = hits.select("doc_id", "tk", "place", "s", F.explode(F.array(first - 1, first)).alias("window"))
-    sets = windows.groupBy("doc_id", "tk", "window").agg(F.collect_set("s").alias("own"), F.min("place").alias("place"))
-    templates = spark.createDataFrame([(r.template_id, r.s) for r in rows], "template_id string, s array<long>")
-    keys = templates.select("template_id", F.explode(_bands(F.col("s"))).alias("band")).distinct()
     # One block of templates: BLOCK_SHINGLES bounds what is broadcast.
-    pairs = sets.select("*", F.explode(_bands(F.col("own"))).alias("band")).join(F.broadcast(keys), "band").select("doc_id", "tk", "window", "own", "place", "template_id")
-    pairs = pairs.dropDuplicates(["doc_id", "tk", "window", "template_id"]).join(F.broadcast(templates), "template_id")
-    share = F.size(F.array_intersect("own", "s")) / F.size("s")
-    good = pairs.select("doc_id", "tk", "template_id", share.alias("containment")).filter(F.col("containment") >= contained)
+    templates = spark.createDataFrame([(r.template_id, len(r.s), r.s) for r in rows], "template_id string, size int, s array<long>")
+    keys = templates.select("template_id", "size", F.explode("s").alias("s")).dropDuplicates(["template_id", "size", "s"])
+    first = F.floor(F.col("place") / stride)
+    windows = hits.join(F.broadcast(keys), "s").select("doc_id", "tk", "s", "template_id", "size", F.explode(F.array(first - 1, first)).alias("window"))
+    shares = windows.groupBy("doc_id", "tk", "template_id", "size", "window").agg((F.size(F.collect_set("s")) / F.col("size")).alias("containment"))
+    good = shares.filter(F.col("containment") >= contained)
     return good.groupBy("doc_id", "tk", "template_id").agg(F.max("containment").alias("containment"), F.count(F.lit(1)).alias("n_windows")).drop("tk")
 
 
 def license_scan(docs: DataFrame, templates: DataFrame, contained: float = CONTAINED) -> DataFrame:
     """(doc_id, template_id, containment, n_windows) of every document and template found in it."""
     blocks, size = [[]], 0
-    for r in _template_rows(templates):
+    found = _template_rows(templates)
+    stride = max((r.n for r in found), default=1)
+    for r in found:
         if size + len(r.s) > BLOCK_SHINGLES and blocks[-1]:
             blocks.append([])
             size = 0
         blocks[-1].append(r)
         size += len(r.s)
-    parts = [_scan_block(docs, rows, contained) for rows in blocks if rows]
+    parts = [_scan_block(docs, rows, stride, contained) for rows in blocks if rows]
     empty = docs.sparkSession.createDataFrame([], "doc_id long, template_id string, containment double, n_windows long")
     return reduce(DataFrame.unionByName, parts, empty)
 
