@@ -80,3 +80,10 @@ def test_short_texts_and_empty_ones_stay_apart(spark):
     rows = [(1, None), (2, ""), (3, " \n"), *short]
     assert {r.doc_id for r in S.one_of_each(frame(spark, rows), S.SIMILAR).collect()} == {1, *range(10, 300)}
     assert S.one_of_each(frame(spark, rows).limit(0), S.SIMILAR).count() == 0
+
+
+def test_rows_of_one_doc_id_are_told_apart(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    rows = [(4, a), (4, b), (4, b), (7, a + " more"), (None, a)]
+    kept = S.one_of_each(frame(spark, rows), S.SIMILAR).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, a), (4, a), (4, b)]
