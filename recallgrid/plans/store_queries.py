@@ -315,7 +315,7 @@ def answer_in_retrieved(spark, d):
     from .text_queries import retrieve_text, turns
 
     texts = turns(spark, d).select(F.col("event_id").alias("episode_id"), "text")
-    answers = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 12).alias("answer"))
+    answers = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("answer"))
     return A.answer_in_retrieved(retrieve_text(spark, d).join(texts, "episode_id"), answers)
 
 
