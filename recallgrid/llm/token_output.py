@@ -10,7 +10,8 @@ has each document's id, first id and number of ids. Files hold ascending ranges
 doc_id; the manifest beside them has each file's first id within the whole corpus.
 
 Edge cases: a null text is empty and yields only the end id; null doc_ids sort first;
-repeated doc_ids are kept side by side, ordered by text; an empty table gives a manifest
+repeated doc_ids are kept side by side, ordered by text,
+in several files where their texts begin differently; an empty table gives a manifest
 without files; other columns are ignored. A file is written under a name of its own
 attempt and then renamed, so a lost or repeated task leaves whole files only.
 """
@@ -30,13 +31,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import open_fs, scratch_dir, table, tokenizer_path
-from .pieces import split_pieces
+from .pretokens import PreTokenTable, text_portions
 
 MAGIC = b"RGTOKEN1"
 HEAD = struct.Struct("<8sII")
 FOOT = struct.Struct("<QQQQQ8s")
 #: Ids that are unpacked at a time when a file is read from end to end.
 READ_IDS = 1 << 20
+#: Bytes of a document in a file's index.
+INDEX_BYTES = 32
 
 
 def bit_width(vocab_size: int) -> int:
@@ -69,8 +72,10 @@ class PackedWriter:
         self.docs: list[tuple[int, int, int, int]] = []
         out.write(HEAD.pack(MAGIC, self.width, block))
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append((doc_id is None, doc_id or 0, self.n_ids, len(ids)))
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """The ids of several documents, one after the other."""
+        starts = self.n_ids + np.cumsum(sizes) - sizes
+        self.docs += [(d is None, d or 0, s, n) for d, s, n in zip(doc_ids, starts.tolist(), sizes.tolist(), strict=True)]
         self.n_ids += len(ids)
         self.waiting.append(ids)
         self.held += len(ids)
@@ -127,130 +132,73 @@ class PackedReader:
         return np.concatenate(parts)[start - first * self.block :][:n]
 
 
-class Slots(dict):
-    """string -> place in ``values``; strings that are asked for the first time wait in ``new`` for their values."""
+class TextEncoder:
+    """Whole texts to ids by the ``tokenizers`` library, which encodes each distinct pre-token once (see pretokens.py).
 
-    def __init__(self):
-        self.values: list[bytes] = []
-        self.new: list[str] = []
-
-    def __missing__(self, key: str) -> int:
-        self[key] = place = len(self.values) + len(self.new)
-        self.new.append(key)
-        return place
-
-    def fill(self, values: list[bytes]) -> None:
-        self.values += values
-        self.new = []
-
-
-#: Punctuation that is a pre-token of its own after a word.
-CLOSING = (".", ",", ";", ":", "!", "?")
-
-
-class PieceEncoder:
-    """Whole texts to ids by the ``tokenizers`` library.
-
-    Texts are cut into pieces and these into the pre-tokens of the byte-level pattern,
-    within which alone the library merges. It encodes each distinct pre-token once, many
-    in one call with a special token between them; texts are put together from the
-    results. Texts that must go whole (see pieces.py) are encoded whole.
+    New pre-tokens go in one call with a special token between them; texts that hold a
+    special string are encoded whole.
     """
 
-    #: Pre-tokens and pieces that are kept; a full cache is emptied between portions of texts.
-    TOKENS, PIECES = 700_000, 400_000
+    #: Pre-tokens that the library gets in one call.
+    TOGETHER = 20_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        special = {t.content: k for k, t in self.library.get_added_tokens_decoder().items()}
-        self.specials = tuple(special)
-        self.between = next(iter(special.items()), None)
-        # The byte-level pre-tokenizer's fixed pattern.
-        self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-        self.tokens, self.pieces = Slots(), Slots()
-
-    def _ids(self, text: str) -> np.ndarray:
+        special = self.library.get_added_tokens_decoder()
+        self.specials = tuple(t.content for t in special.values())
+        self.between = next(((t.content, k) for k, t in special.items() if not (t.lstrip or t.rstrip)), None)
+        self.table = PreTokenTable(self._learn, np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32)
+
+    def _whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def _learn(self, tokens: list[str]) -> list[bytes]:
-        if not tokens:
-            return []
+    def _learn(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pre-tokens, and how many each has."""
         if self.between is None:
-            return [self._ids(t).tobytes() for t in tokens]
-        ids = self._ids(self.between[0].join(tokens))
-        cuts = (np.flatnonzero(ids == self.between[1]) * 4).tolist()
-        data = ids.tobytes()
-        return [data[s:e] for s, e in zip([0, *(c + 4 for c in cuts)], [*cuts, len(data)], strict=True)]
-
-    def _cut(self, piece: str) -> list[str]:
-        """Pre-tokens of a piece that follows a space or starts with a line end; words of common letters need no pattern."""
-        word = piece[:-1] if piece[-1:] in CLOSING else piece
-        if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
-            return [" " + word, piece[-1]] if len(word) < len(piece) else [" " + word]
-        return self.pattern.findall(piece if piece[:1] == "\n" else " " + piece)
-
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        tokens, pieces = self.tokens, self.pieces
-        if len(tokens.values) > self.TOKENS:
-            tokens = self.tokens = Slots()
-        if len(pieces.values) > self.PIECES:
-            pieces = self.pieces = Slots()
-        cuts = [split_pieces(t, self.specials) for t in texts]
-        token_slot, piece_slot = tokens.__getitem__, pieces.__getitem__
-        firsts = [list(map(token_slot, self.pattern.findall(c[0]))) if c else None for c in cuts]
-        rests = [list(map(piece_slot, c[1])) if c else None for c in cuts]
-        new = [list(map(token_slot, self._cut(p))) for p in pieces.new]
-        tokens.fill(self._learn(tokens.new))
-        value = tokens.values.__getitem__
-        pieces.fill([b"".join(map(value, part)) for part in new])
-        piece = pieces.values.__getitem__
-        return [self._ids(t) if f is None else np.frombuffer(b"".join([*map(value, f), *map(piece, r)]), np.uint32) for t, f, r in zip(texts, firsts, rests, strict=True)]
-
-
-#: Characters of text that are encoded together.
-TOGETHER = 1 << 21
-
-
-_ENCODERS: dict[str, PieceEncoder] = {}
-
-
-def _portions(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
-    """Rows of (doc_id, text) in portions of about TOGETHER characters."""
-    ids, texts, size = [], [], 0
-    for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-        ids.append(doc_id.as_py())
-        texts.append(text.as_py())
-        size += len(texts[-1])
-        if size >= TOGETHER:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
+            parts = [self._whole(t) for t in tokens]
+            return np.concatenate(parts), np.array([len(x) for x in parts])
+        made, sizes = [], []
+        for k in range(0, len(tokens), self.TOGETHER):
+            ids = self._whole(self.between[0].join(tokens[k : k + self.TOGETHER]))
+            cuts = np.flatnonzero(ids == self.between[1])
+            sizes.append(np.diff(cuts, prepend=-1, append=len(ids)) - 1)
+            made.append(np.delete(ids, cuts))
+        return np.concatenate(made), np.concatenate(sizes)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and the number of each one's."""
+        whole = "".join(texts)
+        if any(s in whole for s in self.specials):
+            parts = [self._whole(t) if any(s in t for s in self.specials) else self.encode([t])[0] for t in texts]
+            return np.concatenate(parts), np.array([len(x) for x in parts])
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        ids, bounds = self.table.numbers(whole, np.append(0, ends[:-1]))
+        return ids, np.diff(bounds)
+
+
+_ENCODERS: dict[str, TextEncoder] = {}
 
 
 def write_token_files(docs: DataFrame, out_dir: str, path: str, vocab_size: int, end_id: int = 0, shard_bytes: int = 64 << 20) -> list[dict]:
     """Encode all rows of (doc_id, text) into files below ``out_dir``; returns the manifest, also kept there.
 
-    One range exchange of the texts by doc_id, then each task streams its range into one
-    file. ``shard_bytes`` of text is the aim for one file; only the manifest, a row per
+    One range exchange of the texts by doc_id and the text's beginning, then each task streams its range into one
+    file. ``shard_bytes`` of text and index is the aim for one file; only the manifest, a row per
     file, comes to the driver.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    sorted_docs = docs.repartitionByRange(max(1, -(-total // shard_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")
+    total = docs.agg(F.sum(F.octet_length("text") + INDEX_BYTES)).first()[0] or 0
+    sorted_docs = docs.repartitionByRange(max(1, -(-total // shard_bytes)), "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         if path not in _ENCODERS:
-            _ENCODERS[path] = PieceEncoder(path)
-        encode_all, shard, writer = _ENCODERS[path].encode_all, TaskContext.get().partitionId(), None
-        end = np.array([end_id], np.uint32)
+            _ENCODERS[path] = TextEncoder(path)
+        encode, shard, writer = _ENCODERS[path].encode, TaskContext.get().partitionId(), None
         files, root = open_fs(out_dir)
         name, own = f"tokens-{shard:06d}.bin", f".{uuid.uuid4().hex}.tmp"
         for batch in batches:
@@ -258,9 +206,10 @@ def write_token_files(docs: DataFrame, out_dir: str, path: str, vocab_size: int,
                 files.create_dir(root, recursive=True)
                 out = files.open_output_stream(f"{root}/{own}")
                 writer = PackedWriter(out, vocab_size)
-            for ids, texts in _portions(batch):
-                for doc_id, made in zip(ids, encode_all(texts), strict=True):
-                    writer.add(doc_id, np.concatenate([made, end]))
+            for k, n in text_portions(batch.column(1)):
+                rows = batch.slice(k, n - k)
+                ids, sizes = encode(rows.column(1).to_pylist())
+                writer.add(rows.column(0).to_pylist(), np.insert(ids, np.cumsum(sizes), end_id), sizes + 1)
         if writer is not None:
             writer.close()
             out.close()
