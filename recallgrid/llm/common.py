@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +54,25 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+#: Bytes of text that a task turns into Python objects at a time.
+TOGETHER = 1 << 20
+
+
+def text_batches(batches: Iterator[pa.RecordBatch], place: int, limit: int = TOGETHER) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about ``limit`` bytes of the text in column ``place``, one row at least; an empty batch stays."""
+    for b in batches:
+        column = b.column(place)
+        kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+        ends = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else None
+        begin = 0
+        while begin < len(column):
+            end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + limit, side="right")) - 1)
+            yield b.slice(begin, end - begin)
+            begin = end
+        if not len(column):
+            yield b
+
+
 def words(text: Column) -> Column:
     """Words of a text as a native expression; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAP), lambda w: w != "")

@@ -4,12 +4,14 @@ One pass over all documents counts how many contain each word n-gram of the test
 Those that are not much more frequent than an item's median one become its seeds, and in
 every run of SPREAD neighbouring n-grams the rarest one, so that any copied run of a few
 words holds a seed however common a passage is. A second
-pass finds the seeds, joins passages to items where seeds agree on the shift between the
-two, and aligns the words of passage and item locally (match +2, mismatch and gap -1).
+pass finds the seeds, joins passages to items by them (seeds that nearly agree on the
+shift between the two make one passage), and aligns the words of passage and item locally
+(match +2, mismatch and gap -1). A copy in which no two (three, from SHORT words on)
+neighbouring words of the item stand together is not found.
 The score is the alignment's share of the item's best possible one; pairs from
 ``threshold`` on count as contaminated.
 
-The items come in blocks of bounded size, BLOCK_CHARS, each sent to all tasks; a larger
+The items come in blocks of bounded size, BLOCK_CHARS (or one item), each sent to all tasks; a larger
 test set takes further passes instead of more memory. Both passes are map-only over whole
 texts, so frequent passages meet in no single task; only counts per n-gram are shuffled.
 
@@ -30,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, text_batches
 
-#: Words of an n-gram, and neighbouring n-grams of which the rarest is a seed.
-GRAM, SPREAD = 3, 4
+#: Words of an n-gram (for items of fewer than SHORT words, and for others), and neighbouring n-grams of which the rarest is a seed.
+SHORT_GRAM, GRAM, SHORT, SPREAD = 2, 3, 12, 4
 #: N-grams of an item that are more frequent than this many times its median one are no seeds, unless the rarest nearby.
 COMMON = 8
 #: Characters of test items that go to the tasks together.
@@ -63,19 +65,20 @@ class Items:
 
     @staticmethod
     def width(words: np.ndarray) -> int:
-        return min(GRAM, len(words))
+        return min(GRAM if len(words) >= SHORT else SHORT_GRAM, len(words))
 
     def codes(self, words: np.ndarray, width: int) -> np.ndarray:
-        """A number for each run of ``width`` words; -1 where a word is in no item. Widths never share numbers."""
+        """A 63-bit hash of each run of ``width`` words; -1 where a word is in no item. Two with one hash cost an alignment."""
         n = len(words) - width + 1
         if n <= 0:
             return np.empty(0, np.int64)
-        base, code, known = len(self.number) + 1, np.zeros(n, np.int64), np.ones(n, bool)
+        code, known = np.full(n, width, np.uint64), np.ones(n, bool)
         for k in range(width):
             part = words[k : k + n]
-            code = code * base + part + 1
+            code = (code ^ part.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            code ^= code >> np.uint64(29)
             known &= part >= 0
-        return np.where(known, code, -1)
+        return np.where(known, (code >> np.uint64(1)).astype(np.int64), -1)
 
     def read(self, text: str) -> np.ndarray:
         tokens = normal_words(text)
@@ -133,7 +136,7 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarr
 
 def _counts(items: Items, wanted: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in text_batches(batches, 1):
             seen = np.zeros(len(wanted), np.int64)
             for text in b.column(1).to_pylist():
                 seen[np.unique(items.hits(items.read(text), wanted)[1])] += 1
@@ -156,19 +159,18 @@ def _finder(items: Items, seeds: list[np.ndarray], threshold: float):
     order = np.argsort(code, kind="stable")
     owner, place, code = owner[order], place[order], code[order]
     wanted, first, count = np.unique(code, return_index=True, return_counts=True)
-    least = np.array([2 if len(s) > SPREAD else 1 for s in seeds])
 
     def passages(words: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, begin, stop) of each passage whose seeds agree on a shift against an item."""
+        """(item, begin, stop) of each passage with a seed; those whose seeds nearly agree on a shift are one."""
         at, which = items.hits(words, wanted)
         n = count[which]
         spread = np.repeat(first[which] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else n
-        item, shift, seed = owner[spread], np.repeat(at, n) - place[spread], place[spread]
+        item, shift = owner[spread], np.repeat(at, n) - place[spread]
         order = np.lexsort((shift, item))
-        item, shift, seed = item[order], shift[order], seed[order]
+        item, shift = item[order], shift[order]
         cut = np.flatnonzero((np.diff(item) != 0) | (np.diff(shift) > GAP)) + 1
         for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(item)], strict=True):
-            if e > s and len(np.unique(seed[s:e])) >= least[item[s]]:
+            if e > s:
                 k = int(item[s])
                 yield k, max(0, int(shift[s]) - GAP), min(len(words), int(shift[e - 1]) + len(items.words[k]) + GAP)
 
@@ -183,6 +185,13 @@ def _finder(items: Items, seeds: list[np.ndarray], threshold: float):
         tail = align([own[k][::-1] for k in good], [parts[k][: stop[k]][::-1] for k in good])[1]
         return [(tasks[k][0], items.ids[tasks[k][1]], float(share[k]), tasks[k][2] + int(stop[k] - n), tasks[k][2] + int(stop[k])) for k, n in zip(good.tolist(), tail.tolist(), strict=True)]
 
+    def in_parts(tasks: list[tuple]) -> list[tuple]:
+        """By size, so that no passage or item is filled up to twice its length."""
+        sized: dict[tuple[int, int], list[tuple]] = {}
+        for t in tasks:
+            sized.setdefault((len(t[3]).bit_length(), len(items.words[t[1]]).bit_length()), []).append(t)
+        return [row for part in sized.values() for row in solve(part)]
+
     def find(texts: Iterator[tuple[int, str]]) -> list[tuple]:
         rows: list[tuple] = []
         tasks: list[tuple] = []
@@ -193,9 +202,9 @@ def _finder(items: Items, seeds: list[np.ndarray], threshold: float):
                 tasks.append((n, k, begin, words[begin:stop]))
                 cells += stop - begin
                 if cells >= TOGETHER:
-                    rows += solve(tasks)
+                    rows += in_parts(tasks)
                     tasks, cells = [], 0
-        return rows + (solve(tasks) if tasks else [])
+        return rows + in_parts(tasks)
 
     return find
 
@@ -205,7 +214,7 @@ def _search(items: Items, seeds: list[np.ndarray], threshold: float):
     kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in text_batches(batches, 1):
             rows = find(enumerate(b.column(1).to_pylist()))
             n, *rest = zip(*rows, strict=True) if rows else ([],) * 5
             cols = [b.column(0).take(pa.array(n, pa.int64())), *[pa.array(list(c), t) for c, t in zip(rest, kinds[1:], strict=True)]]
@@ -219,7 +228,7 @@ def _clean(items: Items, seeds: list[np.ndarray], threshold: float, place: int):
     find = _finder(items, seeds, threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in text_batches(batches, place):
             keep = np.ones(b.num_rows, bool)
             keep[[r[0] for r in find(enumerate(t or "" for t in b.column(place).to_pylist()))]] = False
             yield b.filter(pa.array(keep))
@@ -272,4 +281,6 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.min("begin").alias("begin"), F.max("stop").alias("stop"))
+    # The best passage of each pair, the first among equals.
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("begin")).alias("back"), "stop")).alias("p"))
+    return best.select("doc_id", "item_id", "p.score", (-F.col("p.back")).alias("begin"), "p.stop")

@@ -10,7 +10,10 @@ per-tile results are merged by heaps. The result is exact.
 
 Tiles come from an equality join on the number of the candidate block: query blocks are
 copied once per candidate block, candidate blocks are sent once. Both kinds of block have
-a fixed number of rows, so a task holds one tile at a time at any size of the table.
+a greatest number of rows and a tile is computed in strips of queries, so a task holds one
+strip at a time at any size of the table. Where squares of the largest component could
+overflow or vanish, the bounds are taken on vectors scaled by a power of two, and so are
+the distances that leave the range of doubles on the way.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite values take no
 part; rows with a null id neither; vectors of different lengths are never compared; of
@@ -31,8 +34,10 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-#: Rows of a candidate block, and of a query block.
-BLOCK, QUERY_BLOCK = 8192, 1024
+#: Greatest number of rows of a candidate block, of a query block, and of the strips of queries in a tile.
+BLOCK, QUERY_BLOCK, STRIP = 8192, 1024, 256
+#: Binary exponents of components that may be squared and added as they are.
+PLAIN = 400
 PACKED = "number long, dim long, ids binary, vectors binary"
 
 
@@ -54,7 +59,7 @@ def _pack(size: int):
 
         for b in batches:
             for number, vec_id, vector in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                if ids and (key != (number, len(vector)) or len(ids) >= 2 * size):
+                if ids and (key != (number, len(vector)) or len(ids) >= size):
                     yield block()
                     ids, rows = [], []
                 key = (number, len(vector))
@@ -66,9 +71,14 @@ def _pack(size: int):
     return run
 
 
+def block_count(total: int, size: int) -> int:
+    """Numbers of blocks that leave room for an uneven deal, so that few numbers need a second block."""
+    return max(1, -(-total * 9 // (size * 8)))
+
+
 def blocks(vectors: DataFrame, total: int, size: int) -> DataFrame:
-    """Vectors in blocks of about ``size`` rows, at most twice as many, numbered below n; see PACKED."""
-    n = max(1, -(-total // size))
+    """Vectors in blocks of at most ``size`` rows, numbered below block_count; see PACKED."""
+    n = block_count(total, size)
     dealt = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("number"), "vec_id", "embedding")
     return dealt.repartition("number").sortWithinPartitions("number", F.size("embedding"), "vec_id").mapInArrow(_pack(size), PACKED)
 
@@ -79,31 +89,58 @@ class Int8Block:
     def __init__(self, ids: bytes, vectors: bytes, dim: int):
         self.ids = np.frombuffer(ids, np.int64)
         self.exact = np.frombuffer(vectors, np.float64).reshape(-1, dim)
-        self.scale = np.abs(self.exact).max(axis=1) / 127
-        self.scale[self.scale == 0] = 1.0  # magnitudes that underflow: all steps are 0 and all is lost to rounding
-        self.steps = np.rint(self.exact / self.scale[:, None]).astype(np.int8)
+        self.exponent = int(np.frexp(np.abs(self.exact).max())[1])
+        self.down = None
+
+    def scaled(self, down: int) -> Int8Block:
+        """Sets the steps of the vectors divided by 2 ** ``down``."""
+        if down == self.down:
+            return self
+        self.down, near = down, np.ldexp(self.exact, -down) if down else self.exact
+        self.scale = np.abs(near).max(axis=1) / 127
+        self.scale[self.scale < 1e-300] = 1.0  # magnitudes that underflow: all steps are 0 and all is lost to rounding
+        self.steps = np.rint(near / self.scale[:, None]).astype(np.int8)
         kept = self.steps * self.scale[:, None]
         self.square = np.einsum("ij,ij->i", kept, kept)
-        self.lost = np.sqrt(np.einsum("ij,ij->i", self.exact - kept, self.exact - kept))
+        self.lost = np.sqrt(np.einsum("ij,ij->i", near - kept, near - kept))
         # 127 * 127 * dim must stay below 2**24 for single precision to hold the integers exactly.
-        self.product_form = self.steps.astype(np.float32 if dim <= 1000 else np.float64)
+        self.product_form = self.steps.astype(np.float32 if near.shape[1] <= 1000 else np.float64)
+        return self
+
+
+def distances(differences: np.ndarray) -> np.ndarray:
+    """Euclidean norms of the rows; squares that overflow or vanish are taken of scaled rows."""
+    with np.errstate(over="ignore", under="ignore"):
+        out = np.sqrt((differences * differences).sum(axis=1))
+        largest = np.abs(differences).max(axis=1)
+        odd = np.flatnonzero(np.isfinite(largest) & (largest > 0) & ((largest > 2.0**PLAIN) | (largest < 2.0**-PLAIN)))
+        if len(odd):
+            power = np.frexp(largest[odd])[1]
+            near = np.ldexp(differences[odd], -power[:, None])
+            out[odd] = np.ldexp(np.sqrt((near * near).sum(axis=1)), power)
+    return out
 
 
 def tile(queries: Int8Block, others: Int8Block, k: int) -> Iterator[tuple[int, int, float]]:
     """(query, vector, distance) of the k nearest within the tile, ties by id, and nobody but them."""
-    product = (queries.product_form @ others.product_form.T) * (queries.scale[:, None] * others.scale)
-    about = np.sqrt(np.maximum(queries.square[:, None] + others.square - 2 * product, 0))
-    # Room for rounding in the double arithmetic above, far wider than it can be.
-    slack = queries.lost[:, None] + others.lost + 1e-6 * (np.sqrt(queries.square)[:, None] + np.sqrt(others.square)) + 1e-12
-    low, high = about - slack, about + slack
-    own = queries.ids[:, None] == others.ids
-    low[own] = high[own] = np.inf
-    limit = np.partition(high, k - 1, axis=1)[:, k - 1 : k] if high.shape[1] > k else np.full((len(high), 1), np.inf)
-    for q, c in _rows(np.argwhere((low <= limit) & ~own)):
-        difference = others.exact[c] - queries.exact[q]
-        distance = np.sqrt((difference * difference).sum(axis=1))
-        best = np.lexsort((others.ids[c], distance))[:k]
-        yield from zip([int(queries.ids[q])] * len(best), others.ids[c][best].tolist(), distance[best].tolist(), strict=True)
+    top = max(queries.exponent, others.exponent)
+    down = top if abs(top) > PLAIN else 0
+    queries, others = queries.scaled(down), others.scaled(down)
+    for s in range(0, len(queries.ids), STRIP):
+        ids, e = queries.ids[s : s + STRIP], slice(s, s + STRIP)
+        product = (queries.product_form[e] @ others.product_form.T) * (queries.scale[e, None] * others.scale)
+        about = np.sqrt(np.maximum(queries.square[e, None] + others.square - 2 * product, 0))
+        # Room for rounding in the double arithmetic above, far wider than it can be.
+        slack = queries.lost[e, None] + others.lost + 1e-6 * (np.sqrt(queries.square)[e, None] + np.sqrt(others.square)) + 1e-12
+        low, high = about - slack, about + slack
+        own = ids[:, None] == others.ids
+        low[own] = high[own] = np.inf
+        limit = np.partition(high, k - 1, axis=1)[:, k - 1 : k] if high.shape[1] > k else np.full((len(high), 1), np.inf)
+        for q, c in _rows(np.argwhere((low <= limit) & ~own)):
+            with np.errstate(over="ignore"):
+                distance = distances(others.exact[c] - queries.exact[s + q])
+            best = np.lexsort((others.ids[c], distance))[:k]
+            yield from zip([int(ids[q])] * len(best), others.ids[c][best].tolist(), distance[best].tolist(), strict=True)
 
 
 def _rows(pairs: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -175,7 +212,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, block: int = BLOC
     queries = good.filter(is_query)
     left = blocks(queries, queries.count(), query_block)
     right = blocks(good, total, block).withColumnRenamed("ids", "c_ids").withColumnRenamed("vectors", "c_vectors")
-    n = max(1, -(-total // block))
+    n = block_count(total, block)
     # Copies of a query block: one per number of a candidate block.
     copies = left.select("dim", "ids", "vectors", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("number"))
     pairs = copies.join(right, ["number", "dim"])

@@ -11,7 +11,8 @@ The model is fitted on the driver on at most ``max_train`` labelled documents, c
 a hash of doc_id among those that are not held out; everything else covers all rows.
 
 Edge cases: null and empty texts get the features of an empty text and a score; labels
-that are null are ignored; a document with several labels counts once with the highest;
+that are null are ignored; a document with several labels counts once with the highest,
+rows that share a labelled doc_id once with the smallest features (in array order);
 without labels of both classes the score is the smoothed share of good labels (0.5
 without any); rows with a null doc_id are scored and count as not held out; repeated
 rows are scored each; an empty table gives no rows; other columns are ignored.
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, text_batches
 
 FEATURES = (
     "log_chars", "log_words", "mean_word", "longest_word", "upper", "digit", "punctuation", "symbol", "shout", "pipe", "line_breaks", "non_ascii",
@@ -36,8 +37,6 @@ FEATURES = (
 _UPPER, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
 _UPPER[65:91] = _LETTER[65:91] = _LETTER[97:123] = True
 _PUNCTUATION, _SYMBOL = (np.isin(np.arange(256), list(chars)) for chars in (b".,;:?'\"-()", b"#$%&*+/<=>@[\\]^_`{|}~"))
-#: Words whose repetition is counted at a time; counts of the parts are averaged by size.
-PART = 1 << 14
 
 
 def text_features(text: str) -> list[float]:
@@ -49,15 +48,10 @@ def text_features(text: str) -> list[float]:
     lines = [x for x in (line.strip() for line in data.split(b"\n")) if x]
     size = max(1, len(tokens))
     lengths = np.fromiter(map(len, tokens), np.int64, len(tokens)) if tokens else np.zeros(1, np.int64)
-    distinct = top = pairs = 0.0
-    for k in range(0, len(tokens), PART):
-        part = tokens[k : k + PART]
-        counts: dict[bytes, int] = {}
-        for w in part:
-            counts[w] = counts.get(w, 0) + 1
-        distinct += len(counts)
-        top += max(counts.values())
-        pairs += len(part) - 1 - len(set(zip(part, part[1:]))) if len(part) > 1 else 0
+    codes = np.fromiter(map(hash, tokens), np.int64, len(tokens))
+    often = np.unique(codes, return_counts=True)[1]
+    distinct, top = len(often), int(often.max(initial=0))
+    pairs = len(tokens) - 1 - len(np.unique(codes[:-1] * 0x2545F4914F6CDD1D + codes[1:])) if tokens else 0
     letters = max(1, int(seen[_LETTER].sum()))
     wordless = sum(1 for w in tokens if not w[0] & 0x80 and not _LETTER[w[0]] and len(w) == 1)
     return [
@@ -199,12 +193,13 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 20_000) -> Model:
     chosen = marked.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in text_batches(batches, 2):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([text_features(t) for t in b.column(2).to_pylist()], pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
 
-    # max_train bounds what is broadcast here and what comes to the driver.
+    # max_train bounds what is broadcast here and, as each doc_id counts once, what comes to the driver.
     rows = _texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text")
-    got = rows.mapInArrow(run, "doc_id long, quality int, x array<double>").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    made = rows.mapInArrow(run, "doc_id long, quality int, x array<double>")
+    got = made.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("x").alias("x")).toPandas().sort_values("doc_id")
     x = np.array(got["x"].tolist(), float).reshape(-1, len(FEATURES))
     return fit(x, (got["quality"].to_numpy() > 0).astype(float))
 
@@ -213,7 +208,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of every row; one map-only pass over whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in text_batches(batches, 1):
             x = np.array([text_features(t) for t in b.column(1).to_pylist()], float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x), pa.float64())], names=["doc_id", "score"])
 
@@ -225,7 +220,7 @@ def good_documents(docs: DataFrame, model: Model, threshold: float) -> DataFrame
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in text_batches(batches, place):
             x = np.array([text_features(t or "") for t in b.column(place).to_pylist()], float).reshape(-1, len(FEATURES))
             yield b.filter(pa.array(model.score(x) >= threshold))
 

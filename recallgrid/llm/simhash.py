@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hot_safe_lookup, table, written
+from .common import hot_safe_lookup, table, text_batches, written
 from .components import connected_components
 from .similar import SIMILAR, one_of_each, shingle_hashes  # noqa: F401
 
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, plan: Plan) -> DataFrame:
     """(doc_id, hi, lo) of every row; one map-only pass over whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in text_batches(batches, 1):
             made = np.array([fingerprint(t, plan) for t in b.column(1).to_pylist()], np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made[:, 0].copy()), pa.array(made[:, 1].copy())], names=["doc_id", "hi", "lo"])
 

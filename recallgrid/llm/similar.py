@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import hot_safe_lookup, written
+from .common import hot_safe_lookup, text_batches, written
 from .components import connected_components
 
 #: Shingles of a part that are compared in one task.
@@ -88,7 +88,7 @@ _TABLES: dict[Similar, tuple[np.ndarray, np.ndarray]] = {}
 
 def _sets(plan: Similar):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in text_batches(batches, 2):
             cls, size, bands = [], [], []
             for text in b.column(2).to_pylist():
                 own = np.unique(shingle_hashes(text, plan.shingle))

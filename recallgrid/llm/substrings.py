@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hot_safe_lookup, table, written
+from .common import hot_safe_lookup, table, text_batches, written
 
 SIZE, CORE = 50, 8
 #: Different fragments of a partition that are put into one tree; more are split.
@@ -80,7 +80,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in text_batches(batches, 2):
         sizes, digests, prefixes = [], [], []
         for text in b.column(2).to_pylist():
             tokens = text.encode().split()
@@ -105,7 +105,7 @@ def _fragment_row(words: np.ndarray, far: int, near: int, lo: int, hi: int) -> t
 
 
 def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in text_batches(batches, 2):
         rows = []
         for doc_id, tk, text, chosen in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
             h = word_hashes(text.encode().split())
@@ -239,7 +239,7 @@ def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in text_batches(batches, 2):
         rows = []
         for doc_id, tk, text, begins, stops in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
             tokens = text.encode().split()

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, tokenizer_path
+from .common import table, text_batches, tokenizer_path
 from .pieces import PieceCache, split_pieces
 
 
@@ -109,7 +109,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _counter(path).count
-        for batch in batches:
+        for batch in text_batches(batches, 1):
             texts = batch.column(1).to_pylist()
             sizes = [len(t.encode()) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array([count(t) for t in texts], pa.int64())], names=[id_col, "n_bytes", "n_tokens"])

@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import open_fs, scratch_dir, table, tokenizer_path
-from .pretokens import PreTokenTable, text_portions
+from .common import open_fs, scratch_dir, table, text_batches, tokenizer_path
+from .pretokens import PreTokenTable
 
 MAGIC = b"RGTOKEN1"
 HEAD = struct.Struct("<8sII")
@@ -201,15 +201,13 @@ def write_token_files(docs: DataFrame, out_dir: str, path: str, vocab_size: int,
         encode, shard, writer = _ENCODERS[path].encode, TaskContext.get().partitionId(), None
         files, root = open_fs(out_dir)
         name, own = f"tokens-{shard:06d}.bin", f".{uuid.uuid4().hex}.tmp"
-        for batch in batches:
+        for rows in text_batches(batches, 1):
             if writer is None:
                 files.create_dir(root, recursive=True)
                 out = files.open_output_stream(f"{root}/{own}")
                 writer = PackedWriter(out, vocab_size)
-            for k, n in text_portions(batch.column(1)):
-                rows = batch.slice(k, n - k)
-                ids, sizes = encode(rows.column(1).to_pylist())
-                writer.add(rows.column(0).to_pylist(), np.insert(ids, np.cumsum(sizes), end_id), sizes + 1)
+            ids, sizes = encode(rows.column(1).to_pylist())
+            writer.add(rows.column(0).to_pylist(), np.insert(ids, np.cumsum(sizes), end_id), sizes + 1)
         if writer is not None:
             writer.close()
             out.close()
