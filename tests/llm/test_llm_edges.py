@@ -69,9 +69,9 @@ def test_contaminated_against_all_pairs(spark):
     assert got.keys() <= want.keys()  # nothing but what aligns
     whole = {(d, k) for d, k in want if f" {items[k]} " in f" {dict(docs)[d]} "}
     assert whole <= got.keys()
-    for least, recall in ((8, 0.95), (15, 1)):  # two of three words by chance, not side by side, are not looked for
+    for least in (8, 15):  # of three words, two that match by chance but not side by side are not looked for
         sized = {p for p in want if len(block.words[p[1]]) >= least}
-        assert len(got.keys() & sized) >= recall * len(sized), least
+        assert len(got.keys() & sized) >= 0.95 * len(sized), least
     assert all(math.isclose(s, want[p]) for p, s in got.items())
 
 
