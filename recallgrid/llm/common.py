@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,7 +56,15 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 #: Bytes of text that a task turns into Python objects at a time.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 19
+
+
+def release_memory() -> None:
+    """Gives what a finished task no longer uses back to the system; its Python worker lives on for later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim is not None:
+        trim(0)
 
 
 def text_batches(batches: Iterator[pa.RecordBatch], place: int, limit: int = TOGETHER) -> Iterator[pa.RecordBatch]:
@@ -71,6 +80,7 @@ def text_batches(batches: Iterator[pa.RecordBatch], place: int, limit: int = TOG
             begin = end
         if not len(column):
             yield b
+    release_memory()
 
 
 def words(text: Column) -> Column:

@@ -69,7 +69,7 @@ class PreTokenTable:
     """Number arrays of pre-tokens, made by ``learn`` for each new one and kept while there is room."""
 
     #: Slots as a power of two, and numbers that are kept.
-    SLOTS, ROOM = 21, 8_000_000
+    SLOTS, ROOM = 20, 6_000_000
 
     def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype=np.uint32):
         self.learn, self.classes = learn, char_classes()

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import hot_safe_lookup, text_batches, written
+from .common import hot_safe_lookup, release_memory, text_batches, written
 from .components import connected_components
 
 #: Shingles of a part that are compared in one task.
@@ -175,6 +175,8 @@ def _exact(plan: Similar):
                 sets.append(np.unique(shingle_hashes(b.column(4)[k].as_py(), plan.shingle)))
             yield batch(rows)
         yield batch(whole())
+        sets.clear()
+        release_memory()
 
     return run
 
