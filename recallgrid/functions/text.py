@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,15 +34,24 @@ def tokens(text: Column, aliases: dict[str, str] | None = None, boundaries: bool
     return F.concat(F.array(F.lit("<bos>")), found, F.array(F.lit("<eos>"))) if boundaries else found
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, however often ``use`` names it: the variable of an outer transform."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _runs(items: Column, n: int, prefix: str, between: str) -> Column:
+    """``prefix`` and the joined items of each run of n: the array against itself moved by 1, 2, ... places, so linear in its length."""
+    size = F.greatest(F.size(items) - n + 1, F.lit(0))
+    moved = F.arrays_zip(*[F.slice(items, k + 1, size).alias(f"i{k}") for k in range(n)])
+    return F.transform(moved, lambda z: F.concat(F.lit(prefix), F.concat_ws(between, *[z[f"i{k}"] for k in range(n)])))
+
+
 def word_ngrams(words: Column, n: int) -> Column:
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.concat(F.lit(f"w{n}:"), F.array_join(F.slice(words, i, n), "_")))
+    return bound(words, lambda w: _runs(w, n, f"w{n}:", "_"))
 
 
 def char_ngrams(words: Column, n: int) -> Column:
-    joined = F.array_join(words, " ")
-    starts = F.when(F.length(joined) >= n, F.sequence(F.lit(1), F.length(joined) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.concat(F.lit(f"c{n}:"), F.substring(joined, i, F.lit(n))))
+    return bound(F.split(F.array_join(words, " "), ""), lambda c: F.when(F.get(c, F.lit(0)) != "", _runs(c, n, f"c{n}:", "")).otherwise(F.array().cast("array<string>")))
 
 
 def md5_bucket(feature: Column, dimension: int) -> Column:
@@ -64,16 +75,20 @@ def chunk_starts(length: Column, size: int, overlap: int) -> Column:
 
 def char_chunks(text: Column, size: int, overlap: int) -> Column:
     """Array of (start, end, chunk) over characters."""
-    return F.transform(
-        chunk_starts(F.length(text), size, overlap),
-        lambda s: F.struct(s.alias("start"), F.least(s + size, F.length(text)).alias("end"), F.substring(text, s + 1, F.lit(size)).alias("chunk")),
-    )
+
+    def cut(x: Column) -> Column:
+        spans = lambda s: F.struct(s.alias("start"), F.least(s + size, x["n"]).alias("end"), F.array_join(F.slice(x["c"], s + 1, size), "").alias("chunk"))
+        return F.transform(chunk_starts(x["n"], size, overlap), spans)
+
+    return bound(F.struct(F.length(text).alias("n"), F.split(text, "").alias("c")), cut)
 
 
 def word_chunks(text: Column, size: int, overlap: int) -> Column:
     """Array of (start, end, chunk) over words at white space; chunks are joined by single spaces."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    return F.transform(
-        chunk_starts(F.size(words), size, overlap),
-        lambda s: F.struct(s.alias("start"), F.least(s + size, F.size(words)).alias("end"), F.array_join(F.slice(words, s + 1, size), " ").alias("chunk")),
-    )
+
+
+    def cut(words: Column) -> Column:
+        spans = lambda s: F.struct(s.alias("start"), F.least(s + size, F.size(words)).alias("end"), F.array_join(F.slice(words, s + 1, size), " ").alias("chunk"))
+        return F.transform(chunk_starts(F.size(words), size, overlap), spans)
+
+    return bound(F.filter(F.split(text, r"\s+"), lambda w: w != ""), cut)

@@ -24,7 +24,15 @@ def test_flat_features(spark):
     df = spark.createDataFrame([(1, json.dumps(meta)), (2, None)], "id long, meta string")
     got = {r.name for r in E.json_features(df, "id", "meta", exclude=("list",)).collect()}
     assert got == {"speaker:ann", "tool_state.tool:x", "tool_state.n:num:pos:1e-9", "tool_state.n:num_rounded:0.0", "flag:true", "time:year:2024", "time:month:2024-02", "time:weekday:0", "time:hour:3", "bad:nan"}
-    assert E.flat_features([1, "b"], "l") == ["l:len:2", "l[0]:num:pos:1e0", "l[0]:num_rounded:1.0", "l[1]:b"]
+    listed = spark.createDataFrame([(1, '{"l": [1, "b"], "n": {"b": null, "a": [[1, 2, 3], {"z": 1e7, "y": true}, -0.0001]}, "time": "2024-02-26T23:00:00Z"}'), (2, "no json"), (3, "[]"), (4, None)], "id int, meta string")
+    names = {}
+    for r in E.json_features(listed, "id", "meta").collect():
+        names.setdefault(r.id, set()).add(r.name)
+    assert names == {
+        1: {"l:len:2", "l[0]:num:pos:1e0", "l[0]:num_rounded:1.0", "l[1]:b", "n.a:len:3", "n.a[0]:len:3", "n.a[0][0]:num:pos:1e0", "n.a[1].y:true", "n.a[1].z:num:pos:1e7", "n.a[2]:num:neg:1e-4", "n.a[2]:num_rounded:-0.0"}
+        | {"time:year:2024", "time:month:2024-02", "time:weekday:0", "time:hour:23"},
+        3: {":len:0"},
+    }
 
 
 def test_ledger(spark):
