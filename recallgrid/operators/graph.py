@@ -8,6 +8,7 @@ for rules that couple rows (Oja). Namespaces and graph rows are the units of par
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,7 +66,7 @@ def pair_deltas(codes: DataFrame, rule: str, rate: float = RATE, salience: Colum
         return with_write_number(codes).select("ns", F.col("feature").alias("src"), F.col("feature").alias("dst"), "t", F.lit(0.0).alias("delta")).limit(0)
     if rule not in ("hebb", "covariance", "bcm"):
         raise ValueError(f"unknown plasticity rule: {rule}")
-    top = codes.withColumn("_r", F.row_number().over(W.partitionBy("ns", "seq").orderBy(F.abs("w").desc(), "feature"))).filter(F.col("_r") <= max_pairs).drop("_r")
+    top = strongest(codes, max_pairs)
     top = with_write_number(top if rule == "hebb" else activity(top, rate))
     eta = F.lit(rate) * salience
     names = ["feature", "w"] + ([] if rule == "hebb" else ["mu", "m2"])
@@ -88,9 +89,21 @@ def previous_write(codes: DataFrame, stream: list[str]) -> DataFrame:
     return writes.withColumn("previous", F.lag("seq").over(W.partitionBy(*stream).orderBy("seq")))
 
 
-def temporal_deltas(codes: DataFrame, stream: list[str], rate: float = TEMPORAL_RATE) -> DataFrame:
-    """(ns, src, dst, t, delta) from each write's predecessor in its stream to the write; directed."""
+def strongest(codes: DataFrame, n: int) -> DataFrame:
+    """The n largest entries of each write."""
+    order = W.partitionBy("ns", "seq").orderBy(F.abs("w").desc(), "feature")
+    return codes.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= n).drop("_r")
+
+
+def temporal_deltas(codes: DataFrame, stream: list[str], rate: float = TEMPORAL_RATE, rule: str = "hebb", max_pairs: int = MAX_PAIRS) -> DataFrame:
+    """(ns, src, dst, t, delta) from each write's predecessor in its stream to the write; directed, none for rule none.
+
+    At most ``max_pairs`` entries of each of the two take part.
+    """
     numbered = with_write_number(codes)
+    if rule in ("none", "off", "zero"):
+        return numbered.select("ns", F.col("feature").alias("src"), F.col("feature").alias("dst"), "t", F.lit(0.0).alias("delta")).limit(0)
+    numbered, codes = strongest(numbered, max_pairs), strongest(codes, max_pairs)
     keys = list(dict.fromkeys(["ns", *stream]))
     links = previous_write(codes, keys).filter("previous IS NOT NULL")
     now = numbered.join(links, [*keys, "seq"]).select(*keys, "previous", "t", F.col("feature").alias("dst"), F.col("w").alias("_w"))
@@ -99,22 +112,48 @@ def temporal_deltas(codes: DataFrame, stream: list[str], rate: float = TEMPORAL_
     return joined.select("ns", "src", "dst", "t", (F.lit(rate) * F.col("_v") * F.col("_w")).alias("delta"))
 
 
-def decay_factor(t: Column, decay: float, interval: int) -> Column:
-    return F.pow(F.lit(max(0.0, 1 - decay)), F.floor(t / interval)) if interval > 0 else F.lit(1.0)
+def _epoch(t: Column, interval: int) -> Column:
+    """How often all edges have decayed by write t."""
+    return F.floor(t / interval) if interval > 0 else F.lit(0).cast("long")
+
+
+#: Powers of what a decay leaves stay above e ** -SPAN within a segment of writes, so that dividing by them is safe.
+SPAN = 230.0
 
 
 def closed_form(deltas: DataFrame, writes: DataFrame, decay: float = DECAY, interval: int = INTERVAL, allow_negative: bool = False) -> DataFrame:
     """(ns, src, dst, w) after all writes; ``writes`` has (ns, t), the number of writes.
 
     Adding with a floor at zero is a Lindley recursion: with S the running sum of
-    decay-corrected deltas, the edge is the final factor times S - min(0, running min S).
+    decay-corrected deltas, an edge that starts at v ends at max(v + S, S - min S). Sums
+    are taken within segments of decays, over which the correction keeps its precision,
+    and an edge's segments, one unless decays run to hundreds of thousands, follow one
+    another. A decay of 1 or more leaves the deltas after the last one only.
     """
-    edge = W.partitionBy("ns", "src", "dst").orderBy("t")
-    grown = deltas.withColumn("s", F.sum(F.col("delta") / decay_factor(F.col("t"), decay, interval)).over(edge))
-    ends = grown.groupBy("ns", "src", "dst").agg(F.max_by("s", "t").alias("s"), F.min("s").alias("low"))
-    last = F.broadcast(writes.groupBy("ns").agg(F.max("t").alias("t_end"))) if writes.count() <= 10_000 else writes.groupBy("ns").agg(F.max("t").alias("t_end"))
-    value = F.col("s") if allow_negative else F.col("s") - F.least(F.lit(0.0), F.col("low"))
-    return ends.join(last, "ns").select("ns", "src", "dst", (value * decay_factor(F.col("t_end"), decay, interval)).alias("w")).filter(F.abs("w") >= SMALL)
+    keep = max(0.0, 1 - decay)
+    last = writes.groupBy("ns").agg(F.max("t").alias("t_end"))
+    n_ns, t_max = last.agg(F.count(F.lit(1)), F.max("t_end")).first()
+    last = F.broadcast(last) if n_ns <= 10_000 else last
+    rows = deltas.withColumn("_e", _epoch(F.col("t"), interval))
+    end = _epoch(F.col("t_end"), interval)
+    if keep == 0.0:
+        rows, keep = rows.join(last, "ns").filter(F.col("_e") == end).drop("t_end").withColumn("_e", F.lit(0).cast("long")), 1.0
+        end = F.lit(0).cast("long")
+    span = max(1, int(SPAN / -math.log(keep))) if keep < 1 else 1 << 62
+    left = lambda n: F.pow(F.lit(keep), n)
+    segment = F.floor(F.col("_e") / span)
+    grown = rows.withColumn("_g", segment).withColumn("_s", F.sum(F.col("delta") / left(F.col("_e") - F.col("_g") * span)).over(W.partitionBy("ns", "src", "dst", "_g").orderBy("t")))
+    ends = grown.groupBy("ns", "src", "dst", "_g").agg(F.max_by("_s", "t").alias("s"), F.least(F.lit(0.0), F.min("_s")).alias("low"))
+    after = lambda v, x: v + x["s"] if allow_negative else F.greatest(v + x["s"], x["s"] - x["low"])
+    part = F.struct("_g", "s", "low")
+    if interval <= 0 or t_max is None or t_max // interval < span:
+        edges = ends.select("ns", "src", "dst", after(F.lit(0.0), part).alias("v"), "_g")
+    else:
+        start = F.struct(F.lit(0).cast("long").alias("g"), F.lit(0.0).alias("v"))
+        step = lambda a, x: F.struct(x["_g"].alias("g"), after(a["v"] * left((x["_g"] - a["g"]) * span), x).alias("v"))
+        folded = ends.groupBy("ns", "src", "dst").agg(F.aggregate(F.sort_array(F.collect_list(part)), start, step).alias("a"))
+        edges = folded.select("ns", "src", "dst", "a.v", F.col("a.g").alias("_g"))
+    return edges.join(last, "ns").select("ns", "src", "dst", (F.col("v") * left(end - F.col("_g") * span)).alias("w")).filter(F.abs("w") >= SMALL)
 
 
 def decayed(edges: DataFrame, rate: float) -> DataFrame:
@@ -284,10 +323,18 @@ def adjusted_authority(authority: Column, change: Column) -> Column:
     return F.least(F.lit(2.0), F.greatest(F.lit(0.0), authority + change))
 
 
-def context_graph(contexts: DataFrame, addresses: DataFrame, rate: float, on: list[str], max_degree: int = 256) -> DataFrame:
-    """(ns, src context feature, dst address feature, w): sums of rate * context * address over writes, rows pruned at the end."""
+def context_graph(contexts: DataFrame, addresses: DataFrame, rate: float, on: list[str], max_degree: int = 128, order: str | None = None) -> DataFrame:
+    """(ns, src context feature, dst address feature, w): sums of rate * context * address over writes.
+
+    With ``order``, a column of both that numbers the writes, rows are pruned after each
+    write, each a stream; without it the writes are summed and rows are pruned once, which
+    is the same as long as no row exceeds the degree.
+    """
     first = lambda df, n: df.withColumn("_r", F.row_number().over(W.partitionBy(*on).orderBy("feature"))).filter(F.col("_r") <= n)
     c = first(contexts, 64).select(*on, F.col("feature").alias("src"), F.col("w").alias("_c"))
-    a = first(addresses, 128).select(*on, F.col("feature").alias("dst"), F.col("w").alias("_a"))
-    links = c.join(a, on).groupBy("ns", "src", "dst").agg(F.sum(F.lit(rate) * F.col("_c") * F.col("_a")).alias("w"))
-    return pruned(links, max_degree)
+    a = first(addresses, 128).select(*dict.fromkeys([*on, *([order] if order else [])]), F.col("feature").alias("dst"), F.col("w").alias("_a"))
+    links = c.join(a, on).withColumn("delta", F.lit(rate) * F.col("_c") * F.col("_a"))
+    if order is None:
+        return pruned(links.groupBy("ns", "src", "dst").agg(F.sum("delta").alias("w")), max_degree)
+    deltas = links.select("ns", "src", "dst", F.col(order).cast("long").alias("t"), "delta")
+    return row_fold(deltas, deltas.select("ns", "t").distinct(), 0.0, 0, max_degree, cap=False, allow_negative=True)

@@ -58,35 +58,44 @@ def retrieval_metrics(results: DataFrame, relevance: DataFrame, queries: DataFra
     )
 
 
-def share_in(results: DataFrame, ids: DataFrame, name: str, keys: tuple[str, ...] = ("query_id", "episode_id")) -> DataFrame:
-    """(query_id, name): the share of a query's results that are in ``ids`` (hub capture, negative hits)."""
+def _every(found: DataFrame, queries: DataFrame | None, name: str) -> DataFrame:
+    """Adds the queries without results, with 0."""
+    if queries is None:
+        return found
+    return queries.select("query_id").distinct().join(found, "query_id", "left").fillna(0.0, [name])
+
+
+def share_in(results: DataFrame, ids: DataFrame, name: str, keys: tuple[str, ...] = ("query_id", "episode_id"), queries: DataFrame | None = None) -> DataFrame:
+    """(query_id, name): the share of a query's results that are in ``ids`` (hub capture, negative hits); 0 without results."""
     on = [k for k in keys if k in ids.columns]
     hit = results.join(ids.select(*on).distinct().withColumn("_hit", F.lit(1.0)), on, "left")
-    return hit.groupBy("query_id").agg(F.avg(F.coalesce("_hit", F.lit(0.0))).alias(name))
+    return _every(hit.groupBy("query_id").agg(F.avg(F.coalesce("_hit", F.lit(0.0))).alias(name)), queries, name)
 
 
-def top_in(results: DataFrame, relevance: DataFrame, name: str = "attributed") -> DataFrame:
-    """(query_id, name): whether the first result is relevant."""
+def top_in(results: DataFrame, relevance: DataFrame, name: str = "attributed", queries: DataFrame | None = None) -> DataFrame:
+    """(query_id, name): whether the first result is relevant; 0 without results."""
     gold = relevance.select("query_id", "episode_id").distinct().withColumn("_hit", F.lit(1.0))
-    return results.filter("rank = 1").join(gold, ["query_id", "episode_id"], "left").select("query_id", F.coalesce("_hit", F.lit(0.0)).alias(name))
+    first = results.filter("rank = 1").join(gold, ["query_id", "episode_id"], "left").select("query_id", F.coalesce("_hit", F.lit(0.0)).alias(name))
+    return _every(first, queries, name)
 
 
-def any_in(results: DataFrame, relevance: DataFrame, name: str = "found", hidden_id: str | None = None) -> DataFrame:
+def any_in(results: DataFrame, relevance: DataFrame, name: str = "found", hidden_id: str | None = None, queries: DataFrame | None = None) -> DataFrame:
+    """(query_id, name): whether any result, or the hidden state it names, is relevant; 0 without results."""
     gold = relevance.select("query_id", F.col("episode_id").alias("_g")).distinct()
     ids = [F.col("episode_id")] + ([F.col(hidden_id)] if hidden_id else [])
     long = results.select("query_id", F.explode(F.array(*ids)).alias("_g"))
     hit = long.join(gold.withColumn("_hit", F.lit(1.0)), ["query_id", "_g"], "left")
-    return hit.groupBy("query_id").agg(F.max(F.coalesce("_hit", F.lit(0.0))).alias(name))
+    return _every(hit.groupBy("query_id").agg(F.max(F.coalesce("_hit", F.lit(0.0))).alias(name)), queries, name)
 
 
-def false_association(results: DataFrame, relevance: DataFrame, negatives: DataFrame) -> DataFrame:
-    """(query_id, rate): results that are negative, or not relevant where anything is."""
+def false_association(results: DataFrame, relevance: DataFrame, negatives: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """(query_id, rate): results that are negative, or not relevant where anything is; 0 without results."""
     pos = relevance.select("query_id", "episode_id").distinct().withColumn("_p", F.lit(True))
     neg = negatives.select("query_id", "episode_id").distinct().withColumn("_n", F.lit(True))
     some = relevance.select("query_id").distinct().withColumn("_s", F.lit(True))
     j = results.join(pos, ["query_id", "episode_id"], "left").join(neg, ["query_id", "episode_id"], "left").join(some, "query_id", "left")
     wrong = F.col("_n").isNotNull() | (F.col("_s").isNotNull() & F.col("_p").isNull())
-    return j.groupBy("query_id").agg(F.avg(wrong.cast("double")).alias("rate"))
+    return _every(j.groupBy("query_id").agg(F.avg(wrong.cast("double")).alias("rate")), queries, "rate")
 
 
 def answer_in_retrieved(results: DataFrame, answers: DataFrame) -> DataFrame:

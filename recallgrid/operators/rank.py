@@ -69,6 +69,21 @@ def after_use(results: DataFrame, verified: bool | None = None) -> DataFrame:
     return results.groupBy("episode_id").agg(gain(0.02).alias("confidence_change"), gain(0.01).alias("authority_change"))
 
 
+def with_feedback(episodes: DataFrame, changes: DataFrame, as_of: Column) -> DataFrame:
+    """Episodes after ``after_use``: confidence and authority stay within 0 and 2, used ones count an access and become labile."""
+    joined = episodes.join(changes, "episode_id", "left")
+    used = F.col("confidence_change").isNotNull()
+    within = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(2.0), F.col(c) + F.coalesce(f"{c}_change", F.lit(0.0))))
+    return (
+        joined.withColumn("confidence", within("confidence"))
+        .withColumn("authority", within("authority"))
+        .withColumn("access_count", F.col("access_count") + used.cast("long"))
+        .withColumn("last_access", F.when(used, as_of).otherwise(F.col("last_access")))
+        .withColumn("labile", used)
+        .drop("confidence_change", "authority_change")
+    )
+
+
 # Fixed texts of the prompt.
 INSTRUCTION = (
     "Use the retrieved memories only when relevant. Cite memory IDs in the answer. "

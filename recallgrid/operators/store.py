@@ -29,6 +29,13 @@ def candidate_votes(queries: DataFrame, postings: DataFrame, limit: int, on: lis
     return votes.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 
+def candidate_union(votes: DataFrame, scores: DataFrame, limit: int, query: str = "query_id", episode: str = "episode_id") -> DataFrame:
+    """(query, episode): the voted candidates and the ``limit`` episodes with the highest scores of a query."""
+    order = W.partitionBy(query).orderBy(F.col("score").desc(), episode)
+    best = scores.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= limit)
+    return votes.select(query, episode).unionByName(best.select(query, episode)).distinct()
+
+
 def with_fallback(votes: DataFrame, queries: DataFrame, episodes: DataFrame, limit: int, query: str = "query_id", episode: str = "episode_id") -> DataFrame:
     """(query, episode): the votes, and all episodes for a query without any if the store holds no more than ``limit``.
 

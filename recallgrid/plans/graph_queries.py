@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recallgrid.functions import vectors as V
@@ -13,6 +16,7 @@ from recallgrid.operators import graph as GR
 from recallgrid.operators import maintain as M
 from recallgrid.operators import rank as K
 from recallgrid.operators import recall as R
+from recallgrid.operators import store as S
 
 from .registry import cte, query, read, shared
 
@@ -365,8 +369,6 @@ def _activate_sql(state: str) -> str:
 
 def _activate(state, idx):
     """Scores are rounded before they are ranked, so that ties are ties in any engine."""
-    from pyspark.sql import Window as W
-
     scores = R.activate(state, idx, top=1 << 30)
     order = W.partitionBy("ns", "query_id").orderBy(quantize(F.col("score"), 9).desc(), "episode_id")
     return scores.withColumn("_r", F.row_number().over(order)).filter("_r <= 10").drop("_r")
@@ -441,21 +443,35 @@ def complete_v2(spark, d):
 
 # --- ranking --------------------------------------------------------------------------------
 
+#: Candidates of a query: the episodes that share most features with its states.
+CANDIDATES = 40
+_PAIR_VOTES = """SELECT ns, query_id, episode_id FROM (SELECT q.ns, q.query_id, c.episode_id, count(*) AS votes FROM (SELECT DISTINCT ns, query_id, feature FROM ({})) q
+    JOIN codes c ON c.ns = q.ns AND c.feature = q.feature WHERE c.episode_id <> q.query_id GROUP BY 1, 2, 3)
+    QUALIFY row_number() OVER (PARTITION BY ns, query_id ORDER BY votes DESC, episode_id) <= """ + str(CANDIDATES)
+cte("votes_v1", _PAIR_VOTES.format("SELECT ns, query_id, feature FROM state0 UNION ALL SELECT ns, query_id, feature FROM state2 UNION ALL SELECT ns, query_id, feature FROM timed2"))
 cte("parts_v1", """SELECT q.ns, q.query_id, c.episode_id, sum(CASE WHEN q.k = 0 THEN q.v * c.w ELSE 0.0 END) AS exact, sum(CASE WHEN q.k = 1 THEN q.v * c.w ELSE 0.0 END) AS associative, sum(CASE WHEN q.k = 2 THEN q.v * c.w ELSE 0.0 END) AS temporal
-    FROM (SELECT *, 0 AS k FROM state0 UNION ALL SELECT *, 1 FROM state2 UNION ALL SELECT *, 2 FROM timed2) q JOIN codes c ON c.ns = q.ns AND c.feature = q.feature WHERE c.episode_id <> q.query_id GROUP BY 1, 2, 3""")
+    FROM (SELECT *, 0 AS k FROM state0 UNION ALL SELECT *, 1 FROM state2 UNION ALL SELECT *, 2 FROM timed2) q JOIN votes_v1 v ON v.ns = q.ns AND v.query_id = q.query_id JOIN codes c ON c.ns = q.ns AND c.feature = q.feature AND c.episode_id = v.episode_id GROUP BY 1, 2, 3""")
 cte("ranked_v1", f"""SELECT ns, query_id, episode_id, {Q('score')} AS score, row_number() OVER (PARTITION BY ns, query_id ORDER BY {Q('score')} DESC, episode_id) AS rank
     FROM (SELECT *, 0.65 * exact + 0.3 * associative + 0.05 * temporal AS score FROM parts_v1) QUALIFY rank <= 5""")
 
 
+def pair_votes(c, states):
+    """(ns, query_id, episode_id): the CANDIDATES other episodes that share most features with the states of a query."""
+    features = functools.reduce(lambda a, b: a.unionByName(b), [s.select("ns", "query_id", "feature") for s in states]).distinct()
+    asking = features.withColumn("_q", F.struct("ns", "query_id"))
+    votes = S.candidate_votes(asking, c, CANDIDATES + 1, ["ns", "feature"], "_q")  # one more, as the query itself is among them
+    others = votes.filter(F.col("_q.query_id") != F.col("episode_id"))
+    place = F.row_number().over(W.partitionBy("_q").orderBy("rank"))
+    return others.withColumn("_r", place).filter(F.col("_r") <= CANDIDATES).select("_q.ns", "_q.query_id", "episode_id")
+
+
 @shared
 def ranked_v1(spark, d):
-    """Top five other episodes of the namespace for every embedding."""
+    """Top five of the candidates for every embedding."""
     query_state, c = asked(spark, d), codes(spark, d)
     final, timed = recalled(spark, d, 2)
     states = {"exact": query_state, "associative": final, "temporal": timed}
-    features = query_state.select("ns", "query_id", "feature").unionByName(final.select("ns", "query_id", "feature")).unionByName(timed.select("ns", "query_id", "feature")).distinct()
-    pairs = features.join(c.select("ns", "feature", "episode_id"), ["ns", "feature"]).select("ns", "query_id", "episode_id").distinct().filter("query_id <> episode_id")
-    scored = K.score_v1(K.score_parts(pairs, c, states)).withColumn("score", quantize(F.col("score")))
+    scored = K.score_v1(K.score_parts(pair_votes(c, states.values()), c, states)).withColumn("score", quantize(F.col("score")))
     return K.ranked(scored, 5).select("ns", "query_id", "episode_id", "score", "rank")
 
 
@@ -466,11 +482,16 @@ def retrieve_v1(spark, d):
 
 cte("ctx_sim", "SELECT q.ns, q.episode_id AS query_id, e.episode_id, sum(q.w * e.w) AS sim FROM ctx q JOIN ctx e ON e.ns = q.ns AND e.feature = q.feature WHERE e.episode_id <> q.episode_id GROUP BY 1, 2, 3")
 cte("status_t", "SELECT label AS ns, vec_id AS episode_id, CASE vec_id % 10 WHEN 3 THEN 'hypothetical' WHEN 5 THEN 'superseded' WHEN 7 THEN 'rejected' ELSE 'observed' END AS status, (vec_id % 4) * 0.1 AS risk FROM embeddings")
+cte("timed1", """SELECT ns, query_id, feature, v / sqrt(sum(v * v) OVER (PARTITION BY ns, query_id)) AS v FROM (
+    SELECT ns, query_id, feature, sum(v) AS v FROM moved1 GROUP BY ALL) WHERE v <> 0""")
+cte("votes_v2", _PAIR_VOTES.format("SELECT ns, query_id, feature FROM state0 UNION ALL SELECT ns, query_id, feature FROM completed UNION ALL SELECT ns, query_id, feature FROM timed1").join(["SELECT * FROM (", f""")
+    UNION SELECT ns, query_id, episode_id FROM (SELECT ns, query_id, episode_id, {Q('greatest(score, 0.0)', 9)} AS s FROM fb_scores WHERE query_id <> episode_id) QUALIFY row_number() OVER (PARTITION BY ns, query_id ORDER BY s DESC, episode_id) <= {CANDIDATES}"""]))
 cte("ranked_v2", f"""SELECT ns, query_id, episode_id, {Q('score')} AS score, CAST(row_number() OVER (PARTITION BY ns, query_id ORDER BY {Q('score')} DESC, episode_id) AS INTEGER) AS rank FROM (
-    SELECT p.ns, p.query_id, p.episode_id, (0.65 * exact + 0.3 * associative + 0.2 * coalesce(greatest(a.score, 0.0), 0.0) + 0.1 * coalesce(x.sim, 0.0) - 0.2 * risk)
+    SELECT p.ns, p.query_id, p.episode_id, (0.65 * exact + 0.3 * associative + 0.05 * temporal + 0.2 * coalesce(greatest(a.score, 0.0), 0.0) + 0.1 * coalesce(x.sim, 0.0) - 0.2 * risk)
         * greatest(0.0, (1.0 - risk) * CASE status WHEN 'hypothetical' THEN 0.1 WHEN 'superseded' THEN 0.2 ELSE 1.0 END) AS score
-    FROM (SELECT q.ns, q.query_id, c.episode_id, sum(CASE WHEN q.k = 0 THEN q.v * c.w ELSE 0.0 END) AS exact, sum(CASE WHEN q.k = 1 THEN q.v * c.w ELSE 0.0 END) AS associative
-        FROM (SELECT *, 0 AS k FROM state0 UNION ALL SELECT *, 1 FROM completed) q JOIN codes c ON c.ns = q.ns AND c.feature = q.feature WHERE c.episode_id <> q.query_id GROUP BY 1, 2, 3) p
+    FROM (SELECT v.ns, v.query_id, v.episode_id, coalesce(sum(q.v * c.w) FILTER (WHERE q.k = 0), 0.0) AS exact, coalesce(sum(q.v * c.w) FILTER (WHERE q.k = 1), 0.0) AS associative, coalesce(sum(q.v * c.w) FILTER (WHERE q.k = 2), 0.0) AS temporal
+        FROM votes_v2 v JOIN codes c ON c.ns = v.ns AND c.episode_id = v.episode_id
+        LEFT JOIN (SELECT *, 0 AS k FROM state0 UNION ALL SELECT *, 1 FROM completed UNION ALL SELECT *, 2 FROM timed1) q ON q.ns = v.ns AND q.query_id = v.query_id AND q.feature = c.feature GROUP BY 1, 2, 3) p
     JOIN status_t s ON s.ns = p.ns AND s.episode_id = p.episode_id LEFT JOIN ctx_sim x ON x.ns = p.ns AND x.query_id = p.query_id AND x.episode_id = p.episode_id
     LEFT JOIN fb_scores a ON a.ns = p.ns AND a.query_id = p.query_id AND a.episode_id = p.episode_id
     WHERE status <> 'rejected') QUALIFY rank <= 5""")
@@ -479,10 +500,13 @@ cte("ranked_v2", f"""SELECT ns, query_id, episode_id, {Q('score')} AS score, CAS
 @query("retrieve_v2", "SELECT * FROM ranked_v2")
 def retrieve_v2(spark, d):
     c, query_state = codes(spark, d), asked(spark, d)
-    final, _, nodes = completed(spark, d)
-    features = query_state.select("ns", "query_id", "feature").unionByName(final.select("ns", "query_id", "feature")).distinct()
-    pairs = features.join(c.select("ns", "feature", "episode_id"), ["ns", "feature"]).select("ns", "query_id", "episode_id").distinct().filter("query_id <> episode_id")
-    parts = K.score_parts(pairs, c, {"exact": query_state, "associative": final})
+    final, timed, nodes = completed(spark, d)
+    states = {"exact": query_state, "associative": final, "temporal": timed}
+    asking = F.struct("ns", "query_id").alias("_q")
+    voted = pair_votes(c, states.values()).select(asking, "episode_id")
+    active = nodes.filter("query_id <> episode_id").select(asking, "episode_id", quantize(F.col("score"), 9).alias("score"))
+    pairs = S.candidate_union(voted, active, CANDIDATES, "_q").select("_q.ns", "_q.query_id", "episode_id")
+    parts = K.score_parts(pairs, c, states)
     x = contexts(spark, d)
     sim = V.row_dots(x.withColumnRenamed("episode_id", "query_id"), x.withColumnRenamed("episode_id", "other"), "query_id", "other", ["ns", "feature"])
     sim = sim.select("query_id", F.col("other").alias("episode_id"), F.col("dot").alias("context"))
@@ -492,7 +516,7 @@ def retrieve_v2(spark, d):
     meta = read(spark, d, "embeddings").select(F.col("label").alias("ns"), F.col("vec_id").alias("episode_id"), status.alias("status"), risk.alias("risk"), (1.0 - risk).alias("authority"))
     nodes = nodes.withColumnRenamed("score", "episode_node")
     full = parts.join(meta, ["ns", "episode_id"]).join(sim, ["query_id", "episode_id"], "left").join(nodes, ["ns", "query_id", "episode_id"], "left")
-    full = full.fillna(0.0, ["context", "episode_node"]).withColumn("temporal", F.lit(0.0)).withColumn("recency", F.lit(0.0)).withColumn("confidence", F.lit(1.0))
+    full = full.fillna(0.0, ["context", "episode_node"]).withColumn("recency", F.lit(0.0)).withColumn("confidence", F.lit(1.0))
     scored = K.score_v2(full).withColumn("score", quantize(F.col("score")))
     return K.ranked(scored, 5).select("ns", "query_id", "episode_id", "score", "rank")
 
