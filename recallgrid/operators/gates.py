@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from recallgrid.functions.vectors import rows_normalized
+
 # Default weights of the gates.
 SALIENCE = {"base": 0.5, "surprise": 0.25, "task_relevance": 0.15, "user_importance": 0.2, "novelty": 0.25, "redundancy": -0.15}
 SALIENCE_RANGE = (0.05, 2.0)
@@ -114,10 +116,11 @@ def decay_rate(negative: Column) -> Column:
     return F.when(negative > 0.5, F.least(F.lit(0.05), 0.01 * negative)).otherwise(0.0)
 
 
-def allocation_gain(codes: DataFrame, novelty: Column | float = 0.0, utility: Column | float = 0.0, rate: float = 0.95) -> DataFrame:
-    """Adds eligibility and gain, for no hub inhibition; a feature's writes are folded as a sorted stream.
+def allocation_gain(codes: DataFrame, novelty: Column | float = 0.0, utility: Column | float = 0.0, rate: float = 0.95, degrees: DataFrame | None = None, hub: float = 0.5) -> DataFrame:
+    """Adds eligibility and gain; a feature's writes are folded as a sorted stream.
 
-    Eligibility decays at every write of the namespace and vanishes under 1e-6.
+    Eligibility decays at every write of the namespace and vanishes under 1e-6. With
+    ``degrees`` (ns, feature, degree) gains are divided by (1 + degree) ** hub.
     """
     numbered = codes.withColumn("t", F.dense_rank().over(W.partitionBy("ns").orderBy("seq")).cast("long"))
 
@@ -139,7 +142,28 @@ def allocation_gain(codes: DataFrame, novelty: Column | float = 0.0, utility: Co
 
     folded = numbered.repartition("ns", "feature").sortWithinPartitions("ns", "feature", "t").mapInPandas(run, numbered.schema.add("eligibility", "double"))
     raw = 1.0 + 0.30 * F.lit(novelty) + 0.20 * F.lit(utility) + 0.05 * F.log1p("eligibility")
-    return folded.withColumn("gain", F.greatest(F.lit(0.15), F.least(F.lit(2.0), raw)))
+    if degrees is not None:
+        folded = folded.join(degrees, ["ns", "feature"], "left")
+        raw = raw / F.pow(1.0 + F.coalesce("degree", F.lit(0.0)), F.lit(hub))
+    gained = folded.withColumn("gain", F.greatest(F.lit(0.15), F.least(F.lit(2.0), raw)))
+    return gained.drop("degree")
+
+
+def allocated(gains: DataFrame) -> DataFrame:
+    """(ns, episode_id, feature, w): the addresses of ``allocation_gain`` times their gains, unit length."""
+    return rows_normalized(gains.select("ns", "episode_id", "feature", (F.col("w") * F.col("gain")).alias("w")), ["ns", "episode_id"])
+
+
+def augmented(codes: DataFrame, born: DataFrame, reserved: int, authority: float = 0.10) -> DataFrame:
+    """(ns, episode_id, feature, w): codes whose episodes are in ``born`` (ns, episode_id, slot) gain the feature ``reserved`` + slot.
+
+    Its weight is ``authority`` times the code's largest value; the code is normalised again, others stay as they are.
+    """
+    keys = ["ns", "episode_id"]
+    marked = codes.select(*keys, "feature", "w").join(born.select(*keys, "slot"), keys)
+    new = marked.groupBy(*keys, "slot").agg((F.max("w") * authority).alias("w")).select(*keys, (F.col("slot") + reserved).cast("int").alias("feature"), "w")
+    grown = rows_normalized(marked.select(*keys, "feature", "w").unionByName(new), keys)
+    return codes.select(*keys, "feature", "w").join(born.select(*keys), keys, "left_anti").unionByName(grown)
 
 
 def birth_score(new: Column, interference: Column, retrieval_error: Column, budget_pressure: Column) -> Column:

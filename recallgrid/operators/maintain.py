@@ -14,8 +14,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from recallgrid.functions.lineage import settle
 from recallgrid.functions.vectors import rows_normalized, rows_topk
 
+from . import graph as GR
+
 
 def eviction_order(policy: str) -> list[Column]:
     """Sort columns, first to go first; timestamps are compared as texts."""
@@ -99,13 +102,34 @@ def greedy_groups(codes: DataFrame, threshold: float, least: int) -> DataFrame:
     return ordered.mapInPandas(run, f"ns {kind}, seed long, seq long")
 
 
-def replay_select(episodes: DataFrame, strategy: str, n: int) -> DataFrame:
-    """The n episodes of each namespace to replay."""
+def consolidated(episodes: DataFrame, groups: DataFrame, delete_members: bool = True) -> DataFrame:
+    """Episodes (ns, episode_id, text, timestamp, salience, confidence) after merging groups (ns, seed, episode_id).
+
+    A prototype has its members' ids and texts in order of id, their latest time, highest
+    salience and mean confidence; its code is that of ``prototypes``. Texts of a group come
+    together in one row.
+    """
+    keys = ["ns", "episode_id"]
+    rows = episodes.select(*keys, "text", "timestamp", "salience", "confidence")
+    members = rows.join(groups.select(*keys, "seed"), keys)
+    each = F.sort_array(F.collect_list(F.struct("episode_id", "text")))
+    made = members.groupBy("ns", "seed").agg(each.alias("m"), F.max("timestamp").alias("timestamp"), F.max("salience").alias("salience"), F.avg("confidence").alias("confidence"))
+    name = F.concat(F.lit("prototype:"), F.array_join(F.transform("m", lambda x: x["episode_id"].cast("string")), "+"))
+    made = made.select("ns", name.alias("episode_id"), F.array_join(F.transform("m", lambda x: x["text"]), "\n\n").alias("text"), "timestamp", "salience", "confidence")
+    left = rows.join(groups.select(*keys).distinct(), keys, "left_anti") if delete_members else rows
+    return left.withColumn("episode_id", F.col("episode_id").cast("string")).unionByName(made)
+
+
+def replay_select(episodes: DataFrame, strategy: str, n: int, engine: int = 1) -> DataFrame:
+    """The n episodes of each namespace to replay; the second engine takes any name but low_confidence for salience."""
+    if engine == 2 and strategy != "low_confidence":
+        order = W.partitionBy("ns").orderBy(F.col("salience").desc(), "confidence", "episode_id")
+        return episodes.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
     orders = {
         "recency": [F.col("timestamp").desc(), F.col("episode_id")],
         "salience": [(F.col("salience") * F.greatest(F.col("confidence"), F.lit(0.0))).desc(), F.col("timestamp").desc(), F.col("episode_id")],
         "uncertainty": [F.abs(F.col("confidence") - 0.5), F.col("episode_id")],
-        "low_confidence": [F.col("confidence"), F.col("episode_id")],
+        "low_confidence": [F.col("confidence"), F.col("salience").desc(), F.col("episode_id")],
         "random": [F.md5(F.col("episode_id").cast("string")), F.col("episode_id")],
     }
     if strategy not in orders:
@@ -119,6 +143,41 @@ def replay_verified(text: Column, checksum: Column) -> Column:
     return F.coalesce(F.sha2(text, 256) == checksum, F.lit(False))
 
 
+def replay_run(chosen: DataFrame, codes: DataFrame, association: DataFrame, temporal: DataFrame, scale: float, engine: int = 1, rule: str = "hebb", with_temporal: bool = True, decay: float = GR.DECAY, interval: int = GR.INTERVAL) -> tuple[DataFrame, DataFrame]:
+    """(association, temporal) edges after the verified ones of the chosen episodes were written once more.
+
+    ``chosen`` has (ns, episode_id, place, salience, verified), ``codes`` the writes so far
+    (ns, episode_id, seq, feature, w). Writes are scaled by ``scale`` times the salience, by
+    0.01 at least in the second engine. In the first engine an unverified episode breaks the
+    chain of temporal edges, the second passes over it.
+    """
+    good = chosen.filter("verified").join(codes.groupBy("ns").agg(F.max("seq").alias("_last")), "ns")
+    by_place = W.partitionBy("ns").orderBy("place")
+    good = good.withColumn("stream", F.col("place") - F.row_number().over(by_place) if engine == 1 else F.lit(0)).withColumn("seq", F.col("_last") + F.col("place"))
+    weight = F.col("salience") * scale
+    good = good.select("ns", "episode_id", "seq", "stream", (F.greatest(F.lit(0.01), weight) if engine == 2 else weight).alias("_s"))
+    again = good.join(codes.select("ns", "episode_id", "feature", "w"), ["ns", "episode_id"]).select("ns", "seq", "stream", "feature", "w")
+    every = settle(codes.select("ns", "seq", F.lit(None).cast("long").alias("stream"), "feature", "w").unionByName(again.withColumn("stream", F.col("stream").cast("long"))), "replayed")
+    numbered = GR.with_write_number(every).select("ns", "seq", "t").distinct()
+    writes = settle(numbered.join(good.select("ns", "seq", "_s"), ["ns", "seq"], "left"), "replay-writes")
+    before = writes.filter("_s IS NULL").groupBy("ns").agg(F.max("t").alias("t"))
+    new = writes.filter("_s IS NOT NULL").select("ns", "t", "_s")
+
+    def grown(edges: DataFrame, deltas: DataFrame) -> DataFrame:
+        own = deltas.join(new, ["ns", "t"]).withColumn("delta", F.col("delta") * F.col("_s")).drop("_s")
+        start = edges.join(before, "ns").select("ns", "src", "dst", "t", F.col("w").alias("delta"))
+        return GR.closed_form(start.unionByName(own.select("ns", "src", "dst", "t", "delta")), writes.select("ns", "t"), decay, interval)
+
+    plain = every.drop("stream")
+    chained = GR.temporal_deltas(every, ["stream"], rule=rule if with_temporal else "none")
+    return grown(association, GR.pair_deltas(plain, rule)), grown(temporal, chained)
+
+
+def replay_authority(chosen: DataFrame, scale: float, gain: float = 0.02) -> DataFrame:
+    """(ns, episode_id, change): verified episodes gain authority, quarantined ones lose ``scale``."""
+    return chosen.select("ns", "episode_id", F.when(F.col("verified"), F.lit(gain)).otherwise(F.lit(-scale)).alias("change"))
+
+
 def replay_quarantined(state: Column, checksum: Column) -> Column:
     """Hypothetical, rejected or without any checksum; the digest itself is not looked at."""
     return state.isin("hypothetical", "rejected") | checksum.isNull() | (checksum == "")

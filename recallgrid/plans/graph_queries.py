@@ -134,11 +134,11 @@ cte("covariance_deltas", "SELECT a.ns, a.feature AS src, b.feature AS dst, a.t,
 cte("bcm_deltas", "SELECT a.ns, a.feature AS src, b.feature AS dst, a.t, 0.5 * (0.12 * 1.0) * (a.w * b.w * (a.w - a.m2) + b.w * a.w * (b.w - b.m2)) AS delta FROM ema a JOIN ema b ON a.ns = b.ns AND a.t = b.t AND a.feature <> b.feature")
 
 
-def _edges_cte(name: str, deltas: str) -> None:
+def _edges_cte(name: str, deltas: str, ends: str = "writes") -> None:
     cte(name, f"""SELECT ns, src, dst, (s - least(0.0, low)) * pow(1 - 0.001, floor(t_end / 100)) AS w FROM (
         SELECT ns, src, dst, arg_max(s, t) AS s, min(s) AS low FROM (
             SELECT *, sum(delta / pow(1 - 0.001, floor(t / 100))) OVER (PARTITION BY ns, src, dst ORDER BY t) AS s FROM {deltas}) GROUP BY ns, src, dst)
-        JOIN writes USING (ns) WHERE abs((s - least(0.0, low)) * pow(1 - 0.001, floor(t_end / 100))) >= {TINY}""")
+        JOIN {ends} USING (ns) WHERE abs((s - least(0.0, low)) * pow(1 - 0.001, floor(t_end / 100))) >= {TINY}""")
 
 
 for _name in ("hebb", "covariance", "bcm"):
@@ -581,6 +581,94 @@ def consolidate(spark, d):
     return M.greedy_groups(codes(spark, d), 0.35, 2)
 
 
+# --- replay, consolidation, birth and allocation applied ------------------------------------------
+
+# The memory of an embedding: salience, confidence and source follow from its number.
+cte("memory_t", """SELECT label AS ns, vec_id AS episode_id, 0.5 + (vec_id % 7) * 0.1 AS salience, (vec_id % 11) / 10.0 AS confidence, vec_id % 13 AS timestamp,
+    vec_id % 5 <> 0 AS verified, 'text ' || vec_id AS text FROM embeddings""")
+
+
+def memory(spark, d):
+    v = F.col("vec_id")
+    return read(spark, d, "embeddings").select(
+        F.col("label").alias("ns"), v.alias("episode_id"), (0.5 + (v % 7) * 0.1).alias("salience"), ((v % 11) / 10.0).alias("confidence"),
+        (v % 13).alias("timestamp"), (v % 5 != 0).alias("verified"), F.concat(F.lit("text "), v.cast("string")).alias("text"),
+    )
+
+
+REPLAY_ORDER = {1: "salience * greatest(confidence, 0.0) DESC, timestamp DESC, episode_id", 2: "confidence, salience DESC, episode_id"}
+for _e, _scale, _chain in ((1, "0.25 * salience", "place - row_number() OVER (PARTITION BY ns ORDER BY place)"), (2, "greatest(0.01, 0.15 * salience)", "0")):
+    cte(f"pick{_e}", f"SELECT *, row_number() OVER (PARTITION BY ns ORDER BY {REPLAY_ORDER[_e]}) AS place FROM memory_t QUALIFY place <= 20")
+    cte(f"again{_e}", f"SELECT ns, episode_id, place, t_end + row_number() OVER (PARTITION BY ns ORDER BY place) AS t, {_scale} AS s, {_chain} AS chain FROM pick{_e} JOIN writes USING (ns) WHERE verified")
+    cte(f"ends{_e}", f"SELECT ns, max(t) AS t_end FROM (SELECT ns, t FROM again{_e} UNION ALL SELECT ns, t_end FROM writes) GROUP BY ns")
+    cte(f"replay_pairs{_e}", f"""SELECT a.ns, a.feature AS src, b.feature AS dst, r.t, 0.12 * a.w * b.w * r.s AS delta FROM again{_e} r JOIN codes a USING (ns, episode_id) JOIN codes b ON b.ns = a.ns AND b.episode_id = a.episode_id AND b.feature <> a.feature
+        UNION ALL SELECT ns, src, dst, t_end, w FROM hebb_edges_t JOIN writes USING (ns)""")
+    cte(f"replay_moves{_e}", f"""SELECT n.ns, p.feature AS src, n.feature AS dst, r.t, 0.08 * p.w * n.w * r.s AS delta FROM (SELECT *, lag(episode_id) OVER (PARTITION BY ns, chain ORDER BY place) AS old FROM again{_e}) r
+        JOIN codes n ON n.ns = r.ns AND n.episode_id = r.episode_id JOIN codes p ON p.ns = r.ns AND p.episode_id = r.old WHERE p.feature <> n.feature
+        UNION ALL SELECT ns, src, dst, t_end, w FROM temporal_edges_t JOIN writes USING (ns)""")
+    _edges_cte(f"replayed{_e}", f"replay_pairs{_e}", f"ends{_e}")
+    _edges_cte(f"moved_again{_e}", f"replay_moves{_e}", f"ends{_e}")
+
+
+def _replayed(spark, d, engine, strategy, scale):
+    chosen = M.replay_select(memory(spark, d), strategy, 20, engine)
+    made = M.replay_run(chosen, codes(spark, d), edges(spark, d, "hebb"), temporal(spark, d), scale, engine)
+    parts = [shown(e).withColumn("kind", F.lit(k)) for e, k in zip(made, ("association", "temporal"), strict=True)]
+    return parts[0].unionByName(parts[1])
+
+
+def _replayed_sql(e: int) -> str:
+    return f"SELECT *, 'association' AS kind FROM ({_shown_sql(f'replayed{e}')}) UNION ALL SELECT *, 'temporal' FROM ({_shown_sql(f'moved_again{e}')})"
+
+
+@query("replay_run_v1", _replayed_sql(1))
+def replay_run_v1(spark, d):
+    return _replayed(spark, d, 1, "salience", 0.25)
+
+
+@query("replay_run_v2", _replayed_sql(2))
+def replay_run_v2(spark, d):
+    return _replayed(spark, d, 2, "low_confidence", 0.15)
+
+
+@query("replay_authority", "SELECT ns, episode_id, CASE WHEN verified THEN 0.02 ELSE -0.15 END :: DOUBLE AS change FROM pick2")
+def replay_authority(spark, d):
+    return M.replay_authority(M.replay_select(memory(spark, d), "low_confidence", 20, 2), 0.15)
+
+
+cte("merge_t", "SELECT ns, episode_id // 3 AS seed, episode_id FROM memory_t WHERE episode_id % 2 = 0")
+
+
+@query("consolidate_apply", f"""SELECT ns, CAST(episode_id AS VARCHAR) AS episode_id, text, timestamp, salience, confidence FROM memory_t WHERE episode_id % 2 = 1
+    UNION ALL SELECT ns, 'prototype:' || string_agg(CAST(episode_id AS VARCHAR), '+' ORDER BY episode_id), string_agg(text, chr(10) || chr(10) ORDER BY episode_id), max(timestamp), max(salience), {Q('avg(confidence)')} FROM merge_t JOIN memory_t USING (ns, episode_id) GROUP BY ns, seed""")
+def consolidate_apply(spark, d):
+    rows = memory(spark, d)
+    groups = rows.filter("episode_id % 2 = 0").select("ns", "episode_id", F.floor(F.col("episode_id") / 3).alias("seed"))
+    return M.consolidated(rows, groups).withColumn("confidence", quantize(F.col("confidence")))
+
+
+cte("born_t", "SELECT label AS ns, vec_id AS episode_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS slot FROM embeddings WHERE vec_id % 3 = 0 QUALIFY slot < 16")
+
+
+@query("birth_augment", f"""SELECT ns, episode_id, feature, {Q('w')} AS w FROM (
+    SELECT ns, episode_id, feature, w / sqrt(sum(w * w) OVER (PARTITION BY ns, episode_id)) AS w FROM (
+        SELECT c.ns, c.episode_id, c.feature, c.w FROM codes c JOIN born_t USING (ns, episode_id)
+        UNION ALL SELECT ns, episode_id, CAST(64 + any_value(slot) AS INTEGER), max(w) * 0.1 FROM codes JOIN born_t USING (ns, episode_id) GROUP BY 1, 2)
+    UNION ALL SELECT ns, episode_id, feature, w FROM codes WHERE (ns, episode_id) NOT IN (SELECT (ns, episode_id) FROM born_t))""")
+def birth_augment(spark, d):
+    scored = memory(spark, d).filter("episode_id % 3 = 0").select("ns", F.col("episode_id").alias("seq"), F.lit(1.0).alias("birth_score"))
+    born = G.births(scored, 16).withColumnRenamed("seq", "episode_id")
+    return G.augmented(codes(spark, d), born, 64).withColumn("w", quantize(F.col("w")))
+
+
+@query("allocation_apply", f"""SELECT ns, episode_id, feature, {Q('w')} AS w FROM (SELECT ns, episode_id, feature, w / sqrt(sum(w * w) OVER (PARTITION BY ns, episode_id)) AS w FROM (
+    SELECT n.ns, n.episode_id, n.feature, n.w * greatest(0.15, least(2.0, (1.0 + 0.3 * 0.5 + 0.05 * ln(1 + e.e)) / sqrt(1.0 + coalesce(g.degree, 0.0)))) AS w
+    FROM numbered n JOIN elig e USING (ns, feature, t) LEFT JOIN degree_t g ON g.ns = n.ns AND g.feature = n.feature))""")
+def allocation_apply(spark, d):
+    hubs = GR.degrees(edges(spark, d, "hebb")).withColumnRenamed("src", "feature")
+    return G.allocated(G.allocation_gain(codes(spark, d), 0.5, degrees=hubs)).withColumn("w", quantize(F.col("w")))
+
+
 def numpy_codes(vectors: np.ndarray, k: int = KEEP) -> np.ndarray:
     """The codes as a dense array, for tests."""
     out = np.zeros_like(vectors, dtype=float)

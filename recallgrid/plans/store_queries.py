@@ -166,7 +166,7 @@ REPLAY = {
     "recency": "timestamp DESC, episode_id",
     "salience": "salience * greatest(confidence, 0.0) DESC, timestamp DESC, episode_id",
     "uncertainty": "abs(confidence - 0.5), episode_id",
-    "low_confidence": "confidence, episode_id",
+    "low_confidence": "confidence, salience DESC, episode_id",
     "random": "md5(CAST(episode_id AS VARCHAR)), episode_id",
 }
 
