@@ -90,6 +90,20 @@ def dot(a: Column, b: Column) -> Column:
     return F.when(same, F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)).otherwise(F.raise_error(F.lit("dimensions differ")).cast("double"))
 
 
+def code_bytes(code: Column) -> Column:
+    """12 bytes an entry: an index and a value."""
+    return F.size(code["indices"]) * 12
+
+
+def to_text(code: Column) -> Column:
+    """The code as a JSON object of dimension, indices and values."""
+    return F.to_json(code)
+
+
+def from_text(text: Column) -> Column:
+    return F.from_json(text, CODE)
+
+
 def overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a["indices"], b["indices"]))
 

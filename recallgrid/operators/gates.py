@@ -75,9 +75,17 @@ def flag(*names: Column, as_documented: bool) -> Column:
     return out.cast("double")
 
 
-def dopamine_metrics(meta: Column, text_length: Column, new: Column, known: Column, as_documented: bool = False) -> dict[str, Column]:
-    """The thirteen gate inputs from a JSON text column, resolving aliases in order."""
-    g = lambda name: F.get_json_object(meta, f"$.{name}")
+def metadata(meta: Column) -> Column:
+    """A JSON object's top-level values as texts, parsed once for all that ask for them."""
+    return F.from_json(meta, "map<string,string>")
+
+
+def dopamine_metrics(meta: Column, text_length: Column, new: Column, known: Column, as_documented: bool = False, parsed: bool = False) -> dict[str, Column]:
+    """The thirteen gate inputs from a JSON text column, or with ``parsed`` from a column of ``metadata``.
+
+    The alias lists below are fixed values, tried in order.
+    """
+    g = (lambda name: F.try_element_at(meta, F.lit(name))) if parsed else (lambda name: F.get_json_object(meta, f"$.{name}"))
     nums = lambda *names, default=0.0: number(*[g(n) for n in names], default=default)
     flags = lambda *names: flag(*[g(n) for n in names], as_documented=as_documented)
     length = nums("prompt_length", "tokens", "length")

@@ -143,13 +143,14 @@ def replay_verified(text: Column, checksum: Column) -> Column:
     return F.coalesce(F.sha2(text, 256) == checksum, F.lit(False))
 
 
-def replay_run(chosen: DataFrame, codes: DataFrame, association: DataFrame, temporal: DataFrame, scale: float, engine: int = 1, rule: str = "hebb", with_temporal: bool = True, decay: float = GR.DECAY, interval: int = GR.INTERVAL) -> tuple[DataFrame, DataFrame]:
+def replay_run(chosen: DataFrame, codes: DataFrame, association: DataFrame, temporal: DataFrame, scale: float, engine: int = 1, rule: str = "hebb", with_temporal: bool = True, fold=GR.closed_form) -> tuple[DataFrame, DataFrame]:
     """(association, temporal) edges after the verified ones of the chosen episodes were written once more.
 
     ``chosen`` has (ns, episode_id, place, salience, verified), ``codes`` the writes so far
     (ns, episode_id, seq, feature, w). Writes are scaled by ``scale`` times the salience, by
     0.01 at least in the second engine. In the first engine an unverified episode breaks the
-    chain of temporal edges, the second passes over it.
+    chain of temporal edges, the second passes over it. ``fold`` turns deltas and writes
+    into edges; those before are the deltas of the last write before.
     """
     good = chosen.filter("verified").join(codes.groupBy("ns").agg(F.max("seq").alias("_last")), "ns")
     by_place = W.partitionBy("ns").orderBy("place")
@@ -166,7 +167,7 @@ def replay_run(chosen: DataFrame, codes: DataFrame, association: DataFrame, temp
     def grown(edges: DataFrame, deltas: DataFrame) -> DataFrame:
         own = deltas.join(new, ["ns", "t"]).withColumn("delta", F.col("delta") * F.col("_s")).drop("_s")
         start = edges.join(before, "ns").select("ns", "src", "dst", "t", F.col("w").alias("delta"))
-        return GR.closed_form(start.unionByName(own.select("ns", "src", "dst", "t", "delta")), writes.select("ns", "t"), decay, interval)
+        return fold(start.unionByName(own.select("ns", "src", "dst", "t", "delta")), writes.select("ns", "t"))
 
     plain = every.drop("stream")
     chained = GR.temporal_deltas(every, ["stream"], rule=rule if with_temporal else "none")

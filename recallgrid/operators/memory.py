@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recallgrid.functions.lineage import settle
@@ -16,6 +16,7 @@ from recallgrid.functions.lineage import settle
 from . import encode as E
 from . import gates as G
 from . import graph as GR
+from . import maintain as M
 from . import rank as K
 from . import recall as R
 from . import store as S
@@ -84,6 +85,40 @@ class Memory:
         parts = K.score_parts(votes, self.codes, {"exact": state, "associative": final, "temporal": timed})
         return K.ranked(K.score_v1(parts), s.results).join(self.episodes.select("ns", "episode_id", "text"), ["ns", "episode_id"])
 
+    def trace(self, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(final, temporal) states (ns, query_id, feature, v) that the questions complete to."""
+        state = settle(self._encode(queries, "query_id").withColumnRenamed("w", "v"), "queries")
+        return R.recall(state, self.association, self.temporal, self.settings.steps, **self.settings.recall)
+
+    def use(self, results: DataFrame, as_of: Column, verified: bool | None = None) -> DataFrame:
+        """The episodes after the results of ``ask`` were used: accesses counted, confidence and authority moved within 0 and 2."""
+        known = self.episodes.select("ns", "episode_id", "checksum")
+        ranked = results.select("ns", "episode_id", "rank").join(known, ["ns", "episode_id"]).withColumn("has_checksum", F.col("checksum").isNotNull())
+        one = lambda df: df.withColumn("episode_id", F.struct("ns", "episode_id"))
+        start = {"confidence": F.lit(1.0), "authority": F.lit(1.0), "access_count": F.lit(0).cast("long"), "last_access": F.lit(None).cast("timestamp")}
+        rows = self.episodes.withColumns({c: v for c, v in start.items() if c not in self.episodes.columns})
+        used = K.with_feedback(one(rows), K.after_use(one(ranked), verified), as_of)
+        self.episodes = settle(used.withColumn("episode_id", F.col("episode_id.episode_id")), "episodes")
+        return self.episodes
+
+    def replay(self, strategy: str, budget: int, scale: float = 0.25, with_temporal: bool = False) -> DataFrame:
+        """Writes the verified ones of the chosen episodes once more; returns the chosen (ns, episode_id, place, salience, verified)."""
+        rows = self.episodes.withColumn("timestamp", F.col("seq"))
+        rows = rows if "confidence" in rows.columns else rows.withColumn("confidence", F.lit(1.0))
+        chosen = M.replay_select(rows.withColumn("verified", M.replay_verified(F.col("text"), F.col("checksum"))), strategy, budget)
+        chosen = settle(chosen.select("ns", "episode_id", "place", "salience", "verified"), "chosen")
+        fold = lambda deltas, writes: GR.row_fold(deltas, writes, max_degree=self.settings.max_degree)
+        made = M.replay_run(chosen, self.codes, self.association, self.temporal, scale, rule=self.settings.rule, with_temporal=with_temporal, fold=fold)
+        self.association, self.temporal = (settle(e, "edges") for e in made)
+        return chosen
+
+    def clear(self) -> Memory:
+        self.episodes = self.codes = self.association = self.temporal = None
+        return self
+
+    def count(self) -> int:
+        return 0 if self.episodes is None else self.episodes.count()
+
     def forget(self, gone: DataFrame) -> Memory:
         """Removes episodes (ns, episode_id) and learns the graphs again from the others, so no edge of theirs stays."""
         left = self.episodes.select("ns", "episode_id", "seq", "stream", "text").join(gone.select("ns", "episode_id").distinct(), ["ns", "episode_id"], "left_anti")

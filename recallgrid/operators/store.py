@@ -17,6 +17,27 @@ def delete(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return rows.join(gone.select(key).distinct(), key, "left_anti")
 
 
+EPISODE = "episode_id string, text string, code struct<dimension:int,indices:array<int>,values:array<double>>, timestamp string, salience double, confidence double, source map<string,string>, payload string, metadata string"
+
+
+def episodes_to_json(episodes: DataFrame) -> DataFrame:
+    """(episode_id, json): an episode with all the columns of EPISODE that the table has, null ones left out."""
+    names = [c.split(" ")[0] for c in EPISODE.split(", ") if c.split(" ")[0] in episodes.columns]
+    return episodes.select("episode_id", F.to_json(F.struct(*names)).alias("json"))
+
+
+def episodes_from_json(texts: DataFrame, column: str = "json") -> DataFrame:
+    """The columns of EPISODE; salience and confidence are 1 where they are missing, a text that is no object fails."""
+    read = F.from_json(column, EPISODE, {"mode": "FAILFAST"})
+    rows = texts.select(read.alias("e")).select("e.*")
+    return rows.fillna(1.0, ["salience", "confidence"])
+
+
+def scan(episodes: DataFrame, order: str = "seq") -> DataFrame:
+    """All episodes in store order, ties by id: a range exchange, no single task."""
+    return episodes.orderBy(order, "episode_id")
+
+
 def posting_stats(postings: DataFrame, episode: str = "episode_id") -> DataFrame:
     return postings.agg(F.countDistinct(episode).alias("episodes"), F.count(F.lit(1)).alias("entries"), F.countDistinct("feature").alias("features"))
 

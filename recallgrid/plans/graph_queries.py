@@ -584,7 +584,7 @@ def consolidate(spark, d):
 # --- replay, consolidation, birth and allocation applied ------------------------------------------
 
 # The memory of an embedding: salience, confidence and source follow from its number.
-cte("memory_t", """SELECT label AS ns, vec_id AS episode_id, 0.5 + (vec_id % 7) * 0.1 AS salience, (vec_id % 11) / 10.0 AS confidence, vec_id % 13 AS timestamp,
+cte("memory_t", """SELECT label AS ns, vec_id AS episode_id, 0.5 + (vec_id % 7) * CAST(0.1 AS DOUBLE) AS salience, (vec_id % 11) / 10.0 AS confidence, vec_id % 13 AS timestamp,
     vec_id % 5 <> 0 AS verified, 'text ' || vec_id AS text FROM embeddings""")
 
 

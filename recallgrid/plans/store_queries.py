@@ -45,8 +45,8 @@ cte("metrics_t", """SELECT event_id, user_id, k / 100 AS prediction_loss, 0.0 AS
 
 
 def metrics(spark, d, as_documented=False):
-    found = G.dopamine_metrics(F.col("meta"), F.length("event_type"), F.col("novelty"), 1 - F.col("novelty"), as_documented)
-    return _json(spark, d), found
+    found = G.dopamine_metrics(F.col("known"), F.length("event_type"), F.col("novelty"), 1 - F.col("novelty"), as_documented, parsed=True)
+    return _json(spark, d).withColumn("known", G.metadata(F.col("meta"))), found
 
 
 @query("dopamine_metrics", f"SELECT event_id, {', '.join(f'{Q(m)} AS {m}' for m in G.METRICS)} FROM metrics_t")

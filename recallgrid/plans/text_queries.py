@@ -10,7 +10,7 @@ from recallgrid.operators import encode as E
 from recallgrid.operators import store as S
 from recallgrid.sources import sessions as SS
 
-from .registry import cte, query, read
+from .registry import cte, query, read, shared
 
 DIM, TOP = 4096, 64
 
@@ -32,6 +32,7 @@ cte("text_codes", f"""SELECT event_id, feature, w / sqrt(sum(w * w) OVER (PARTIT
 Q = lambda c, n=6: f"floor(({c}) * 1e{n} + 0.5) / 1e{n}"
 
 
+@shared
 def text_codes(spark, d):
     return E.hash_codes(E.text_features(turns(spark, d), "event_id", "text"), "event_id", DIM, TOP)
 
@@ -117,6 +118,7 @@ cte("bound_t", f"""SELECT event_id, feature, w / sqrt(sum(w * w) OVER (PARTITION
     QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY floor(abs(w) * 1e9 + 0.5) DESC, feature) <= {BOUND_TOP})""")
 
 
+@shared
 def turn_context(spark, d):
     t = turns(spark, d)
     names = F.array(F.concat(F.lit("role:"), F.col("role")), F.concat(F.lit("turn:"), F.col("turn").cast("string")))
@@ -233,6 +235,7 @@ cte("votes_t", """SELECT item_id, event_id, count(*) AS votes, row_number() OVER
     FROM item_codes JOIN (SELECT event_id, feature FROM text_codes) USING (feature) GROUP BY 1, 2 QUALIFY r <= 100""")
 
 
+@shared
 def item_codes(spark, d):
     return E.hash_codes(E.text_features(read(spark, d, "benchmark"), "item_id", "text"), "item_id", DIM, TOP)
 
