@@ -182,6 +182,13 @@ class TextEncoder:
 _ENCODERS: dict[str, TextEncoder] = {}
 
 
+def _encoder(path: str) -> TextEncoder:
+    """One encoder for all tasks of a worker: a function of the module is sent by name, so its dictionary is the worker's own."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = TextEncoder(path)
+    return _ENCODERS[path]
+
+
 def write_token_files(docs: DataFrame, out_dir: str, path: str, vocab_size: int, end_id: int = 0, shard_bytes: int = 64 << 20) -> list[dict]:
     """Encode all rows of (doc_id, text) into files below ``out_dir``; returns the manifest, also kept there.
 
@@ -196,9 +203,7 @@ def write_token_files(docs: DataFrame, out_dir: str, path: str, vocab_size: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        if path not in _ENCODERS:
-            _ENCODERS[path] = TextEncoder(path)
-        encode, shard, writer = _ENCODERS[path].encode, TaskContext.get().partitionId(), None
+        encode, shard, writer = _encoder(path).encode, TaskContext.get().partitionId(), None
         files, root = open_fs(out_dir)
         name, own = f"tokens-{shard:06d}.bin", f".{uuid.uuid4().hex}.tmp"
         for rows in text_batches(batches, 1):
