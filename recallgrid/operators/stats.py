@@ -10,16 +10,22 @@ from pyspark.sql import functions as F
 INTERVAL = "estimate double, lower double, upper double, level double, samples int"
 
 
+# How many resamples are drawn at a time, which decides the order of the random numbers.
+MEAN_DRAWS, SIGN_DRAWS = 512, 1024
+
+
+def _portions(samples: int, size: int) -> list[int]:
+    return [size] * (samples // size) + ([samples % size] if samples % size else [])
+
+
 def _interval(estimate: float, means: np.ndarray, level: float, samples: int) -> tuple:
     tail = (1 - level) / 2
     return estimate, float(np.quantile(means, tail)), float(np.quantile(means, 1 - tail)), level, samples
 
 
 def _means(n: int, samples: int, seed: int, mean) -> np.ndarray:
-    rng, out = np.random.default_rng(seed), []
-    for start in range(0, samples, 512):
-        out.append(mean(rng.integers(0, n, size=(min(512, samples - start), n))))
-    return np.concatenate(out)
+    rng = np.random.default_rng(seed)
+    return np.concatenate([mean(rng.integers(0, n, size=(m, n))) for m in _portions(samples, MEAN_DRAWS)])
 
 
 def bootstrap(values: np.ndarray, samples: int = 10_000, level: float = 0.95, seed: int = 0) -> tuple:
@@ -43,14 +49,17 @@ def cluster_bootstrap(sums: np.ndarray, counts: np.ndarray, samples: int = 10_00
 
 def randomization_p(differences: np.ndarray, samples: int = 100_000, seed: int = 0) -> float | None:
     """Two-sided p-value of a mean difference under random signs."""
-    d = differences[np.isfinite(differences)]
-    if not len(d):
+    finite = differences[np.isfinite(differences)]
+    if finite.size == 0:
         return None
-    seen, rng, more = abs(float(d.mean())), np.random.default_rng(seed), 0
-    for start in range(0, samples, 1024):
-        signs = rng.choice(np.array([-1.0, 1.0]), size=(min(1024, samples - start), len(d)))
-        more += int((np.abs((signs * d).mean(axis=1)) >= seen).sum())
-    return (more + 1) / (samples + 1)
+    rng = np.random.default_rng(seed)
+
+    def as_far(m: int) -> int:
+        """Of m random sign patterns, those whose mean is at least as far from 0 as the one seen."""
+        flipped = rng.choice([-1.0, 1.0], size=(m, finite.size)) * finite
+        return int(np.count_nonzero(np.abs(flipped.mean(axis=1)) >= abs(finite.mean())))
+
+    return (1 + sum(map(as_far, _portions(samples, SIGN_DRAWS)))) / (1 + samples)
 
 
 def bootstrap_ci(df: DataFrame, group: str, value: str, order: str, samples: int = 10_000, level: float = 0.95, seed: int = 0) -> DataFrame:

@@ -174,6 +174,16 @@ def test_statistics_run_on_spark_as_on_arrays(spark):
     assert B.randomization(df, "metric", "v", "k", 500).first().p_value == B.randomization_p(x, 500)
 
 
+def test_projection_is_a_matrix_product(spark):
+    from recallgrid.operators import encode as E
+
+    matrix, x = E.gaussian_matrix(6, 3, 7), np.random.default_rng(0).normal(size=(5, 6))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "k long, v array<double>")
+    got = {r.k: r.projected for r in E.project(df, "k", "v", matrix).collect()}
+    assert np.allclose([got[k] for k in range(5)], x @ matrix.T)
+    assert np.allclose(np.linalg.norm(matrix, axis=1), 1)
+
+
 def test_command_line(capsys):
     assert main(["list"]) == 0 and "retrieve_v1" in capsys.readouterr().out
     assert main(["sql", "retrieve_v1"]) == 0 and "WITH RECURSIVE" in capsys.readouterr().out
