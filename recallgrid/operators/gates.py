@@ -34,21 +34,23 @@ METRICS = ("prediction_loss", "entropy", "evidence_kl", "novelty", "redundancy",
 BIRTH = {"novelty": 0.45, "interference": 0.30, "retrieval_error": 0.30, "budget_pressure": -0.40}
 
 
-def novelty(codes: DataFrame, limit: int = 20, close: float = 0.45) -> DataFrame:
+def novelty(codes: DataFrame, limit: int = 20, close: float = 0.45, only: DataFrame | None = None) -> DataFrame:
     """(ns, episode_id, novelty, interference) of each write against the earlier ones of its namespace.
 
     Earlier episodes compete by shared features (ties by id); the best dot product among
     the ``limit`` first counts. Votes and dots come from one equality join on the feature.
+    With ``only`` (ns, episode_id, seq) these writes alone are looked up.
     """
-    a = codes.select("ns", "feature", "episode_id", "seq", F.col("w").alias("_a"))
+    asked = codes if only is None else codes.join(only.select("ns", "episode_id", "seq"), ["ns", "episode_id", "seq"], "left_semi")
+    a = asked.select("ns", "feature", "episode_id", "seq", F.col("w").alias("_a"))
     b = codes.select("ns", "feature", F.col("episode_id").alias("_other"), F.col("seq").alias("_before"), F.col("w").alias("_b"))
     pairs = a.join(b, ["ns", "feature"]).filter("_before < seq").groupBy("ns", "episode_id", "_other").agg(F.count(F.lit(1)).alias("_votes"), F.sum(F.col("_a") * F.col("_b")).alias("_dot"))
     order = W.partitionBy("ns", "episode_id").orderBy(F.col("_votes").desc(), "_other")
     top = pairs.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= limit)
     best = top.groupBy("ns", "episode_id").agg(F.max("_dot").alias("_m"), F.sum(F.when(F.col("_dot") > close, 1).otherwise(0)).alias("_n"))
-    every = codes.select("ns", "episode_id").distinct().join(best, ["ns", "episode_id"], "left")
+    every = asked.select("ns", "episode_id").distinct().join(best, ["ns", "episode_id"], "left")
     clamp = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("_m")))
-    return every.select("ns", "episode_id", F.coalesce(clamp, F.lit(1.0)).alias("novelty"), F.coalesce(F.least(F.lit(1.0), F.col("_n") / 5.0), F.lit(0.0)).alias("interference"))
+    return every.select("ns", "episode_id", F.coalesce(clamp, F.lit(1.0)).alias("novelty"), F.least(F.lit(1.0), F.coalesce("_n", F.lit(0)) / 5.0).alias("interference"))
 
 
 def salience(signals: dict[str, Column], weights: dict[str, float] = SALIENCE, bounds: tuple[float, float] = SALIENCE_RANGE) -> Column:

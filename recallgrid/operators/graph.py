@@ -184,37 +184,52 @@ def _settle(row: dict[int, float], max_degree: int, cap: bool) -> dict[int, floa
     return row
 
 
-def row_fold(deltas: DataFrame, writes: DataFrame, decay: float = DECAY, interval: int = INTERVAL, max_degree: int = MAX_DEGREE, cap: bool = True, allow_negative: bool = False) -> DataFrame:
+def _left_by(rates: DataFrame | None, deltas: DataFrame, ends: DataFrame) -> DataFrame:
+    """Adds left and left_end: what the triggered decays up to t and up to the end leave of an edge."""
+    if rates is None:
+        return deltas.join(ends, "ns").withColumns({"left": F.lit(1.0), "left_end": F.lit(1.0)})
+    each = rates.groupBy("ns", "t").agg(F.sum(F.log1p(-F.col("rate"))).alias("_l"))
+    marks = deltas.select("ns", "t").distinct().withColumn("_l", F.lit(0.0)).unionByName(each).groupBy("ns", "t").agg(F.sum("_l").alias("_l"))
+    running = marks.select("ns", "t", F.exp(F.sum("_l").over(W.partitionBy("ns").orderBy("t"))).alias("left"))
+    total = each.groupBy("ns").agg(F.exp(F.sum("_l")).alias("left_end"))
+    return deltas.join(running, ["ns", "t"]).join(ends.join(total, "ns", "left"), "ns").fillna(1.0, ["left_end"])
+
+
+def row_fold(deltas: DataFrame, writes: DataFrame, decay: float = DECAY, interval: int = INTERVAL, max_degree: int = MAX_DEGREE, cap: bool = True, allow_negative: bool = False, rates: DataFrame | None = None) -> DataFrame:
     """As ``closed_form``, with pruning and norm cap after each write that touches a row.
 
     A row of the graph evolves from its own deltas only, because decay is known from the
-    write number; so rows are folded in parallel, each a stream sorted by write.
+    write number; so rows are folded in parallel, each a stream sorted by write. ``rates``
+    (ns, t, rate) are further decays of the whole namespace, each before write t; those
+    after the last write count at the end.
     """
     ends = writes.groupBy("ns").agg(F.max("t").alias("t_end"))
-    rows = deltas.join(ends, "ns")
+    rows = _left_by(rates, deltas, ends)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, row, now, end = None, {}, 0, 0
+        key, row, now, end, left, left_end = None, {}, 0, 0, 1.0, 1.0
 
-        def aged(row, since, until):
+        def aged(row, since, until, kept):
             steps = until // interval - since // interval if interval > 0 else 0
             for _ in range(steps):
                 row = {j: v * max(0.0, 1 - decay) for j, v in row.items()}
                 row = {j: v for j, v in row.items() if abs(v) >= GONE}
+            if kept != 1.0:
+                row = {j: v * kept for j, v in row.items() if abs(v * kept) >= GONE}
             return row
 
         def close():
-            final = aged(_settle(row, max_degree, cap), now, end)
+            final = aged(_settle(row, max_degree, cap), now, end, left_end / left)
             return [(key[0], key[1], j, v) for j, v in final.items()] if key else []
 
         for p in parts:
             done = []
-            for ns, src, dst, t, delta, t_end in zip(p["ns"], p["src"], p["dst"], p["t"], p["delta"], p["t_end"], strict=True):
+            for ns, src, dst, t, delta, t_end, kept, kept_end in p.itertuples(index=False, name=None):
                 if (ns, src) != key:
                     done += close()
-                    key, row, now, end = (ns, src), {}, t, t_end
+                    key, row, now, end, left, left_end = (ns, src), {}, t, t_end, kept, kept_end
                 if t != now:
-                    row, now = aged(_settle(row, max_degree, cap), now, t), t
+                    row, now, left = aged(_settle(row, max_degree, cap), now, t, kept / left), t, kept
                 value = row.get(dst, 0.0) + delta
                 value = value if allow_negative else max(0.0, value)
                 if abs(value) < SMALL:
@@ -227,7 +242,7 @@ def row_fold(deltas: DataFrame, writes: DataFrame, decay: float = DECAY, interva
     kinds = {f.name: f.dataType.simpleString() for f in deltas.schema}
     schema = f"ns {kinds['ns']}, src {kinds['src']}, dst {kinds['dst']}, w double"
     ordered = rows.repartition("ns", "src").sortWithinPartitions("ns", "src", "t", "dst")
-    return ordered.select("ns", "src", "dst", "t", "delta", "t_end").mapInPandas(run, schema)
+    return ordered.select("ns", "src", "dst", "t", "delta", "t_end", "left", "left_end").mapInPandas(run, schema)
 
 
 def namespace_fold(codes: DataFrame, rule: str = "oja", rate: float = RATE, decay: float = DECAY, interval: int = INTERVAL, max_degree: int = MAX_DEGREE, max_pairs: int = MAX_PAIRS, cap: bool = True) -> DataFrame:
@@ -323,6 +338,14 @@ def adjusted_authority(authority: Column, change: Column) -> Column:
     return F.least(F.lit(2.0), F.greatest(F.lit(0.0), authority + change))
 
 
+def context_deltas(contexts: DataFrame, addresses: DataFrame, rate: float, on: list[str], keep: list[str]) -> DataFrame:
+    """(on..., keep... of the addresses, src, dst, delta) of the first 64 context and 128 address entries of each write."""
+    first = lambda df, n: df.withColumn("_r", F.row_number().over(W.partitionBy(*on).orderBy("feature"))).filter(F.col("_r") <= n)
+    c = first(contexts, 64).select(*on, F.col("feature").alias("src"), F.col("w").alias("_c"))
+    a = first(addresses, 128).select(*dict.fromkeys([*on, *keep]), F.col("feature").alias("dst"), F.col("w").alias("_a"))
+    return c.join(a, on).withColumn("delta", F.lit(rate) * F.col("_c") * F.col("_a")).drop("_c", "_a")
+
+
 def context_graph(contexts: DataFrame, addresses: DataFrame, rate: float, on: list[str], max_degree: int = 128, order: str | None = None) -> DataFrame:
     """(ns, src context feature, dst address feature, w): sums of rate * context * address over writes.
 
@@ -330,10 +353,7 @@ def context_graph(contexts: DataFrame, addresses: DataFrame, rate: float, on: li
     write, each a stream; without it the writes are summed and rows are pruned once, which
     is the same as long as no row exceeds the degree.
     """
-    first = lambda df, n: df.withColumn("_r", F.row_number().over(W.partitionBy(*on).orderBy("feature"))).filter(F.col("_r") <= n)
-    c = first(contexts, 64).select(*on, F.col("feature").alias("src"), F.col("w").alias("_c"))
-    a = first(addresses, 128).select(*dict.fromkeys([*on, *([order] if order else [])]), F.col("feature").alias("dst"), F.col("w").alias("_a"))
-    links = c.join(a, on).withColumn("delta", F.lit(rate) * F.col("_c") * F.col("_a"))
+    links = context_deltas(contexts, addresses, rate, on, [order] if order else [])
     if order is None:
         return pruned(links.groupBy("ns", "src", "dst").agg(F.sum("delta").alias("w")), max_degree)
     deltas = links.select("ns", "src", "dst", F.col(order).cast("long").alias("t"), "delta")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from recallgrid.functions.lineage import settle
+from recallgrid.functions.ranges import running_sum
 from recallgrid.functions.vectors import rows_normalized, rows_topk
 
 from . import graph as GR
@@ -33,16 +34,14 @@ def eviction_order(policy: str) -> list[Column]:
 
 def evict(episodes: DataFrame, policy: str, most: int) -> DataFrame:
     """Adds evicted: the first of each namespace go until ``most`` are left."""
-    space = W.partitionBy("ns")
-    n = F.count(F.lit(1)).over(space)
-    return episodes.withColumn("evicted", F.row_number().over(space.orderBy(*eviction_order(policy))) <= n - most)
+    placed = running_sum(episodes.withColumn("_one", F.lit(1).cast("long")), ["ns"], eviction_order(policy), "_one")
+    return placed.withColumn("evicted", F.col("_before") < F.col("_total") - most).drop("_one", "_before", "_total")
 
 
 def evict_bytes(episodes: DataFrame, policy: str, most: int, size: str = "bytes") -> DataFrame:
     """Adds evicted: a row goes if what was there before it goes exceeds ``most``."""
-    space = W.partitionBy("ns")
-    before = F.coalesce(F.sum(size).over(space.orderBy(*eviction_order(policy)).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return episodes.withColumn("evicted", F.sum(size).over(space) - before > most)
+    placed = running_sum(episodes, ["ns"], eviction_order(policy), size)
+    return placed.withColumn("evicted", F.col("_total") - F.col("_before") > most).drop("_before", "_total")
 
 
 def prototypes(members: DataFrame, codes: DataFrame, k: int) -> DataFrame:
@@ -59,10 +58,26 @@ def prototypes(members: DataFrame, codes: DataFrame, k: int) -> DataFrame:
 
 
 def similar_pairs(codes: DataFrame, threshold: float) -> DataFrame:
-    """(ns, a, b) with dot product of ``threshold`` or more, a before b in store order (seq)."""
-    left = codes.select("ns", "feature", F.col("seq").alias("a"), F.col("w").alias("_a"))
-    right = codes.select("ns", "feature", F.col("seq").alias("b"), F.col("w").alias("_b"))
-    dots = left.join(right, ["ns", "feature"]).filter("a < b").groupBy("ns", "a", "b").agg(F.sum(F.col("_a") * F.col("_b")).alias("dot"))
+    """(ns, a, b, dot) with dot product of ``threshold`` or more, a before b in store order (seq).
+
+    Each vector's entries are ordered by how rare their feature is. What follows the
+    shortest prefix after which size times the largest size of the namespace is below the
+    threshold cannot reach it alone, so a pair that does shares an entry of both prefixes.
+    Only these are joined, which leaves the frequent features out, and the proposed pairs
+    are computed over all entries. A threshold of 0 or less makes the whole vector its prefix.
+    """
+    entries = codes.select("ns", "seq", "feature", "w")
+    rarity = entries.groupBy("ns", "feature").agg(F.count(F.lit(1)).alias("_n"))
+    square = F.col("w") * F.col("w")
+    longest = entries.groupBy("ns", "seq").agg(F.sum(square).alias("_s")).groupBy("ns").agg(F.sqrt(F.max("_s")).alias("_most"))
+    rest = F.sqrt(F.sum(square).over(W.partitionBy("ns", "seq").orderBy("_n", "feature").rowsBetween(0, W.unboundedFollowing)))
+    ordered = entries.join(rarity, ["ns", "feature"]).join(longest, "ns").withColumn("_rest", rest * F.col("_most"))
+    prefix = ordered.filter(F.col("_rest") >= threshold - 1e-9).select("ns", "feature", "seq")
+    proposed = prefix.withColumnRenamed("seq", "a").join(prefix.withColumnRenamed("seq", "b"), ["ns", "feature"]).filter("a < b").select("ns", "a", "b").distinct()
+    left = entries.select("ns", F.col("seq").alias("a"), "feature", F.col("w").alias("_a"))
+    right = entries.select("ns", F.col("seq").alias("b"), "feature", F.col("w").alias("_b"))
+    both = proposed.join(left, ["ns", "a"]).join(right, ["ns", "b", "feature"])
+    dots = both.groupBy("ns", "a", "b").agg(F.sum(F.col("_a") * F.col("_b")).alias("dot"))
     return dots.filter(F.col("dot") >= threshold)
 
 

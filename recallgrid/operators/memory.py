@@ -38,6 +38,8 @@ class Settings:
 class Memory:
     """Episodes, postings and graphs of one or more namespaces; namespaces never mix."""
 
+    TABLES = ("episodes", "codes", "association", "temporal")
+
     def __init__(self, settings: Settings | None = None):
         self.settings = settings or Settings()
         self.episodes: DataFrame | None = None
@@ -113,7 +115,8 @@ class Memory:
         return chosen
 
     def clear(self) -> Memory:
-        self.episodes = self.codes = self.association = self.temporal = None
+        for name in self.TABLES:
+            setattr(self, name, None)
         return self
 
     def count(self) -> int:
@@ -126,12 +129,12 @@ class Memory:
         return self.write(settle(left, "left"))
 
     def save(self, folder: str) -> None:
-        for name in ("episodes", "codes", "association", "temporal"):
+        for name in self.TABLES:
             getattr(self, name).write.mode("overwrite").parquet(f"{folder}/{name}")
 
     @classmethod
     def load(cls, spark, folder: str, settings: Settings | None = None) -> Memory:
         out = cls(settings)
-        for name in ("episodes", "codes", "association", "temporal"):
+        for name in cls.TABLES:
             setattr(out, name, spark.read.parquet(f"{folder}/{name}"))
         return out

@@ -119,15 +119,15 @@ def context_messages(context: DataFrame, links: DataFrame, normalize: bool = Tru
     return context.join(e, ["ns", "feature"]).groupBy("ns", "query_id", "_to").agg(F.sum(F.col("v") * F.col("_w")).alias("v")).withColumnRenamed("_to", "feature")
 
 
-def complete(query: DataFrame, association: DataFrame, temporal: DataFrame, index: DataFrame, context: DataFrame | None = None, feedback: float = 0.35, context_strength: float = 0.25, top: int = 64, k: int = 128, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+def complete(query: DataFrame, association: DataFrame, temporal: DataFrame, index: DataFrame, context: DataFrame | None = None, feedback: float = 0.35, context_strength: float = 0.25, top: int = 64, k: int = 128, authority: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(final, temporal, episode scores): recall with feedback from episodes and context messages.
 
-    An episode's score is its highest over the steps.
+    An episode's score is its highest over the steps; ``authority`` (ns, episode_id, authority) weighs its activation.
     """
     seen: list[DataFrame] = []
 
     def extra(state: DataFrame) -> list[DataFrame]:
-        scores = activate(state, index, top=top)
+        scores = activate(state, index, authority, top)
         seen.append(scores)
         parts = [_scaled_by(reactivate(scores, index, k), feedback)]
         return parts + ([_scaled_by(context, context_strength)] if context is not None else [])

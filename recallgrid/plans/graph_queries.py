@@ -539,7 +539,7 @@ cte("earlier", "SELECT a.ns, a.episode_id, b.episode_id AS other, count(*) AS vo
 
 
 def _novelty_sql(n: int) -> str:
-    return f"""SELECT e.ns, e.episode_id, {Q('coalesce(greatest(0.0, least(1.0, 1 - m)), 1.0)')} AS novelty, coalesce(least(1.0, c / 5.0), 0.0) AS interference FROM (SELECT DISTINCT ns, episode_id FROM codes) e LEFT JOIN (
+    return f"""SELECT e.ns, e.episode_id, {Q('coalesce(greatest(0.0, least(1.0, 1 - m)), 1.0)')} AS novelty, least(1.0, coalesce(c, 0) / 5.0) AS interference FROM (SELECT DISTINCT ns, episode_id FROM codes) e LEFT JOIN (
         SELECT ns, episode_id, max(dot) AS m, count(*) FILTER (WHERE dot > 0.45) AS c FROM (SELECT * FROM earlier QUALIFY row_number() OVER (PARTITION BY ns, episode_id ORDER BY votes DESC, other) <= {n}) GROUP BY 1, 2) USING (ns, episode_id)"""
 
 
