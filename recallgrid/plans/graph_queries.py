@@ -13,6 +13,7 @@ from recallgrid.functions.vectors import quantize
 from recallgrid.operators import encode as E
 from recallgrid.operators import gates as G
 from recallgrid.operators import graph as GR
+from recallgrid.operators import latent as L
 from recallgrid.operators import maintain as M
 from recallgrid.operators import rank as K
 from recallgrid.operators import recall as R
@@ -669,6 +670,21 @@ def allocation_apply(spark, d):
     return G.allocated(G.allocation_gain(codes(spark, d), 0.5, degrees=hubs)).withColumn("w", quantize(F.col("w")))
 
 
+# A codec of fixed weights over the embeddings of a label, as if they were the tokens of a text.
+_WIDTH, _TOKEN_K = 24, 4
+
+
+@query("codec_codes", f"""SELECT label, feature, {Q('w / sqrt(n)')} AS w FROM (SELECT *, sum(w * w) OVER (PARTITION BY label) AS n FROM (
+    SELECT label, CAST(i AS INTEGER) AS feature, greatest(max(v), 0.0) AS w FROM (
+        SELECT * FROM (SELECT label, vec_id, i, sum(x * (((i * 7 + feature * 3) % 11) - 5) / 5.0) + (i % 3) * 0.1 AS v FROM entries, range({_WIDTH}) r(i) GROUP BY 1, 2, 3)
+        QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, i) <= {_TOKEN_K}) GROUP BY 1, 2) WHERE w > 0)""")
+def codec_codes(spark, d):
+    table = read(spark, d, "embeddings").filter("embedding IS NOT NULL")
+    i, j = np.arange(_WIDTH)[:, None], np.arange(table.agg(F.max(F.size("embedding"))).first()[0] or 0)[None, :]
+    made = L.topk_codes(table, "label", "vec_id", "embedding", ((i * 7 + j * 3) % 11 - 5) / 5.0, (i[:, 0] % 3) * 0.1, _TOKEN_K)
+    return made.withColumn("w", quantize(F.col("w")))
+
+
 def numpy_codes(vectors: np.ndarray, k: int = KEEP) -> np.ndarray:
     """The codes as a dense array, for tests."""
     out = np.zeros_like(vectors, dtype=float)
