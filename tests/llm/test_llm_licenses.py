@@ -33,3 +33,27 @@ def test_short_notice_beside_long_template(spark):
     names = spark.createDataFrame([("MIT", L.NOTICES["MIT"]), ("long", long)], "template_id string, text string")
     got = {(r.doc_id, r.template_id): r.containment for r in L.license_scan(spark.createDataFrame(docs, "doc_id long, text string"), names).collect()}
     assert got == {(k, n): 1.0 for k in range(12) for n in ("MIT", "long")}
+
+
+@pytest.mark.parametrize("size", [1, 3, 5, 9, 18, 20, 64, 400])
+def test_windows_hold_every_copy_and_bands_suffice(size):
+    step, blocks, bands = L.window_plan(size, size, L.WIDTH, L.CONTAINED)
+    held = -(-size * 4 // 5)
+    assert all(start % step + size <= blocks * step for start in range(4 * step))
+    assert (1 - held / (size + blocks * step - held)) ** bands <= L.MISS
+
+
+def test_edited_copies_of_a_long_template(spark):
+    """Every copy of at least 0.8 containment is found where words are changed, and none below."""
+    words = [f"term{j}" for j in range(90)]
+    docs, want = [], {}
+    for k in range(24):
+        text = list(words)
+        for j in range(k % 6):
+            text[10 + 15 * j] = f"other{k}x{j}"
+        lost = 5 * (k % 6)
+        want |= {k: (86 - lost) / 86} if (86 - lost) / 86 >= L.CONTAINED else {}
+        docs.append((k, " ".join([f"lead{k}x{j}" for j in range(k * 7)] + text + ["tail"] * k)))
+    names = spark.createDataFrame([("long", " ".join(words))], "template_id string, text string")
+    got = {r.doc_id: r.containment for r in L.license_scan(spark.createDataFrame(docs, "doc_id long, text string"), names).collect()}
+    assert got == want and want
