@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .alignment import op13_align_tokens
 from .chat_format import op9_chat_format
 from .decontaminate import op4_decontaminate
 from .licenses import OP7_SQL, op7_license_scan
 from .mixing import OP8_SQL, op8_mix_sources
 from .nearest import OP2_SQL, op2_nearest
 from .quality import op10_quality
+from .repetitions import op11_periodic_runs
 from .simhash import op3_simhash
 from .substrings import op5_substrings
 from .token_counts import op6_token_counts
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_chat_format": op9_chat_format,
     "op10_quality": op10_quality,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op13_align_tokens": op13_align_tokens,
 }
 
 ORACLE_SQL = {
