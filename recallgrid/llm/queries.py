@@ -5,6 +5,7 @@ from __future__ import annotations
 from .alignment import op13_align_tokens
 from .chat_format import op9_chat_format
 from .decontaminate import op4_decontaminate
+from .extraction import op12_main_text
 from .licenses import OP7_SQL, op7_license_scan
 from .mixing import OP8_SQL, op8_mix_sources
 from .nearest import OP2_SQL, op2_nearest
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_chat_format": op9_chat_format,
     "op10_quality": op10_quality,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_main_text": op12_main_text,
     "op13_align_tokens": op13_align_tokens,
 }
 
