@@ -1,9 +1,8 @@
 """The second engine: texts bound to contexts, two-signed gates, allocation, feature birth and an episode index.
 
-Within a batch, novelty compares a write with the stored addresses and with the bound
-codes of the batch's earlier writes, and hub penalties take the graph as it was before
-the batch; with one event a batch that is the sequential engine. Graphs grow from their
-edges before the batch, never from the first event again.
+Every write sees the addresses and graphs that the one before it left (``ordered.py``), so
+results do not depend on how events are dealt into batches. State is kept in keyed tables;
+a batch reads the entries that it touches and gives back those that it changed.
 """
 
 from __future__ import annotations
@@ -20,6 +19,7 @@ from . import encode as E
 from . import gates as G
 from . import graph as GR
 from . import maintain as M
+from . import ordered as O
 from . import rank as K
 from . import recall as R
 from . import store as S
@@ -30,6 +30,8 @@ KEYS = ["ns", "episode_id"]
 
 @dataclass
 class BoundSettings(Settings):
+    decay: float = GR.DECAY
+    interval: int = GR.INTERVAL
     context_dimension: int = 8192
     context_topk: int = 64
     binding_dimension: int = 16_384
@@ -41,29 +43,35 @@ class BoundSettings(Settings):
     context_degree: int = 128
     index_features: int = 192
     active: int = 64
+    #: Events of a namespace that are folded in one call, which bounds its memory.
+    together: int = 2000
 
     @property
     def reserved(self) -> int:
         """The first feature for births, behind the blocks of an address."""
         return self.dimension + self.context_dimension + self.binding_dimension
 
+    def fold(self) -> O.FoldSettings:
+        return O.FoldSettings(rule=self.rule, decay=self.decay, interval=self.interval, context_rate=self.context_rate, max_degree=self.max_degree, context_degree=self.context_degree, hub=self.hub, slots=self.slots, birth_threshold=self.birth_threshold, reserved=self.reserved)
+
 
 class BoundMemory(Memory):
     """As ``Memory``, by the second engine; events may have metadata (JSON), timestamp, checksum, confidence and stream.
 
     ``log`` has every address ever written and ``codes`` those of the episodes now
-    stored; ``bound`` has the codes before allocation, ``contexts`` the context codes and
-    ``links`` the edges from context to address features. Later batches have larger seq.
+    stored; ``contexts`` has the context codes, ``links`` the edges from context to address
+    features, ``state`` the other keyed state of the fold. Later batches have larger seq,
+    and no two events of a namespace have the same.
     """
 
-    TABLES = ("episodes", "codes", "association", "temporal", "log", "bound", "contexts", "links")
+    TABLES = ("episodes", "codes", "association", "temporal", "log", "contexts", "links", "state")
 
     def __init__(self, settings: BoundSettings | None = None):
         super().__init__(settings or BoundSettings())
         self.log: DataFrame | None = None
-        self.bound: DataFrame | None = None
         self.contexts: DataFrame | None = None
         self.links: DataFrame | None = None
+        self.state: DataFrame | None = None
 
     def _bind(self, rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
         """(bound codes, context codes) as (ns, key, feature, w) of rows with text, metadata and timestamp."""
@@ -77,77 +85,55 @@ class BoundMemory(Memory):
         flat = lambda df: df.select("_k.ns", f"_k.{key}", F.col("feature").cast("long").alias("feature"), "w")
         return settle(flat(bound), "bound"), flat(context)
 
-    def _scored(self, new: DataFrame, coded: DataFrame) -> DataFrame:
-        """The events with novelty, gates, status, authority and birth score."""
-        names = [*KEYS, "seq", "feature", "w"]
-        known = coded.select(*names) if self.codes is None else self.codes.select(*names).unionByName(coded.select(*names))
-        fresh = G.novelty(known, 30, only=new)
-        rows = new.join(fresh, KEYS, "left").fillna({"novelty": 1.0, "interference": 0.0}).withColumn("_m", G.metadata(F.col("metadata")))
+    @staticmethod
+    def _gates(new: DataFrame) -> DataFrame:
+        """The events with what their metadata say: status, checksum, corrections, and the gates without novelty and redundancy."""
+        rows = new.withColumn("_m", G.metadata(F.col("metadata")))
         given = lambda name: F.try_element_at("_m", F.lit(name))
-        metrics = G.dopamine_metrics(F.col("_m"), F.length("text"), F.col("novelty"), 1 - F.col("novelty"), parsed=True)
-        positive, negative = G.gate_pair(metrics)
+        none = F.lit(None).cast("double")
+        metrics = G.dopamine_metrics(F.col("_m"), F.length("text"), none, none, parsed=True)
+        plain = {**metrics, "novelty": F.lit(0.0), "redundancy": F.lit(0.0)}
         generated = F.coalesce(given("generated").try_cast("boolean"), F.lit(False)) | F.coalesce(given("hypothetical").try_cast("boolean"), F.lit(False))
-        rows = rows.withColumns(
+        weights = G.BIRTH
+        return rows.withColumns(
             {
-                "salience": positive,
-                "negative": negative,
-                "risk": metrics["poisonrisk"],
-                "told_novelty": metrics["novelty"],
+                "told": metrics["novelty"],
+                "redundancy": metrics["redundancy"],
+                "positive": G.raw_gate(plain, G.POSITIVE),
+                "negative": G.raw_gate(plain, G.NEGATIVE),
                 "utility": metrics["downstreamutility"],
+                "birth": weights["retrieval_error"] * G.number(given("retrieval_error")) + weights["budget_pressure"] * G.number(given("budget_pressure")),
+                "risk": metrics["poisonrisk"],
                 "status": G.status(F.col("metadata")),
                 "checksum": G.checksum_for(F.col("text"), F.col("checksum"), generated),
-                "birth_score": G.birth_score(F.col("novelty"), F.col("interference"), G.number(given("retrieval_error")), G.number(given("budget_pressure"))),
                 "corrects": F.coalesce(F.nullif(given("corrects"), F.lit("")), given("supersedes")),
                 "recency": G.number(given("recency")),
             }
-        )
-        rows = rows.withColumn("authority", G.latent_authority(F.col("status"), F.col("risk"))).drop("_m")
-        return settle(rows, "scored")
-
-    def _addresses(self, scored: DataFrame, coded: DataFrame) -> DataFrame:
-        """(ns, episode_id, feature, w): bound codes after allocation and birth; adds them to ``bound``."""
-        s, names = self.settings, [*KEYS, "seq", "feature", "w"]
-        every = coded.select(*names) if self.bound is None else self.bound.unionByName(coded.select(*names))
-        self.bound = settle(every, "bound")
-        new = scored.select(*KEYS, "seq", "told_novelty", "utility")
-        hubs = None if self.association is None else GR.degrees(self.association).withColumnRenamed("src", "feature")
-        told = lambda c: F.coalesce(c, F.lit(0.0))
-        gains = G.allocation_gain(self.bound.join(new, [*KEYS, "seq"], "left"), told("told_novelty"), told("utility"), degrees=hubs, hub=s.hub)
-        address = G.allocated(gains.join(new.select(*KEYS, "seq"), [*KEYS, "seq"], "left_semi"))
-        born = G.births(scored, s.slots, s.birth_threshold).select(*KEYS, "slot")
-        if self.log is not None:
-            used = self.log.filter(F.col("feature") >= s.reserved).groupBy("ns").agg((F.max("feature") - s.reserved + 1).alias("_used"))
-            born = born.join(used, "ns", "left").select(*KEYS, (F.col("slot") + F.coalesce("_used", F.lit(0))).alias("slot")).filter(F.col("slot") < s.slots)
-        return G.augmented(settle(address, "address"), settle(born, "born"), s.reserved).withColumn("feature", F.col("feature").cast("long"))
-
-    def _learn(self, scored: DataFrame, contexts: DataFrame) -> None:
-        """Adds the writes of ``scored``, which ``log`` has already, to the three graphs."""
-        s = self.settings
-        by_seq = W.partitionBy("ns").orderBy("seq")
-        writes = self.log.select("ns", "seq", "rejected").distinct()
-        numbered = writes.withColumn("_every", F.row_number().over(by_seq).cast("long")).withColumn("t", F.sum((~F.col("rejected")).cast("long")).over(by_seq))
-        numbered = settle(numbered.join(scored.select("ns", "seq", "salience", "negative"), ["ns", "seq"], "left"), "writes")
-        kept, new = numbered.filter("NOT rejected"), numbered.filter("NOT rejected AND salience IS NOT NULL")
-        rate = G.decay_rate(F.col("negative"))
-        rates = numbered.select("ns", (F.col("t") + F.col("rejected").cast("long")).alias("t"), rate.alias("rate")).filter("rate > 0")
-        before = kept.filter("salience IS NULL").groupBy("ns").agg(F.max("t").alias("t"))
-
-        def grown(edges: DataFrame | None, deltas: DataFrame, **options) -> DataFrame:
-            rows = deltas.join(new.select("ns", "t", "salience"), ["ns", "t"]).select("ns", "src", "dst", "t", (F.col("delta") * F.col("salience")).alias("delta"))
-            if edges is not None:
-                start = edges.join(before, "ns", "left").select("ns", "src", "dst", F.coalesce("t", F.lit(0)).cast("long").alias("t"), F.col("w").alias("delta"))
-                rows = start.unionByName(rows)
-            ends = kept.select("ns", "t").unionByName(rows.select("ns", "t"))
-            return settle(GR.row_fold(rows, ends, rates=rates, **options), "edges")
-
-        plain = self.log.filter("NOT rejected")
-        self.association = grown(self.association, GR.pair_deltas(plain.select("ns", "seq", "feature", "w"), s.rule), max_degree=s.max_degree)
-        chained = GR.temporal_deltas(self.log.select("ns", "seq", "stream", "feature", "w"), ["stream"], rule=s.rule)
-        chained = chained.withColumnRenamed("t", "_every").join(kept.select("ns", "_every", "t"), ["ns", "_every"]).drop("_every")
-        self.temporal = grown(self.temporal, chained, max_degree=s.max_degree)
-        address = plain.join(new.select("ns", "seq", "t"), ["ns", "seq"]).select(*KEYS, "t", "feature", "w")
-        links = GR.context_deltas(contexts, address, s.context_rate, KEYS, ["t"])
-        self.links = grown(self.links, links, decay=0.0, interval=0, max_degree=s.context_degree, cap=False, allow_negative=True)
+        ).drop("_m")
+
+    def _fold(self, told: DataFrame, bound: DataFrame, contexts: DataFrame) -> DataFrame:
+        """Folds the events into the state and the graphs; gives the changes."""
+        s = self.settings.fold()
+        packed = lambda df, name: df.groupBy("ns", "seq").agg(F.collect_list(F.struct("feature", "w")).alias(name))
+        events = told.select("ns", "seq", F.col("episode_id").cast("string").alias("episode"), "stream", (F.col("status") == "rejected").alias("rejected"), F.col("told").alias("novelty"), "redundancy", "positive", "negative", "utility", "birth")
+        events = events.join(packed(bound, "code"), ["ns", "seq"], "left").join(packed(contexts, "context"), ["ns", "seq"], "left")
+        if self.codes is None:
+            events = events.withColumn("stored", F.lit(None).cast("array<struct<episode:string,votes:long,dot:double>>"))
+        else:
+            again = self.episodes.select(*KEYS).join(told.select(*KEYS).distinct(), KEYS, "left_semi").groupBy("ns").count()
+            more = again.agg(F.max("count")).first()[0] or 0  # those that this batch writes again drop out on the way
+            events = events.join(O.rivals(bound, self.codes, s.rivals + more), ["ns", "seq"], "left")
+        graphs = {name: getattr(self, name) for name in O.GRAPHS}
+        known = O.touched_state(self.state, graphs, told, bound, contexts)
+        if known is None:
+            known = told.sparkSession.createDataFrame([], f"ns {told.schema['ns'].dataType.simpleString()}, {O.STATE}")
+        changes = settle(O.fold_writes(events, known, s), "changes")
+        before = None if self.state is None else self.state.filter("kind = 'clock'")
+        self.association = settle(O.renewed_edges(self.association, changes, "association", before, s.decay, s.interval), "edges")
+        self.temporal = settle(O.renewed_edges(self.temporal, changes, "temporal", before, s.decay, s.interval), "edges")
+        self.links = settle(O.renewed_edges(self.links, changes, "links", before), "edges")
+        self.state = settle(O.renewed_state(self.state, changes), "state")
+        return changes
 
     def _corrected(self, episodes: DataFrame, scored: DataFrame) -> DataFrame:
         """Episodes that a later event of the batch corrects lose confidence and index authority."""
@@ -161,26 +147,40 @@ class BoundMemory(Memory):
         return out.withColumn("episode_id", F.col("episode_id.episode_id"))
 
     def write(self, events: DataFrame) -> BoundMemory:
-        """Events have (ns, episode_id, seq, text); of repeated ids in a batch the last is written."""
+        """Events have (ns, episode_id, seq, text); a repeated id replaces, in order of seq."""
         usual = {"stream": F.lit("default"), "metadata": F.lit("{}"), "timestamp": F.lit(None).cast("string"), "checksum": F.lit(None).cast("string"), "confidence": F.lit(1.0)}
         rows = events.withColumns({c: v for c, v in usual.items() if c not in events.columns})
-        rows = rows.select(*KEYS, F.col("seq").cast("long").alias("seq"), *["text", *usual])
-        new = settle(S.upsert_latest(rows.withColumn("_id", F.struct(*KEYS)), "_id", "seq").drop("_id"), "events")
-        bound, contexts = self._bind(new, "episode_id")
-        coded = settle(bound.join(new.select(*KEYS, "seq", "stream"), KEYS), "coded")
-        scored = self._scored(new, coded)
-        made = self._addresses(scored, coded).join(scored.select(*KEYS, "seq", "stream", (F.col("status") == "rejected").alias("rejected")), KEYS)
-        made = made.select(*KEYS, "seq", "stream", "rejected", "feature", "w")
+        rows = settle(rows.select(*KEYS, F.col("seq").cast("long").alias("seq"), *["text", *usual]), "events")
+        most = rows.groupBy("ns").count().agg(F.max("count")).first()[0] or 0
+        if most <= self.settings.together:
+            return self._written(rows)
+        place = F.row_number().over(W.partitionBy("ns").orderBy("seq")) - 1
+        dealt = settle(rows.withColumn("_round", F.floor(place / self.settings.together)), "rounds")
+        for k in range(-(-most // self.settings.together)):
+            self._written(dealt.filter(F.col("_round") == k).drop("_round"))
+        return self
+
+    def _written(self, new: DataFrame) -> BoundMemory:
+        bound, contexts = self._bind(new, "seq")
+        contexts = settle(contexts, "contexts")
+        told = settle(self._gates(new), "gates")
+        changes = self._fold(told, bound, contexts)
+        x = F.col("x")
+        scores = changes.filter("kind = 'score'").select("ns", F.col("a").alias("seq"), x[0].alias("novelty"), x[1].alias("interference"), x[2].alias("salience"), x[3].alias("negative"), x[4].alias("birth_score"), F.col("b").alias("slot"))
+        scored = told.drop("told", "redundancy", "positive", "negative", "utility", "birth").join(scores, ["ns", "seq"])
+        scored = settle(scored.withColumn("authority", G.latent_authority(F.col("status"), F.col("risk"))), "scored")
+        made = changes.filter("kind = 'address'").select("ns", F.col("a").alias("seq"), F.col("b").alias("feature"), x[0].alias("w"))
+        made = made.join(scored.select(*KEYS, "seq", "stream", (F.col("status") == "rejected").alias("rejected")), ["ns", "seq"]).select(*KEYS, "seq", "stream", "rejected", "feature", "w")
         self.log = settle(made if self.log is None else self.log.unionByName(made), "log")
-        contexts = settle(contexts.join(new.select(*KEYS, "seq"), KEYS), "contexts")
-        self._learn(scored, contexts)
-        fresh = scored.withColumns({"index_authority": F.col("authority"), "access_count": F.lit(0).cast("long"), "last_access": F.lit(None).cast("timestamp"), "superseded_by": F.lit(None).cast("string"), "labile": F.lit(False)})
-        old = None if self.episodes is None else self.episodes.join(new.select(*KEYS), KEYS, "left_anti")
+        last = S.upsert_latest(scored.withColumn("_id", F.struct(*KEYS)), "_id", "seq").drop("_id")
+        fresh = last.withColumns({"index_authority": F.col("authority"), "access_count": F.lit(0).cast("long"), "last_access": F.lit(None).cast("timestamp"), "superseded_by": F.lit(None).cast("string"), "labile": F.lit(False)})
+        old = None if self.episodes is None else self.episodes.join(new.select(*KEYS).distinct(), KEYS, "left_anti")
         episodes = self._corrected(fresh if old is None else old.unionByName(fresh, allowMissingColumns=True), scored)
         self.episodes = settle(episodes, "episodes")
         stored = self.episodes.select(*KEYS, "seq")
         self.codes = settle(self.log.join(stored, [*KEYS, "seq"], "left_semi"), "codes")
-        every = contexts if self.contexts is None else self.contexts.unionByName(contexts)
+        named = contexts.join(scored.select(*KEYS, "seq"), ["ns", "seq"]).select(*KEYS, "seq", "feature", "w")
+        every = named if self.contexts is None else self.contexts.unionByName(named)
         self.contexts = settle(every.join(stored, [*KEYS, "seq"], "left_semi"), "contexts")
         return self
 
@@ -228,18 +228,51 @@ class BoundMemory(Memory):
         trusted = ~M.replay_quarantined(F.col("status"), F.col("checksum"))
         chosen = M.replay_select(self.episodes.withColumn("verified", trusted), strategy, budget, engine=2)
         chosen = settle(chosen.select(*KEYS, "place", "salience", "verified"), "chosen")
-        fold = lambda deltas, writes: GR.row_fold(deltas, writes, max_degree=self.settings.max_degree)
         codes = self.codes.select(*KEYS, "seq", "feature", "w")
-        made = M.replay_run(chosen, codes, self.association, self.temporal, scale, engine=2, rule=self.settings.rule, with_temporal=with_temporal, fold=fold)
+        clock = self.state.filter("kind = 'clock'").select("ns", F.col("b").alias("t"))
+        averages = self.state.filter("kind = 'average'").select("ns", F.col("a").alias("feature"), F.col("v").alias("mu"), F.col("u").alias("m2"))
+        made = M.replay_run(chosen, codes, self.association, self.temporal, scale, engine=2, rule=self.settings.rule, with_temporal=with_temporal, after=clock, known=averages, max_degree=self.settings.max_degree)
         self.association, self.temporal = (settle(e, "edges") for e in made)
+        again = codes.join(chosen.filter("verified").select(*KEYS, "place"), KEYS).select("ns", F.col("place").alias("seq"), "feature", "w")
+        moved = GR.final_activity(GR.strongest(again, GR.MAX_PAIRS), known=averages)
+        changes = moved.select("ns", F.lit("average").alias("kind"), F.col("feature").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("string").alias("s"), F.array("mu", "m2").alias("x"))
+        counted = self.state.filter("kind = 'clock'").join(M.replay_writes(chosen), "ns")
+        changes = changes.unionByName(counted.select("ns", "kind", "a", (F.col("b") + F.col("n")).alias("b"), "s", F.array("v", F.coalesce("u", F.lit(1.0))).alias("x")))
+        self.state = settle(O.renewed_state(self.state, changes), "state")
         moved = self.episodes.join(M.replay_authority(chosen, scale), KEYS, "left")
         authority = GR.adjusted_authority(F.col("index_authority"), F.coalesce("change", F.lit(0.0)))
         self.episodes = settle(moved.withColumn("index_authority", authority).drop("change"), "episodes")
         return chosen
 
     def forget(self, gone: DataFrame) -> BoundMemory:
-        """Removes episodes (ns, episode_id) and writes the others again, so no edge of theirs stays."""
-        left = self.episodes.join(gone.select(*KEYS).distinct(), KEYS, "left_anti").select(*KEYS, "seq", "text", "stream", "metadata", "timestamp", "checksum", "confidence")
-        left = settle(left, "left")
-        self.clear()
-        return self.write(left)
+        """As in the first engine; status, novelty and versions of the others stay, and their index authority is the latent one again."""
+        left = lambda df: settle(df.join(gone.select(*KEYS).distinct(), KEYS, "left_anti"), "left")
+        self.episodes, self.codes, self.contexts = left(self.episodes), left(self.codes), left(self.contexts)
+        self.rebuild()
+        return self
+
+    def rebuild(self) -> None:
+        """Learns the three graphs anew from the stored addresses and context codes; rejected episodes take no part."""
+        s = self.settings.fold()
+        ordered = self._in_rebuild_order(self.episodes.filter("status <> 'rejected'"))
+        seqs = ordered.select(*KEYS, "seq", "stream", "salience")
+        coded = settle(self.codes.select(*KEYS, "feature", "w").join(seqs, KEYS), "coded")
+        numbers, now = seqs.select("ns", "seq", F.col("seq").alias("t")), seqs.groupBy("ns").agg(F.max("seq").alias("t"))
+        scaled = lambda d: d.join(seqs.select("ns", F.col("seq").alias("t"), "salience"), ["ns", "t"]).withColumn("delta", F.col("delta") * F.col("salience")).drop("salience")
+        grown = lambda d, **options: settle(GR.grown(None, scaled(d), None, now, **options), "edges")
+        rules = {"decay": s.decay, "interval": s.interval, "max_degree": s.max_degree}
+        self.association = grown(GR.pair_deltas(coded.select("ns", "seq", "feature", "w"), s.rule, s.rate, max_pairs=s.max_pairs, numbers=numbers), **rules)
+        self.temporal = grown(GR.temporal_deltas(coded.select("ns", "seq", "stream", "feature", "w"), ["stream"], s.temporal_rate, s.rule, s.max_pairs, numbers=numbers), **rules)
+        contexts = self.contexts.select(*KEYS, "feature", "w").join(seqs.select(*KEYS, F.col("seq").alias("t")), KEYS)
+        addresses = coded.select(*KEYS, F.col("seq").alias("t"), "feature", "w")
+        links = GR.context_deltas(contexts, addresses, s.context_rate, KEYS, ["t"])
+        self.links = grown(links, decay=0.0, interval=0, max_degree=s.context_degree, cap=False, allow_negative=True)
+        averages = GR.final_activity(GR.strongest(coded.select("ns", "seq", "feature", "w"), s.max_pairs), s.rate)
+        last = coded.join(seqs.groupBy("ns", "stream").agg(F.max("seq").alias("seq")), ["ns", "stream", "seq"], "left_semi")
+        none = lambda kind: F.lit(None).cast(kind)
+        rows = averages.select("ns", F.lit("average").alias("kind"), F.col("feature").alias("a"), none("long").alias("b"), none("string").alias("s"), F.col("mu").alias("v"), F.col("m2").alias("u"))
+        rows = rows.unionByName(last.select("ns", F.lit("previous").alias("kind"), F.col("feature").alias("a"), none("long").alias("b"), F.col("stream").alias("s"), F.col("w").alias("v"), none("double").alias("u")))
+        kept = self.state.filter("kind IN ('eligibility', 'clock')").join(now.select("ns", F.col("t").alias("_t")), "ns", "left")
+        clock = F.when(F.col("kind") == "clock", F.coalesce("_t", F.lit(0))).otherwise(F.col("b"))
+        self.state = settle(kept.withColumn("b", clock).drop("_t").unionByName(rows), "state")
+        self.episodes = settle(self.episodes.withColumn("index_authority", F.col("authority")), "episodes")

@@ -39,12 +39,13 @@ def novelty(codes: DataFrame, limit: int = 20, close: float = 0.45, only: DataFr
 
     Earlier episodes compete by shared features (ties by id); the best dot product among
     the ``limit`` first counts. Votes and dots come from one equality join on the feature.
-    With ``only`` (ns, episode_id, seq) these writes alone are looked up.
+    With ``only`` (ns, episode_id, seq) these writes alone are looked up. Codes may have
+    ``until``, the write that replaced theirs: later ones do not see them.
     """
     asked = codes if only is None else codes.join(only.select("ns", "episode_id", "seq"), ["ns", "episode_id", "seq"], "left_semi")
     a = asked.select("ns", "feature", "episode_id", "seq", F.col("w").alias("_a"))
-    b = codes.select("ns", "feature", F.col("episode_id").alias("_other"), F.col("seq").alias("_before"), F.col("w").alias("_b"))
-    pairs = a.join(b, ["ns", "feature"]).filter("_before < seq").groupBy("ns", "episode_id", "_other").agg(F.count(F.lit(1)).alias("_votes"), F.sum(F.col("_a") * F.col("_b")).alias("_dot"))
+    b = codes.select("ns", "feature", F.col("episode_id").alias("_other"), F.col("seq").alias("_before"), F.col("w").alias("_b"), (F.col("until") if "until" in codes.columns else F.lit(None).cast("long")).alias("_until"))
+    pairs = a.join(b, ["ns", "feature"]).filter("_before < seq AND (_until IS NULL OR seq <= _until)").groupBy("ns", "episode_id", "_other").agg(F.count(F.lit(1)).alias("_votes"), F.sum(F.col("_a") * F.col("_b")).alias("_dot"))
     order = W.partitionBy("ns", "episode_id").orderBy(F.col("_votes").desc(), "_other")
     top = pairs.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= limit)
     best = top.groupBy("ns", "episode_id").agg(F.max("_dot").alias("_m"), F.sum(F.when(F.col("_dot") > close, 1).otherwise(0)).alias("_n"))
@@ -109,12 +110,17 @@ def dopamine_metrics(meta: Column, text_length: Column, new: Column, known: Colu
     }
 
 
-def gate(metrics: dict[str, Column], weights: dict[str, float], minimum: float, maximum: float = 2.0) -> Column:
+def raw_gate(metrics: dict[str, Column], weights: dict[str, float]) -> Column:
+    """The weighted sum that a gate squashes."""
     raw = F.lit(weights["bias"])
     for name in METRICS:
         if name in weights:
             raw = raw + weights[name] * metrics[name]
-    return F.greatest(F.lit(minimum), F.least(F.lit(maximum), maximum / (1 + F.exp(-raw))))
+    return raw
+
+
+def gate(metrics: dict[str, Column], weights: dict[str, float], minimum: float, maximum: float = 2.0) -> Column:
+    return F.greatest(F.lit(minimum), F.least(F.lit(maximum), maximum / (1 + F.exp(-raw_gate(metrics, weights)))))
 
 
 def gate_pair(metrics: dict[str, Column]) -> tuple[Column, Column]:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -26,48 +27,63 @@ def mean_rate(rate: float) -> float:
     return min(0.1, max(1e-4, rate * 0.1))
 
 
-def with_write_number(codes: DataFrame) -> DataFrame:
-    """Adds t, the number of the write within its namespace, from 1."""
-    return codes.withColumn("t", F.dense_rank().over(W.partitionBy("ns").orderBy("seq")).cast("long"))
+def with_write_number(codes: DataFrame, after: DataFrame | None = None, numbers: DataFrame | None = None) -> DataFrame:
+    """Adds t, the number of the write within its namespace, from 1, or from behind the t of ``after`` (ns, t).
+
+    ``numbers`` (ns, seq, t) has them already, which counts writes without entries too.
+    """
+    if numbers is not None:
+        return codes.join(numbers.select("ns", "seq", "t"), ["ns", "seq"])
+    numbered = codes.withColumn("t", F.dense_rank().over(W.partitionBy("ns").orderBy("seq")).cast("long"))
+    if after is None:
+        return numbered
+    return numbered.join(after.select("ns", F.col("t").alias("_t0")), "ns", "left").withColumn("t", F.col("t") + F.coalesce("_t0", F.lit(0))).drop("_t0")
 
 
-def activity(codes: DataFrame, rate: float = RATE) -> DataFrame:
+def activity(codes: DataFrame, rate: float = RATE, known: DataFrame | None = None) -> DataFrame:
     """Adds mu and m2, the moving averages of |w| and w*w of the feature before this write.
 
     Sorted rows are folded as a stream, so no feature's history is held in memory.
+    ``known`` (ns, feature, mu, m2) has the averages before the first of these writes.
     """
-    r = mean_rate(rate)
+    r, begun = mean_rate(rate), known is not None
+    if begun:
+        codes = codes.join(known.select("ns", "feature", F.col("mu").alias("_mu"), F.col("m2").alias("_m2")), ["ns", "feature"], "left").fillna(0.0, ["_mu", "_m2"])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, mu, m2 = None, 0.0, 0.0
         for p in parts:
             before, second = np.empty(len(p)), np.empty(len(p))
-            for k, (ns, feature, w) in enumerate(zip(p["ns"], p["feature"], p["w"], strict=True)):
+            starts = zip(p["_mu"], p["_m2"], strict=True) if begun else repeat((0.0, 0.0))
+            for k, (ns, feature, w, start) in enumerate(zip(p["ns"], p["feature"], p["w"], starts)):  # noqa: B905
                 if (ns, feature) != key:
-                    key, mu, m2 = (ns, feature), 0.0, 0.0
+                    key, (mu, m2) = (ns, feature), start
                 before[k], second[k] = mu, m2
                 mu, m2 = (1 - r) * mu + r * abs(w), (1 - r) * m2 + r * w * w
             yield p.assign(mu=before, m2=second)
 
     schema = codes.schema.add("mu", "double").add("m2", "double")
-    return codes.repartition("ns", "feature").sortWithinPartitions("ns", "feature", "seq").mapInPandas(run, schema)
+    return codes.repartition("ns", "feature").sortWithinPartitions("ns", "feature", "seq").mapInPandas(run, schema).drop("_mu", "_m2")
 
 
-def final_activity(codes: DataFrame, rate: float = RATE) -> DataFrame:
+def final_activity(codes: DataFrame, rate: float = RATE, known: DataFrame | None = None) -> DataFrame:
     """(ns, feature, mu, m2) after the last write."""
     r = mean_rate(rate)
-    last = activity(codes, rate).withColumn("_r", F.row_number().over(W.partitionBy("ns", "feature").orderBy(F.col("seq").desc()))).filter("_r = 1")
+    last = activity(codes, rate, known).withColumn("_r", F.row_number().over(W.partitionBy("ns", "feature").orderBy(F.col("seq").desc()))).filter("_r = 1")
     return last.select("ns", "feature", ((1 - r) * F.col("mu") + r * F.abs("w")).alias("mu"), ((1 - r) * F.col("m2") + r * F.col("w") * F.col("w")).alias("m2"))
 
 
-def pair_deltas(codes: DataFrame, rule: str, rate: float = RATE, salience: Column | float = 1.0, max_pairs: int = MAX_PAIRS) -> DataFrame:
-    """(ns, src, dst, t, delta) of every directed pair of a write: a self-join keyed by the write."""
+def pair_deltas(codes: DataFrame, rule: str, rate: float = RATE, salience: Column | float = 1.0, max_pairs: int = MAX_PAIRS, after: DataFrame | None = None, known: DataFrame | None = None, numbers: DataFrame | None = None) -> DataFrame:
+    """(ns, src, dst, t, delta) of every directed pair of a write: a self-join keyed by the write.
+
+    Writes are numbered behind ``after`` (ns, t) or as ``numbers`` say; ``known`` has the features' averages before them.
+    """
     if rule in ("none", "off", "zero"):
         return with_write_number(codes).select("ns", F.col("feature").alias("src"), F.col("feature").alias("dst"), "t", F.lit(0.0).alias("delta")).limit(0)
     if rule not in ("hebb", "covariance", "bcm"):
         raise ValueError(f"unknown plasticity rule: {rule}")
     top = strongest(codes, max_pairs)
-    top = with_write_number(top if rule == "hebb" else activity(top, rate))
+    top = with_write_number(top if rule == "hebb" else activity(top, rate, known), after, numbers)
     eta = F.lit(rate) * salience
     names = ["feature", "w"] + ([] if rule == "hebb" else ["mu", "m2"])
     a = top.select("ns", "t", *[F.col(c).alias(f"a_{c}") for c in names])
@@ -95,12 +111,15 @@ def strongest(codes: DataFrame, n: int) -> DataFrame:
     return codes.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= n).drop("_r")
 
 
-def temporal_deltas(codes: DataFrame, stream: list[str], rate: float = TEMPORAL_RATE, rule: str = "hebb", max_pairs: int = MAX_PAIRS) -> DataFrame:
+def temporal_deltas(codes: DataFrame, stream: list[str], rate: float = TEMPORAL_RATE, rule: str = "hebb", max_pairs: int = MAX_PAIRS, after: DataFrame | None = None, last: DataFrame | None = None, numbers: DataFrame | None = None) -> DataFrame:
     """(ns, src, dst, t, delta) from each write's predecessor in its stream to the write; directed, none for rule none.
 
-    At most ``max_pairs`` entries of each of the two take part.
+    At most ``max_pairs`` entries of each of the two take part. Writes are numbered behind
+    ``after`` (ns, t); ``last`` has the streams' writes before these, columns as ``codes``.
     """
-    numbered = with_write_number(codes)
+    numbered = with_write_number(codes, after, numbers)
+    if last is not None:
+        codes = last.select(*codes.columns).unionByName(codes)
     if rule in ("none", "off", "zero"):
         return numbered.select("ns", F.col("feature").alias("src"), F.col("feature").alias("dst"), "t", F.lit(0.0).alias("delta")).limit(0)
     numbered, codes = strongest(numbered, max_pairs), strongest(codes, max_pairs)
@@ -174,16 +193,63 @@ def degrees(edges: DataFrame, keys: tuple[str, ...] = ("ns", "src")) -> DataFram
     return edges.groupBy(*keys).agg(F.sum(F.abs("w")).alias("degree"))
 
 
-def _settle(row: dict[int, float], max_degree: int, cap: bool) -> dict[int, float]:
+def settled_row(row: dict[int, float], max_degree: int, cap: bool) -> dict[int, float]:
+    """A graph row after a write: its strongest entries, at most of unit length with ``cap``."""
     if len(row) > max_degree:
         row = dict(sorted(row.items(), key=lambda x: (-abs(x[1]), x[0]))[:max_degree])
     if cap:
-        size = float(np.sqrt(sum(v * v for v in row.values())))
+        size = math.sqrt(sum(v * v for v in row.values()))
         if size > 1.0:
             row = {j: v / size for j, v in row.items()}
     return row
 
 
+def decays_between(since: int, until: int, interval: int) -> int:
+    """Periodic decays after write ``since`` up to and with write ``until``."""
+    return until // interval - since // interval if interval > 0 else 0
+
+
+def aged_row(row: dict[int, float], steps: int, decay: float, kept: float = 1.0) -> dict[int, float]:
+    """A graph row after ``steps`` periodic decays and what ``kept`` leaves of triggered ones; small entries vanish."""
+    for _ in range(steps):
+        row = {j: v * max(0.0, 1 - decay) for j, v in row.items()}
+        row = {j: v for j, v in row.items() if abs(v) >= GONE}
+    if kept != 1.0:
+        row = {j: v * kept for j, v in row.items() if abs(v * kept) >= GONE}
+    return row
+
+
+def grown_row(row: dict[int, float], src: int, targets: list[int], deltas: list[float], allow_negative: bool = False) -> dict[int, float]:
+    """Adds deltas to the row of ``src``, in place; no edge to itself, none below zero unless allowed, tiny ones vanish."""
+    for dst, delta in zip(targets, deltas, strict=True):
+        if dst != src and delta != 0.0:
+            value = row.get(dst, 0.0) + delta
+            value = value if allow_negative else max(0.0, value)
+            if abs(value) < SMALL:
+                row.pop(dst, None)
+            else:
+                row[dst] = value
+    return row
+
+
+def pair_matrix(rule: str, rate: float, v: np.ndarray, mu: np.ndarray | None = None, m2: np.ndarray | None = None, old: np.ndarray | None = None) -> np.ndarray:
+    """Deltas of all pairs of a write's entries, as an outer product.
+
+    ``old`` has the edges before the write, of which the one from the stronger entry counts for both directions.
+    """
+    if rule == "hebb":
+        return rate * np.outer(v, v)
+    if rule == "covariance":
+        return rate * np.outer(v - mu, v - mu)
+    if rule == "bcm":
+        over = v * v - v * m2
+        return 0.5 * rate * (np.outer(over, v) + np.outer(v, over))
+    if rule == "oja":
+        first = np.triu(old, 1)
+        return rate * (np.outer(v, v) - 0.5 * np.add.outer(v * v, v * v) * (first + first.T))
+    raise ValueError(f"unknown plasticity rule: {rule}")
+
+
 def _left_by(rates: DataFrame | None, deltas: DataFrame, ends: DataFrame) -> DataFrame:
     """Adds left and left_end: what the triggered decays up to t and up to the end leave of an edge."""
     if rates is None:
@@ -210,16 +276,10 @@ def row_fold(deltas: DataFrame, writes: DataFrame, decay: float = DECAY, interva
         key, row, now, end, left, left_end = None, {}, 0, 0, 1.0, 1.0
 
         def aged(row, since, until, kept):
-            steps = until // interval - since // interval if interval > 0 else 0
-            for _ in range(steps):
-                row = {j: v * max(0.0, 1 - decay) for j, v in row.items()}
-                row = {j: v for j, v in row.items() if abs(v) >= GONE}
-            if kept != 1.0:
-                row = {j: v * kept for j, v in row.items() if abs(v * kept) >= GONE}
-            return row
+            return aged_row(row, decays_between(since, until, interval), decay, kept)
 
         def close():
-            final = aged(_settle(row, max_degree, cap), now, end, left_end / left)
+            final = aged(settled_row(row, max_degree, cap), now, end, left_end / left)
             return [(key[0], key[1], j, v) for j, v in final.items()] if key else []
 
         for p in parts:
@@ -229,7 +289,7 @@ def row_fold(deltas: DataFrame, writes: DataFrame, decay: float = DECAY, interva
                     done += close()
                     key, row, now, end, left, left_end = (ns, src), {}, t, t_end, kept, kept_end
                 if t != now:
-                    row, now, left = aged(_settle(row, max_degree, cap), now, t, kept / left), t, kept
+                    row, now, left = aged(settled_row(row, max_degree, cap), now, t, kept / left), t, kept
                 value = row.get(dst, 0.0) + delta
                 value = value if allow_negative else max(0.0, value)
                 if abs(value) < SMALL:
@@ -245,6 +305,23 @@ def row_fold(deltas: DataFrame, writes: DataFrame, decay: float = DECAY, interva
     return ordered.select("ns", "src", "dst", "t", "delta", "t_end", "left", "left_end").mapInPandas(run, schema)
 
 
+def grown(edges: DataFrame | None, deltas: DataFrame, before: DataFrame | None, now: DataFrame, decay: float = DECAY, interval: int = INTERVAL, **options) -> DataFrame:
+    """(ns, src, dst, w): ``edges`` as of write t of ``before`` (ns, t) after the deltas of later writes, as of write t of ``now``.
+
+    Rows that have deltas are folded; the others only age, in one pass without a fold.
+    """
+    if edges is None or before is None:
+        return row_fold(deltas, now, decay=decay, interval=interval, **options)
+    touched = deltas.select("ns", "src").distinct()
+    start = edges.join(touched, ["ns", "src"], "left_semi").join(before.select("ns", "t"), "ns").select("ns", "src", "dst", "t", F.col("w").alias("delta"))
+    folded = row_fold(start.unionByName(deltas.select("ns", "src", "dst", "t", "delta")), now, decay=decay, interval=interval, **options)
+    clocks = now.select("ns", F.col("t").alias("_now")).join(before.select("ns", F.col("t").alias("_then")), "ns")
+    rest = edges.join(touched, ["ns", "src"], "left_anti").join(clocks, "ns", "left")
+    steps = F.coalesce(_epoch(F.col("_now"), interval) - _epoch(F.col("_then"), interval), F.lit(0))
+    aged = rest.select("ns", "src", "dst", (F.col("w") * F.pow(F.lit(max(0.0, 1 - decay)), steps)).alias("w"), steps.alias("_n"))
+    return aged.filter(f"_n = 0 OR abs(w) >= {GONE}").drop("_n").unionByName(folded)
+
+
 def namespace_fold(codes: DataFrame, rule: str = "oja", rate: float = RATE, decay: float = DECAY, interval: int = INTERVAL, max_degree: int = MAX_DEGREE, max_pairs: int = MAX_PAIRS, cap: bool = True) -> DataFrame:
     """Sequential fold of a whole namespace, for the rule that reads the edge it changes; parallel over namespaces."""
 
@@ -257,18 +334,10 @@ def namespace_fold(codes: DataFrame, rule: str = "oja", rate: float = RATE, deca
             if interval > 0 and count % interval == 0:
                 graph = {i: {j: v * (1 - decay) for j, v in row.items() if abs(v * (1 - decay)) >= GONE} for i, row in graph.items()}
             top = sorted(pairs, key=lambda x: (-abs(x[1]), x[0]))[:max_pairs]
-            for k, (i, vi) in enumerate(top):
-                for j, vj in top[k + 1 :]:
-                    old = graph.get(i, {}).get(j, 0.0)
-                    delta = rate * (vi * vj - (0.5 * (vi * vi + vj * vj) * old if rule == "oja" else 0.0))
-                    for a, b in ((i, j), (j, i)):
-                        row = graph.setdefault(a, {})
-                        value = max(0.0, row.get(b, 0.0) + delta)
-                        if value < SMALL:
-                            row.pop(b, None)
-                        else:
-                            row[b] = value
-            graph = {i: _settle(row, max_degree, cap) for i, row in graph.items() if row}
+            names, values = [i for i, _ in top], np.array([v for _, v in top])
+            old = np.array([[graph.get(i, {}).get(j, 0.0) for j in names] for i in names]) if rule == "oja" else None
+            for i, deltas in zip(names, pair_matrix(rule, rate, values, old=old).tolist(), strict=True):
+                graph[i] = settled_row(grown_row(graph.get(i, {}), i, names, deltas), max_degree, cap)
 
         def rows():
             return [(ns_now, i, j, v) for i, row in graph.items() for j, v in row.items()]

@@ -158,14 +158,16 @@ def replay_verified(text: Column, checksum: Column) -> Column:
     return F.coalesce(F.sha2(text, 256) == checksum, F.lit(False))
 
 
-def replay_run(chosen: DataFrame, codes: DataFrame, association: DataFrame, temporal: DataFrame, scale: float, engine: int = 1, rule: str = "hebb", with_temporal: bool = True, fold=GR.closed_form) -> tuple[DataFrame, DataFrame]:
+def replay_run(chosen: DataFrame, codes: DataFrame, association: DataFrame, temporal: DataFrame, scale: float, engine: int = 1, rule: str = "hebb", with_temporal: bool = True, fold=GR.closed_form, after: DataFrame | None = None, known: DataFrame | None = None, max_degree: int = GR.MAX_DEGREE) -> tuple[DataFrame, DataFrame]:
     """(association, temporal) edges after the verified ones of the chosen episodes were written once more.
 
     ``chosen`` has (ns, episode_id, place, salience, verified), ``codes`` the writes so far
     (ns, episode_id, seq, feature, w). Writes are scaled by ``scale`` times the salience, by
     0.01 at least in the second engine. In the first engine an unverified episode breaks the
     chain of temporal edges, the second passes over it. ``fold`` turns deltas and writes
-    into edges; those before are the deltas of the last write before.
+    into edges; those before are the deltas of the last write before. A memory that keeps
+    its clock gives ``after`` (ns, t), the number of writes so far, and ``known``, the
+    features' averages (ns, feature, mu, m2); then the edges given are those of that moment.
     """
     good = chosen.filter("verified").join(codes.groupBy("ns").agg(F.max("seq").alias("_last")), "ns")
     by_place = W.partitionBy("ns").orderBy("place")
@@ -173,6 +175,14 @@ def replay_run(chosen: DataFrame, codes: DataFrame, association: DataFrame, temp
     weight = F.col("salience") * scale
     good = good.select("ns", "episode_id", "seq", "stream", (F.greatest(F.lit(0.01), weight) if engine == 2 else weight).alias("_s"))
     again = good.join(codes.select("ns", "episode_id", "feature", "w"), ["ns", "episode_id"]).select("ns", "seq", "stream", "feature", "w")
+    if after is not None:
+        again = settle(again, "replayed")
+        weighed = GR.with_write_number(again, after).select("ns", "seq", "t").distinct().join(good.select("ns", "seq", "_s"), ["ns", "seq"])
+        now = after.join(weighed.groupBy("ns").agg(F.max("t").alias("_t")), "ns", "left").select("ns", F.coalesce("_t", "t").alias("t"))
+        scaled = lambda d: d.join(weighed.select("ns", "t", "_s"), ["ns", "t"]).withColumn("delta", F.col("delta") * F.col("_s")).drop("_s")
+        pairs = scaled(GR.pair_deltas(again.drop("stream"), rule, after=after, known=known))
+        links = scaled(GR.temporal_deltas(again, ["stream"], rule=rule if with_temporal else "none", after=after))
+        return GR.grown(association, pairs, after, now, max_degree=max_degree), GR.grown(temporal, links, after, now, max_degree=max_degree)
     every = settle(codes.select("ns", "seq", F.lit(None).cast("long").alias("stream"), "feature", "w").unionByName(again.withColumn("stream", F.col("stream").cast("long"))), "replayed")
     numbered = GR.with_write_number(every).select("ns", "seq", "t").distinct()
     writes = settle(numbered.join(good.select("ns", "seq", "_s"), ["ns", "seq"], "left"), "replay-writes")
@@ -189,6 +199,11 @@ def replay_run(chosen: DataFrame, codes: DataFrame, association: DataFrame, temp
     return grown(association, GR.pair_deltas(plain, rule)), grown(temporal, chained)
 
 
+def replay_writes(chosen: DataFrame) -> DataFrame:
+    """(ns, n): how many writes a replay of the chosen adds to a namespace's clock."""
+    return chosen.filter("verified").groupBy("ns").agg(F.count(F.lit(1)).alias("n"))
+
+
 def replay_authority(chosen: DataFrame, scale: float, gain: float = 0.02) -> DataFrame:
     """(ns, episode_id, change): verified episodes gain authority, quarantined ones lose ``scale``."""
     return chosen.select("ns", "episode_id", F.when(F.col("verified"), F.lit(gain)).otherwise(F.lit(-scale)).alias("change"))

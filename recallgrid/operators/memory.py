@@ -1,7 +1,10 @@
 """An episodic memory over DataFrames: write a batch of events, ask a batch of questions.
 
 The first engine: salience from novelty, postings, learned graphs, recall and ranking.
-Asking changes nothing; access counts and feedback are separate calls.
+Asking changes nothing; access counts and feedback are separate calls. A write adds to what
+the memory knows: feedback, access counts and replayed edges stay. The clock numbers the
+writes of a namespace, replayed ones too; the features' averages and each stream's last
+write are kept for the writes to come.
 """
 
 from __future__ import annotations
@@ -9,6 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recallgrid.functions.lineage import settle
@@ -38,7 +42,7 @@ class Settings:
 class Memory:
     """Episodes, postings and graphs of one or more namespaces; namespaces never mix."""
 
-    TABLES = ("episodes", "codes", "association", "temporal")
+    TABLES = ("episodes", "codes", "association", "temporal", "clock", "averages", "last")
 
     def __init__(self, settings: Settings | None = None):
         self.settings = settings or Settings()
@@ -46,6 +50,9 @@ class Memory:
         self.codes: DataFrame | None = None
         self.association: DataFrame | None = None
         self.temporal: DataFrame | None = None
+        self.clock: DataFrame | None = None
+        self.averages: DataFrame | None = None
+        self.last: DataFrame | None = None
 
     def _encode(self, texts: DataFrame, key: str) -> DataFrame:
         s = self.settings
@@ -54,27 +61,57 @@ class Memory:
         return coded.select("_k.ns", f"_k.{key}", "feature", "w")
 
     def write(self, events: DataFrame) -> Memory:
-        """Events have (ns, episode_id, seq, text) and may have stream; a repeated id replaces, by seq."""
-        s = self.settings
+        """Events have (ns, episode_id, seq, text) and may have stream and timestamp.
+
+        Later batches have larger seq; a repeated id replaces, of several in a batch the last is written.
+        """
         events = events if "stream" in events.columns else events.withColumn("stream", F.lit("default"))
-        rows = events.select("ns", "episode_id", F.col("seq").cast("long").alias("seq"), "stream", "text")
-        if self.episodes is not None:
-            rows = self.episodes.select(*rows.columns).unionByName(rows)
-        latest = S.upsert_latest(rows.withColumn("_id", F.struct("ns", "episode_id")), "_id", "seq").drop("_id")
-        latest = settle(latest, "episodes")
-        coded = self._encode(latest, "episode_id").join(latest.select("ns", "episode_id", "seq", "stream"), ["ns", "episode_id"])
-        self.codes = settle(coded, "codes")
-        new = G.novelty(self.codes)
-        self.episodes = settle(latest.join(new, ["ns", "episode_id"], "left").withColumn("novelty", F.coalesce("novelty", F.lit(1.0))).withColumn("salience", G.salience({"novelty": F.col("novelty")})).withColumn("checksum", F.sha2("text", 256)), "episodes")
-        writes = GR.with_write_number(self.codes).select("ns", "t").distinct()
-        fold = lambda d: settle(GR.row_fold(d, writes, max_degree=s.max_degree), "edges")
-        weight = self.episodes.select("ns", "seq", "salience")
-        numbered = GR.with_write_number(self.codes).select("ns", "seq", "t").distinct().join(weight, ["ns", "seq"]).select("ns", "t", "salience")
-        scaled = lambda d: d.join(numbered, ["ns", "t"]).withColumn("delta", F.col("delta") * F.col("salience")).drop("salience")
-        self.association = fold(scaled(GR.pair_deltas(self.codes, s.rule)))
-        self.temporal = fold(scaled(GR.temporal_deltas(self.codes, ["stream"])))
+        events = events if "timestamp" in events.columns else events.withColumn("timestamp", F.lit(None).cast("string"))
+        rows = events.select("ns", "episode_id", F.col("seq").cast("long").alias("seq"), "stream", "text", F.col("timestamp").cast("string").alias("timestamp"))
+        new = settle(S.upsert_latest(rows.withColumn("_id", F.struct("ns", "episode_id")), "_id", "seq").drop("_id"), "events")
+        coded = settle(self._encode(new, "episode_id").join(new.select("ns", "episode_id", "seq", "stream"), ["ns", "episode_id"]), "coded")
+        known = coded.withColumn("until", F.lit(None).cast("long"))
+        if self.codes is not None:
+            replaced = new.select("ns", "episode_id", F.col("seq").alias("until"))
+            known = self.codes.select(*coded.columns).join(replaced, ["ns", "episode_id"], "left").unionByName(known)
+        fresh = G.novelty(known, only=new)
+        scored = new.join(fresh, ["ns", "episode_id"], "left").withColumn("novelty", F.coalesce("novelty", F.lit(1.0)))
+        scored = scored.withColumn("salience", G.salience({"novelty": F.col("novelty")})).withColumn("checksum", F.sha2("text", 256))
+        scored = settle(scored.withColumns({c: F.expr(v) for c, v in self.FEEDBACK.items()}), "scored")
+        self._learn(coded, scored)
+        left = lambda df: df.join(new.select("ns", "episode_id"), ["ns", "episode_id"], "left_anti")
+        self.episodes = settle(scored if self.episodes is None else left(self.episodes).unionByName(scored, allowMissingColumns=True), "episodes")
+        self.codes = settle(coded if self.codes is None else left(self.codes).unionByName(coded), "codes")
         return self
 
+    #: What feedback starts from.
+    FEEDBACK = {"confidence": "1.0D", "authority": "1.0D", "access_count": "0L", "last_access": "CAST(NULL AS TIMESTAMP)", "labile": "false"}
+
+    def _learn(self, coded: DataFrame, scored: DataFrame) -> None:
+        """Adds the writes of ``coded`` (ns, seq, stream, feature, w), with the salience of ``scored``, to graphs, averages and clock."""
+        s = self.settings
+        plain = coded.select("ns", "seq", "feature", "w")
+        weight = GR.with_write_number(scored.select("ns", "seq", "salience"), self.clock).select("ns", "t", "salience")
+        weight = settle(weight, "weights")
+        coded_writes = weight.groupBy("ns").agg(F.max("t").alias("t"))
+        now = coded_writes if self.clock is None else self.clock.select("ns", F.col("t").alias("_t")).join(coded_writes, "ns", "full").select("ns", F.coalesce("t", "_t").alias("t"))
+        now = settle(now, "clock")
+        numbered = GR.with_write_number(scored.select("ns", "seq"), self.clock)
+        scaled = lambda d: d.join(weight, ["ns", "t"]).withColumn("delta", F.col("delta") * F.col("salience")).drop("salience")
+        grown = lambda edges, d: settle(GR.grown(edges, scaled(d), self.clock, now, max_degree=s.max_degree), "edges")
+        chained = coded.select("ns", "seq", "stream", "feature", "w")
+        self.association = grown(self.association, GR.pair_deltas(plain, s.rule, numbers=numbered, known=self.averages))
+        self.temporal = grown(self.temporal, GR.temporal_deltas(chained, ["stream"], rule=s.rule, numbers=numbered, last=self.last))
+        averages = GR.final_activity(GR.strongest(plain, GR.MAX_PAIRS), known=self.averages)
+        if self.averages is not None:
+            averages = self.averages.join(averages.select("ns", "feature"), ["ns", "feature"], "left_anti").unionByName(averages)
+        self.averages = settle(averages, "averages")
+        ends = scored.groupBy("ns", "stream").agg(F.max("seq").alias("seq"))
+        last = chained.join(ends, ["ns", "stream", "seq"], "left_semi")
+        if self.last is not None:
+            last = self.last.join(ends, ["ns", "stream"], "left_anti").select(*last.columns).unionByName(last)
+        self.last, self.clock = settle(last, "last"), now
+
     def ask(self, queries: DataFrame) -> DataFrame:
         """Queries have (ns, query_id, text); gives ranked (ns, query_id, episode_id, scores, rank, text)."""
         s = self.settings
@@ -97,8 +134,7 @@ class Memory:
         known = self.episodes.select("ns", "episode_id", "checksum")
         ranked = results.select("ns", "episode_id", "rank").join(known, ["ns", "episode_id"]).withColumn("has_checksum", F.col("checksum").isNotNull())
         one = lambda df: df.withColumn("episode_id", F.struct("ns", "episode_id"))
-        start = {"confidence": F.lit(1.0), "authority": F.lit(1.0), "access_count": F.lit(0).cast("long"), "last_access": F.lit(None).cast("timestamp")}
-        rows = self.episodes.withColumns({c: v for c, v in start.items() if c not in self.episodes.columns})
+        rows = self.episodes
         used = K.with_feedback(one(rows), K.after_use(one(ranked), verified), as_of)
         self.episodes = settle(used.withColumn("episode_id", F.col("episode_id.episode_id")), "episodes")
         return self.episodes
@@ -106,12 +142,14 @@ class Memory:
     def replay(self, strategy: str, budget: int, scale: float = 0.25, with_temporal: bool = False) -> DataFrame:
         """Writes the verified ones of the chosen episodes once more; returns the chosen (ns, episode_id, place, salience, verified)."""
         rows = self.episodes.withColumn("timestamp", F.col("seq"))
-        rows = rows if "confidence" in rows.columns else rows.withColumn("confidence", F.lit(1.0))
         chosen = M.replay_select(rows.withColumn("verified", M.replay_verified(F.col("text"), F.col("checksum"))), strategy, budget)
         chosen = settle(chosen.select("ns", "episode_id", "place", "salience", "verified"), "chosen")
-        fold = lambda deltas, writes: GR.row_fold(deltas, writes, max_degree=self.settings.max_degree)
-        made = M.replay_run(chosen, self.codes, self.association, self.temporal, scale, rule=self.settings.rule, with_temporal=with_temporal, fold=fold)
+        made = M.replay_run(chosen, self.codes, self.association, self.temporal, scale, rule=self.settings.rule, with_temporal=with_temporal, after=self.clock, known=self.averages, max_degree=self.settings.max_degree)
         self.association, self.temporal = (settle(e, "edges") for e in made)
+        again = self.codes.join(chosen.filter("verified").select("ns", "episode_id", "place"), ["ns", "episode_id"]).select("ns", F.col("place").alias("seq"), "feature", "w")
+        averages = GR.final_activity(GR.strongest(again, GR.MAX_PAIRS), known=self.averages)
+        self.averages = settle(self.averages.join(averages.select("ns", "feature"), ["ns", "feature"], "left_anti").unionByName(averages), "averages")
+        self.clock = settle(self.clock.join(M.replay_writes(chosen), "ns", "left").select("ns", (F.col("t") + F.coalesce("n", F.lit(0))).alias("t")), "clock")
         return chosen
 
     def clear(self) -> Memory:
@@ -123,10 +161,31 @@ class Memory:
         return 0 if self.episodes is None else self.episodes.count()
 
     def forget(self, gone: DataFrame) -> Memory:
-        """Removes episodes (ns, episode_id) and learns the graphs again from the others, so no edge of theirs stays."""
-        left = self.episodes.select("ns", "episode_id", "seq", "stream", "text").join(gone.select("ns", "episode_id").distinct(), ["ns", "episode_id"], "left_anti")
-        self.episodes = None
-        return self.write(settle(left, "left"))
+        """Removes episodes (ns, episode_id) and folds the graphs again from the others, so no edge of theirs stays.
+
+        The others keep their codes, salience and feedback; they are folded in order of
+        timestamp and id, those without a timestamp after them in order of seq.
+        """
+        left = lambda df: settle(df.join(gone.select("ns", "episode_id").distinct(), ["ns", "episode_id"], "left_anti"), "left")
+        self.episodes, self.codes = left(self.episodes), left(self.codes)
+        self.rebuild()
+        return self
+
+    def rebuild(self) -> None:
+        """Learns the graphs anew from the stored codes and salience."""
+        ordered = self._in_rebuild_order(self.episodes)
+        coded = self.codes.drop("seq", "stream").join(ordered.select("ns", "episode_id", "seq", "stream"), ["ns", "episode_id"])
+        self.association = self.temporal = self.clock = self.averages = self.last = None
+        self._learn(settle(coded, "coded"), ordered)
+        seqs = self.episodes.select("ns", "stream", "episode_id", F.col("seq").alias("_seq"))
+        renamed = ordered.select("ns", "episode_id", "seq").join(seqs, ["ns", "episode_id"]).select("ns", "stream", "seq", "_seq")
+        self.last = settle(self.last.join(renamed, ["ns", "stream", "seq"]).select("ns", F.col("_seq").alias("seq"), "stream", "feature", "w"), "last")
+
+    @staticmethod
+    def _in_rebuild_order(episodes: DataFrame) -> DataFrame:
+        """The episodes with their place in the order of a rebuild as seq."""
+        order = [F.col("timestamp").asc_nulls_last(), F.when(F.col("timestamp").isNull(), F.col("seq")), "episode_id"]
+        return settle(episodes.withColumn("seq", F.row_number().over(W.partitionBy("ns").orderBy(*order)).cast("long")), "order")
 
     def save(self, folder: str) -> None:
         for name in self.TABLES:
