@@ -154,15 +154,27 @@ def test_controls_keep_degrees(spark):
     assert out(G.shuffled(e, 1)) == out(e) and G.zeroed(e).count() == 0
 
 
-def test_streamed_write_fold(spark, tmp_path):
-    """The streaming fold over micro-batches equals the batch fold."""
-    from recallgrid.streaming.writes import streaming_edges
+@pytest.mark.parametrize("rule", ["hebb", "covariance", "oja"])
+def test_streamed_write_fold(spark, tmp_path, rule):
+    """Micro-batches, a restart between them, equal the batch fold; a batch emits the rows that it touched alone."""
+    from recallgrid.streaming.writes import CHANGES, late_writes, run_changes, streaming_edges
 
     c = codes(spark, 30, 5, spaces=2)
-    packed = c.groupBy("ns", "seq").agg(F.sort_array(F.collect_list(F.struct("feature", "w"))).alias("code"))
-    src = tmp_path / "in"
+    packed = c.groupBy("ns", "seq").agg(F.sort_array(F.collect_list(F.struct("feature", "w"))).alias("code")).cache()
+    src, place = tmp_path / "in", str(tmp_path / "state")
     packed.filter("seq < 15").coalesce(1).write.parquet(str(src))
-    packed.filter("seq >= 15").coalesce(1).write.mode("append").parquet(str(src))
-    got = streaming_edges(spark, str(src), str(tmp_path / "state"), packed.schema, rule="hebb", max_degree=6)
-    want = table(G.row_fold(G.pair_deltas(c, "hebb"), writes(c), max_degree=6))
-    assert table(got) == pytest.approx(want, abs=1e-9)
+    streaming_edges(spark, str(src), place, packed.schema, rule=rule, max_degree=6, interval=4)
+    packed.filter("seq >= 15 AND seq < 29").coalesce(1).write.mode("append").parquet(str(src))
+    run_changes(spark, str(src), place, packed.schema, rule=rule, max_degree=6, interval=4)
+    packed.filter("seq = 29 OR seq = 3").coalesce(1).write.mode("append").parquet(str(src))
+    got = streaming_edges(spark, str(src), place, packed.schema, rule=rule, max_degree=6, interval=4)
+    if rule == "oja":
+        want = G.namespace_fold(c, "oja", max_degree=6, interval=4)
+    else:
+        want = G.row_fold(G.pair_deltas(c, rule), writes(c), max_degree=6, interval=4)
+    assert table(got) == pytest.approx(table(want), abs=1e-9)
+    changes = spark.read.schema(CHANGES.format(ns="int")).parquet(f"{place}/changes")
+    assert {(r.seq) for r in late_writes(changes).collect()} == {3}
+    newest = changes.join(changes.filter("src IS NULL AND NOT late").groupBy("ns").agg(F.max("version").alias("now")), "ns").filter("src IS NOT NULL AND version = now")
+    touched = {(r.ns, r.feature) for r in c.filter("seq = 29").collect()}
+    assert {(r.ns, r.src) for r in newest.collect()} == touched
