@@ -126,12 +126,6 @@ def rows_normalized(df: DataFrame, keys: list[str], value: str = "w") -> DataFra
     return df.withColumn(value, F.when(size > EPS, F.col(value) / size).otherwise(F.col(value)))
 
 
-def row_dots(a: DataFrame, b: DataFrame, a_key: str, b_key: str, on: list[str]) -> DataFrame:
-    """(a_key, b_key, dot, overlap) of all pairs of vectors that share an entry; an equality join on it."""
-    joined = a.select(*on, a_key, F.col("w").alias("_wa")).join(b.select(*on, b_key, F.col("w").alias("_wb")), on)
-    return joined.groupBy(a_key, b_key).agg(F.sum(F.col("_wa") * F.col("_wb")).alias("dot"), F.count(F.lit(1)).alias("overlap"))
-
-
 def quantize(value: Column, digits: int = 6) -> Column:
     """Rounds half up by plain arithmetic, which other engines repeat exactly."""
     scale = float(10**digits)

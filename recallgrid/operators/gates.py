@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from recallgrid.functions.vectors import rows_normalized
 
+from .postings import top_votes
+
 # Default weights of the gates.
 SALIENCE = {"base": 0.5, "surprise": 0.25, "task_relevance": 0.15, "user_importance": 0.2, "novelty": 0.25, "redundancy": -0.15}
 SALIENCE_RANGE = (0.05, 2.0)
@@ -38,16 +40,19 @@ def novelty(codes: DataFrame, limit: int = 20, close: float = 0.45, only: DataFr
     """(ns, episode_id, novelty, interference) of each write against the earlier ones of its namespace.
 
     Earlier episodes compete by shared features (ties by id); the best dot product among
-    the ``limit`` first counts. Votes and dots come from one equality join on the feature.
+    the ``limit`` first counts. Dot products are made of these alone.
     With ``only`` (ns, episode_id, seq) these writes alone are looked up. Codes may have
     ``until``, the write that replaced theirs: later ones do not see them.
     """
-    asked = codes if only is None else codes.join(only.select("ns", "episode_id", "seq"), ["ns", "episode_id", "seq"], "left_semi")
-    a = asked.select("ns", "feature", "episode_id", "seq", F.col("w").alias("_a"))
-    b = codes.select("ns", "feature", F.col("episode_id").alias("_other"), F.col("seq").alias("_before"), F.col("w").alias("_b"), (F.col("until") if "until" in codes.columns else F.lit(None).cast("long")).alias("_until"))
-    pairs = a.join(b, ["ns", "feature"]).filter("_before < seq AND (_until IS NULL OR seq <= _until)").groupBy("ns", "episode_id", "_other").agg(F.count(F.lit(1)).alias("_votes"), F.sum(F.col("_a") * F.col("_b")).alias("_dot"))
-    order = W.partitionBy("ns", "episode_id").orderBy(F.col("_votes").desc(), "_other")
-    top = pairs.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= limit)
+    keys = ["ns", "episode_id"]
+    asked = codes if only is None else codes.join(only.select(*keys, "seq"), [*keys, "seq"], "left_semi")
+    until = F.col("until") if "until" in codes.columns else F.lit(None).cast("long")
+    a = asked.select("ns", "feature", F.struct(*keys).alias("_q"), "seq", F.col("w").alias("_a"))
+    b = codes.select("ns", "feature", F.col("episode_id").alias("_other"), F.col("seq").alias("_before"), F.col("w").alias("_b"), until.alias("_until"))
+    earlier = F.expr("_before < seq AND (_until IS NULL OR seq <= _until)")
+    found = top_votes(a.drop("_a"), b.drop("_b"), limit, ["ns", "feature"], "_q", "_other", earlier)
+    pairs = found.select("_q", "_q.ns", "_other").join(a.select("_q", "feature", "seq", "_a"), "_q").join(b, ["ns", "_other", "feature"]).filter(earlier)
+    top = pairs.groupBy("_q", "_other").agg(F.sum(F.col("_a") * F.col("_b")).alias("_dot")).select("_q.ns", "_q.episode_id", "_dot")
     best = top.groupBy("ns", "episode_id").agg(F.max("_dot").alias("_m"), F.sum(F.when(F.col("_dot") > close, 1).otherwise(0)).alias("_n"))
     every = asked.select("ns", "episode_id").distinct().join(best, ["ns", "episode_id"], "left")
     clamp = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("_m")))

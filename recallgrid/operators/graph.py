@@ -18,6 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from recallgrid.functions.lineage import settle
+from recallgrid.functions.ranges import running_sum
+
 RATE, TEMPORAL_RATE, DECAY, INTERVAL = 0.12, 0.08, 0.001, 100
 MAX_PAIRS, MAX_DEGREE = 128, 128
 SMALL, GONE = 1e-12, 1e-9
@@ -381,15 +384,43 @@ def shuffled(edges: DataFrame, seed: int) -> DataFrame:
     return out.filter("_s <> _d").select("ns", F.col("_s").alias("src"), F.col("_d").alias("dst"), "w")
 
 
+#: Rounds of the permutation of node numbers.
+ROUNDS = 10
+
+
+def permuted(x: Column, n: Column, key: Column, rounds: int = ROUNDS) -> Column:
+    """The image of the number ``x`` below ``n`` under a permutation of all numbers below ``n`` that ``key`` chooses.
+
+    Each round mirrors a number at a key, modulo n, where a bit of the digest of the larger of
+    the two says so; both of a pair see the same bit, so a round is one to one for any n.
+    """
+
+    def step(value: Column, r: Column) -> Column:
+        name = F.concat_ws(":", key, r.cast("string"))
+        other = (F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long") % n + n - value) % n
+        bit = F.substring(F.md5(F.concat_ws(":", name, F.greatest(value, other).cast("string"))), 1, 1) >= "8"
+        return F.when(bit, other).otherwise(value)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), x, step)
+
+
 def random_targets(edges: DataFrame, seed: int) -> DataFrame:
-    """Each row keeps its weights and degree; targets are the nodes that come first in a digest order of its own."""
+    """Each row keeps its weights and degree; its targets are the first nodes, itself left out, in a permutation of its own.
+
+    Nodes are numbered within the namespace, and a row draws as many numbers as it has
+    edges and one more, so the work is in proportion to the edges.
+    """
     nodes = edges.select("ns", F.col("src").alias("node")).unionByName(edges.select("ns", F.col("dst").alias("node"))).distinct()
-    rows = edges.groupBy("ns", "src").agg(F.count(F.lit(1)).alias("_n"))
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("src").cast("string"), F.col("node").cast("string")))
-    order = W.partitionBy("ns", "src").orderBy(digest, "node")
-    picked = rows.join(nodes, "ns").filter("node <> src").withColumn("_k", F.row_number().over(order)).filter("_k <= _n")
+    sizes = nodes.groupBy("ns").agg(F.count(F.lit(1)).alias("_n"))
+    before = running_sum(nodes.withColumn("_one", F.lit(1).cast("long")), ["ns"], [F.col("node")], "_one")
+    numbered = settle(before.select("ns", "node", F.col("_before").alias("_x")), "numbered-nodes")
+    rows = edges.groupBy("ns", "src").agg(F.count(F.lit(1)).alias("_d")).join(sizes, "ns").join(numbered.select("ns", F.col("node").alias("src"), F.col("_x").alias("_own")), ["ns", "src"])
+    drawn = rows.select("ns", "src", "_own", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("_d"), F.col("_n") - 1))).alias("_draw"))
+    drawn = drawn.withColumn("_x", permuted(F.col("_draw"), F.col("_n"), F.concat_ws(":", F.lit(str(seed)), F.col("src").cast("string"))))
+    picked = drawn.filter("_x <> _own").withColumn("_k", F.row_number().over(W.partitionBy("ns", "src").orderBy("_draw")))
+    targets = picked.join(numbered.withColumnRenamed("node", "dst"), ["ns", "_x"]).select("ns", "src", "_k", "dst")
     weights = edges.withColumn("_k", F.row_number().over(W.partitionBy("ns", "src").orderBy(F.abs("w").desc(), "dst")))
-    return weights.select("ns", "src", "_k", "w").join(picked.select("ns", "src", "_k", F.col("node").alias("dst")), ["ns", "src", "_k"]).select("ns", "src", "dst", "w")
+    return weights.select("ns", "src", "_k", "w").join(targets, ["ns", "src", "_k"]).select("ns", "src", "dst", "w")
 
 
 # --- episode index and context graph ----------------------------------------------------------

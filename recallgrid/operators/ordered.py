@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from . import graph as GR
 from .gates import BIRTH, NEGATIVE, POSITIVE
+from .postings import top_votes
 
 #: Rows of keyed state: what kind, two keys, a name and two values.
 STATE = "kind string, a long, b long, s string, v double, u double"
@@ -216,11 +217,11 @@ def _unit(code: dict[int, float]) -> dict[int, float]:
 
 def rivals(asked: DataFrame, stored: DataFrame, limit: int) -> DataFrame:
     """(ns, seq, stored): for each code of ``asked`` (ns, seq, feature, w) the ``limit`` codes of ``stored`` (ns, episode_id, feature, w) that share most features, ties by id, as (episode, votes, dot)."""
-    a = asked.select("ns", "feature", "seq", F.col("w").alias("_a"))
+    a = asked.select("ns", "feature", F.struct("ns", "seq").alias("_q"), F.col("w").alias("_a"))
     b = stored.select("ns", "feature", F.col("episode_id").cast("string").alias("episode"), F.col("w").alias("_b"))
-    pairs = a.join(b, ["ns", "feature"]).groupBy("ns", "seq", "episode").agg(F.count(F.lit(1)).alias("votes"), F.sum(F.col("_a") * F.col("_b")).alias("dot"))
-    order = W.partitionBy("ns", "seq").orderBy(F.col("votes").desc(), "episode")
-    top = pairs.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= limit)
+    found = top_votes(a.drop("_a"), b.drop("_b"), limit, ["ns", "feature"], "_q", "episode")
+    pairs = found.select("_q", "_q.ns", "episode", "votes").join(a.select("_q", "feature", "_a"), "_q").join(b, ["ns", "episode", "feature"])
+    top = pairs.groupBy("_q", "episode", "votes").agg(F.sum(F.col("_a") * F.col("_b")).alias("dot")).select("_q.ns", "_q.seq", "episode", "votes", "dot")
     return top.groupBy("ns", "seq").agg(F.collect_list(F.struct("episode", "votes", "dot")).alias("stored"))
 
 

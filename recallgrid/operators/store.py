@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .postings import top_votes
+
 
 def upsert_latest(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The last version of each key, by ``order``."""
@@ -43,11 +45,8 @@ def posting_stats(postings: DataFrame, episode: str = "episode_id") -> DataFrame
 
 
 def candidate_votes(queries: DataFrame, postings: DataFrame, limit: int, on: list[str] = ["feature"], query: str = "query_id", episode: str = "episode_id") -> DataFrame:  # noqa: B006
-    """(query, episode, votes, rank): episodes by number of shared features, ties by id, ``limit`` a query."""
-    asked = queries.select(*on, query).distinct()
-    votes = asked.join(postings.select(*on, episode), on).groupBy(query, episode).agg(F.count(F.lit(1)).alias("votes"))
-    order = W.partitionBy(query).orderBy(F.col("votes").desc(), episode)
-    return votes.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    """(query, episode, votes, rank): episodes by number of shared features, ties by id, ``limit`` a query; hot features by bounds and blocks."""
+    return top_votes(queries.select(*on, query), postings.select(*on, episode), limit, on, query, episode)
 
 
 def candidate_union(votes: DataFrame, scores: DataFrame, limit: int, query: str = "query_id", episode: str = "episode_id") -> DataFrame:

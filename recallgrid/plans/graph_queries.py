@@ -15,6 +15,7 @@ from recallgrid.operators import gates as G
 from recallgrid.operators import graph as GR
 from recallgrid.operators import latent as L
 from recallgrid.operators import maintain as M
+from recallgrid.operators import postings as P
 from recallgrid.operators import rank as K
 from recallgrid.operators import recall as R
 from recallgrid.operators import store as S
@@ -79,7 +80,7 @@ cte("dots", "SELECT a.ns, a.episode_id AS a, b.episode_id AS b, sum(a.w * b.w) A
 
 def dots(spark, d):
     c = codes(spark, d)
-    return V.row_dots(c.withColumnRenamed("episode_id", "a"), c.withColumnRenamed("episode_id", "b"), "a", "b", ["ns", "feature"]).filter("a < b")
+    return P.row_dots(c.withColumnRenamed("episode_id", "a"), c.withColumnRenamed("episode_id", "b"), "a", "b", ["ns", "feature"]).filter("a < b")
 
 
 @query("sparse_dot_pairs", f"SELECT a, b, {Q('dot')} AS dot FROM dots")
@@ -259,10 +260,19 @@ def edges_shuffled(spark, d):
     return shown(GR.shuffled(edges(spark, d, "hebb"), 3))
 
 
-@query("edges_random", f"""SELECT ns, src, p.node AS dst, {Q('w', 9)} AS w FROM
+# The keyed permutation of node numbers: ROUNDS rounds, each mirrors a number at a key or leaves it.
+cte("numbered_t", "SELECT ns, node, row_number() OVER (PARTITION BY ns ORDER BY node) - 1 AS x, count(*) OVER (PARTITION BY ns) AS n FROM nodes_t")
+cte("drawn_0", """SELECT s.ns, s.node AS src, s.x AS own, s.n, CAST(k AS BIGINT) AS k, CAST(k AS BIGINT) AS x
+    FROM (SELECT t.*, unnest(range(0, least(e.degree, t.n - 1) + 1)) AS k FROM numbered_t t JOIN (SELECT ns, src, count(*) AS degree FROM hebb_edges_t GROUP BY ALL) e ON e.ns = t.ns AND e.src = t.node) s""")
+for _r in range(GR.ROUNDS):
+    cte(f"mirrored_{_r}", f"SELECT *, (CAST(('0x' || substr(md5('3:' || src || ':{_r}'), 1, 15)) AS BIGINT) % n + n - x) % n AS other FROM drawn_{_r}")
+    cte(f"drawn_{_r + 1}", f"""SELECT ns, src, own, n, k, CASE WHEN substr(md5('3:' || src || ':{_r}:' || greatest(x, other)), 1, 1) >= '8' THEN other ELSE x END AS x FROM mirrored_{_r}""")
+
+
+@query("edges_random", f"""SELECT e.ns, e.src, p.node AS dst, {Q('w', 9)} AS w FROM
     (SELECT *, row_number() OVER (PARTITION BY ns, src ORDER BY abs(w) DESC, dst) AS k FROM (SELECT ns, src, dst, {Q('w', 12)} AS w FROM hebb_edges_t)) e
-    JOIN (SELECT r.ns, r.src, n.node, row_number() OVER (PARTITION BY r.ns, r.src ORDER BY md5('3:' || r.src || ':' || n.node), n.node) AS k
-        FROM (SELECT DISTINCT ns, src FROM hebb_edges_t) r JOIN nodes_t n ON n.ns = r.ns AND n.node <> r.src) p USING (ns, src, k) WHERE {Q('w', 9)} <> 0""")
+    JOIN (SELECT d.ns, d.src, t.node, row_number() OVER (PARTITION BY d.ns, d.src ORDER BY d.k) AS k FROM drawn_{GR.ROUNDS} d JOIN numbered_t t ON t.ns = d.ns AND t.x = d.x WHERE d.x <> d.own) p
+    ON p.ns = e.ns AND p.src = e.src AND p.k = e.k WHERE {Q('w', 9)} <> 0""")
 def edges_random(spark, d):
     rounded = edges(spark, d, "hebb").withColumn("w", quantize(F.col("w"), 12))
     return shown(GR.random_targets(rounded, 3))
@@ -509,7 +519,7 @@ def retrieve_v2(spark, d):
     pairs = S.candidate_union(voted, active, CANDIDATES, "_q").select("_q.ns", "_q.query_id", "episode_id")
     parts = K.score_parts(pairs, c, states)
     x = contexts(spark, d)
-    sim = V.row_dots(x.withColumnRenamed("episode_id", "query_id"), x.withColumnRenamed("episode_id", "other"), "query_id", "other", ["ns", "feature"])
+    sim = P.row_dots(x.withColumnRenamed("episode_id", "query_id"), x.withColumnRenamed("episode_id", "other"), "query_id", "other", ["ns", "feature"])
     sim = sim.select("query_id", F.col("other").alias("episode_id"), F.col("dot").alias("context"))
     kind = F.col("vec_id") % 10
     status = F.when(kind == 3, "hypothetical").when(kind == 5, "superseded").when(kind == 7, "rejected").otherwise("observed")
@@ -572,9 +582,11 @@ def prototype_average(spark, d):
     return M.prototypes(members, codes(spark, d), 12).withColumn("w", quantize(F.col("w")))
 
 
-@query("similar_pairs", f"SELECT ns, a, b FROM dots WHERE {Q('dot')} >= 0.35")
+@query("similar_pairs", f"SELECT ns, a, b, {Q('dot')} AS dot FROM dots WHERE {Q('dot')} >= 0.35")
 def similar_pairs(spark, d):
-    return dots(spark, d).join(read(spark, d, "embeddings").select(F.col("vec_id").alias("a"), F.col("label").alias("ns")), "a").filter(quantize(F.col("dot")) >= 0.35).select("ns", "a", "b")
+    """Prefixes of rare features propose; the threshold is on rounded products, so candidates go a little below it."""
+    found = M.similar_pairs(codes(spark, d), 0.35 - 1e-6).withColumn("dot", quantize(F.col("dot")))
+    return found.filter("dot >= 0.35").select("ns", "a", "b", "dot")
 
 
 @query("consolidate")
