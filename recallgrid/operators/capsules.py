@@ -146,11 +146,18 @@ class BoundMemory(Memory):
         out = out.withColumnsRenamed({"authority": "index_authority", "_latent": "authority"})
         return out.withColumn("episode_id", F.col("episode_id.episode_id"))
 
-    def write(self, events: DataFrame) -> BoundMemory:
-        """Events have (ns, episode_id, seq, text); a repeated id replaces, in order of seq."""
+    ENGINE = 2
+
+    def event_counts(self) -> DataFrame:
+        return self.state.filter("kind = 'clock'").select("ns", F.col("a").alias("n"))
+
+    def _events(self, events: DataFrame) -> DataFrame:
         usual = {"stream": F.lit("default"), "metadata": F.lit("{}"), "timestamp": F.lit(None).cast("string"), "checksum": F.lit(None).cast("string"), "confidence": F.lit(1.0)}
         rows = events.withColumns({c: v for c, v in usual.items() if c not in events.columns})
-        rows = settle(rows.select(*KEYS, F.col("seq").cast("long").alias("seq"), *["text", *usual]), "events")
+        return rows.select(*KEYS, F.col("seq").cast("long").alias("seq"), *["text", *usual])
+
+    def _write(self, rows: DataFrame) -> BoundMemory:
+        """Folds events in order of seq; a repeated id replaces."""
         most = rows.groupBy("ns").count().agg(F.max("count")).first()[0] or 0
         if most <= self.settings.together:
             return self._written(rows)
@@ -223,10 +230,11 @@ class BoundMemory(Memory):
         self.episodes = self.episodes.withColumnsRenamed({"authority": "index_authority", "_latent": "authority"})
         return self.episodes
 
-    def replay(self, strategy: str = "salience", budget: int = 32, scale: float = 0.15, with_temporal: bool = True) -> DataFrame:
+    def replay(self, strategy: str = "salience", budget: int = 32, scale: float = 0.15, with_temporal: bool = True, spaces: DataFrame | None = None) -> DataFrame:
         """Writes the trusted ones of the chosen episodes once more and quarantines the others; returns the chosen."""
         trusted = ~M.replay_quarantined(F.col("status"), F.col("checksum"))
-        chosen = M.replay_select(self.episodes.withColumn("verified", trusted), strategy, budget, engine=2)
+        rows = self.episodes if spaces is None else self.episodes.join(spaces, "ns", "left_semi")
+        chosen = M.replay_select(rows.withColumn("verified", trusted), strategy, budget, engine=2)
         chosen = settle(chosen.select(*KEYS, "place", "salience", "verified"), "chosen")
         codes = self.codes.select(*KEYS, "seq", "feature", "w")
         clock = self.state.filter("kind = 'clock'").select("ns", F.col("b").alias("t"))
@@ -248,10 +256,10 @@ class BoundMemory(Memory):
         """As in the first engine; status, novelty and versions of the others stay, and their index authority is the latent one again."""
         left = lambda df: settle(df.join(gone.select(*KEYS).distinct(), KEYS, "left_anti"), "left")
         self.episodes, self.codes, self.contexts = left(self.episodes), left(self.codes), left(self.contexts)
-        self.rebuild()
+        self.rebuild(gone.select("ns").distinct())
         return self
 
-    def rebuild(self) -> None:
+    def _rebuild(self) -> None:
         """Learns the three graphs anew from the stored addresses and context codes; rejected episodes take no part."""
         s = self.settings.fold()
         ordered = self._in_rebuild_order(self.episodes.filter("status <> 'rejected'"))

@@ -38,8 +38,8 @@ def evict(episodes: DataFrame, policy: str, most: int) -> DataFrame:
     return placed.withColumn("evicted", F.col("_before") < F.col("_total") - most).drop("_one", "_before", "_total")
 
 
-def evict_bytes(episodes: DataFrame, policy: str, most: int, size: str = "bytes") -> DataFrame:
-    """Adds evicted: a row goes if what was there before it goes exceeds ``most``."""
+def evict_bytes(episodes: DataFrame, policy: str, most: int | Column, size: str = "bytes") -> DataFrame:
+    """Adds evicted: a row goes if what was there before it goes exceeds ``most``, which may be a column."""
     placed = running_sum(episodes, ["ns"], eviction_order(policy), size)
     return placed.withColumn("evicted", F.col("_total") - F.col("_before") > most).drop("_before", "_total")
 

@@ -24,6 +24,7 @@ from . import maintain as M
 from . import rank as K
 from . import recall as R
 from . import store as S
+from . import upkeep as U
 
 
 @dataclass
@@ -37,6 +38,7 @@ class Settings:
     max_degree: int = 128
     hash_mode: str = "md5"
     recall: dict = field(default_factory=dict)
+    upkeep: U.Upkeep = field(default_factory=U.Upkeep)
 
 
 class Memory:
@@ -53,6 +55,7 @@ class Memory:
         self.clock: DataFrame | None = None
         self.averages: DataFrame | None = None
         self.last: DataFrame | None = None
+        self.log_of_upkeep: list[dict] = []
 
     def _encode(self, texts: DataFrame, key: str) -> DataFrame:
         s = self.settings
@@ -60,14 +63,35 @@ class Memory:
         coded = E.hash_codes(E.text_features(keyed, "_k", "text"), "_k", s.dimension, s.topk, hash_mode=s.hash_mode)
         return coded.select("_k.ns", f"_k.{key}", "feature", "w")
 
+    ENGINE = 1
+
     def write(self, events: DataFrame) -> Memory:
         """Events have (ns, episode_id, seq, text) and may have stream and timestamp.
 
-        Later batches have larger seq; a repeated id replaces, of several in a batch the last is written.
+        Later batches have larger seq; a repeated id replaces, of several in a round the
+        last is written. Maintenance follows each round (``upkeep.py``).
         """
+        rows, u = self._events(events), self.settings.upkeep
+        if u == U.Upkeep():
+            return self._write(settle(rows, "events"))
+        counts = None if self.episodes is None else self.event_counts()
+        dealt = settle(U.rounds(rows, counts, u.every or u.replay_every), "rounds")
+        for k in range(1 + (dealt.agg(F.max("_round")).first()[0] or 0)):
+            self._write(dealt.filter(F.col("_round") == k).drop("_round"))
+            self.log_of_upkeep += U.maintain(self, u, self.ENGINE)
+        return self
+
+    def event_counts(self) -> DataFrame:
+        """(ns, n): events written so far."""
+        return self.clock.select("ns", "n")
+
+    def _events(self, events: DataFrame) -> DataFrame:
         events = events if "stream" in events.columns else events.withColumn("stream", F.lit("default"))
         events = events if "timestamp" in events.columns else events.withColumn("timestamp", F.lit(None).cast("string"))
-        rows = events.select("ns", "episode_id", F.col("seq").cast("long").alias("seq"), "stream", "text", F.col("timestamp").cast("string").alias("timestamp"))
+        return events.select("ns", "episode_id", F.col("seq").cast("long").alias("seq"), "stream", "text", F.col("timestamp").cast("string").alias("timestamp"))
+
+    def _write(self, rows: DataFrame) -> Memory:
+        counted = rows.groupBy("ns").agg(F.count(F.lit(1)).alias("_events"))
         new = settle(S.upsert_latest(rows.withColumn("_id", F.struct("ns", "episode_id")), "_id", "seq").drop("_id"), "events")
         coded = settle(self._encode(new, "episode_id").join(new.select("ns", "episode_id", "seq", "stream"), ["ns", "episode_id"]), "coded")
         known = coded.withColumn("until", F.lit(None).cast("long"))
@@ -78,7 +102,7 @@ class Memory:
         scored = new.join(fresh, ["ns", "episode_id"], "left").withColumn("novelty", F.coalesce("novelty", F.lit(1.0)))
         scored = scored.withColumn("salience", G.salience({"novelty": F.col("novelty")})).withColumn("checksum", F.sha2("text", 256))
         scored = settle(scored.withColumns({c: F.expr(v) for c, v in self.FEEDBACK.items()}), "scored")
-        self._learn(coded, scored)
+        self._learn(coded, scored, counted)
         left = lambda df: df.join(new.select("ns", "episode_id"), ["ns", "episode_id"], "left_anti")
         self.episodes = settle(scored if self.episodes is None else left(self.episodes).unionByName(scored, allowMissingColumns=True), "episodes")
         self.codes = settle(coded if self.codes is None else left(self.codes).unionByName(coded), "codes")
@@ -87,15 +111,17 @@ class Memory:
     #: What feedback starts from.
     FEEDBACK = {"confidence": "1.0D", "authority": "1.0D", "access_count": "0L", "last_access": "CAST(NULL AS TIMESTAMP)", "labile": "false"}
 
-    def _learn(self, coded: DataFrame, scored: DataFrame) -> None:
+    def _learn(self, coded: DataFrame, scored: DataFrame, counted: DataFrame | None = None) -> None:
         """Adds the writes of ``coded`` (ns, seq, stream, feature, w), with the salience of ``scored``, to graphs, averages and clock."""
         s = self.settings
         plain = coded.select("ns", "seq", "feature", "w")
         weight = GR.with_write_number(scored.select("ns", "seq", "salience"), self.clock).select("ns", "t", "salience")
         weight = settle(weight, "weights")
         coded_writes = weight.groupBy("ns").agg(F.max("t").alias("t"))
-        now = coded_writes if self.clock is None else self.clock.select("ns", F.col("t").alias("_t")).join(coded_writes, "ns", "full").select("ns", F.coalesce("t", "_t").alias("t"))
-        now = settle(now, "clock")
+        counted = coded_writes.select("ns", F.lit(0).alias("_events")) if counted is None else counted
+        known = coded_writes.select("ns", F.lit(0).alias("_t"), F.lit(0).alias("_n")).limit(0) if self.clock is None else self.clock.select("ns", F.col("t").alias("_t"), F.col("n").alias("_n"))
+        now = known.join(coded_writes, "ns", "full").join(counted, "ns", "left")
+        now = settle(now.select("ns", F.coalesce("t", "_t").cast("long").alias("t"), (F.coalesce("_n", F.lit(0)) + F.coalesce("_events", F.lit(0))).cast("long").alias("n")), "clock")
         numbered = GR.with_write_number(scored.select("ns", "seq"), self.clock)
         scaled = lambda d: d.join(weight, ["ns", "t"]).withColumn("delta", F.col("delta") * F.col("salience")).drop("salience")
         grown = lambda edges, d: settle(GR.grown(edges, scaled(d), self.clock, now, max_degree=s.max_degree), "edges")
@@ -139,9 +165,10 @@ class Memory:
         self.episodes = settle(used.withColumn("episode_id", F.col("episode_id.episode_id")), "episodes")
         return self.episodes
 
-    def replay(self, strategy: str, budget: int, scale: float = 0.25, with_temporal: bool = False) -> DataFrame:
-        """Writes the verified ones of the chosen episodes once more; returns the chosen (ns, episode_id, place, salience, verified)."""
+    def replay(self, strategy: str, budget: int, scale: float = 0.25, with_temporal: bool = False, spaces: DataFrame | None = None) -> DataFrame:
+        """Writes the verified ones of the chosen episodes once more, in the namespaces of ``spaces`` (ns) where it is given; returns the chosen (ns, episode_id, place, salience, verified)."""
         rows = self.episodes.withColumn("timestamp", F.col("seq"))
+        rows = rows if spaces is None else rows.join(spaces, "ns", "left_semi")
         chosen = M.replay_select(rows.withColumn("verified", M.replay_verified(F.col("text"), F.col("checksum"))), strategy, budget)
         chosen = settle(chosen.select("ns", "episode_id", "place", "salience", "verified"), "chosen")
         made = M.replay_run(chosen, self.codes, self.association, self.temporal, scale, rule=self.settings.rule, with_temporal=with_temporal, after=self.clock, known=self.averages, max_degree=self.settings.max_degree)
@@ -149,7 +176,7 @@ class Memory:
         again = self.codes.join(chosen.filter("verified").select("ns", "episode_id", "place"), ["ns", "episode_id"]).select("ns", F.col("place").alias("seq"), "feature", "w")
         averages = GR.final_activity(GR.strongest(again, GR.MAX_PAIRS), known=self.averages)
         self.averages = settle(self.averages.join(averages.select("ns", "feature"), ["ns", "feature"], "left_anti").unionByName(averages), "averages")
-        self.clock = settle(self.clock.join(M.replay_writes(chosen), "ns", "left").select("ns", (F.col("t") + F.coalesce("n", F.lit(0))).alias("t")), "clock")
+        self.clock = settle(self.clock.join(M.replay_writes(chosen).withColumnRenamed("n", "_replayed"), "ns", "left").select("ns", (F.col("t") + F.coalesce("_replayed", F.lit(0))).alias("t"), "n"), "clock")
         return chosen
 
     def clear(self) -> Memory:
@@ -168,14 +195,29 @@ class Memory:
         """
         left = lambda df: settle(df.join(gone.select("ns", "episode_id").distinct(), ["ns", "episode_id"], "left_anti"), "left")
         self.episodes, self.codes = left(self.episodes), left(self.codes)
-        self.rebuild()
+        self.rebuild(gone.select("ns").distinct())
         return self
 
-    def rebuild(self) -> None:
-        """Learns the graphs anew from the stored codes and salience."""
+    def rebuild(self, spaces: DataFrame | None = None) -> None:
+        """Learns the graphs of some namespaces (ns), or of all, anew from the stored codes and salience."""
+        if spaces is None:
+            self._rebuild()
+            return
+        part = type(self)(self.settings)
+        spaces = settle(spaces, "spaces")
+        for name in self.TABLES:
+            setattr(part, name, getattr(self, name).join(spaces, "ns", "left_semi"))
+        part._rebuild()
+        for name in self.TABLES:
+            rest = getattr(self, name).join(spaces, "ns", "left_anti")
+            setattr(self, name, settle(rest.unionByName(getattr(part, name), allowMissingColumns=True), name))
+
+    def _rebuild(self) -> None:
+        counts = self.clock.select("ns", F.lit(0).cast("long").alias("t"), "n")
         ordered = self._in_rebuild_order(self.episodes)
         coded = self.codes.drop("seq", "stream").join(ordered.select("ns", "episode_id", "seq", "stream"), ["ns", "episode_id"])
-        self.association = self.temporal = self.clock = self.averages = self.last = None
+        self.association = self.temporal = self.averages = self.last = None
+        self.clock = settle(counts, "clock")
         self._learn(settle(coded, "coded"), ordered)
         seqs = self.episodes.select("ns", "stream", "episode_id", F.col("seq").alias("_seq"))
         renamed = ordered.select("ns", "episode_id", "seq").join(seqs, ["ns", "episode_id"]).select("ns", "stream", "seq", "_seq")
