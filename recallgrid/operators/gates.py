@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from recallgrid.functions.ranges import running_sum
 from recallgrid.functions.vectors import rows_normalized
 
 from .postings import top_votes
@@ -267,3 +268,25 @@ def prospective_prompts(rows: DataFrame, query: str, entity: str, most: int = 8)
     about = F.when(has(e), F.array(F.concat(F.lit("What changed most recently about "), e, F.lit("?")), F.concat(F.lit("Which previous memory conflicts with "), e, F.lit("?")))).otherwise(none)
     last = F.array(F.lit("Which future task is likely to need the most salient recent engram?"))
     return rows.select("*", F.posexplode(F.slice(F.concat(asked, about, last), 1, most)).alias("place", "prompt"))
+
+
+def simulated(prompts: DataFrame, keys: list[str], authority: float = 0.10) -> DataFrame:
+    """Traces of likely questions (keys..., place, prompt): numbered in order of keys and place, without factual authority.
+
+    They can be retrieved with little authority and are never facts.
+    """
+    first = running_sum(prompts.withColumn("_one", F.lit(1).cast("long")), [], [*[F.col(k) for k in keys], F.col("place")], "_one")
+    traces = first.withColumn("trace_id", F.concat(F.lit("prospective:"), F.col("_before").cast("string"))).withColumnRenamed("_before", "created")
+    return traces.drop("_one", "_total").withColumns({"factual_authority": F.lit(0.0), "retrieval_authority": F.lit(authority), "promoted": F.lit(False)})
+
+
+def promoted(traces: DataFrame, questions: DataFrame, threshold: float = 0.95) -> DataFrame:
+    """Traces after the questions (prompt) that came: each promotes the first trace of its words that is not promoted yet.
+
+    So of the traces with a prompt as many are promoted, in order of creation, as it was
+    asked; factual authority stays 0. A threshold above 1 matches nothing.
+    """
+    asked = questions.groupBy("prompt").agg(F.count(F.lit(1)).alias("_asked"))
+    open_ones = running_sum(traces.withColumn("_open", (~F.col("promoted")).cast("long")), ["prompt"], [F.col("created")], "_open")
+    hit = ~F.col("promoted") & (F.col("_before") < F.coalesce("_asked", F.lit(0))) & F.lit(threshold <= 1.0)
+    return open_ones.join(asked, "prompt", "left").withColumn("promoted", F.col("promoted") | hit).drop("_open", "_before", "_total", "_asked").withColumn("factual_authority", F.lit(0.0))

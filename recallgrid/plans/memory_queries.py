@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from recallgrid.functions.lineage import scratch_dir
 from recallgrid.functions.vectors import quantize
 from recallgrid.operators.capsules import BoundMemory, BoundSettings
 
+from recallgrid.sources.durable import EpisodeTable
+from recallgrid.streaming.writes import streaming_edges
+
+from .graph_queries import _shown_sql, codes, shown
 from .registry import query, read
 
 SMALL = BoundSettings(dimension=4096, topk=24, context_dimension=512, context_topk=16, binding_dimension=1024, address_topk=40, slots=4, max_degree=32, context_degree=16, rule="covariance", interval=10)
@@ -30,3 +35,29 @@ def bound_write(spark, d):
     for df, name in ((memory.association, "associations"), (memory.temporal, "successions"), (memory.links, "links")):
         told = told.join(sized(df, name), "ns", "left")
     return told.drop("_b").fillna(0)
+
+
+@query("streamed_edges", _shown_sql("hebb_edges_t", 8))
+def streamed_edges(spark, d):
+    """The Hebbian graph of the embeddings, learned by the streaming fold from two files of writes."""
+    place = scratch_dir(spark, "streamed")
+    packed = codes(spark, d).groupBy("ns", "seq").agg(F.sort_array(F.collect_list(F.struct("feature", "w"))).alias("code"))
+    half = packed.agg(F.expr("percentile_approx(seq, 0.5)")).first()[0] or 0
+    for part in (packed.filter(F.col("seq") <= half), packed.filter(F.col("seq") > half)):
+        part.coalesce(1).write.mode("append").parquet(f"{place}/in")
+    return shown(streaming_edges(spark, f"{place}/in", place, packed.schema, rule="hebb", cap=False, max_degree=1 << 30), 8)
+
+
+@query("durable_episodes", """SELECT CAST(doc_id AS VARCHAR) AS episode_id, md5(CASE WHEN doc_id % 3 = 0 THEN 'new ' || coalesce(text, '') ELSE coalesce(text, '') END) AS digest,
+    CAST(CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS version, CAST(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS BIGINT) AS entries FROM documents WHERE doc_id % 5 <> 0""")
+def durable_episodes(spark, d):
+    """All documents in the durable table after an upsert of all, one of a third, a delete of a fifth, with a compaction before it."""
+    table = EpisodeTable(spark, scratch_dir(spark, "episodes"), buckets=16)
+    docs = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("episode_id"), F.coalesce("text", F.lit("")).alias("text"), "doc_id")
+    code = lambda n: F.struct(F.lit(1024).alias("dimension"), F.array(*[(F.col("doc_id") % 97 + k).cast("int") for k in range(n)]).alias("indices"), F.array(*[F.lit(1.0)] * n).alias("values"))
+    table.upsert(docs.withColumn("code", code(2)))
+    table.upsert(docs.filter("doc_id % 3 = 0").withColumns({"text": F.concat(F.lit("new "), "text"), "code": code(1)}))
+    table.compact()
+    table.delete(docs.filter("doc_id % 5 = 0"))
+    entries = table.postings().groupBy("episode_id").agg(F.count(F.lit(1)).alias("entries"))
+    return table.all().join(entries, "episode_id", "left").select("episode_id", F.md5("text").alias("digest"), "version", F.coalesce("entries", F.lit(0)).cast("long").alias("entries"))

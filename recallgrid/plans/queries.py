@@ -1,6 +1,6 @@
 """All queries on the engine's own operators, with the SQL that checks them."""
 
-from . import memory_queries, graph_queries, store_queries, text_queries  # noqa: F401
+from . import graph_queries, memory_queries, store_queries, text_queries  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

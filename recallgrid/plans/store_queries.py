@@ -129,6 +129,22 @@ def prospection_prompts(spark, d):
     return G.prospective_prompts(rows, "text", "entity").select("item_id", "place", "prompt")
 
 
+cte("prompts_t", """SELECT item_id, CAST(i - 1 AS INTEGER) AS place, p[i] AS prompt FROM (SELECT item_id, p, unnest(range(1, len(p) + 1)) AS i FROM (
+    SELECT item_id, ['Follow-up: ' || text, 'What evidence would verify the answer to: ' || text, 'What changed most recently about item ' || item_id || '?', 'Which previous memory conflicts with item ' || item_id || '?',
+        'Which future task is likely to need the most salient recent engram?'] AS p FROM benchmark))""")
+
+
+@query("prospection_promote", """SELECT 'prospective:' || c AS trace_id, prompt, factual, k <= coalesce(n, 0) AS promoted FROM (
+    SELECT prompt, CAST(0.0 AS DOUBLE) AS factual, row_number() OVER (ORDER BY item_id, place) - 1 AS c, row_number() OVER (PARTITION BY prompt ORDER BY item_id, place) AS k FROM prompts_t)
+    LEFT JOIN (SELECT prompt, count(*) AS n FROM prompts_t WHERE (item_id + place) % 3 = 0 GROUP BY prompt) USING (prompt)""")
+def prospection_promote(spark, d):
+    """The prompts of all items as traces, of which a third are asked later; one prompt is that of every item."""
+    prompts = prospection_prompts(spark, d)
+    traces = G.simulated(prompts, ["item_id"])
+    asked = prompts.filter((F.col("item_id") + F.col("place")) % 3 == 0).select("prompt")
+    return G.promoted(traces, asked).select("trace_id", "prompt", F.col("factual_authority").alias("factual"), "promoted")
+
+
 # --- maintenance ----------------------------------------------------------------------------------
 
 cte("episodes_t", """SELECT lang AS ns, doc_id AS episode_id, source AS timestamp, text, sha256(text) AS checksum, (n_chars % 7) / 4.0 AS salience, coalesce(quality, 0.5) AS confidence, doc_id % 3 AS access_count,

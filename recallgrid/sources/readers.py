@@ -6,6 +6,8 @@ JSON is read by Spark and reshaped by expressions; nothing is fetched from a net
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,17 +90,73 @@ def prompts(spark: SparkSession, path: str, lines: bool = True, query: str = "An
     return _rows(df, name, F.coalesce("task", F.lit("prompts")), F.coalesce("query", F.lit(query)), F.col("outputs"), F.array(F.concat(name, F.lit(":prompt"))), F.array(_event(F.concat(name, F.lit(":prompt")), F.col("input"))))
 
 
-def chunked(examples: DataFrame, size: int, overlap: int, unit: str = "characters") -> DataFrame:
-    """Events cut into chunks ``id:chunk:n``; evidence and negatives stand for all chunks of their events."""
+def chunked(examples: DataFrame, size: int, overlap: int, unit: str = "characters", tokenizer: str | None = None) -> DataFrame:
+    """Events cut into chunks ``id:chunk:n``; evidence and negatives stand for all chunks of their events.
+
+    ``unit`` is characters, words or tokens; tokens need the file of a ``tokenizer``. A
+    chunk's metadata are the event's with parent_event_id, chunk_index, chunk_start and
+    chunk_end, counted in units, and chunk_unit.
+    """
+    unit = {"character": "characters", "word": "words", "token": "tokens"}.get(unit, unit)
     if unit not in ("characters", "words", "tokens"):
         raise ValueError(f"unknown unit {unit}")
-    how = char_chunks if unit == "characters" else word_chunks
-    parts = F.flatten(F.transform("events", lambda e: F.transform(how(e["text"], size, overlap), lambda c, n: F.struct(F.concat_ws(":chunk:", e["event_id"], n.cast("string")).alias("event_id"), c["chunk"].alias("text"), e["timestamp"].alias("timestamp"), e["metadata"].alias("metadata"), e["event_id"].alias("of")))))
-    cut = examples.withColumn("_c", parts)
+    if unit == "tokens":
+        cut = examples.withColumn("_s", token_chunks(F.transform("events", lambda e: e["text"]), tokenizer, size, overlap))
+    else:
+        how = char_chunks if unit == "characters" else word_chunks
+        cut = examples.withColumn("_s", F.transform("events", lambda e: how(e["text"], size, overlap)))
+
+    def chunk(e: Column, c: Column, n: Column) -> Column:
+        own = F.coalesce(F.from_json(e["metadata"], "map<string,string>"), F.create_map().cast("map<string,string>"))
+        place = {"parent_event_id": e["event_id"], "chunk_index": n, "chunk_start": c["start"], "chunk_end": c["end"], "chunk_unit": F.lit(unit)}
+        added = F.create_map(*[x for k, v in place.items() for x in (F.lit(k), v.cast("string"))])
+        kept = F.map_filter(own, lambda k, _: ~k.isin(*place))
+        return F.struct(F.concat_ws(":chunk:", e["event_id"], n.cast("string")).alias("event_id"), c["chunk"].alias("text"), e["timestamp"].alias("timestamp"), F.to_json(F.map_concat(kept, added)).alias("metadata"), e["event_id"].alias("of"))
+
+    parts = F.flatten(F.transform(F.arrays_zip(F.col("events").alias("e"), F.col("_s").alias("s")), lambda z: F.transform(z["s"], lambda c, n: chunk(z["e"], c, n))))
+    cut = cut.withColumn("_c", parts)
     children = lambda ids: F.flatten(F.transform(ids, lambda i: _or_self(F.transform(F.filter("_c", lambda c: c["of"] == i), lambda c: c["event_id"]), i)))
     return cut.select("example_id", "task", "query", "answers", children(F.col("evidence_ids")).alias("evidence_ids"), children(F.col("negative_ids")).alias("negative_ids"), F.transform("_c", lambda c: _event(c["event_id"], c["text"], c["timestamp"], c["metadata"])).alias("events"))
 
 
+def token_coder(path: str | None) -> tuple[Callable[[str], list[int]], Callable[[list[int]], str]]:
+    """(encode, decode) without special tokens of a vocabulary file: .json of tokenizers, .model of sentencepiece."""
+    if path is None:
+        raise ValueError("token chunks need a tokenizer")
+    if path.endswith(".json"):
+        from tokenizers import Tokenizer
+
+        coder = Tokenizer.from_file(path)
+        coder.no_truncation()
+        return lambda t: coder.encode(t, add_special_tokens=False).ids, coder.decode
+    if path.endswith(".model"):
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        return model.encode, model.decode
+    raise ValueError(f"unknown tokenizer: {path}")
+
+
+def token_chunks(texts: Column, path: str | None, size: int, overlap: int) -> Column:
+    """For an array of texts, the array of each one's (start, end, chunk) over tokens, decoded; Arrow batches, the tokenizer read once a worker."""
+    token_coder(path)  # an unknown one fails here, not in a task
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must be at least 0 and below the chunk size")
+    coders: dict = {}
+
+    def cut(batch: list[str] | None) -> list[list[dict]]:
+        if not coders:
+            coders["encode"], coders["decode"] = token_coder(path)
+        out = []
+        for text in [] if batch is None else batch:
+            ids = coders["encode"](text or "")
+            starts = range(0, max(1, len(ids)), size - overlap)
+            out.append([{"start": s, "end": min(len(ids), s + size), "chunk": coders["decode"](ids[s : s + size]) if ids else ""} for s in starts])
+        return out
+
+    return F.udf(cut, "array<array<struct<start:int,end:int,chunk:string>>>", useArrow=True)(texts)
+
+
 def _or_self(found: Column, one: Column) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array(one))
 

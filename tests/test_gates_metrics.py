@@ -137,3 +137,17 @@ def test_inject(spark):
     assert got["q"].n_memories == 2 and got["q"].truncated and got["q"].memory_characters <= 160
     assert "[Memory 1; id=a; score=0.5000; source=uri]\nshort" in got["q"].prompt and "[TRUNCATED]" in got["q"].prompt and "never" not in got["q"].prompt
     assert K.NOTHING in got["none"].prompt
+
+
+def test_questions_promote_the_first_open_trace(spark):
+    from recallgrid.operators import gates as G
+
+    prompts = spark.createDataFrame([(1, 0, "a"), (1, 1, "same"), (2, 0, "b"), (2, 1, "same"), (3, 1, "same")], "k long, place int, prompt string")
+    traces = G.simulated(prompts, ["k"])
+    assert [r.trace_id for r in traces.orderBy("created").collect()] == [f"prospective:{i}" for i in range(5)]
+    asked = spark.createDataFrame([("same",), ("same",), ("b",), ("unknown",)], "prompt string")
+    after = G.promoted(traces, asked)
+    on = lambda df: {r.created for r in df.collect() if r.promoted}
+    assert on(after) == {1, 2, 3} and {r.factual_authority for r in after.collect()} == {0.0}
+    assert on(G.promoted(after, asked)) == {1, 2, 3, 4}
+    assert on(G.promoted(traces, asked, threshold=1.5)) == set()

@@ -104,3 +104,29 @@ def test_memory_recalls_and_forgets(spark, tmp_path):
     assert {r.rank: r.episode_id for r in again.ask(ask).collect()} == got
     memory.forget(spark.createDataFrame([("m", "a")], "ns string, episode_id string"))
     assert "a" not in {r.episode_id for r in memory.ask(ask).collect()}
+
+
+def test_chunks_of_tokens_and_their_metadata(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    text = "The quick brown fox, naïve as ever,\njumps over the lazy dog; 日本 too."
+    ev = [("e1", text, "2024-01-01", '{"speaker":"x","chunk_unit":"old"}'), ("e2", "", None, None)]
+    df = spark.createDataFrame([("x", "t", "q", ["a"], ["e1"], ["e2"], ev)], R.EXAMPLE)
+    for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"):
+        path = public_tokenizers.path(name)
+        encode, decode = R.token_coder(path)
+        ids = encode(text)
+        row = R.chunked(df, 6, 2, "tokens", path).first()
+        starts = list(range(0, len(ids), 4))
+        assert [e.text for e in row.events] == [decode(ids[s : s + 6]) for s in starts] + [""]
+        meta = [json.loads(e.metadata) for e in row.events]
+        assert meta[1] == {"speaker": "x", "parent_event_id": "e1", "chunk_index": "1", "chunk_start": "4", "chunk_end": "10", "chunk_unit": "tokens"}
+        assert meta[-1]["chunk_end"] == "0" and row.events[0].timestamp == "2024-01-01"
+        assert row.evidence_ids == [f"e1:chunk:{k}" for k in range(len(starts))]
+    assert Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids == R.token_coder(public_tokenizers.path("byte_bpe_50k.json"))[0](text)
+    words = R.chunked(df, 3, 0, "words").first()
+    assert json.loads(words.events[1].metadata)["chunk_start"] == "3" and json.loads(words.events[1].metadata)["chunk_unit"] == "words"
+    for unit, path in (("lines", None), ("tokens", None), ("tokens", "model.bin")):
+        with pytest.raises(ValueError):
+            R.chunked(df, 6, 2, unit, path)
