@@ -54,7 +54,7 @@ def reference(rows, rule, max_degree=128, cap=False, interval=100, decay=0.001,
             mu[f] = (1 - r) * mu.get(f, 0.0) + r * abs(w)
             m2[f] = (1 - r) * m2.get(f, 0.0) + r * w * w
         for i in graph:
-            graph[i] = G._settle(graph[i], max_degree, cap)
+            graph[i] = G.settled_row(graph[i], max_degree, cap)
     return {(i, j): v for i, row in graph.items() for j, v in row.items()}
 
 
