@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import release_memory, table, text_batches, tokenizer_path, written
 from .pieces import TIED
+from .pretokens import PreTokenTable
 from .token_counts import byte_alphabet
 
 #: Bytes of text in a block.
@@ -56,6 +57,12 @@ def merged_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.
     return ends, a, b, (ends_a[a] == ends) & (ends_b[b] == ends)
 
 
+def _flat(each: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(all entries one after the other, how many each list has)."""
+    sizes = np.fromiter(map(len, each), np.int64, len(each))
+    return np.fromiter(chain.from_iterable(each), np.int64, sizes.sum()), sizes
+
+
 class Aligner:
     """Aligns texts under a byte-level BPE file (first) and a sentencepiece model (second)."""
 
@@ -88,6 +95,7 @@ class Aligner:
         self.lead = self.b.piece_to_id("▁x")
         crossing = any("\n" in p or "▁" in p.lstrip("▁") for p in pieces)
         self.cut = None if crossing or self.b.is_unknown(self.lead) else re.compile(r"(?<=\S)(?=[ \n])")
+        self.pretokens = PreTokenTable(self._ids_a, np.uint32)
         self.clear()
 
     def clear(self) -> None:
@@ -111,40 +119,48 @@ class Aligner:
             out += [" " + w for w in words[1:]]
         return out
 
-    def _ids_a(self, units: list[str]) -> list[np.ndarray]:
-        """Identifiers of the first tokenizer; many units go in one call, parted by a special string that none of them has."""
-        out: list[np.ndarray] = []
+    def _ids_a(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(identifiers, how many each unit has) of the first tokenizer; many units go in one call, parted by a special string that none of them has."""
         if self.between is None or any(s in u for u in units for s in self.specials):
             self.a.encode_special_tokens = True
-            return [np.array(x.ids, np.int64) for x in self.a.encode_batch_fast(units, add_special_tokens=False)]
+            each = [x.ids for x in self.a.encode_batch_fast(units, add_special_tokens=False)]
+            return _flat(each)
         self.a.encode_special_tokens = False
+        made, sizes = [], []
         for k in range(0, len(units), self.TOGETHER):
             ids = np.array(self.a.encode_batch_fast([self.between[0].join(units[k : k + self.TOGETHER])], add_special_tokens=False)[0].ids, np.int64)
             cuts = np.flatnonzero(ids == self.between[1])
-            out += [x[1:] if i else x for i, x in enumerate(np.split(ids, cuts))]
-        return out
+            sizes.append(np.diff(cuts, prepend=-1, append=len(ids)) - 1)
+            made.append(np.delete(ids, cuts))
+        return np.concatenate(made), np.concatenate(sizes)
 
-    def _ids_b(self, units: list[str]) -> list[list[int]]:
-        """Identifiers of the second tokenizer; units stand after a letter, whose token is taken off."""
+    def _ids_b(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of the second tokenizer; units stand after a letter, whose token is taken off."""
         if self.cut is None:
-            return self.b.encode([u[1:] for u in units], num_threads=1)
-        return [ids[1:] if ids[:1] == [self.lead] else [] for ids in self.b.encode(["x" + u for u in units], num_threads=1)]
+            return _flat(self.b.encode([u[1:] for u in units], num_threads=1))
+        ids, sizes = _flat(self.b.encode(["x" + u for u in units], num_threads=1))
+        first = np.cumsum(sizes) - sizes
+        if not (ids[first] == self.lead).all():
+            raise ValueError("the second tokenizer joins a unit with the letter before it")
+        return np.delete(ids, first), sizes - 1
 
     def learn(self, units: list[str]) -> None:
         """Aligns units that are not known yet, all in one merge."""
-        ids_a, ids_b = self._ids_a(units), self._ids_b(units)
-        spelled = lambda ids, known: b"".join(map(known.__getitem__, ids))
-        right = [spelled(x, self.bytes_a) == spelled(y, self.bytes_b) == u.encode() for u, x, y in zip(units, map(np.ndarray.tolist, ids_a), ids_b, strict=True)]
+        if not units:
+            return
         first = len(self.shown)
         self.chars += sum(map(len, units))
         self.number.update(zip(units, range(first, first + len(units)), strict=True))
+        a, bounds = self.pretokens.numbers("".join(units), np.cumsum([0, *map(len, units[:-1])]))
+        a, n_a, (b, n_b) = a.astype(np.int64), np.diff(bounds), self._ids_b(units)
+        raw = list(map(str.encode, units))
+        right = self._spelled(a, n_a, self.bytes_a, self.size_a, raw) & self._spelled(b, n_b, self.bytes_b, self.size_b, raw)
         sizes = np.zeros((len(units), 5), np.int64)
         shown: list[str | None] = [None] * len(units)
         good = np.flatnonzero(right)
         if len(good):
-            sizes[good, 0], sizes[good, 1] = [len(ids_a[k]) for k in good], [len(ids_b[k]) for k in good]
-            a = np.concatenate([ids_a[k] for k in good])
-            b = np.fromiter(chain.from_iterable(ids_b[k] for k in good), np.int64, sizes[:, 1].sum())
+            sizes[good, 0], sizes[good, 1] = n_a[good], n_b[good]
+            a, b = a[np.repeat(right, n_a)], b[np.repeat(right, n_b)]
             ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
             ends, at_a, at_b, cut = merged_ends(ends_a, ends_b)
             own = np.searchsorted(ends_a[np.cumsum(sizes[good, 0]) - 1], ends)
@@ -166,6 +182,16 @@ class Aligner:
         self.shown += shown
         self.sizes = np.append(self.sizes, sizes, axis=0)
 
+    @staticmethod
+    def _spelled(ids: np.ndarray, sizes: np.ndarray, known: list[bytes], lengths: np.ndarray, raw: list[bytes]) -> np.ndarray:
+        """Whether each unit's tokens spell it; one comparison of all, and one for each unit only where that fails."""
+        ends = np.append(0, np.cumsum(lengths[ids]))[np.cumsum(sizes)]
+        said = b"".join(map(known.__getitem__, ids.tolist()))
+        if np.array_equal(ends, np.cumsum(list(map(len, raw)))) and said == b"".join(raw):
+            return np.ones(len(raw), bool)
+        begins = np.append(0, ends[:-1]).tolist()
+        return np.array([said[s:e] == r for s, e, r in zip(begins, ends.tolist(), raw, strict=True)])
+
     def align(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, str, np.ndarray]]:
         """(n_a, n_b, n_groups, groups, links) of each text; groups as `a1,a2|b1;a3|b2,b3`, links as a << SHIFT | b."""
         if len(self.shown) > self.ROOM or self.chars > self.ROOM_CHARS:
