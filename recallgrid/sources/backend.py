@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
+from recallgrid.functions.ranges import running_sum
 from recallgrid.operators.capsules import BoundMemory, BoundSettings
 from recallgrid.operators.memory import Memory, Settings
 
@@ -44,12 +45,15 @@ class Backend:
         self._next = 0
 
     def insert(self, documents: DataFrame, ns: str = "default") -> DataFrame:
-        """Documents have (id, content); content is a text or an array of (role, content). Gives (id, stored)."""
+        """Documents have (id, content) and may have order, else they are written in order of id; content is a text or an array of (role, content). Gives (id, stored)."""
         content = F.col("content")
         if isinstance(documents.schema["content"].dataType, ArrayType):
             turn = lambda x: F.concat(F.coalesce(x["role"], F.lit("unknown")), F.lit(": "), F.coalesce(x["content"], F.lit("")))
             content = F.array_join(F.transform(content, turn), "\n")
-        rows = documents.select(F.lit(ns).alias("ns"), F.col("id").cast("string").alias("episode_id"), (F.monotonically_increasing_id() + self._next).alias("seq"), F.coalesce(content, F.lit("")).alias("text"))
+        order = [F.col("order")] if "order" in documents.columns else []
+        rows = documents.select("id", *order, F.coalesce(content, F.lit("")).alias("text"), F.lit(1).cast("long").alias("_one"))
+        placed = running_sum(rows, [], [*order, F.col("id").cast("string")], "_one")
+        rows = placed.select(F.lit(ns).alias("ns"), F.col("id").cast("string").alias("episode_id"), (F.col("_before") + self._next).alias("seq"), "text")
         self.memory.write(rows)
         self._next = self.memory.episodes.agg(F.max("seq")).first()[0] + 1
         return documents.select(F.col("id").cast("string").alias("id"), F.lit(True).alias("stored"))
