@@ -30,8 +30,6 @@ KEYS = ["ns", "episode_id"]
 
 @dataclass
 class BoundSettings(Settings):
-    decay: float = GR.DECAY
-    interval: int = GR.INTERVAL
     context_dimension: int = 8192
     context_topk: int = 64
     binding_dimension: int = 16_384
@@ -52,7 +50,7 @@ class BoundSettings(Settings):
         return self.dimension + self.context_dimension + self.binding_dimension
 
     def fold(self) -> O.FoldSettings:
-        return O.FoldSettings(rule=self.rule, decay=self.decay, interval=self.interval, context_rate=self.context_rate, max_degree=self.max_degree, context_degree=self.context_degree, hub=self.hub, slots=self.slots, birth_threshold=self.birth_threshold, reserved=self.reserved)
+        return O.FoldSettings(rule=self.rule, rate=self.rate, temporal_rate=self.temporal_rate, max_pairs=self.max_pairs, decay=self.decay, interval=self.interval, context_rate=self.context_rate, max_degree=self.max_degree, context_degree=self.context_degree, hub=self.hub, slots=self.slots, birth_threshold=self.birth_threshold, reserved=self.reserved)
 
 
 class BoundMemory(Memory):
@@ -65,6 +63,7 @@ class BoundMemory(Memory):
     """
 
     TABLES = ("episodes", "codes", "association", "temporal", "log", "contexts", "links", "state")
+    GRAPHS = ("association", "temporal", "links")
 
     def __init__(self, settings: BoundSettings | None = None):
         super().__init__(settings or BoundSettings())
@@ -77,7 +76,7 @@ class BoundMemory(Memory):
         """(bound codes, context codes) as (ns, key, feature, w) of rows with text, metadata and timestamp."""
         s = self.settings
         keyed = rows.select(F.struct("ns", key).alias("_k"), "text", "metadata", "timestamp")
-        hidden = settle(E.hash_codes(E.text_features(keyed, "_k", "text"), "_k", s.dimension, s.topk, hash_mode=s.hash_mode), "hidden")
+        hidden = settle(E.hash_codes(E.text_features(keyed, "_k", "text", **s.grams), "_k", s.dimension, s.topk, hash_mode=s.hash_mode, **s.hashing), "hidden")
         named = E.json_features(keyed, "_k", "metadata", exclude=("timestamp", "encoding_diagnostics"))
         timed = keyed.select("_k", F.explode(E.time_features(E.iso_local_time(F.col("timestamp")), F.col("timestamp"))).alias("name"))
         context = settle(E.hash_codes(named.unionByName(timed), "_k", s.context_dimension, s.context_topk, prefix="ctx:"), "contexts")
@@ -148,6 +147,10 @@ class BoundMemory(Memory):
 
     ENGINE = 2
 
+    def shape(self) -> tuple[int, int]:
+        """(engine, dimension of the addresses without births)."""
+        return self.ENGINE, self.settings.reserved
+
     def event_counts(self) -> DataFrame:
         return self.state.filter("kind = 'clock'").select("ns", F.col("a").alias("n"))
 
@@ -200,8 +203,10 @@ class BoundMemory(Memory):
         index = settle(GR.episode_index(self.codes.join(known, KEYS), F.col("salience"), s.index_features), "index")
         authority = self.episodes.select(*KEYS, F.col("index_authority").alias("authority"))
         told = settle(R.context_messages(context, self.links), "context-messages")
-        final, timed, nodes = R.complete(state, self.association, self.temporal, index, told, top=s.active, authority=authority, steps=s.steps, **s.recall)
-        return state, context, settle(final, "final"), settle(timed, "timed"), settle(nodes, "nodes")
+        self._trail = []
+        final, timed, nodes = R.complete(state, *self.followed(), index, told, top=s.active, authority=authority, steps=s.steps, trail=self._trail, **s.recall)
+        self._final = settle(final, "final")
+        return state, context, self._final, settle(timed, "timed"), settle(nodes, "nodes")
 
     def ask(self, queries: DataFrame) -> DataFrame:
         """Queries have (ns, query_id, text) and may have metadata and timestamp; gives ranked (ns, query_id, episode_id, scores, rank, text)."""
@@ -217,7 +222,7 @@ class BoundMemory(Memory):
         near = near.groupBy("ns", "query_id", "episode_id").agg(F.sum(F.col("w") * F.col("v")).alias("context"))
         known = self.episodes.select(*KEYS, "status", "risk", "authority", "confidence", "recency", "text")
         full = parts.join(near, ["ns", "query_id", "episode_id"], "left").join(nodes.withColumnRenamed("score", "episode_node"), ["ns", "query_id", "episode_id"], "left").join(known, KEYS)
-        return K.ranked(K.score_v2(full.fillna(0.0, ["context", "episode_node"])), s.results)
+        return K.ranked(K.score_v2(full.fillna(0.0, ["context", "episode_node"]), **s.weights), s.results)
 
     def trace(self, queries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(final, temporal, episode scores) that the questions complete to."""
@@ -239,10 +244,10 @@ class BoundMemory(Memory):
         codes = self.codes.select(*KEYS, "seq", "feature", "w")
         clock = self.state.filter("kind = 'clock'").select("ns", F.col("b").alias("t"))
         averages = self.state.filter("kind = 'average'").select("ns", F.col("a").alias("feature"), F.col("v").alias("mu"), F.col("u").alias("m2"))
-        made = M.replay_run(chosen, codes, self.association, self.temporal, scale, engine=2, rule=self.settings.rule, with_temporal=with_temporal, after=clock, known=averages, max_degree=self.settings.max_degree)
+        made = M.replay_run(chosen, codes, self.association, self.temporal, scale, engine=2, rule=self.settings.rule, with_temporal=with_temporal, after=clock, known=averages, rates=(self.settings.rate, self.settings.temporal_rate), max_pairs=self.settings.max_pairs, **self.settings.growth())
         self.association, self.temporal = (settle(e, "edges") for e in made)
         again = codes.join(chosen.filter("verified").select(*KEYS, "place"), KEYS).select("ns", F.col("place").alias("seq"), "feature", "w")
-        moved = GR.final_activity(GR.strongest(again, GR.MAX_PAIRS), known=averages)
+        moved = GR.final_activity(GR.strongest(again, self.settings.max_pairs), self.settings.rate, known=averages)
         changes = moved.select("ns", F.lit("average").alias("kind"), F.col("feature").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("string").alias("s"), F.array("mu", "m2").alias("x"))
         counted = self.state.filter("kind = 'clock'").join(M.replay_writes(chosen), "ns")
         changes = changes.unionByName(counted.select("ns", "kind", "a", (F.col("b") + F.col("n")).alias("b"), "s", F.array("v", F.coalesce("u", F.lit(1.0))).alias("x")))

@@ -384,6 +384,23 @@ def shuffled(edges: DataFrame, seed: int) -> DataFrame:
     return out.filter("_s <> _d").select("ns", F.col("_s").alias("src"), F.col("_d").alias("dst"), "w")
 
 
+# Names of the edge conditions.
+CONDITIONS = {"learned": ("learned", "identity", "original"), "zero": ("zero", "none", "off"), "shuffled": ("shuffled", "shuffled_degree_preserving", "permuted"), "random": ("random", "random_degree_matched")}
+
+
+def condition(name: str) -> str:
+    """The edge condition of a name; hyphens count as underscores."""
+    for plain, names in CONDITIONS.items():
+        if name.lower().replace("-", "_") in names:
+            return plain
+    raise ValueError(f"unknown edge condition: {name}")
+
+
+def conditioned(edges: DataFrame, name: str, seed: int) -> DataFrame:
+    """The edges that messages follow under a condition."""
+    return {"learned": lambda: edges, "zero": lambda: zeroed(edges), "shuffled": lambda: shuffled(edges, seed), "random": lambda: random_targets(edges, seed)}[condition(name)]()
+
+
 #: Rounds of the permutation of node numbers.
 ROUNDS = 10
 

@@ -158,7 +158,7 @@ def replay_verified(text: Column, checksum: Column) -> Column:
     return F.coalesce(F.sha2(text, 256) == checksum, F.lit(False))
 
 
-def replay_run(chosen: DataFrame, codes: DataFrame, association: DataFrame, temporal: DataFrame, scale: float, engine: int = 1, rule: str = "hebb", with_temporal: bool = True, fold=GR.closed_form, after: DataFrame | None = None, known: DataFrame | None = None, max_degree: int = GR.MAX_DEGREE) -> tuple[DataFrame, DataFrame]:
+def replay_run(chosen: DataFrame, codes: DataFrame, association: DataFrame, temporal: DataFrame, scale: float, engine: int = 1, rule: str = "hebb", with_temporal: bool = True, fold=GR.closed_form, after: DataFrame | None = None, known: DataFrame | None = None, rates: tuple[float, float] = (GR.RATE, GR.TEMPORAL_RATE), max_pairs: int = GR.MAX_PAIRS, **options) -> tuple[DataFrame, DataFrame]:
     """(association, temporal) edges after the verified ones of the chosen episodes were written once more.
 
     ``chosen`` has (ns, episode_id, place, salience, verified), ``codes`` the writes so far
@@ -167,7 +167,8 @@ def replay_run(chosen: DataFrame, codes: DataFrame, association: DataFrame, temp
     chain of temporal edges, the second passes over it. ``fold`` turns deltas and writes
     into edges; those before are the deltas of the last write before. A memory that keeps
     its clock gives ``after`` (ns, t), the number of writes so far, and ``known``, the
-    features' averages (ns, feature, mu, m2); then the edges given are those of that moment.
+    features' averages (ns, feature, mu, m2); then the edges given are those of that moment,
+    learned with ``rates`` (association, temporal) and the ``options`` of ``graph.grown``.
     """
     good = chosen.filter("verified").join(codes.groupBy("ns").agg(F.max("seq").alias("_last")), "ns")
     by_place = W.partitionBy("ns").orderBy("place")
@@ -180,9 +181,9 @@ def replay_run(chosen: DataFrame, codes: DataFrame, association: DataFrame, temp
         weighed = GR.with_write_number(again, after).select("ns", "seq", "t").distinct().join(good.select("ns", "seq", "_s"), ["ns", "seq"])
         now = after.join(weighed.groupBy("ns").agg(F.max("t").alias("_t")), "ns", "left").select("ns", F.coalesce("_t", "t").alias("t"))
         scaled = lambda d: d.join(weighed.select("ns", "t", "_s"), ["ns", "t"]).withColumn("delta", F.col("delta") * F.col("_s")).drop("_s")
-        pairs = scaled(GR.pair_deltas(again.drop("stream"), rule, after=after, known=known))
-        links = scaled(GR.temporal_deltas(again, ["stream"], rule=rule if with_temporal else "none", after=after))
-        return GR.grown(association, pairs, after, now, max_degree=max_degree), GR.grown(temporal, links, after, now, max_degree=max_degree)
+        pairs = scaled(GR.pair_deltas(again.drop("stream"), rule, rates[0], max_pairs=max_pairs, after=after, known=known))
+        links = scaled(GR.temporal_deltas(again, ["stream"], rates[1], rule if with_temporal else "none", max_pairs, after=after))
+        return GR.grown(association, pairs, after, now, **options), GR.grown(temporal, links, after, now, **options)
     every = settle(codes.select("ns", "seq", F.lit(None).cast("long").alias("stream"), "feature", "w").unionByName(again.withColumn("stream", F.col("stream").cast("long"))), "replayed")
     numbered = GR.with_write_number(every).select("ns", "seq", "t").distinct()
     writes = settle(numbered.join(good.select("ns", "seq", "_s"), ["ns", "seq"], "left"), "replay-writes")

@@ -127,10 +127,14 @@ def metric_names(df: DataFrame, without: tuple[str, ...] = ("recall_steps",)) ->
     return [n for n, k in df.dtypes if k in kinds and n not in without]
 
 
+def repeated(df: DataFrame, key: str) -> bool:
+    return not df.groupBy(key).count().filter("count > 1").isEmpty()
+
+
 def paired(baseline: DataFrame, treatment: DataFrame, key: str = "example_id", score: str = "score") -> DataFrame:
     """(key, baseline, treatment, side): a full outer pairing that tells what is unpaired; repeated keys fail."""
     for name, df in (("baseline", baseline), ("treatment", treatment)):
-        if not df.groupBy(key).count().filter("count > 1").isEmpty():
+        if repeated(df, key):
             raise ValueError(f"repeated {key} in {name}")
     b, t = baseline.select(key, F.col(score).alias("baseline")), treatment.select(key, F.col(score).alias("treatment"))
     joined = b.withColumn("_b", F.lit(True)).join(t.withColumn("_t", F.lit(True)), key, "full_outer")

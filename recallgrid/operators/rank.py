@@ -33,17 +33,17 @@ def ranked(scored: DataFrame, k: int, score: str = "score", keys: tuple[str, ...
     return finite.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def score_v1(parts: DataFrame, recency: Column | float = 0.0, confidence: Column | float = 0.0, recency_weight: float = 0.0, confidence_weight: float = 0.0) -> DataFrame:
-    value = EXACT * F.col("exact") + ASSOCIATIVE * F.col("associative") + TEMPORAL * F.col("temporal")
+def score_v1(parts: DataFrame, recency: Column | float = 0.0, confidence: Column | float = 0.0, recency_weight: float = 0.0, confidence_weight: float = 0.0, exact: float = EXACT, associative: float = ASSOCIATIVE, temporal: float = TEMPORAL) -> DataFrame:
+    value = exact * F.col("exact") + associative * F.col("associative") + temporal * F.col("temporal")
     return parts.withColumn("score", value + recency_weight * F.lit(recency) + confidence_weight * F.lit(confidence))
 
 
-def score_v2(parts: DataFrame, episode_weight: float = 0.20, context_weight: float = 0.10, risk_weight: float = 0.20, recency_weight: float = 0.0, confidence_weight: float = 0.0) -> DataFrame:
+def score_v2(parts: DataFrame, episode_weight: float = 0.20, context_weight: float = 0.10, risk_weight: float = 0.20, recency_weight: float = 0.0, confidence_weight: float = 0.0, exact: float = EXACT, associative: float = ASSOCIATIVE, temporal: float = TEMPORAL) -> DataFrame:
     """Adds score from exact, associative, temporal, recency, confidence, episode_node, context, risk, authority and status."""
     factor = F.when(F.col("status") == "hypothetical", 0.1).when(F.col("status") == "superseded", 0.2).otherwise(1.0)
     trust = F.when(F.col("status") == "superseded", 0.2).otherwise(1.0)
     value = (
-        EXACT * F.col("exact") + ASSOCIATIVE * F.col("associative") + TEMPORAL * F.col("temporal")
+        exact * F.col("exact") + associative * F.col("associative") + temporal * F.col("temporal")
         + recency_weight * F.col("recency") + confidence_weight * F.col("confidence") * trust
         + episode_weight * F.col("episode_node") + context_weight * F.col("context") - risk_weight * F.col("risk")
     )

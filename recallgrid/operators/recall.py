@@ -70,8 +70,8 @@ def _sum(parts: list[DataFrame]) -> DataFrame:
     return out.groupBy("ns", "query_id", "feature").agg(F.sum("v").alias("v"))
 
 
-def recall(query: DataFrame, association: DataFrame, temporal: DataFrame, steps: int = 2, k: int = 128, anchor: float = 1.0, beta: float = 0.65, gamma: float = 0.15, hub: float = 0.5, threshold: float = 0.0, normalize: bool = True, signed: bool = False, extra=None) -> tuple[DataFrame, DataFrame]:
-    """(final state, temporal state) after ``steps`` rounds; ``extra`` may add messages from a state.
+def recall(query: DataFrame, association: DataFrame, temporal: DataFrame, steps: int = 2, k: int = 128, anchor: float = 1.0, beta: float = 0.65, gamma: float = 0.15, hub: float = 0.5, threshold: float = 0.0, normalize: bool = True, signed: bool = False, extra=None, trail: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(final state, temporal state) after ``steps`` rounds; ``extra`` may add messages from a state, ``trail`` gets the states that sent any.
 
     Edges and states are read several times and so are written, which also keeps plans small.
     """
@@ -80,6 +80,8 @@ def recall(query: DataFrame, association: DataFrame, temporal: DataFrame, steps:
     penalty = degrees(association).select("ns", F.col("src").alias("feature"), F.pow(1 + F.col("degree"), F.lit(hub)).alias("_p"))
     state, moved = query, []
     for step in range(steps):
+        if trail is not None:
+            trail.append(state)
         assoc = messages(state, a).join(penalty, ["ns", "feature"], "left").withColumn("v", F.col("v") * beta / F.coalesce(F.col("_p"), F.lit(1.0))).drop("_p")
         both = [messages(state, t), messages(state, t, reverse=True)]
         moved += both

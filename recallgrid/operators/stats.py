@@ -5,8 +5,13 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from recallgrid.functions.lineage import settle
+
+from .metrics import repeated
+
 INTERVAL = "estimate double, lower double, upper double, level double, samples int"
 
 
@@ -97,3 +102,33 @@ def randomization(df: DataFrame, group: str, difference: str, order: str, sample
     kind = df.schema[group].dataType.simpleString()
     rows = df.select(F.col(group).alias("g"), F.col(difference).cast("double").alias("_v"), F.col(order).alias("_o"))
     return rows.groupBy("g").applyInPandas(run, f"g {kind}, p_value double").withColumnRenamed("g", group)
+
+
+def comparison(baseline: DataFrame, treatment: DataFrame, metrics: list[str], key: str = "example_id", samples: int = 10_000, signs: int = 100_000, level: float = 0.95, seed: int = 0, listed: int = 20) -> DataFrame:
+    """A row per metric that compares two runs example by example.
+
+    Gives how many examples have the metric on each side and on both, the first ``listed``
+    keys of those on one side only, the mean of treatment minus baseline with its bootstrap
+    interval, and the p-value of a randomization of signs. A null is a missing value; a
+    repeated key fails, and so does a metric without a pair.
+    """
+    for name, df in (("baseline", baseline), ("treatment", treatment)):
+        if repeated(df, key):
+            raise ValueError(f"repeated {key} in {name}")
+    long = lambda df, name: df.select(key, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot([key], metrics, "metric", name).filter(F.col(name).isNotNull())
+    both = long(baseline, "baseline").join(long(treatment, "treatment"), ["metric", key], "full_outer")
+    side = F.when(F.col("baseline").isNull(), "treatment").when(F.col("treatment").isNull(), "baseline").otherwise("both")
+    pairs = settle(both.select("metric", key, side.alias("side"), (F.col("treatment") - F.col("baseline")).alias("difference")), "pairs")
+    on = lambda *sides: F.count(F.when(F.col("side").isin(*sides), 1))
+    counts = pairs.groupBy("metric").agg(on("baseline", "both").alias("baseline_examples"), on("treatment", "both").alias("treatment_examples"), on("both").alias("paired_examples"), on("baseline").alias("baseline_only"), on("treatment").alias("treatment_only"))
+    paired = {r.metric for r in counts.filter("paired_examples > 0").select("metric").collect()}  # a row for each metric
+    if alone := [m for m in metrics if m not in paired]:
+        raise ValueError(f"no paired examples for {', '.join(alone)}")
+    order = W.partitionBy("metric", "side").orderBy(key)
+    first = pairs.filter("side <> 'both'").withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= listed)
+    ids = lambda name: F.sort_array(F.collect_list(F.when(F.col("side") == name, F.col(key)))).alias(f"{name}_only_ids")
+    missing = first.groupBy("metric").agg(ids("baseline"), ids("treatment"))
+    good = pairs.filter("side = 'both'")
+    out = counts.join(missing, "metric", "left").join(bootstrap_ci(good, "metric", "difference", key, samples, level, seed), "metric").join(randomization(good, "metric", "difference", key, signs, seed), "metric")
+    none = F.array().cast(pairs.select(F.array(key).alias("a")).schema["a"].dataType)
+    return out.withColumns({f"{s}_only_ids": F.coalesce(f"{s}_only_ids", none) for s in ("baseline", "treatment")})

@@ -9,11 +9,19 @@ import json
 import os
 import platform
 import re
+import subprocess
+import sys
 from copy import deepcopy
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from recallgrid.operators.capsules import BoundSettings
+from recallgrid.operators.graph import condition
+from recallgrid.operators.latent import HASHING
+from recallgrid.operators.memory import Settings
+from recallgrid.operators.upkeep import Upkeep
+
 #: Defaults of the sections whose unknown keys are errors; fixed values.
 SECTIONS = {
     "encoder": {"type": "hashing", "params": {}},
@@ -107,11 +115,80 @@ def ablation_grid(spark: SparkSession, factors: dict[str, list]) -> DataFrame:
     return spark.createDataFrame(rows, f"{kinds}, name string")
 
 
+def commit_id() -> str | None:
+    """The commit that the working directory is at, if it is in a repository."""
+    try:
+        found = subprocess.run(["git", "rev-parse", "HEAD"], capture_output=True, text=True, check=True)
+    except (FileNotFoundError, subprocess.CalledProcessError):
+        return None
+    return found.stdout.strip()
+
+
 def environment(config: dict) -> dict:
     import pyspark
 
     digest = hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()
-    return {"python": platform.python_version(), "pyspark": pyspark.__version__, "platform": platform.platform(), "config_sha256": digest}
+    return {"python": platform.python_version(), "executable": sys.executable, "pyspark": pyspark.__version__, "platform": platform.platform(), "git_commit": commit_id(), "config_sha256": digest}
+
+
+#: Names of the second engine; fixed values.
+SECOND = ("aam_v2", "hippocampal", "hippocampal_activation", "memory_as_activations", "v2")
+
+
+def engine(config: dict) -> int:
+    return 2 if str(config["memory"].get("variant", "v1")).lower() in SECOND else 1
+
+
+def settings(config: dict) -> Settings:
+    """The settings of a memory that a resolved configuration asks for.
+
+    What an engine does not do fails, where a value other than the usual one asks for it.
+    """
+    memory, second = config["memory"], engine(config) == 2
+    graph, retrieval, given = memory["graph"], memory["retrieval"], dict(memory["encoder"]["params"])
+    if memory["encoder"]["type"].lower() not in HASHING:
+        raise NotImplementedError(f"a memory encodes by hashing, not by {memory['encoder']['type']}")
+    usual = SECTIONS["retrieval"], SECTIONS["graph"]
+    missing = [n for n in ("recencyweight",) if not second and retrieval[n] != usual[0][n]]
+    missing += [n for n in ("normalizeafterwrite", "allownegativeedges") if second and graph[n] != usual[1][n]]
+    if missing:
+        raise NotImplementedError(f"not offered by engine {engine(config)}: {', '.join(missing)}")
+    made = BoundSettings() if second else Settings()
+    grams = {ours: tuple(given.pop(theirs)) for ours, theirs in (("words", "wordngrams"), ("chars", "charngrams")) if theirs in given}
+    made.dimension, made.topk = given.pop("dimension", made.dimension), given.pop("topk", made.topk)
+    made.hash_mode = given.pop("hashmode", "blake2b")
+    names = {"sublineartf": "sublinear", "signed": "signed", "seed": "seed", "positiveonly": "positive_only"}
+    if unknown := sorted(set(given) - set(names)):
+        raise ValueError(f"unknown parameters of the encoder: {', '.join(unknown)}")
+    made.grams, made.hashing = grams, {names[k]: v for k, v in given.items()}
+    made.rule, made.rate, made.temporal_rate = graph["rule"], graph["learningrate"], graph["temporallearningrate"]
+    made.decay, made.interval, made.max_degree = graph["decay"], graph["decayinterval"], graph["maxdegree"]
+    made.max_pairs, made.cap, made.allow_negative = graph["maxpairfeatures"], graph["normalizeafterwrite"], graph["allownegativeedges"]
+    made.edges, made.edge_seed = condition(graph["edgecondition"]), graph["edgeseed"]
+    made.results, made.candidates, made.steps = retrieval["topk"], retrieval["candidatelimit"], retrieval["recurrencesteps"]
+    renamed = {"k": "featuretopk", "anchor": "queryanchor", "beta": "associationstrength", "gamma": "temporalstrength", "threshold": "threshold", "normalize": "normalizemessages", "signed": "use_signed_messages"}
+    made.recall = {ours: retrieval[theirs] for ours, theirs in renamed.items()} | {"hub": graph["hubpenalty"]}
+    made.weights = {"exact": retrieval["exactweight"], "associative": retrieval["associativeweight"], "temporal": retrieval["temporalweight"], "recency_weight": retrieval["recencyweight"], "confidence_weight": retrieval["confidenceweight"]}
+    gate = memory["salience"]
+    made.salience = {"base": gate["base"], "surprise": gate["surpriseweight"], "task_relevance": gate["taskweight"], "user_importance": gate["userweight"], "novelty": gate["noveltyweight"], "redundancy": -gate["redundancyweight"]}
+    made.salience_range = (gate["minimum"], gate["maximum"])
+    if second:
+        made.hub = graph["hubpenalty"]
+    made.upkeep = upkeep(memory)
+    return made
+
+
+def upkeep(memory: dict) -> Upkeep:
+    """Maintenance as the sections replay and consolidation ask for it."""
+    out, replay, merge = Upkeep(), memory.get("replay") or {}, memory.get("consolidation") or {}
+    if replay.get("enabled"):
+        out.replay_every, out.replay_budget = max(1, int(replay.get("intervalwrites", 500))), int(replay.get("budgetpercycle", out.replay_budget))
+        out.replay_strategy, out.replay_scale = str(replay.get("strategy", out.replay_strategy)), float(replay.get("learningscale", out.replay_scale))
+    out.consolidate = bool(merge.get("enabled", False))
+    out.similarity, out.group = float(merge.get("similaritythreshold", out.similarity)), int(merge.get("minimumgroupsize", out.group))
+    out.capacity, out.capacity_bytes = int(merge.get("fixedcapacityepisodes", merge.get("max_episodes", 0)) or 0), int(merge.get("fixedcapacitybytes", 0) or 0)
+    out.policy = str(merge.get("evictionpolicy", out.policy))
+    return out
 
 
 def doctor() -> dict[str, bool]:

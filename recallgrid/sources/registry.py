@@ -55,7 +55,12 @@ def run_external(command: list[str], request: dict, timeout: float = 600) -> dic
 def write_run(rows: DataFrame, summary: dict, folder: str) -> None:
     """Per-example rows as JSON lines and a small summary beside them."""
     rows.write.mode("overwrite").json(f"{folder}/per_example")
-    rows.sparkSession.createDataFrame([(json.dumps(summary, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/summary")
+    write_text(rows.sparkSession, json.dumps(summary, sort_keys=True, default=str), f"{folder}/summary")
+
+
+def write_text(spark: SparkSession, text: str, folder: str) -> None:
+    """A small text of the driver, as a folder of the shared file system."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(folder)
 
 
 def kv_injection(*_, **__):
