@@ -9,10 +9,14 @@ from recallgrid.functions.lineage import scratch_dir
 from recallgrid.functions.vectors import quantize
 from recallgrid.operators.capsules import BoundMemory, BoundSettings
 
+from recallgrid.operators.latent import encoder
+from recallgrid.operators.memory import Memory, Settings
+from recallgrid.sources.artifacts import export_codes, read_codes
 from recallgrid.sources.durable import EpisodeTable
 from recallgrid.streaming.writes import streaming_edges
 
 from .graph_queries import _shown_sql, codes, shown
+from . import text_queries as TQ
 from .registry import query, read
 
 SMALL = BoundSettings(dimension=4096, topk=24, context_dimension=512, context_topk=16, binding_dimension=1024, address_topk=40, slots=4, max_degree=32, context_degree=16, rule="covariance", interval=10)
@@ -61,3 +65,22 @@ def durable_episodes(spark, d):
     table.delete(docs.filter("doc_id % 5 = 0"))
     entries = table.postings().groupBy("episode_id").agg(F.count(F.lit(1)).alias("entries"))
     return table.all().join(entries, "episode_id", "left").select("episode_id", F.md5("text").alias("digest"), "version", F.coalesce("entries", F.lit(0)).cast("long").alias("entries"))
+
+
+@query("feature_artifact", f"SELECT event_id, feature, {TQ.Q('w')} AS w FROM text_codes")
+def feature_artifact(spark, d):
+    """Codes of all turns, exported as an artefact and read back by the precomputed encoder."""
+    texts = TQ.turns(spark, d).select("event_id", "text").filter("text IS NOT NULL")
+    folder = scratch_dir(spark, "features")
+    export_codes(texts, encoder("hashing", dimension=TQ.DIM, k=TQ.TOP), TQ.DIM, folder)
+    known = encoder("precomputed", features=read_codes(spark, folder, TQ.DIM))
+    return known(texts, "event_id", "text").select("event_id", "feature", quantize(F.col("w")).alias("w"))
+
+
+@query("memory_stats", """SELECT conv_id AS ns, count(*) AS episodes, CAST(sum(n) AS BIGINT) AS postings, any_value(f) AS features FROM (
+    SELECT conv_id, event_id, count(feature) AS n FROM turns LEFT JOIN text_codes USING (event_id) GROUP BY 1, 2)
+    JOIN (SELECT conv_id, count(DISTINCT feature) AS f FROM turns LEFT JOIN text_codes USING (event_id) GROUP BY 1) USING (conv_id) GROUP BY 1""")
+def memory_stats(spark, d):
+    """Counts of a memory of the first engine, a namespace a conversation, after all turns were written."""
+    memory = Memory(Settings(dimension=TQ.DIM, topk=TQ.TOP, rule="hebb")).write(turns(spark, d))
+    return memory.stats().select("ns", "episodes", "postings", "features")

@@ -378,6 +378,30 @@ def differences(spark, d):
     return p.select(F.lit("value").alias("metric"), "example_id", (F.col("treatment") - F.col("baseline")).alias("difference"))
 
 
+def two_metrics(spark, d):
+    """As ``runs``, with a second metric that only users with several such events have."""
+    ev = read(spark, d, "events")
+    most = F.when(F.count(F.lit(1)) > 1, F.max("value").cast("double"))
+    one = lambda kind: ev.filter(F.col("event_type") == kind).groupBy(F.col("user_id").alias("example_id")).agg(F.avg("value").alias("score"), most.alias("most"))
+    return one("error"), one("click")
+
+
+cte("two_runs", """SELECT m.metric, user_id, event_type, CASE m.metric WHEN 'score' THEN s ELSE most END AS v
+    FROM (SELECT user_id, event_type, avg(value) AS s, CASE WHEN count(*) > 1 THEN CAST(max(value) AS DOUBLE) END AS most FROM events WHERE event_type IN ('error', 'click') GROUP BY 1, 2), (VALUES ('score'), ('most')) m(metric)""")
+cte("two_run_pairs", """SELECT metric, user_id, max(v) FILTER (WHERE event_type = 'error') AS b, max(v) FILTER (WHERE event_type = 'click') AS t
+    FROM two_runs WHERE v IS NOT NULL GROUP BY 1, 2""")
+
+
+@query("comparison_report", f"""SELECT metric, count(b) AS baseline_examples, count(t) AS treatment_examples, count(*) FILTER (WHERE b IS NOT NULL AND t IS NOT NULL) AS paired_examples,
+    coalesce(array_to_string(list_sort(list(user_id) FILTER (WHERE t IS NULL))[1:20], ','), '') AS baseline_only, coalesce(array_to_string(list_sort(list(user_id) FILTER (WHERE b IS NULL))[1:20], ','), '') AS treatment_only,
+    {Q('avg(t - b)')} AS difference, TRUE AS in_interval, TRUE AS p_in_range FROM two_run_pairs GROUP BY metric""")
+def comparison_report(spark, d):
+    """The interval and the p-value are drawn at random; SQL checks the rest, tests check them."""
+    out = B.comparison(*two_metrics(spark, d), ["score", "most"], samples=2_000, signs=5_000)
+    ids = lambda side: F.array_join(F.col(f"{side}_only_ids").cast("array<string>"), ",").alias(f"{side}_only")
+    return out.select("metric", "baseline_examples", "treatment_examples", "paired_examples", ids("baseline"), ids("treatment"), quantize(F.col("estimate")).alias("difference"), F.col("estimate").between(F.col("lower"), F.col("upper")).alias("in_interval"), F.col("p_value").between(0, 1).alias("p_in_range"))
+
+
 @query("bootstrap_ci")
 def bootstrap_ci(spark, d):
     return B.bootstrap_ci(differences(spark, d), "metric", "difference", "example_id", 2_000)
