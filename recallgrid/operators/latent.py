@@ -17,6 +17,10 @@ from . import encode as E
 from . import store as S
 
 
+#: Bytes of weights that an executor may get, and of activations that a task holds at a time.
+MOST_BYTES, BLOCK_BYTES = 1 << 31, 1 << 26
+
+
 def token_topk(name: str, default: int = 50) -> int:
     """The number behind L0 in a codec's name, the entries that it keeps of each token."""
     found = re.search(r"L0[_-]?(\d+)", name, re.IGNORECASE)
@@ -37,19 +41,23 @@ def topk_codes(df: DataFrame, key: str, order: str, vector: str, weights: np.nda
     pooling = "max_abs" if pooling == "max" else pooling
     if pooling not in ("positive_max", "max_abs", "mean", "sum", "last"):
         raise ValueError(f"unknown pooling: {pooling}")
+    if weights.nbytes > MOST_BYTES:
+        raise ValueError(f"weights of {weights.nbytes} bytes; at most {MOST_BYTES} go to each executor")
     shared = df.sparkSession.sparkContext.broadcast((weights, bias))
+    together = max(1, BLOCK_BYTES // (8 * width))
 
     @F.pandas_udf("array<struct<feature:int,v:double>>")
     def encoded(vectors: pd.Series) -> pd.Series:
         w, b = shared.value
+        if any(v is None or len(v) != depth for v in vectors):
+            raise ValueError(f"a token has no vector of {depth} entries")
         out = []
-        for v in vectors:
-            if v is None or len(v) != depth:
-                raise ValueError(f"a token has no vector of {depth} entries")
-            made = w @ np.asarray(v, np.float64) + b
-            best = np.lexsort((np.arange(width), -made))[:token_k]
-            out.append([{"feature": int(i), "v": float(made[i])} for i in best])
-        return pd.Series(out)
+        for at in range(0, len(vectors), together):
+            made = np.stack(vectors.iloc[at : at + together].to_list()).astype(np.float64) @ w.T + b
+            best = np.argsort(-made, axis=1, kind="stable")[:, :token_k]  # ties to the smaller feature
+            kept = np.take_along_axis(made, best, 1)
+            out += [[{"feature": i, "v": v} for i, v in zip(*row, strict=True)] for row in zip(best.tolist(), kept.tolist(), strict=True)]
+        return pd.Series(out, dtype=object)
 
     tokens = df.select(key, F.col(order).alias("_o"), F.col(vector).cast("array<double>").alias("_x"))
     if pooling == "last":

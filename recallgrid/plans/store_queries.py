@@ -238,13 +238,23 @@ def recency_score(spark, d):
     return read(spark, d, "events").select("event_id", quantize(K.recency_score(F.col("ts"), as_of)).alias("recency"))
 
 
-@query("inject_prompt")
+#: Characters of memories in a prompt.
+BUDGET = 1200
+cte("blocks", """SELECT query_id, rank, text, h, h || chr(10) || text AS b, sum(length(h || chr(10) || text)) OVER (PARTITION BY query_id ORDER BY rank) AS upto FROM (
+    SELECT query_id, rank, text, '[Memory ' || rank || '; id=' || event_id || '; score=' || CAST(CAST(score AS DECIMAL(18, 6)) AS DECIMAL(18, 4)) || '; source=conv:' || conv_id || ']' AS h FROM retrieved_t JOIN turns ON event_id = episode_id)""")
+cte("blocks_in", f"""SELECT query_id, rank, upto > {BUDGET} AS over, CASE WHEN upto <= {BUDGET} THEN b WHEN room >= 0 AND room > length(h) + 16
+    THEN h || chr(10) || substr(text, 1, CAST(greatest(0, room - length(h) - {len(K.CUT)} - 1) AS BIGINT)) || chr(10) || '{K.CUT.strip()}' END AS p FROM (SELECT *, {BUDGET} - (upto - length(b)) AS room FROM blocks)""")
+
+
+@query("inject_prompt", f"""SELECT item_id AS query_id, '{K.INSTRUCTION}' || chr(10) || chr(10) || coalesce(c, '{K.NOTHING}') || chr(10) || chr(10) || 'Question: ' || text || chr(10) || 'Answer:' AS prompt,
+    CAST(coalesce(n, 0) AS BIGINT) AS memory_characters, CAST(coalesce(m, 0) AS BIGINT) AS n_memories, coalesce(o, FALSE) AS truncated
+    FROM benchmark LEFT JOIN (SELECT query_id, string_agg(p, chr(10) || chr(10) ORDER BY rank) AS c, sum(length(p)) AS n, count(p) AS m, bool_or(over) AS o FROM blocks_in GROUP BY 1) ON query_id = item_id""")
 def inject_prompt(spark, d):
     from .text_queries import retrieve_text, turns
 
     asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     texts = turns(spark, d).select(F.col("event_id").alias("episode_id"), "text", F.concat(F.lit("conv:"), F.col("conv_id")).alias("source"))
-    return K.inject(asked, retrieve_text(spark, d).join(texts, "episode_id"), 1200)
+    return K.inject(asked, retrieve_text(spark, d).join(texts, "episode_id"), BUDGET)
 
 
 # --- metrics ----------------------------------------------------------------------------------------
@@ -326,7 +336,12 @@ def false_association(spark, d):
     return A.false_association(ranked_v1(spark, d), gold(spark, d), gold(spark, d, 1)).withColumn("rate", quantize(F.col("rate")))
 
 
-@query("answer_in_retrieved")
+cte("plain_answers", r"""SELECT query_id, array_to_string(list_filter(string_split_regex(regexp_replace(lower(t), '[!-/:-@\[-`{-~]', '', 'g'), '\s+'), lambda w: w NOT IN ('', 'a', 'an', 'the')), ' ') AS found,
+    array_to_string(list_filter(string_split_regex(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '\s+'), lambda w: w NOT IN ('', 'a', 'an', 'the')), ' ') AS asked, text
+    FROM (SELECT query_id, string_agg(turns.text, chr(10) ORDER BY rank) AS t FROM retrieved_t JOIN turns ON event_id = episode_id GROUP BY 1) JOIN benchmark ON item_id = query_id""")
+
+
+@query("answer_in_retrieved", "SELECT query_id, CAST(text <> '' AND contains(found, asked) AS DOUBLE) AS found FROM plain_answers")
 def answer_in_retrieved(spark, d):
     from .text_queries import retrieve_text, turns
 

@@ -256,9 +256,12 @@ def candidate_fallback(spark, d):
     return S.with_fallback(none, queries, read(spark, d, "region").select(F.col("r_regionkey").cast("int").alias("episode_id")), 500)
 
 
-@query("retrieve_text", f"""SELECT item_id AS query_id, event_id AS episode_id, {Q('score')} AS score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY {Q('score', 9)} DESC, event_id) AS INTEGER) AS rank FROM (
+cte("retrieved_t", f"""SELECT item_id AS query_id, event_id AS episode_id, {Q('score')} AS score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY {Q('score', 9)} DESC, event_id) AS INTEGER) AS rank FROM (
     SELECT v.item_id, v.event_id, 0.65 * sum(q.w * t.w) + 0.3 * sum(q.w * t.w) AS score
     FROM votes_t v JOIN item_codes q ON q.item_id = v.item_id JOIN text_codes t ON t.event_id = v.event_id AND t.feature = q.feature GROUP BY 1, 2) QUALIFY rank <= 5""")
+
+
+@query("retrieve_text", "SELECT query_id, episode_id, score, rank FROM retrieved_t")
 def retrieve_text(spark, d):
     """Retrieval with the zero graph: the completed state is the query itself."""
     votes = text_votes(spark, d).select("query_id", "episode_id")

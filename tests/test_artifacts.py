@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from recallgrid.operators import latent as L
 from recallgrid.sources import artifacts as AR
+from recallgrid.sources import checkpoints as CP
 
 EVENTS = "example_id string, query string, events array<struct<event_id:string,text:string>>"
 
@@ -64,3 +65,9 @@ def test_features_outside_the_dimension_fail(spark, tmp_path):
     with pytest.raises(Exception, match="outside the dimension"):
         AR.export_codes(AR.example_texts(_examples(spark)), wide, 64, str(tmp_path / "wide"))
     assert not (tmp_path / "wide" / AR.MANIFEST).exists()
+
+
+def test_checkpoints(spark):
+    assert CP.checkpoint("Gemma3-12B-L32")["d_model"] == 3840 and CP.checkpoints(spark).count() == 4
+    with pytest.raises(KeyError, match="unknown checkpoint"):
+        CP.checkpoint("none")
