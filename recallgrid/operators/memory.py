@@ -306,9 +306,11 @@ class Memory:
 
     @classmethod
     def load(cls, spark, folder: str, settings: Settings | None = None) -> Memory:
-        """A saved memory; fails if it was saved by the other engine or has another dimension."""
+        """A saved memory; fails if it was saved by the other engine or has another dimension than ``settings`` ask for."""
         out = cls(settings)
         saved = tuple(spark.read.parquet(f"{folder}/shape").first())
+        if settings is None and cls.ENGINE == 1:
+            out.settings.dimension = saved[1]
         if saved != out.shape():
             raise ValueError(f"saved with engine and dimension {saved}, not {out.shape()}")
         for name in cls.TABLES:

@@ -30,7 +30,7 @@ def open_memory(spark: SparkSession, store: str = "memory", path: str | None = N
         raise ValueError("a durable store needs a path")
     place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/episodes/_SUCCESS")
     known = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
-    return kind.load(spark, path, made.settings) if known else made
+    return kind.load(spark, path, settings) if known else made
 
 
 class Backend:
