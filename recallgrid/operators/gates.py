@@ -51,7 +51,7 @@ def novelty(codes: DataFrame, limit: int = 20, close: float = 0.45, only: DataFr
     a = asked.select("ns", "feature", F.struct(*keys).alias("_q"), "seq", F.col("w").alias("_a"))
     b = codes.select("ns", "feature", F.col("episode_id").alias("_other"), F.col("seq").alias("_before"), F.col("w").alias("_b"), until.alias("_until"))
     earlier = F.expr("_before < seq AND (_until IS NULL OR seq <= _until)")
-    found = top_votes(a.drop("_a"), b.drop("_b"), limit, ["ns", "feature"], "_q", "_other", earlier)
+    found = top_votes(a.drop("_a"), b.drop("_b"), limit, ["ns", "feature"], "_q", "_other", ("seq", "_before", "_until"))
     pairs = found.select("_q", "_q.ns", "_other").join(a.select("_q", "feature", "seq", "_a"), "_q").join(b, ["ns", "_other", "feature"]).filter(earlier)
     top = pairs.groupBy("_q", "_other").agg(F.sum(F.col("_a") * F.col("_b")).alias("_dot")).select("_q.ns", "_q.episode_id", "_dot")
     best = top.groupBy("ns", "episode_id").agg(F.max("_dot").alias("_m"), F.sum(F.when(F.col("_dot") > close, 1).otherwise(0)).alias("_n"))

@@ -5,7 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from recallgrid.operators import gates as G
+from recallgrid.operators import maintain as M
 from recallgrid.operators import metrics as A
+from recallgrid.operators import postings as P
 from recallgrid.operators import recall as R
 from recallgrid.operators import tiles as X
 
@@ -77,3 +80,37 @@ def test_metrics_with_the_evidence_of_the_results_alone(spark):
     named, sizes = gold.filter("episode_id < 90"), gold.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     assert sorted(A.retrieval_metrics(results, named, queries, sizes).collect()) == sorted(A.retrieval_metrics(results, gold, queries).collect())
     assert sorted(A.false_association(results, named, gold.limit(0), judged=sizes).collect()) == sorted(A.false_association(results, gold, gold.limit(0)).collect())
+
+
+def test_votes_and_novelty_by_tiles_as_by_joins(spark, small, monkeypatch):
+    rows = vectors(50, 8)
+    c = table(spark, rows, "episode_id", "w").withColumn("seq", F.col("episode_id"))
+    gone = c.withColumn("until", F.when(F.col("episode_id") % 4 == 0, F.col("episode_id") + 9))
+    plain = [sorted(G.novelty(t, 3).collect()) for t in (c, gone)]
+    monkeypatch.setattr(P, "DENSE", 0)
+    for t, want in zip((c, gone), plain, strict=True):
+        for got, w in zip(sorted(G.novelty(t, 3).collect()), want, strict=True):
+            assert got[:2] == w[:2] and got[2:] == pytest.approx(w[2:])
+
+
+def test_similar_pairs_by_tiles(spark, small, monkeypatch):
+    rows = vectors(50, 9)
+    c = table(spark, rows, "seq", "w")
+    plain = {(r.ns, r.a, r.b): r.dot for r in M.similar_pairs(c, 0.25).collect()}
+    monkeypatch.setattr(P, "DENSE", 0)
+    assert {(r.ns, r.a, r.b): r.dot for r in M.similar_pairs(c, 0.25).collect()} == {k: pytest.approx(v) for k, v in plain.items()}
+
+
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_greedy_groups_by_rounds(spark, small, monkeypatch, least):
+    monkeypatch.setattr(M, "ROUND", 6)
+    rows = vectors(50, 10)
+    want, used = set(), set()
+    for (ns, i), x in sorted(rows.items()):
+        if (ns, i) in used:
+            continue
+        group = [j for (m, j), y in sorted(rows.items()) if m == ns and j > i and (m, j) not in used and x.keys() & y.keys() and dot(x, y) >= 0.6]
+        used |= {(ns, j) for j in [i, *group]}
+        want |= {(ns, i, j) for j in [i, *group]} if len(group) + 1 >= least else set()
+    got = [tuple(r) for r in M.greedy_groups(table(spark, rows, "seq", "w"), 0.6, least).collect()]
+    assert len(got) == len(want) and set(got) == want
