@@ -19,6 +19,15 @@ INTERVAL = "estimate double, lower double, upper double, level double, samples i
 MEAN_DRAWS, SIGN_DRAWS = 512, 1024
 
 
+#: Numbers that are held at once; a portion is drawn by rows, which takes the same numbers from the stream as at once.
+HELD = 1 << 20
+
+
+def _rows(m: int, n: int) -> list[int]:
+    """``m`` draws of ``n`` numbers, as many at a time as ``HELD`` holds."""
+    return _portions(m, max(1, HELD // max(n, 1)))
+
+
 def _portions(samples: int, size: int) -> list[int]:
     return [size] * (samples // size) + ([samples % size] if samples % size else [])
 
@@ -30,7 +39,7 @@ def _interval(estimate: float, means: np.ndarray, level: float, samples: int) ->
 
 def _means(n: int, samples: int, seed: int, mean) -> np.ndarray:
     rng = np.random.default_rng(seed)
-    return np.concatenate([mean(rng.integers(0, n, size=(m, n))) for m in _portions(samples, MEAN_DRAWS)])
+    return np.concatenate([mean(rng.integers(0, n, size=(r, n))) for m in _portions(samples, MEAN_DRAWS) for r in _rows(m, n)])
 
 
 def bootstrap(values: np.ndarray, samples: int = 10_000, level: float = 0.95, seed: int = 0) -> tuple:
@@ -61,10 +70,11 @@ def randomization_p(differences: np.ndarray, samples: int = 100_000, seed: int =
 
     def as_far(m: int) -> int:
         """Of m random sign patterns, those whose mean is at least as far from 0 as the one seen."""
-        flipped = rng.choice([-1.0, 1.0], size=(m, finite.size)) * finite
+        flipped = rng.choice([-1.0, 1.0], size=(m, finite.size))
+        flipped *= finite
         return int(np.count_nonzero(np.abs(flipped.mean(axis=1)) >= abs(finite.mean())))
 
-    return (1 + sum(map(as_far, _portions(samples, SIGN_DRAWS)))) / (1 + samples)
+    return (1 + sum(as_far(r) for m in _portions(samples, SIGN_DRAWS) for r in _rows(m, finite.size))) / (1 + samples)
 
 
 def bootstrap_ci(df: DataFrame, group: str, value: str, order: str, samples: int = 10_000, level: float = 0.95, seed: int = 0) -> DataFrame:
