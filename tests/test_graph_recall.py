@@ -1,5 +1,8 @@
 """Graphs and recall: hand-computed micro graphs, and the modes against each other."""
 
+import math
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -178,3 +181,59 @@ def test_streamed_write_fold(spark, tmp_path, rule):
     newest = changes.join(changes.filter("src IS NULL AND NOT late").groupBy("ns").agg(F.max("version").alias("now")), "ns").filter("src IS NOT NULL AND version = now")
     touched = {(r.ns, r.feature) for r in c.filter("seq = 29").collect()}
     assert {(r.ns, r.src) for r in newest.collect()} == touched
+
+
+def plain_recall(queries, association, temporal, steps, k):
+    """(final, temporal) of dictionaries, message by message."""
+    degree = lambda e: {i: sum(abs(w) for (a, _), w in e.items() if a == i) for i, _ in e}
+
+    def scaled(e):
+        d = degree(e)
+        return {(i, j): w / math.sqrt(max(d.get(i, 0.0), 1e-12) * max(d.get(j, 0.0), 1e-12)) for (i, j), w in e.items()}
+
+    a, t, hubs, out = scaled(association), scaled(temporal), degree(association), {}
+    for q, start in queries.items():
+        state, moved = start, {}
+        for _ in range(steps):
+            total = dict(start)
+            for graph, kind in ((a, "a"), (t, "t"), ({(j, i): w for (i, j), w in t.items()}, "t")):
+                for (i, j), w in graph.items():
+                    if i in state:
+                        x = state[i] * w
+                        total[j] = total.get(j, 0.0) + (x * 0.65 / math.sqrt(1 + hubs.get(j, 0.0)) if kind == "a" else x * 0.15)
+                        if kind == "t":
+                            moved[j] = moved.get(j, 0.0) + x
+            top = sorted(((i, v) for i, v in total.items() if v >= 0), key=lambda p: (-p[1], p[0]))[:k]
+            size = math.sqrt(sum(v * v for _, v in top))
+            state = {i: v / size for i, v in top}
+        top = sorted(((i, v) for i, v in moved.items() if v), key=lambda p: (-abs(p[1]), p[0]))[:k]
+        out[q] = state, {i: v / math.sqrt(sum(v * v for _, v in top)) for i, v in top}
+    return out
+
+
+@pytest.mark.parametrize("sent", [0, 1 << 20])
+def test_all_steps_of_a_query_in_one_task(spark, monkeypatch, sent):
+    draw, plans, write = random.Random(4), [], R.settle
+    edge = lambda n: {(i, j): draw.uniform(0.1, 1.0) for i, j in {(draw.randrange(20), draw.randrange(20)) for _ in range(n)} if i != j}
+    a, t = edge(90), edge(40)
+    queries = {q: {f: draw.uniform(-0.5, 1.0) for f in draw.sample(range(24), 5)} for q in range(12)}
+    table = lambda e: spark.createDataFrame([(1, i, j, w) for (i, j), w in e.items()], "ns long, src int, dst int, w double")
+    asked = spark.createDataFrame([(1, q, f, v) for q, x in queries.items() for f, v in x.items()], "ns long, query_id long, feature int, v double")
+    monkeypatch.setattr(R, "SENT_EDGES", sent)
+    monkeypatch.setattr(R, "TASK_ROWS", 16)
+    monkeypatch.setattr(R, "settle", lambda df, label="table": plans.append((label, df._jdf.queryExecution().executedPlan().toString())) or write(df, label))
+    final, timed = R.recall(asked, table(a), table(t), 2, k=9)
+    want = plain_recall(queries, a, t, 2, 9)
+    for got, place in ((final, 0), (timed, 1)):
+        assert {(r.query_id, r.feature): r.v for r in got.collect()} == {(q, f): pytest.approx(v) for q, x in want.items() for f, v in x[place].items()}
+    plan = next(p for label, p in plans if label == "traced")
+    if sent:  # the queries are dealt out once, whatever the number of steps
+        assert plan.count("Exchange hashpartitioning(ns") == 1
+
+
+def test_deltas_are_dealt_by_their_number(spark, monkeypatch):
+    c = codes(spark)
+    deltas = G.pair_deltas(c, "hebb")
+    monkeypatch.setattr(G, "TASK_DELTAS", 100)
+    many = G.closed_form(deltas, G.with_write_number(c).select("ns", "t").distinct())
+    assert many.rdd.getNumPartitions() >= deltas.count() // 100

@@ -114,3 +114,16 @@ def test_greedy_groups_by_rounds(spark, small, monkeypatch, least):
         want |= {(ns, i, j) for j in [i, *group]} if len(group) + 1 >= least else set()
     got = [tuple(r) for r in M.greedy_groups(table(spark, rows, "seq", "w"), 0.6, least).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.parametrize("broad", [1, 8])
+def test_broad_blocks_of_the_right(spark, small, monkeypatch, broad):
+    monkeypatch.setattr(X, "BROAD", broad)
+    asked, stored = vectors(40, 11), vectors(120, 12)
+    a, b = table(spark, asked, "q", "v"), table(spark, stored, "e", "w")
+    left, right = X.packed({"v": a, "m": a}, ["ns", "q"], "v", ("m",)), X.packed({"w": b, "m": b}, ["ns", "e"], "w", ("m",))
+    sent = []
+    monkeypatch.setattr(X, "settle", lambda df, label: sent.append(df.collect()) or df)
+    found = X.pairs(left, right, ["ns"], "q", "e", {"votes": ("m", "m")}, "votes", limit=3).collect()
+    assert {(r.ns, r.q, r.e) for r in found} == best(asked, stored, 3, lambda x, y: len(x.keys() & y.keys()))
+    assert {r._n for r in sent[0]} == {-(-60 // (7 * broad))}  # how often a row of the left is sent

@@ -108,3 +108,8 @@ def test_number_features(one):
     assert value(one, E.number_features("k", F.lit(-1234.5678))) == ["k:num:neg:1e3", "k:num_rounded:-1234.568"]
     assert value(one, E.number_features("k", F.lit(float("nan")))) == ["k:nan"]
     assert value(one, E.number_features("k", F.lit(None).cast("double"))) == []
+
+
+def test_a_code_is_sorted_once_and_not_for_each_entry():
+    made = str(V.from_dense(F.col("embedding"), 8))
+    assert made.count("array_sort") <= 2
