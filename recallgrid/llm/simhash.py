@@ -62,17 +62,18 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
+    counts = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), CHUNK):
+        counts += np.unpackbits(hashes[k : k + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str, plan: Plan) -> tuple[int, int]:
     """Upper and lower 64 bits; the upper ones are 0 for a 64-bit plan."""
     hashes = shingle_hashes(text, plan.shingle)
-    parts = [hashes] if plan.bits == 64 else [hashes, _mixed(hashes)]
-    out = []
-    for part in parts:
-        counts = np.zeros(64, np.int64)
-        for k in range(0, len(part), CHUNK):
-            counts += np.unpackbits(part[k : k + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(counts * 2 > len(part), bitorder="little").view("<u8")[0]))
-    return (out[1] if len(out) > 1 else 0), out[0]
+    return (0 if plan.bits == 64 else majority(_mixed(hashes))), majority(hashes)
 
 
 def fingerprints(docs: DataFrame, plan: Plan) -> DataFrame:
@@ -238,6 +239,15 @@ def fingerprint_links(classes: DataFrame, plan: Plan) -> DataFrame:
     return first.unionByName(second).filter("kind = 0").drop("kind").distinct()
 
 
+def print_proposals(classes: DataFrame, plan: Plan = CONTRACT) -> DataFrame:
+    """(a, b) pairs of classes (cls, lo) that keep those connected whose fingerprints differ in ``plan.distance`` bits or fewer."""
+    prints = written(classes.groupBy("lo").agg(F.min("cls").alias("least"), F.count(F.lit(1)).alias("n")), "print-classes")
+    links = fingerprint_links(prints.select(F.lit(0).cast("long").alias("hi"), "lo"), plan)
+    end = lambda p: prints.select(F.col("lo").alias(f"{p}2"), F.col("least").alias(p))
+    same = hot_safe_lookup(classes.select("cls", "lo"), prints, "lo", "n", classes.count()).filter("cls <> least")
+    return links.join(end("a"), "a2").join(end("b"), "b2").select("a", "b").unionByName(same.selectExpr("cls AS a", "least AS b"))
+
+
 def simhash_components(docs: DataFrame, plan: Plan = CONTRACT) -> DataFrame:
     """(doc_id, hi, lo, component_id) of every row of (doc_id, text)."""
     prints = written(fingerprints(docs, plan), "simhash")

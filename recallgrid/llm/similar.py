@@ -1,9 +1,11 @@
 """Near-duplicates by the Jaccard similarity of their shingle sets, each link verified exactly.
 
 Documents with equal sets of five-word shingles are one class (sets are told apart by a
-64-bit hash). MinHash bands only propose: the classes of a band's bucket are joined to its
-smallest one, and the connected parts of these proposals hold every pair that shares a
-bucket. Then the texts of each part come together and all its pairs are compared on their
+64-bit hash). Two methods propose. SimHash with deletion variants (``simhash.py``) gives
+every pair of classes whose 64-bit fingerprints, of the sets, differ in 3 bits or fewer.
+Pairs at 0.8 differ in more, so MinHash bands propose as well: the classes of a band's
+bucket are joined to its smallest one. The connected parts of all proposals hold every
+pair that either names. Then the texts of each part come together and all its pairs are compared on their
 whole sets; links are pairs with a similarity of 4/5 or more and nothing else, and a group
 is a connected component of links. A pair with a similarity of s shares no bucket with
 probability (1 - s ** ROWS) ** BANDS: 1.5e-4 at 0.8, below 1e-12 from 0.9 on.
@@ -88,15 +90,18 @@ _TABLES: dict[Similar, tuple[np.ndarray, np.ndarray]] = {}
 
 def _sets(plan: Similar):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .simhash import majority  # which imports this module
+
         for b in text_batches(batches, 2):
-            cls, size, bands = [], [], []
+            cls, size, bands, lo = [], [], [], []
             for text in b.column(2).to_pylist():
                 own = np.unique(shingle_hashes(text, plan.shingle))
                 cls.append(xxhash.xxh64_intdigest(own.astype("<u8").tobytes(), 1))
                 size.append(len(own))
+                lo.append(majority(own))
                 bands.append(band_keys(own, plan).astype("<u8").tobytes())
-            made = [pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(bands, pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], names=["doc_id", "tk", "cls", "size", "bands"])
+            made = [pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(bands, pa.binary()), pa.array(np.array(lo, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], names=["doc_id", "tk", "cls", "size", "bands", "lo"])
 
     return run
 
@@ -199,13 +204,16 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def similar_groups(docs: DataFrame, plan: Similar = SIMILAR) -> tuple[DataFrame, DataFrame]:
     """(doc_id, tk, cls) of every row with a doc_id, and (cls, doc_id, tk, grp) of every class with its least row."""
+    from .simhash import print_proposals  # which imports this module
+
     rows = _keyed(docs)
-    prints = written(rows.mapInArrow(_sets(plan), "doc_id long, tk long, cls long, size long, bands binary"), "similar")
-    classes = prints.groupBy("cls").agg(F.min(F.struct("doc_id", "tk")).alias("r"), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    classes = written(classes.select("cls", "r.doc_id", "r.tk", "size", "bands"), "similar-classes")
+    prints = written(rows.mapInArrow(_sets(plan), "doc_id long, tk long, cls long, size long, bands binary, lo long"), "similar")
+    classes = prints.groupBy("cls").agg(F.min(F.struct("doc_id", "tk")).alias("r"), *[F.first(c).alias(c) for c in ("size", "bands", "lo")])
+    classes = written(classes.select("cls", "r.doc_id", "r.tk", "size", "bands", "lo"), "similar-classes")
     index = classes.select("cls", "bands").mapInArrow(_index, "key long, cls long")
     stars = index.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(_stars, "a long, b long").distinct()
-    tiles = _tiles(classes, connected_components(stars))
+    near = print_proposals(classes.filter("size > 0"))
+    tiles = _tiles(classes, connected_components(near.unionByName(stars)))
     # Equal rows of a doc_id have one text.
     texts = rows.join(tiles.select("doc_id", "tk").distinct(), ["doc_id", "tk"], "left_semi").dropDuplicates(["doc_id", "tk"])
     sent = tiles.join(texts, ["doc_id", "tk"]).select("root", "i", "j", "cls", "text")

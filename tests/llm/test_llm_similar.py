@@ -87,3 +87,17 @@ def test_rows_of_one_doc_id_are_told_apart(spark):
     rows = [(4, a), (4, b), (4, b), (7, a + " more"), (None, a)]
     kept = S.one_of_each(frame(spark, rows), S.SIMILAR).collect()
     assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, a), (4, a), (4, b)]
+
+
+def test_fingerprints_propose_without_bands(spark, monkeypatch):
+    monkeypatch.setattr(N, "_stars", lambda batches: (b.slice(0, 0).rename_columns(["a", "b"]) for b in batches))
+    draw = random.Random(8)
+    rows = []
+    for k in range(20):  # copies with one word more, of a similarity of 0.999
+        base = " ".join(f"t{k}w{draw.randrange(10**6)}" for _ in range(1000))
+        rows += [(2 * k, base), (2 * k + 1, base + " more")]
+    prints = [S.majority(np.unique(N.shingle_hashes(t, 5))) for _, t in rows]
+    near = {2 * k for k in range(20) if (prints[2 * k] ^ prints[2 * k + 1]).bit_count() <= 3}
+    assert len(near) > 10
+    kept = {r.doc_id for r in S.one_of_each(frame(spark, rows), S.SIMILAR).collect()}
+    assert kept == {i for i, _ in rows if i % 2 == 0 or i - 1 not in near}
