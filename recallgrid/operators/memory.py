@@ -153,8 +153,13 @@ class Memory:
         scaled = lambda d: d.join(weight, ["ns", "t"]).withColumn("delta", F.col("delta") * F.col("salience")).drop("salience")
         grown = lambda edges, d: settle(GR.grown(edges, scaled(d), self.clock, now, **s.growth()), "edges")
         chained = coded.select("ns", "seq", "stream", "feature", "w")
-        self.association = grown(self.association, GR.pair_deltas(plain, s.rule, s.rate, max_pairs=s.max_pairs, numbers=numbered, known=self.averages))
-        self.temporal = grown(self.temporal, GR.temporal_deltas(chained, ["stream"], s.temporal_rate, s.rule, s.max_pairs, numbers=numbered, last=self.last))
+        if self.association is None and self.temporal is None and self.last is None and s.rule in ("hebb", "covariance", "bcm"):
+            folded = lambda events: settle(GR.event_fold(events.join(weight, ["ns", "t"]), now, **s.growth()), "edges")
+            self.association = folded(GR.pair_events(plain, s.rule, s.rate, s.max_pairs, numbered, self.averages))
+            self.temporal = folded(GR.temporal_events(chained, ["stream"], s.temporal_rate, s.max_pairs, numbered))
+        else:
+            self.association = grown(self.association, GR.pair_deltas(plain, s.rule, s.rate, max_pairs=s.max_pairs, numbers=numbered, known=self.averages))
+            self.temporal = grown(self.temporal, GR.temporal_deltas(chained, ["stream"], s.temporal_rate, s.rule, s.max_pairs, numbers=numbered, last=self.last))
         averages = GR.final_activity(GR.strongest(plain, s.max_pairs), s.rate, known=self.averages)
         if self.averages is not None:
             averages = self.averages.join(averages.select("ns", "feature"), ["ns", "feature"], "left_anti").unionByName(averages)

@@ -237,3 +237,21 @@ def test_deltas_are_dealt_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(G, "TASK_DELTAS", 100)
     many = G.closed_form(deltas, G.with_write_number(c).select("ns", "t").distinct())
     assert many.rdd.getNumPartitions() >= deltas.count() // 100
+
+
+@pytest.mark.parametrize("held", [1 << 22, 40])
+@pytest.mark.parametrize("rule", ["hebb", "covariance", "bcm"])
+def test_events_are_folded_as_their_deltas(spark, monkeypatch, rule, held):
+    monkeypatch.setattr(G, "HELD", held)
+    c, how = codes(spark), {"decay": 0.01, "interval": 7, "max_degree": 4}
+    writes = G.with_write_number(c).select("ns", "t").distinct()
+    one = lambda events: events.withColumn("salience", F.lit(1.0))
+    streams = c.withColumn("stream", F.col("seq") % 3)
+    made = [
+        (G.pair_events(c, rule), G.pair_deltas(c, rule)),
+        (G.temporal_events(streams, ["stream"], numbers=G.with_write_number(c.select("ns", "seq").distinct())), G.temporal_deltas(streams, ["stream"])),
+    ]
+    for events, deltas in made:
+        want = {(r.ns, r.src, r.dst): r.w for r in G.row_fold(deltas, writes, **how).collect()}
+        got = G.event_fold(one(events), writes, **how).collect()
+        assert len(got) == len(want) > 0 and {(r.ns, r.src, r.dst): r.w for r in got} == {k: pytest.approx(v) for k, v in want.items()}
