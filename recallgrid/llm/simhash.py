@@ -234,9 +234,12 @@ def fingerprint_links(classes: DataFrame, plan: Plan) -> DataFrame:
     """Links (a1, a2, b1, b2) between distinct fingerprints (hi, lo) that keep every connected part connected."""
     index = classes.select("hi", "lo").mapInArrow(_index(plan), "key long, hi long, lo long")
     first = written(index.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(plan.distance, 1, BUCKET), ROWS), "simhash-links")
+    near = first.filter("kind = 0").drop("kind")
+    if first.filter("kind = 1").isEmpty():
+        return near.distinct()
     again = first.filter("kind = 1").selectExpr("a1 AS key", "b1 AS hi", "b2 AS lo").mapInArrow(_index_again(plan), "key long, second long, hi long, lo long")
     second = again.repartition("key", "second").sortWithinPartitions("key", "second").mapInArrow(_compare(plan.distance, 2, None), ROWS)
-    return first.unionByName(second).filter("kind = 0").drop("kind").distinct()
+    return near.unionByName(second.filter("kind = 0").drop("kind")).distinct()
 
 
 def print_proposals(classes: DataFrame, plan: Plan = CONTRACT) -> DataFrame:
@@ -244,7 +247,7 @@ def print_proposals(classes: DataFrame, plan: Plan = CONTRACT) -> DataFrame:
     prints = written(classes.groupBy("lo").agg(F.min("cls").alias("least"), F.count(F.lit(1)).alias("n")), "print-classes")
     links = fingerprint_links(prints.select(F.lit(0).cast("long").alias("hi"), "lo"), plan)
     end = lambda p: prints.select(F.col("lo").alias(f"{p}2"), F.col("least").alias(p))
-    same = hot_safe_lookup(classes.select("cls", "lo"), prints, "lo", "n", classes.count()).filter("cls <> least")
+    same = hot_safe_lookup(classes.select("cls", "lo"), prints, "lo", "n", classes.count(), most=prints.agg(F.max("n")).first()[0] or 0).filter("cls <> least")
     return links.join(end("a"), "a2").join(end("b"), "b2").select("a", "b").unionByName(same.selectExpr("cls AS a", "least AS b"))
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import hot_safe_lookup, release_memory, text_batches, written
-from .components import connected_components
+from .components import connected_components, spanning
 
 #: Shingles of a part that are compared in one task.
 TILE = 1 << 20
@@ -157,13 +157,13 @@ def similar_links(sets: list[np.ndarray], least: tuple[int, int]) -> list[tuple[
 
 
 def _exact(plan: Similar):
-    """Links within each tile; rows (root, i, j, cls, text) come sorted by tile."""
+    """(class, smallest class of its part) by the links within each tile; rows (root, i, j, cls, text) come sorted by tile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, cls, sets = None, [], []
 
         def whole() -> list[tuple[int, int]]:
-            return [(cls[u], cls[v]) for u, v in similar_links(sets, plan.least)] if len(sets) > 1 else []
+            return spanning((cls[u], cls[v]) for u, v in similar_links(sets, plan.least)) if len(sets) > 1 else []
 
         def batch(rows: list[tuple[int, int]]) -> pa.RecordBatch:
             made = np.array(rows, np.int64).reshape(-1, 2)
@@ -191,8 +191,8 @@ def _tiles(classes: DataFrame, roots: DataFrame) -> DataFrame:
     members = roots.unionByName(roots.selectExpr("root AS node", "root").distinct())
     members = written(members.join(classes.select(F.col("cls").alias("node"), "size", "doc_id", "tk"), "node"), "similar-members")
     parts = members.groupBy("root").agg(F.sum("size").alias("shingles"), F.count(F.lit(1)).alias("n"))
-    parts = parts.select("root", F.ceil(F.col("shingles") / TILE).cast("int").alias("k"), "n")
-    placed = hot_safe_lookup(members, parts, "root", "n", members.count()).withColumn("own", F.pmod(F.xxhash64("node"), "k").cast("int"))
+    parts = written(parts.select("root", F.ceil(F.col("shingles") / TILE).cast("int").alias("k"), "n"), "similar-parts")
+    placed = hot_safe_lookup(members, parts, "root", "n", members.count(), most=parts.agg(F.max("n")).first()[0] or 0).withColumn("own", F.pmod(F.xxhash64("node"), "k").cast("int"))
     each = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     return each.select("doc_id", "tk", F.col("node").alias("cls"), "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
@@ -212,7 +212,7 @@ def similar_groups(docs: DataFrame, plan: Similar = SIMILAR) -> tuple[DataFrame,
     classes = written(classes.select("cls", "r.doc_id", "r.tk", "size", "bands", "lo"), "similar-classes")
     index = classes.select("cls", "bands").mapInArrow(_index, "key long, cls long")
     stars = index.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(_stars, "a long, b long").distinct()
-    near = print_proposals(classes.filter("size > 0"))
+    near = written(print_proposals(classes.filter("size > 0")), "similar-prints")
     tiles = _tiles(classes, connected_components(near.unionByName(stars)))
     # Equal rows of a doc_id have one text.
     texts = rows.join(tiles.select("doc_id", "tk").distinct(), ["doc_id", "tk"], "left_semi").dropDuplicates(["doc_id", "tk"])

@@ -148,3 +148,24 @@ def test_nearest(spark, block):
     assert [(r.vec_id, r.score) for r in got if r.query_id == 2000] == [(2001, 0.5)]
     assert {r.query_id for r in got} == {*range(0, 150, 10), 2000}
     assert N.nearest(spark.createDataFrame([], VECTORS), N.F.col("vec_id") % 10 == 0).count() == 0
+
+
+def test_rounds_of_components_are_small_plans(spark, monkeypatch):
+    """No written table of a round is planned with more than a dozen exchanges, as the driver holds what it plans; stars need no round."""
+    from recallgrid.llm import components as C
+
+    planned, keep = [], C.written
+
+    def counted(df, label):
+        planned.append((label, df._jdf.queryExecution().executedPlan().toString().count("Exchange ")))
+        return keep(df, label)
+
+    monkeypatch.setattr(C, "written", counted)
+    chain = spark.createDataFrame([(k, k + 1) for k in range(0, 60)] + [(200 + k, 200) for k in range(1, 9)], "a long, b long").repartition(4)
+    got = {r.node: r.root for r in C.connected_components(chain).collect()}
+    assert {v: got[v] for v in got} == {k: 0 for k in range(1, 61)} | {200 + k: 200 for k in range(1, 9)}
+    assert max(n for _, n in planned) <= 12
+    planned.clear()
+    stars = spark.createDataFrame([(10 * g + k, 10 * g) for g in range(9) for k in range(1, 5)], "a long, b long").repartition(4)
+    assert C.connected_components(stars).count() == 36
+    assert [label for label, _ in planned] == ["links"]
