@@ -55,6 +55,19 @@ def test_the_best_of_all_tiles(spark, small, limit):
     assert {(r.ns, r.q, r.e) for r in found} == best(asked, stored, limit, lambda x, y: max(dot(x, y), 0.0))
 
 
+def test_two_choices_in_one_pass(spark, small):
+    asked, stored = vectors(40, 21), vectors(60, 22)
+    a, b = table(spark, asked, "q", "v"), table(spark, stored, "e", "w")
+    left, right = X.packed({"v": a, "m": a}, ["ns", "q"], "v", ("m",)), X.packed({"w": b, "m": b}, ["ns", "e"], "w", ("m",))
+    products = {"votes": ("m", "m"), "dot": ("v", "w")}
+    found = X.pairs(left, right, ["ns"], "q", "e", products, "votes", limit=4, also=("votes", "dot", 9, 0.0)).collect()
+    got = {(r.ns, r.q, r.e) for r in found}
+    votes = best(asked, stored, 4, lambda x, y: len(x.keys() & y.keys()))
+    dots = best(asked, stored, 4, lambda x, y: max(dot(x, y), 0.0))
+    assert len(found) == len(got) and got >= votes | dots
+    assert all(r.dot == pytest.approx(dot(asked[r.ns, r.q], stored[r.ns, r.e])) for r in found)
+
+
 def test_each_pair_once_above_a_bound(spark, small):
     rows = vectors(60, 3)
     t = table(spark, rows, "a", "w")
