@@ -113,3 +113,11 @@ def test_number_features(one):
 def test_a_code_is_sorted_once_and_not_for_each_entry():
     made = str(V.from_dense(F.col("embedding"), 8))
     assert made.count("array_sort") <= 2
+
+
+def test_codes_of_texts_are_counted_where_their_text_is(spark):
+    """One exchange, of texts: neither counts nor sums by key move a feature again."""
+    texts = spark.createDataFrame([(k, f"red blue {k} red") for k in range(9)], "id long, text string")
+    codes = E.hash_codes(E.text_features(texts, "id", "text"), "id", 256, 3)
+    assert codes._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert codes.groupBy("id").count().filter("count = 3").count() == 9
