@@ -179,7 +179,7 @@ class BoundMemory(Memory):
         scores = changes.filter("kind = 'score'").select("ns", F.col("a").alias("seq"), x[0].alias("novelty"), x[1].alias("interference"), x[2].alias("salience"), x[3].alias("negative"), x[4].alias("birth_score"), F.col("b").alias("slot"))
         scored = told.drop("told", "redundancy", "positive", "negative", "utility", "birth").join(scores, ["ns", "seq"])
         scored = settle(scored.withColumn("authority", G.latent_authority(F.col("status"), F.col("risk"))), "scored")
-        made = changes.filter("kind = 'address'").select("ns", F.col("a").alias("seq"), F.col("b").alias("feature"), x[0].alias("w"))
+        made = O.entries(changes.filter("kind = 'address'"), "seq", "feature")
         made = made.join(scored.select(*KEYS, "seq", "stream", (F.col("status") == "rejected").alias("rejected")), ["ns", "seq"]).select(*KEYS, "seq", "stream", "rejected", "feature", "w")
         self.log = settle(made if self.log is None else self.log.unionByName(made), "log")
         last = S.upsert_latest(scored.withColumn("_id", F.struct(*KEYS)), "_id", "seq").drop("_id")
