@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from recallgrid.operators import graph as GR
 from recallgrid.operators import ordered as O
@@ -44,3 +45,25 @@ def test_a_fold_gives_a_row_for_each_graph_row():
     assert out["kind"].value_counts().to_dict() == {"score": 2, "address": 2, "association": 80, "temporal": 40, "links": 1, "eligibility": 80, "average": 80, "previous": 40, "clock": 1}
     assert out[out["kind"] == "association"]["to"].map(len).tolist() == [39] * 80
     assert len(out[out["kind"] == "links"]["x"].iloc[0]) == 80
+
+
+def test_the_graphs_of_many_namespaces_leave_by_their_edges(spark, monkeypatch):
+    """One batch of events may end thousands of graphs: their edges are not held together."""
+    monkeypatch.setattr(GR, "SENT", 300)
+    rows = [(ns, seq, f, 1.0 + f) for ns in range(60) for seq in range(3) for f in range(6 + ns % 3 + seq)]
+    codes = spark.createDataFrame(rows, "ns long, seq long, feature long, w double")
+    writes = GR.with_write_number(codes).select("ns", "t").distinct()
+    caught = []
+    monkeypatch.setattr(type(codes), "mapInPandas", lambda self, f, schema: caught.append((f, self.toPandas())) or self)
+    GR.event_fold(GR.pair_events(codes, "hebb").withColumn("salience", F.lit(1.0)), writes)
+    monkeypatch.undo()
+    monkeypatch.setattr(GR, "SENT", 300)
+    fold, events = caught[0]
+    frames = list(fold(iter([events])))
+    assert len(frames) > 5 and max(map(len, frames)) <= 300
+    got = {(r.ns, r.src, r.dst): r.w for x in frames for r in x.itertuples()}
+    want = {(r.ns, r.src, r.dst): r.w for r in GR.row_fold(GR.pair_deltas(codes, "hebb"), writes).collect()}
+    assert sum(map(len, frames)) == len(got) and got == pytest.approx(want)
+    monkeypatch.setattr(GR, "SENT", 20)  # less than a graph: it leaves by rows
+    few = list(fold(iter([events])))
+    assert max(map(len, few)) <= 20 and pd.concat(few).reset_index(drop=True).equals(pd.concat(frames).reset_index(drop=True))
